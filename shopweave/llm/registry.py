@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from shopweave.llm import packing, token_files
+from shopweave.llm import decontaminate, ngram_join, packing, quality_rules, secrets_scan, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op3_bloom_cascade": url_filter.op3_bloom_cascade,
+        "op5_wu_manber": decontaminate.op5_wu_manber,
+        "op7_blob_ledger": secrets_scan.op7_blob_ledger,
+        "op8_robust_outliers": quality_rules.op8_robust_outliers,
         "op9_sum_of_squares": packing.op9_sum_of_squares,
+        "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_bloom_cascade": url_filter.ORACLE}
