@@ -8,8 +8,8 @@ Patterns of different lengths form searches of their own, so that one short item
 one word are single look-ups.
 
 Words: ASCII letters and digits and all characters beyond ASCII; A-Z are lower-cased; all else parts words. The table of
-windows goes to every executor in blocks of at most MAX_WINDOWS windows, so its size is bounded: a larger benchmark takes more passes over
-the documents, whose hits are then joined per document. Documents need no shuffle.
+windows goes to every executor in blocks of at most MAX_WINDOWS windows, so its size is bounded: a larger benchmark takes more
+searches, one after the other in the same tasks, whose hits are then merged. Documents need no shuffle.
 
 Null texts have no words. Documents may repeat or lack doc_id: each row is judged by itself. Items without item_id or
 words are left out; items with equal windows all count. Empty tables: no rows, or no hits. Other columns are ignored.
@@ -17,15 +17,11 @@ words are left out; items with equal windows all count. Empty tables: no rows, o
 
 from __future__ import annotations
 
-import itertools
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopweave.llm.common import saved, shared_dir
-
 WINDOW = 13
 MAX_WINDOWS = 500_000
 #: Each ASCII byte that parts words becomes a space, A-Z become a-z; bytes of characters beyond ASCII stay.
@@ -118,8 +114,8 @@ def joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """docs with n_words, spans (word positions hit, end exclusive) and items added; docs must have text."""
+def search(docs: DataFrame, items: list[tuple[str, str]], window: int, n_words: str, spans: str, found: str) -> DataFrame:
+    """docs (with text) and three more columns: their words, stretches hit (word positions, end exclusive), items found."""
     names = docs.columns
     at = names.index("text")
     broadcast = docs.sparkSession.sparkContext.broadcast(items)
@@ -128,17 +124,17 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFr
     def run(batches):
         windows = Windows(broadcast.value, window)
         for batch in batches:
-            n_words, spans, found = [], [], []
+            counts, hits, of_items = [], [], []
             for text in batch.column(at).to_pylist():
                 words = words_of(text or "")
                 hit, of = windows.find(words)
-                n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in hit])
-                found.append(sorted(of))
-            more = [pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "n_words", "spans", "items"])
+                counts.append(len(words))
+                hits.append([{"start": a, "end": b} for a, b in hit])
+                of_items.append(sorted(of))
+            more = [pa.array(counts, pa.int64()), pa.array(hits, span), pa.array(of_items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, n_words, spans, found])
 
-    added = T.StructType.fromDDL(f"n_words long, spans {SPANS}, items array<string>")
+    added = T.StructType.fromDDL(f"{n_words} long, {spans} {SPANS}, {found} array<string>")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 
 
@@ -156,32 +152,32 @@ def item_blocks(benchmark: DataFrame, max_windows: int):
     yield block
 
 
+#: Stretches of several blocks of windows, in order, become stretches apart from each other.
+MERGE = f"""aggregate(array_sort(all_spans), cast(array() as {SPANS}), (a, s) -> case
+    when size(a) > 0 and s.start <= element_at(a, -1).end
+    then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end))))
+    else concat(a, array(s)) end)"""
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, spans, items): each document's hit stretches of words and the items they come from."""
-    rows = docs.select("doc_id", "text")
-    blocks = item_blocks(benchmark, max_windows)
-    first = next(blocks)
-    second = next(blocks, None)
-    if second is None:
-        return search(rows, first, window).drop("text")
-    # More than one pass: rows with hits are written, then joined per row.
-    folder = shared_dir(docs.sparkSession)
-    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), f"{folder}/rows")
-    hits = saved(search(rows, first, window).drop("text"), f"{folder}/hits-0")
-    for k, block in enumerate(itertools.chain([second], blocks), 1):
-        part = search(rows, block, window).drop("text").filter(F.size("spans") > 0)
-        hits = hits.unionByName(saved(part, f"{folder}/hits-{k}"))
-    merged = hits.groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    union = """aggregate(all, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) -> case
-        when size(a) > 0 and s.start <= element_at(a, -1).end
-        then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end))))
-        else concat(a, array(s)) end)"""
-    return merged.select("doc_id", "n_words", F.expr(union).alias("spans"), "items")
+    """docs (text and other columns) with n_words, spans and items: each row's hit stretches and the items they come from."""
+    names, k = docs.columns, 0
+    rows = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"in_{c}") for c in names])
+    for block in item_blocks(benchmark, max_windows):
+        rows = search(rows, block, window, f"n_{k}", f"s_{k}", f"i_{k}")
+        k += 1
+    spans, items = F.col("s_0"), F.col("i_0")
+    if k > 1:
+        rows = rows.withColumn("all_spans", F.concat(*[f"s_{j}" for j in range(k)]))
+        spans, items = F.expr(MERGE), F.array_sort(F.array_distinct(F.concat(*[f"i_{j}" for j in range(k)])))
+    own = [F.col(c if c == "text" else f"`in_{c}`").alias(c) for c in names]
+    return rows.select(*own, F.col("n_0").alias("n_words"), spans.alias("spans"), items.alias("items"))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns."""
+    held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return contamination(find_passages(held, benchmark, window)).filter("not contaminated").select("row.*")
 
 
 def contamination(found: DataFrame) -> DataFrame:
@@ -197,4 +193,4 @@ def contamination(found: DataFrame) -> DataFrame:
 def op5_wu_manber(spark, sf_dir: str) -> DataFrame:
     """Every document against all windows of 13 words of the benchmark table."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(find_passages(docs, benchmark))
+    return contamination(find_passages(docs.select("doc_id", "text"), benchmark)).drop("text")

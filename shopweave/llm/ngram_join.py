@@ -69,7 +69,7 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def memberships(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, class, n) of each row, and rows (gram, seen) of n-grams frequent in one run of classes."""
+    """(doc_id, row, class, n) of each row, and rows (gram, seen) of n-grams frequent in one run of classes."""
 
     def run(batches):
         held, classes, size = [], set(), 0
@@ -84,18 +84,19 @@ def memberships(docs: DataFrame, n: int) -> DataFrame:
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], names=["gram", "seen"])
 
-        def filled(ids, cs, ns, found):
+        def filled(ids, at, cs, ns, found):
             k, m = len(ids), found.num_rows
             none = pa.nulls
             return pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([pa.array(ids, pa.int64()), none(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(at, pa.int64()), none(m, pa.int64())]),
                     pa.concat_arrays([pa.array(cs, pa.int64()), none(m, pa.int64())]),
                     pa.concat_arrays([pa.array(ns, pa.int64()), none(m, pa.int64())]),
                     pa.concat_arrays([none(k, pa.int64()), found.column(0)]),
                     pa.concat_arrays([none(k, pa.int64()), found.column(1)]),
                 ],
-                names=["doc_id", "class", "n", "gram", "seen"],
+                names=["doc_id", "row", "class", "n", "gram", "seen"],
             )
 
         for batch in batches:
@@ -111,13 +112,13 @@ def memberships(docs: DataFrame, n: int) -> DataFrame:
                     size += len(grams)
             if size >= FLUSH:
                 found = heavy()
-            yield filled(ids, cs, ns, found)
-        yield filled([], [], [], heavy())
+            yield filled(ids, batch.column(2).to_pylist(), cs, ns, found)
+        yield filled([], [], [], [], heavy())
 
     def heavy_none():
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["gram", "seen"])
 
-    return docs.mapInArrow(run, "doc_id long, class long, n long, gram long, seen long")
+    return docs.mapInArrow(run, "doc_id long, row long, class long, n long, gram long, seen long")
 
 
 def packed(grams: np.ndarray) -> bytes:
@@ -334,11 +335,14 @@ def class_components(cut: DataFrame, rule: Rule, folder: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text) whose n-gram sets link at Jaccard num / den."""
+    """(doc_id, row, n_shingles, component_id, first_row) of documents (doc_id, text) whose n-gram sets link at Jaccard num / den.
+
+    row numbers the rows of docs (monotonically_increasing_id); first_row is that of the component's least (doc_id, row).
+    """
     spark, folder, rule = docs.sparkSession, shared_dir(docs.sparkSession), Rule(num, den)
-    rows = no_null(docs.select(F.col("doc_id").cast("long"), "text"), "text")
+    rows = no_null(docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")), "text")
     found = saved(memberships(rows, n), f"{folder}/members")
-    members = found.filter("n is not null").select("doc_id", "class", "n")
+    members = found.filter("n is not null").select("doc_id", "row", "class", "n")
     size = members.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
     often = max(1000, size.rows // 64)
     heavy = found.filter("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= often)
@@ -347,11 +351,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     cut = saved(fragments(rows, n, num, den, hot, buckets), f"{folder}/fragments")
     labels = class_components(cut, rule, folder).withColumnRenamed("node", "class")
     full = members.filter("n > 0").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = full.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return named.union(members.filter("n = 0").select("doc_id", "n", F.col("doc_id")))
+    least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first_row"))
+    named = full.join(least, "component").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "first_row")
+    return named.union(members.filter("n = 0").select("doc_id", "row", "n", F.col("doc_id"), F.col("row")))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The first document of each component, with the columns of docs; documents without a set all stay."""
+    found = jaccard_components(docs, n, num, den)
+    extra = saved(found.filter("row <> first_row").select("row"), shared_dir(docs.sparkSession))
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    return held.join(extra.hint("shuffle_hash"), "row", "left_anti").select("kept.*")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of all documents under sets of 4-word shingles that link at 85 / 100."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return jaccard_components(docs, n=4, num=85, den=100).drop("row", "first_row")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from shopweave.llm import decontaminate, ngram_join, packing, quality_rules, secrets_scan, token_files, url_filter
+from shopweave.llm import chat_tools, decontaminate, html_blocks, ngram_join, packing, quality_model, quality_rules, secrets_scan, token_files, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_rule_ensemble": quality_model.op1_rule_ensemble,
         "op2_token_files": token_files.op2_token_files,
         "op3_bloom_cascade": url_filter.op3_bloom_cascade,
+        "op4_tool_links": chat_tools.op4_tool_links,
         "op5_wu_manber": decontaminate.op5_wu_manber,
+        "op6_block_tree": html_blocks.op6_block_tree,
         "op7_blob_ledger": secrets_scan.op7_blob_ledger,
         "op8_robust_outliers": quality_rules.op8_robust_outliers,
         "op9_sum_of_squares": packing.op9_sum_of_squares,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_bloom_cascade": url_filter.ORACLE}
+    return {"op4_tool_links": chat_tools.ORACLE, "op3_bloom_cascade": url_filter.ORACLE}

@@ -145,21 +145,28 @@ def scan_documents(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
 
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of a secret in text replaced by mark; texts without findings stay as they are."""
+    """docs with every span of a secret in text replaced by mark, and n_chars, if there, set anew; other rows stay as they are."""
     scan_new(docs, ledger, rules)
-    names = docs.columns
-    spark = docs.sparkSession
+    names, spark = docs.columns, docs.sparkSession
     now = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
     hits = ledger_at(spark, ledger).filter(F.size("spans") > 0).join(F.broadcast(now), ["rule", "version"], "left_semi")
-    found = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_found"))
-    rows = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    both = rows.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    found = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found"))
+    held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    # Few texts hold a secret: addresses meet the findings first, and rows their findings by number.
+    due = saved(addressed(docs).select("row", "blob").join(found, "blob").select("row", "found"), f"{shared_dir(spark)}/due")
+    both = held.join(due.hint("shuffle_hash"), "row", "left")
     # From left to right: what lies between the spans, and a mark for each stretch of spans.
-    step = f"""aggregate(_found, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(
+    step = f"""aggregate(found, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(
         'at', s.end, 'out', concat(a.out, substring(text, cast(a.at as int) + 1, cast(greatest(s.start - a.at, 0L) as int)), if(s.start < a.at, '', '{mark}')))),
         a -> concat(a.out, substring(text, cast(a.at as int) + 1)))"""
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.expr(step))
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in names])
+    both = both.withColumn("new", F.when(F.col("found").isNotNull(), F.expr(step)))
+
+    def column(c: str):
+        old = F.col("kept").getField(c)
+        value = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}.get(c)
+        return (old if value is None else F.when(F.col("new").isNotNull(), value).otherwise(old)).alias(c)
+
+    return both.select(*map(column, names))
 
 
 def digest(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
