@@ -90,6 +90,62 @@ class Model:
     weights: list[tuple[Rule, float]]
     share: float | None = None
 
+    def score(self) -> Column:
+        if self.share is not None:
+            return F.lit(float(self.share))
+        total = reduce(lambda a, b: a + b, [F.when(r.column(), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.weights], F.lit(self.base))
+        return 1 / (1 + F.exp(-total))
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """Statistics and label of the labelled rows to learn from."""
+    known = labels.filter((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("quality").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # At most max_rows rows of 16 bytes, whatever the size of the tables.
+    rows = no_null(docs.select("doc_id", "text"), "text").join(F.broadcast(chosen), "doc_id")
+    return statistics(rows).select("label", *STATS)
+
+
+def tree_rules(tree) -> list[Rule]:
+    """One rule for each node below the root."""
+    out = []
+
+    def walk(node, terms: frozenset) -> None:
+        if terms:
+            out.append(Rule(terms))
+        if node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            stat, at = STATS[split.featureIndex()], float(split.threshold())
+            walk(node.leftChild(), terms | {(stat, False, at)})
+            walk(node.rightChild(), terms | {(stat, True, at)})
+
+    walk(tree._java_obj.rootNode(), frozenset())
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    folder = shared_dir(docs.sparkSession)
+    rows = saved(sample(docs, labels, max_rows), f"{folder}/sample")
+    seen = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
+    if not seen.n or seen.share in (0.0, 1.0):
+        return Model(0.0, [], seen.share if seen.n else 1.0)
+    # A sample of bounded size needs few tasks.
+    rows = saved(VectorAssembler(inputCols=list(STATS), outputCol="features").transform(rows.coalesce(2)).select("label", "features", *STATS), f"{folder}/vectors")
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=5, subsamplingRate=0.7, seed=SEED)
+    trees = forest.fit(rows.select("label", "features")).trees
+    rules = sorted({r for t in trees for r in tree_rules(t)}, key=str)
+    if not rules:
+        return Model(0.0, [], seen.share)
+    truth = [r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)]
+    rows = saved(VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(rows.select("label", *truth)).select("label", "features"), f"{folder}/rules")
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=80).fit(rows)
+    return Model(float(lasso.intercept), [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w])
+
+
     def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs (with text), score and predicted of every row."""
     names = docs.columns
