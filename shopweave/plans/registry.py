@@ -6,7 +6,7 @@ from importlib import import_module
 
 from shopweave.sources.shop import Shop
 
-MODULES = ("sales", "inventory")
+MODULES = ("sales", "inventory", "ledger")
 
 
 def _all() -> dict:
