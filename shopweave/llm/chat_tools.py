@@ -3,7 +3,7 @@
 A message of role `assistant` may hold {"tool_calls": [{"id", "name", "arguments": {...}, "after": [ids]}, ...]}; one of
 role `tool` holds {"tool_call_id", "content"}. Calls and results are joined by conversation and identifier (a shuffled
 hash join on both keys). A call's level is nought if it waits for no other call, else one more than the highest level
-it waits for, found by rounds of joins, as many as the longest chain. Arguments are checked against a table of
+it waits for, found by rounds of joins that double the ways they follow. Arguments are checked against a table of
 parameters (name, parameter, type, required, most). JSON is canonical: no spaces, keys in order, no null members.
 
 All of it is column expressions and joins; nothing is gathered by conversation, so a conversation of any length is no hot
@@ -54,24 +54,26 @@ def first_of(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def levels_of(calls: DataFrame, folder: str) -> DataFrame:
-    """(conv_id, id, level) of calls (conv_id, id, after, distinct); level is null in and behind a circle."""
+    """(conv_id, id, level) of calls (conv_id, id, after, distinct); level is null in and behind a circle.
+
+    Every call holds pointers to calls it waits for, with the longest way to each, and the longest way known to a call that
+    waits for none. A round replaces each pointer by what the call it points to holds, so ways double: rounds grow as the
+    logarithm of the longest chain. Pointers left when ways are longer than there are calls run in circles.
+    """
     known = calls.select("conv_id", F.col("id").alias("dep"))
-    waits = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("dep")).join(known, ["conv_id", "dep"])
-    waits = saved(waits, f"{folder}/waits")
-    waiting = waits.select("conv_id", "id").distinct()
-    ready = calls.select("conv_id", "id").join(waiting, ["conv_id", "id"], "left_anti")
-    done = saved(ready.withColumn("level", F.lit(0)), f"{folder}/level-0")
-    out, level = done, 0
-    while not waits.isEmpty():
-        # What is done is taken off the list; calls that no longer wait are done next.
-        level += 1
-        left = saved(waits.join(done.select("conv_id", F.col("id").alias("dep")), ["conv_id", "dep"], "left_anti"), f"{folder}/waits-{level}")
-        free = waits.select("conv_id", "id").distinct().join(left.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
-        done = saved(free.withColumn("level", F.lit(level)), f"{folder}/level-{level}")
-        if done.isEmpty():
-            break
-        out, waits = out.union(done), left
-    return out
+    way = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("dep")).join(known, ["conv_id", "dep"])
+    way = saved(way.select("conv_id", "id", "dep", F.lit(1).cast("long").alias("w")), f"{folder}/way-0")
+    free = calls.select("conv_id", "id").join(way.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
+    level = saved(free.withColumn("level", F.lit(0).cast("long")), f"{folder}/level-0")
+    k, n = 0, calls.count()
+    while not way.isEmpty() and 2**k <= 2 * n:
+        k += 1
+        reached = way.join(level.withColumnRenamed("id", "dep"), ["conv_id", "dep"]).select("conv_id", "id", (F.col("w") + F.col("level")).alias("level"))
+        on = way.select("conv_id", F.col("id").alias("dep"), F.col("dep").alias("to"), F.col("w").alias("more"))
+        far = way.join(on, ["conv_id", "dep"]).groupBy("conv_id", "id", F.col("to").alias("dep")).agg(F.max(F.col("w") + F.col("more")).alias("w"))
+        level = saved(level.union(reached).groupBy("conv_id", "id").agg(F.max("level").alias("level")), f"{folder}/level-{k}")
+        way = saved(far, f"{folder}/way-{k}")
+    return level.join(way.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.col("level").cast("int"))
 
 
 def problems_of(calls: DataFrame, parameters: DataFrame) -> DataFrame:
