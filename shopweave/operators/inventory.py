@@ -156,7 +156,7 @@ def fefo_shares(demands: DataFrame, batches: DataFrame) -> DataFrame:
 def fefo_fold(demands: DataFrame, batches: DataFrame) -> DataFrame:
     """The same where a demand is refused as a whole if its product's stock is too short for it: an ordered fold per product."""
 
-    def run(key, d: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, d: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         stock = [[r.batch_id, float(r.supply)] for r in b.sort_values(["expiry", "batch_id"]).itertuples()]
         left, at, rows = sum(s for _, s in stock), 0, []
         for r in d.sort_values("demand_id").itertuples():
