@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from shopweave.llm.common import no_null, saved, shared_dir
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-SUBSET, REWEIGHT, CUTOFF = 0.75, 0.975, 1 - 1e-7
-STEPS, LEAST, FLOOR = 4, 100, 0.1
+SUBSET, REWEIGHT, CUTOFF = 0.75, 0.975, 1 - 1e-6
+STEPS, LEAST, FLOOR = 4, 100, 0.12
 STATS = ("v0", "v1", "v2", "v3")
 DIM = len(STATS)
 
