@@ -155,10 +155,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model accepts, with their columns."""
+    """The rows of docs that the model accepts, with their columns.
+
+    A filter on the score would be pushed below the statistics and repeat them in every rule; a list of one row, or none, is not.
+    """
     names = docs.columns
     held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return score(held, model).filter("predicted = 1").select("row.*")
+    kept = score(held, model).select(F.explode(F.when(F.col("predicted") == 1, F.array("row"))).alias("row"))
+    return kept.select("row.*")
 
 
 def op1_rule_ensemble(spark, sf_dir: str) -> DataFrame:
