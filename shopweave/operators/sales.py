@@ -228,12 +228,13 @@ def history_page(receipts: DataFrame, page: int, size: int) -> DataFrame:
     return head.orderBy(*[F.asc_nulls_first("amount"), F.desc("id")]).limit(size) if page > 1 else head
 
 
-def monthly_report(receipts: DataFrame, lines: DataFrame, products: DataFrame, start: str, end: str, before_start: str, before_end: str) -> DataFrame:
-    """The month's report in long form: (section, label, revenue, quantity)."""
+def period_report(receipts: DataFrame, lines: DataFrame, products: DataFrame, start: str, end: str, before_start: str, before_end: str) -> DataFrame:
+    """The report of a day, week or month in long form: (section, label, revenue, quantity), beside the period before."""
     now = in_period(receipts, start, end)
     sold = sold_lines(now, lines, products)
     both = compared(receipts, start, end, before_start, before_end)
     null = F.lit(None).cast("double")
+    days = daily_breakdown(now, start, end)
     parts = [
         both.select(F.lit("total").alias("section"), F.lit("revenue").alias("label"), "revenue", F.col("receipts").cast("double").alias("quantity")),
         both.select(F.lit("total"), F.lit("previous"), "revenue_before", F.col("receipts_before").cast("double")),
@@ -241,7 +242,7 @@ def monthly_report(receipts: DataFrame, lines: DataFrame, products: DataFrame, s
         mix(sold, "category").select(F.lit("category"), "category", "gross", "quantity"),
         mix(sold, "name").select(F.lit("family"), "name", "gross", "quantity"),
         weekly_breakdown(now, start, end).select(F.lit("week"), F.col("week_start").cast("string"), "revenue", F.col("receipts").cast("double")),
-        daily_breakdown(now, start, end).select(F.lit("day"), F.col("bucket").cast("string"), "revenue", null),
+        days.select(F.lit("day"), F.col("bucket").cast("string"), "revenue", null),
     ]
     out = parts[0]
     for part in parts[1:]:

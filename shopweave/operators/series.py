@@ -280,3 +280,25 @@ def annual_outlook(actuals: DataFrame, forecasts: DataFrame, now: str, *keys: st
     part = F.when(F.col("bucket") < this, F.col("a")).when(F.col("bucket") == this, F.greatest("a", "f")).otherwise(F.col("f"))
     each = both.withColumn("v", part).groupBy(*keys).agg(F.count("v").alias("n"), F.sum("v").alias("s"))
     return each.select(*keys, F.when(F.col("n") == 12, F.round("s", 2)).alias("outlook"))
+
+
+def issue(projections: DataFrame, actuals: DataFrame, as_of: str, *keys: str) -> DataFrame:
+    """Saved projections (keys, origin, bucket, value) as issued forecasts: targets after as_of, the first origin of each target, beside
+    the last value observed before as_of: actuals (keys, bucket, value)."""
+    day = F.lit(as_of).cast("date")
+    last = actuals.filter(F.col("bucket") < F.trunc(day, "month")).groupBy(*keys).agg(F.max_by("value", "bucket").alias("reference"))
+    first = projections.filter(F.col("bucket") > day).groupBy(*keys, "bucket").agg(F.min(F.struct("origin", "value")).alias("p"))
+    return first.join(last, list(keys), "left").select(*keys, "bucket", "p.origin", "p.value", "reference")
+
+
+def range_report(keys: DataFrame, actuals: DataFrame, issued: DataFrame, tested: DataFrame, start: str, end: str, *names: str) -> DataFrame:
+    """Every month of a range for each key: what was sold, what was issued for it or else predicted in a test, and the error by basis.
+
+    actuals, issued, tested: (names, bucket, value).
+    """
+    months = keys.select(*names, F.explode(F.expr(f"sequence(trunc(date '{start}', 'month'), date '{end}', interval 1 month)")).alias("bucket"))
+    by = [*names, "bucket"]
+    rows = months.join(actuals.withColumnRenamed("value", "actual"), by, "left").join(issued.withColumnRenamed("value", "i"), by, "left").join(tested.withColumnRenamed("value", "t"), by, "left")
+    basis = F.when(F.col("i").isNotNull(), "issued").when(F.col("t").isNotNull(), "test")
+    predicted = F.coalesce("i", "t")
+    return rows.select(*by, "actual", predicted.alias("predicted"), basis.alias("basis"), F.round(F.abs(predicted - F.col("actual")), 4).alias("error"))

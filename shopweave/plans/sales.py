@@ -54,6 +54,19 @@ def _revenue(period: str, cut: str):
     return run, sql(f", {WIDE} SELECT {cut} AS bucket, {money('sum(amount)')} AS total FROM period GROUP BY 1")
 
 
+def _report(start: str, end: str, before_start: str, before_end: str):
+    run = lambda s: op.period_report(s.receipts, s.lines, s.products, start, end, before_start, before_end)
+    period = f"period AS (SELECT * FROM receipt WHERE NOT voided AND day BETWEEN DATE '{start}' AND DATE '{end}')"
+    return run, sql(f""", {period}, {SOLD}, days AS (SELECT d::DATE AS bucket FROM generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY) g(d))
+        SELECT 'total' AS section, 'revenue' AS label, {money('sum(amount)')} AS revenue, count(*)::DOUBLE AS quantity FROM period
+        UNION ALL SELECT 'total', 'previous', {money('sum(amount)')}, count(*)::DOUBLE FROM receipt WHERE NOT voided AND day BETWEEN DATE '{before_start}' AND DATE '{before_end}'
+        UNION ALL SELECT 'payment', method, {money('sum(amount)')}, count(*)::DOUBLE FROM period GROUP BY method
+        UNION ALL SELECT 'category', category, {money('sum(amount)')}, {money('sum(quantity)')} FROM sold GROUP BY category
+        UNION ALL SELECT 'family', name, {money('sum(amount)')}, {money('sum(quantity)')} FROM sold GROUP BY name
+        UNION ALL SELECT 'week', greatest(date_trunc('week', day)::DATE, DATE '{start}')::VARCHAR, {money('sum(amount)')}, count(*)::DOUBLE FROM period GROUP BY 2
+        UNION ALL SELECT 'day', bucket::VARCHAR, {money('sum(amount)')}, NULL FROM days LEFT JOIN period ON day = bucket GROUP BY bucket""")
+
+
 QUERIES = {
     "src_ledger": (
         lambda s: s.receipts.filter(f"not voided and day < date '{AS_OF}'").select("id", "day", "customer_id", "customer_name", "reference", "segment", "label", F.col("amount").cast("double").alias("amount")),
@@ -194,15 +207,7 @@ QUERIES = {
         lambda s: op.history_page(s.receipts, 3, 50).select("id", F.col("amount").cast("double").alias("amount")),
         sql("SELECT id, amount::DOUBLE AS amount FROM receipt ORDER BY amount DESC NULLS LAST, id LIMIT 50 OFFSET 100"),
     ),
-    "monthly_report": (
-        lambda s: op.monthly_report(s.receipts, s.lines, s.products, START, END, BEFORE_START, BEFORE_END),
-        sql(f""", {PERIOD}, {SOLD}, days AS (SELECT d::DATE AS bucket FROM generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY) g(d))
-            SELECT 'total' AS section, 'revenue' AS label, {money('sum(amount)')} AS revenue, count(*)::DOUBLE AS quantity FROM period
-            UNION ALL SELECT 'total', 'previous', {money('sum(amount)')}, count(*)::DOUBLE FROM receipt WHERE NOT voided AND day BETWEEN DATE '{BEFORE_START}' AND DATE '{BEFORE_END}'
-            UNION ALL SELECT 'payment', method, {money('sum(amount)')}, count(*)::DOUBLE FROM period GROUP BY method
-            UNION ALL SELECT 'category', category, {money('sum(amount)')}, {money('sum(quantity)')} FROM sold GROUP BY category
-            UNION ALL SELECT 'family', name, {money('sum(amount)')}, {money('sum(quantity)')} FROM sold GROUP BY name
-            UNION ALL SELECT 'week', greatest(date_trunc('week', day)::DATE, DATE '{START}')::VARCHAR, {money('sum(amount)')}, count(*)::DOUBLE FROM period GROUP BY 2
-            UNION ALL SELECT 'day', bucket::VARCHAR, {money('sum(amount)')}, NULL FROM days LEFT JOIN period ON day = bucket GROUP BY bucket"""),
-    ),
+    "daily_report": _report("1998-03-17", "1998-03-17", "1998-03-16", "1998-03-16"),
+    "weekly_report": _report("1998-03-16", "1998-03-22", "1998-03-09", "1998-03-15"),
+    "monthly_report": _report(START, END, BEFORE_START, BEFORE_END),
 }

@@ -276,4 +276,22 @@ QUERIES = {
             v AS (SELECT segment, CASE WHEN bucket < DATE '1998-05-01' THEN a WHEN bucket = DATE '1998-05-01' THEN greatest(a, f) ELSE f END AS v FROM b)
             SELECT segment, CASE WHEN count(v) = 12 THEN round(sum(v), 2) END AS outlook FROM v GROUP BY 1"""),
     ),
+    "issue_forecasts": (
+        lambda s: op.issue(
+            forecasts(s).select("segment", F.explode(F.array(F.add_months("bucket", -2), F.add_months("bucket", -1))).alias("origin"), "bucket", "value"), monthly(s), "1998-05-17", "segment"
+        ),
+        sql(f"""{', ' + FORECASTS} SELECT i.segment, i.bucket, (i.bucket - INTERVAL 2 MONTH)::DATE AS origin, i.value,
+            (SELECT arg_max(m.value, m.bucket) FROM monthly m WHERE m.segment = i.segment AND m.bucket < DATE '1998-05-01') AS reference FROM issued i WHERE i.bucket > DATE '1998-05-17'"""),
+    ),
+    "range_report": (
+        lambda s: op.range_report(
+            monthly(s).select("segment").distinct(), monthly(s), forecasts(s).filter(month_index("bucket") % 2 == 0).select("segment", "bucket", "value"),
+            predictions(s).filter("method = 'mean_3'").select("segment", "bucket", F.round("predicted", 3).alias("value")), "1997-02-01", "1998-09-30", "segment",
+        ).withColumn("error", F.round("error", 2)),
+        sql(f""", {FORECASTS}, k AS (SELECT DISTINCT segment FROM monthly), b AS (SELECT unnest(generate_series(DATE '1997-02-01', DATE '1998-09-30', INTERVAL 1 MONTH))::DATE AS bucket),
+            f AS (SELECT segment, bucket, value FROM issued WHERE ({INDEX}) % 2 = 0), t AS (SELECT segment, bucket, round(predicted, 3) AS value FROM long WHERE method = 'mean_3' AND actual IS NOT NULL)
+            SELECT k.segment, b.bucket, m.value AS actual, coalesce(f.value, t.value) AS predicted, CASE WHEN f.value IS NOT NULL THEN 'issued' WHEN t.value IS NOT NULL THEN 'test' END AS basis,
+                round(round(abs(coalesce(f.value, t.value) - m.value), 4), 2) AS error FROM k CROSS JOIN b
+            LEFT JOIN monthly m USING (segment, bucket) LEFT JOIN f USING (segment, bucket) LEFT JOIN t USING (segment, bucket)"""),
+    ),
 }
