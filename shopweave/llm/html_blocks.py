@@ -48,6 +48,9 @@ HINTS = frozenset(
     menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc search login skip toolbar masthead
     footer copyright legal contentinfo complementary""".split()
 )
+#: Beginnings of such words that names are often made of.
+STEMS = ("advert", "banner", "breadcrumb", "comment", "cookie", "newsletter", "paywall", "popup", "promo", "recommend", "related", "sidebar", "sponsor", "subscri")
+UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: The same for elements that articles may have too.
 PAGE_HINTS = frozenset("header banner topbar".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "heading", "boiler", "hinted")
@@ -126,7 +129,7 @@ class Reader:
                 named.update(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
         main = here.main or name in MAIN
         boiler = here.boiler or name in BOILER or (name == "header" and not here.main)
-        hinted = here.hinted or bool(named & HINTS) or (not here.main and bool(named & PAGE_HINTS))
+        hinted = here.hinted or bool(named & HINTS) or any(n.startswith(STEMS) for n in named) or (not here.main and bool(named & PAGE_HINTS)) or bool(rest and UNSEEN.search(rest))
         # A comment to an article may itself be marked up as an article: what stands outside holds.
         self.at = Open(name, main, here.heading or name in HEADINGS, boiler, hinted, here.label or "data-main" in rest)
         self.stack.append(self.at)
