@@ -54,12 +54,10 @@ def test_return_day(stock):
 
 def test_ledgers_of_adjoining_ranges_meet(stock):
     products, batches, moves, *_ = stock
-    for cut in range(2, 27):
+    for cut in (4, 9, 12, 20, 25):
         a = inventory.ledger(products, batches, moves, "2024-01-01", str(jan(cut)), "2024-02-01").first()
         b = inventory.ledger(products, batches, moves, str(jan(cut + 1)), "2024-01-31", "2024-02-01").first()
         assert a.ending == b.beginning
-        if cut % 8:
-            continue
 
 
 def allocate(spark, net, weights):
@@ -174,7 +172,8 @@ def test_seasonal_model_finds_its_parameters():
 
 
 def test_trend_p_value():
-    assert abs(fit.incomplete_beta(5, 0.5, 0.5) - 0.01178) < 2e-4  # two-sided p of t = sqrt(10) with 10 degrees of freedom is about 0.0101 to 0.012
+    for t, freedom, p in ((2.228139, 10, 0.05), (3.169273, 10, 0.01), (2.055529, 26, 0.05)):  # quantiles of Student's t
+        assert abs(fit.incomplete_beta(freedom / 2, 0.5, freedom / (freedom + t * t)) - p) < 1e-4
     slope, r2, p = fit.trend(np.arange(10.0))
     assert (round(slope, 9), round(r2, 9)) == (1, 1) and p == 0
 
