@@ -39,7 +39,7 @@ from shopweave.llm.common import no_null, parts, saved, shared_dir
 from shopweave.llm.graph import components
 
 LOWER = bytes(range(256)).lower()
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: N-grams in one bucket, on average.
 BUCKET = 4_000_000
 MASK = np.uint64((1 << 48) - 1)
