@@ -31,6 +31,8 @@ BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 SUBSET, REWEIGHT, CUTOFF = 0.75, 0.975, 1 - 1e-6
 STEPS, LEAST, FLOOR = 4, 100, 0.12
 STATS = ("v0", "v1", "v2", "v3")
+#: Tables of at most so many groups (some 200 bytes each) are broadcast.
+MAX_GROUPS = 20_000
 DIM = len(STATS)
 
 
@@ -89,6 +91,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed).drop("_w", "_lines", "_s", "_m", "_at")
 
 
+def by_group(groups: DataFrame) -> DataFrame:
+    """A written table of groups for joining rows to it: broadcast if it is small, so that a hot group's rows stay where they are."""
+    return F.broadcast(groups) if groups.count() <= MAX_GROUPS else groups
+
+
 def transformed(rows: DataFrame) -> DataFrame:
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     return rows.withColumns(
@@ -101,7 +108,7 @@ def transformed(rows: DataFrame) -> DataFrame:
     )
 
 
-def grouped(rows: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, folder: str) -> DataFrame:
     """Adds grp: language and source, or what small groups are pooled in; null where even that is small."""
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     fine = F.col("n") >= LEAST
@@ -118,7 +125,7 @@ def grouped(rows: DataFrame) -> DataFrame:
         )
     )
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    return rows.join(named, same, "left").drop("g_lang", "g_source")
+    return rows.join(by_group(saved(named, f"{folder}/names")), same, "left").drop("g_lang", "g_source")
 
 
 def moments(rows: DataFrame) -> DataFrame:
@@ -143,9 +150,9 @@ def factored(estimate: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def distances(rows: DataFrame, factor: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance under their group's estimate."""
+    """rows with d2, the squared Mahalanobis distance under their group's estimate (a written table)."""
     names = rows.columns
-    rows = rows.join(factor, "grp", "left")
+    rows = rows.join(by_group(factor), "grp", "left")
     for i, v in enumerate(STATS):
         z = F.col(v) - F.col(f"m{i}")
         for j in range(i):
@@ -154,25 +161,25 @@ def distances(rows: DataFrame, factor: DataFrame) -> DataFrame:
     return rows.select(*names, sum((F.col(f"z{i}") ** 2 for i in range(DIM)), F.lit(0.0)).alias("d2"))
 
 
-def concentrated(rows: DataFrame, factor: DataFrame, share: float = SUBSET) -> DataFrame:
+def concentrated(rows: DataFrame, factor: DataFrame, folder: str, share: float = SUBSET) -> DataFrame:
     """The moments of the share of each group that lies nearest under the estimate."""
     near = distances(rows, factor)
     cut = near.groupBy("grp").agg(F.percentile_approx("d2", share, 10_000).alias("cut"))
-    return moments(near.join(cut, "grp").filter("d2 <= cut"))
+    return moments(near.join(by_group(saved(cut, folder)), "grp").filter("d2 <= cut"))
 
 
 def starts(rows: DataFrame, folder: str) -> list[DataFrame]:
     """Two first estimates: medians with absolute deviations, and spatial signs about the medians."""
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 10_000).alias(f"m{i}") for i, v in enumerate(STATS)])
     middle = saved(middle, f"{folder}/middle")
-    centred = rows.join(middle, "grp")
+    centred = rows.join(by_group(middle), "grp")
     off = centred.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i, v in enumerate(STATS)])
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(DIM) for j in range(i)}
     plain = middle.join(off, "grp").withColumns({f"c{i}{i}": (1.4826 * F.col(f"d{i}")) ** 2 for i in range(DIM)} | zero)
     length = F.sqrt(sum(((F.col(v) - F.col(f"m{i}")) ** 2 for i, v in enumerate(STATS)), F.lit(1e-12)))
     signs = centred.select("grp", *[((F.col(v) - F.col(f"m{i}")) / length).alias(v) for i, v in enumerate(STATS)])
     turned = moments(signs).drop(*[f"m{i}" for i in range(DIM)]).join(middle, "grp")
-    return [factored(plain), factored(turned)]
+    return [saved(factored(plain), f"{folder}/plain"), saved(factored(turned), f"{folder}/turned")]
 
 
 def estimates(rows: DataFrame, folder: str) -> DataFrame:
@@ -180,7 +187,7 @@ def estimates(rows: DataFrame, folder: str) -> DataFrame:
     best = None
     for s, factor in enumerate(starts(rows, folder)):
         for k in range(STEPS):
-            factor = saved(factored(concentrated(rows, factor)), f"{folder}/start-{s}-{k}")
+            factor = saved(factored(concentrated(rows, factor, f"{folder}/cut-{s}-{k}")), f"{folder}/start-{s}-{k}")
         if best is None:
             best = factor
         else:
@@ -198,7 +205,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = no_null(docs.select("doc_id", "lang", "source", "text"), "text")
     rows = saved(transformed(base_counts(rows).drop("text")), f"{folder}/counts")
     passed = rows.filter(~F.col("base_failed"))
-    named = saved(grouped(passed), f"{folder}/grouped")
+    named = saved(grouped(passed, folder), f"{folder}/grouped")
     fit = estimates(named.filter(F.col("grp").isNotNull()), folder)
     scored = distances(named, fit).drop("grp").withColumn("kept", F.coalesce(F.col("d2") <= chi2_quantile(CUTOFF, DIM), F.lit(True)))
     failed = rows.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
