@@ -62,7 +62,8 @@ def _pieces(s):
 
 
 def _cancelled(s):
-    return s.lines.filter("receipt_id % 20 = 3").select(F.expr("receipt_id * 10 + line").alias("line_id"), "batch_id", "quantity").groupBy("line_id", "batch_id").agg(F.sum("quantity").alias("quantity"))
+    lines = s.lines.join(s.receipts.filter("voided").select(F.col("id").alias("receipt_id")), "receipt_id", "left_semi")
+    return lines.select(F.expr("receipt_id * 10 + line").alias("line_id"), "batch_id", "quantity").groupBy("line_id", "batch_id").agg(F.sum("quantity").alias("quantity"))
 
 
 QUERIES = {
