@@ -1,17 +1,18 @@
 """Quality rules: counts of each text, and robust outliers among the texts of the same language and source.
 
 Base counts are column expressions over the whole text. Four statistics of each text that passes the base limits are
-transformed (log of the mean word length; square roots of the shares of symbols, of repeated lines and of words in
-repeated windows). For each language and source the minimum-covariance-determinant estimate of centre and scatter is
-found by concentration steps from two deterministic starts (medians with absolute deviations; spatial signs), the one
-with the smaller determinant kept, then corrected for consistency and reweighted once. A text is rejected if its squared
+transformed (log of the mean word length; square root of the share of symbols; shares of repeated lines and of words in
+repeated windows, of ten lines and fifty words more than there are, so that one repeat in a short text is small). For each language and source the minimum-covariance-determinant estimate of centre and scatter is
+found by concentration steps, until no determinant falls any more, from two deterministic starts (medians with absolute
+deviations; spatial signs), the one with the smaller determinant kept, then corrected for consistency and reweighted once. A text is rejected if its squared
 Mahalanobis distance exceeds the CUTOFF quantile of chi-square with four degrees of freedom.
 
 Each step is two small aggregations over a written table of the statistics, with partial sums before any shuffle, so a
 source with a third of all rows is no hot task. Subsets are cut at approximate quantiles of the distances (sketches of
-bounded size). FLOOR is added to each scatter, as most texts have no symbols or repeated lines at all and a scatter of
+bounded size). FLOORS are added to each scatter, as most texts have no symbols or repeated lines at all and a scatter of
 nought would reject the first that has one. Groups of fewer than LEAST texts are pooled by language, then all together;
-if even those are fewer, nothing but the base limits rejects.
+if even those are fewer, they are judged by the estimate of all texts that pass. If these are fewer than LEAST too,
+nothing but the base limits rejects.
 
 Windows are compared by 64-bit hashes: among the n windows of a text, two different ones count as equal with a chance
 of n^2 / 2^65. Null and empty texts have no words and fail the base limits. Null languages and sources are groups of their own.
@@ -28,8 +29,14 @@ from pyspark.sql import functions as F
 from shopweave.llm.common import no_null, saved, shared_dir
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-SUBSET, REWEIGHT, CUTOFF = 0.75, 0.975, 1 - 1e-6
-STEPS, LEAST, FLOOR = 4, 100, 0.12
+SUBSET, REWEIGHT, CUTOFF = 0.75, 0.975, 0.999
+#: Concentration ends when no group's log of the determinant falls by more than STILL, or after STEPS.
+STEPS, STILL, LEAST = 30, 1e-3, 100
+#: Near the deviation that clean texts have in v0; a symbol in a text of fifty words is 0.06 in v1, a repeat in a short one some 0.06 in v2 and v3.
+FLOORS = (0.03, 0.03, 0.05, 0.05)
+MORE_LINES, MORE_WORDS = 10, 50
+#: The group of what remains too small to have its own estimate.
+EVERY = "*"
 STATS = ("v0", "v1", "v2", "v3")
 #: Tables of at most so many groups (some 200 bytes each) are broadcast.
 MAX_GROUPS = 20_000
@@ -97,31 +104,32 @@ def by_group(groups: DataFrame) -> DataFrame:
 
 
 def transformed(rows: DataFrame) -> DataFrame:
-    share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     return rows.withColumns(
         {
             "v0": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
-            "v1": share("n_symbols", "word_chars"),
-            "v2": share("n_dup_lines", "n_lines"),
-            "v3": share("n_repeat_words", "n_words"),
+            "v1": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
+            "v2": F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES),
+            "v3": F.col("n_repeat_words") / (F.col("n_words") + MORE_WORDS),
         }
     )
 
 
 def grouped(rows: DataFrame, folder: str) -> DataFrame:
-    """Adds grp: language and source, or what small groups are pooled in; null where even that is small."""
+    """Adds grp: language and source, or what small groups are pooled in; EVERY where even that is small, null if all rows are few."""
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     fine = F.col("n") >= LEAST
     by_lang = sizes.filter(~fine).groupBy("lang").agg(F.sum("n").alias("n"))
     rest = by_lang.filter(~fine).agg(F.sum("n").alias("n_rest"))
+    every = sizes.agg(F.sum("n").alias("n_every"))
     name = F.to_json(F.struct("lang", "source"))
     named = (
         sizes.join(by_lang.select(F.col("lang").alias("l"), F.col("n").alias("n_lang")), F.col("lang").eqNullSafe(F.col("l")), "left")
         .join(F.broadcast(rest), how="left")  # one row
+        .join(F.broadcast(every), how="left")  # one row
         .select(
             F.col("lang").alias("g_lang"),
             F.col("source").alias("g_source"),
-            F.when(fine, name).when(F.col("n_lang") >= LEAST, F.to_json(F.struct("lang"))).when(F.col("n_rest") >= LEAST, F.lit("{}")).alias("grp"),
+            F.when(fine, name).when(F.col("n_lang") >= LEAST, F.to_json(F.struct("lang"))).when(F.col("n_rest") >= LEAST, F.lit("{}")).when(F.col("n_every") >= LEAST, F.lit(EVERY)).alias("grp"),
         )
     )
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
@@ -136,13 +144,13 @@ def moments(rows: DataFrame) -> DataFrame:
 
 
 def factored(estimate: DataFrame, scale: float = 1.0) -> DataFrame:
-    """grp, centre, the Cholesky factor of the scatter times scale with FLOOR added, and the log of the determinant."""
+    """grp, centre, the Cholesky factor of the scatter times scale with FLOORS added, and the log of the determinant."""
     for i in range(DIM):
         for j in range(i + 1):
-            value = F.col(f"c{i}{j}") * F.lit(scale) + F.lit(FLOOR**2 if i == j else 0.0)
+            value = F.col(f"c{i}{j}") * F.lit(scale) + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            value = F.sqrt(F.greatest(value, F.lit(FLOOR**2 / 4))) if i == j else value / F.col(f"l{j}{j}")
+            value = F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}")
             estimate = estimate.withColumn(f"l{i}{j}", value)
     det = sum((F.log(f"l{i}{i}") for i in range(DIM)), F.lit(0.0))
     factor = [f"l{i}{j}" for i in range(DIM) for j in range(i + 1)]
@@ -187,7 +195,11 @@ def estimates(rows: DataFrame, folder: str) -> DataFrame:
     best = None
     for s, factor in enumerate(starts(rows, folder)):
         for k in range(STEPS):
+            before = factor.select("grp", F.col("det").alias("before"))
             factor = saved(factored(concentrated(rows, factor, f"{folder}/cut-{s}-{k}")), f"{folder}/start-{s}-{k}")
+            # A start need not be a scatter of any subset: its determinant may be the smaller one.
+            if k and factor.join(before, "grp").filter(F.col("det") < F.col("before") - STILL).isEmpty():
+                break
         if best is None:
             best = factor
         else:
@@ -206,7 +218,10 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = saved(transformed(base_counts(rows).drop("text")), f"{folder}/counts")
     passed = rows.filter(~F.col("base_failed"))
     named = saved(grouped(passed, folder), f"{folder}/grouped")
-    fit = estimates(named.filter(F.col("grp").isNotNull()), folder)
+    of_group = named.filter(F.col("grp").isNotNull() & (F.col("grp") != EVERY))
+    if not named.filter(F.col("grp") == EVERY).isEmpty():
+        of_group = of_group.union(named.withColumn("grp", F.lit(EVERY)))
+    fit = estimates(of_group, folder)
     scored = distances(named, fit).drop("grp").withColumn("kept", F.coalesce(F.col("d2") <= chi2_quantile(CUTOFF, DIM), F.lit(True)))
     failed = rows.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     return scored.unionByName(failed)

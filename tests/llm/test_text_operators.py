@@ -275,6 +275,24 @@ def test_outliers_are_rejected(spark, nothing):
     assert quality_rules.judge(nothing).collect() == []
 
 
+def test_moderate_outliers_and_remainders(spark):
+    import random
+
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n)]
+    good = [(i, " ".join(words(r.randint(60, 300))), "en", "s") for i in range(300)]
+    symbols = [(1000 + i, " ".join(w + ("#$" if k % 3 == 0 else "") for k, w in enumerate(words(150))), "en", "s") for i in range(10)]
+    long = [(2000 + i, " ".join(w + w[:2] for w in words(150)), "en", "s") for i in range(10)]
+    lines = [(3000 + i, "\n".join([x := " ".join(words(4)), *(" ".join(words(16)) for _ in range(4)), x]), "en", "s") for i in range(5)]
+    few = [(4000 + i, " ".join(w + "###" for w in words(100)), "xx", "t") for i in range(5)] + [(5000 + i, " ".join(words(150)), "xx", "t") for i in range(5)]
+    docs = spark.createDataFrame(good + symbols + long + lines + few, "doc_id long, text string, lang string, source string")
+    rows = quality_rules.judge(docs).collect()
+    got = {x.doc_id: x.kept for x in rows}
+    assert len(rows) == docs.count() and all(x.d2 is not None for x in rows)
+    assert not any(got[k] for k in got if 1000 <= k < 3000 or 4000 <= k < 5000)
+    assert all(got[k] for k in got if 3000 <= k < 4000 or k >= 5000) and sum(got[i] for i in range(300)) >= 297
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.975, 4) - 11.143) < 1e-3
     assert abs(quality_rules.chi2_cdf(6.0, 2) - 0.950213) < 1e-6
