@@ -1,11 +1,14 @@
 """Small numpy models of one series; Spark deals the series, each fit sees one.
 
-The seasonal model is (1 - a B)(1 - b B^s)(y - m) = e, fitted by conditional least squares over a grid that is then
-refined; a full likelihood would give close, not equal, parameters.
+The seasonal model is (1 - a B)(1 - b B^s)(w - m) = (1 + theta B) e, where w is y or its differences, which have no m; a and
+theta may be left out. It is fitted by conditional least squares over a grid that is then refined; a full likelihood would
+give close, not equal, parameters.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 
 LIMIT = 0.98
@@ -20,47 +23,69 @@ def interpolate(values: np.ndarray) -> np.ndarray:
     return np.interp(inside, known, values[known])
 
 
-def residuals(y: np.ndarray, season: int, a: float, b: float) -> tuple[np.ndarray, float]:
-    """e and the constant c = (1 - a)(1 - b) m that makes their mean nought."""
-    w = y[season + 1 :] - a * y[season:-1] - b * y[1:-season] + a * b * y[: -season - 1]
-    c = float(w.mean())
-    return w - c, c
+def residuals(w: np.ndarray, season: int, a: float, b: float, theta: float = 0.0, p: int = 1, constant: bool = True) -> tuple[np.ndarray, float]:
+    """e and the constant c = (1 - a)(1 - b) m that makes their mean nought (without theta); before the first e stands nought."""
+    at = np.arange(season + p, len(w))
+    u = w[at] - b * w[at - season]
+    if p:
+        u = u - a * w[at - 1] + a * b * w[at - season - 1]
+    c = float(u.mean()) if constant else 0.0
+    e = u - c
+    if theta:
+        last = 0.0
+        for t in range(len(e)):
+            last = e[t] = e[t] - theta * last
+    return e, c
+
 
+def fit_seasonal(values: np.ndarray, season: int, p: int = 1, d: int = 0, q: int = 0) -> dict | None:
+    """a, b, theta, constant, last residual, error variance and scale of a series without gaps; None if it is too short.
 
-def fit_seasonal(values: np.ndarray, season: int) -> dict | None:
-    """a, b, constant, error variance and scale of a series without gaps; None if it is too short."""
+    p, d and q are 0 or 1; a constant stands with d = 0 only.
+    """
     scale = float(np.mean(np.abs(values))) or 1.0
-    y = values / scale
-    if len(y) < season + 4:
+    w = np.diff(values / scale, n=d)
+    if len(w) < season + 4:
         return None
+    free = [i for i, used in enumerate((p, 1, q)) if used]
+
+    def whole(x: tuple[float, ...]) -> list[float]:
+        out = [0.0] * 3
+        for i, v in zip(free, x, strict=True):
+            out[i] = v
+        return out
 
-    def cost(p: tuple[float, float]) -> float:
-        return float(np.square(residuals(y, season, *p)[0]).sum())
+    def cost(x: tuple[float, ...]) -> float:
+        return float(np.square(residuals(w, season, *whole(x), p, d == 0)[0]).sum())
 
-    grid = np.linspace(-0.9, 0.9, 7)
-    best = min(((a, b) for a in grid for b in grid), key=cost)
+    best = min(product(np.linspace(-0.9, 0.9, 7), repeat=len(free)), key=cost)
     step = 0.15
     while step > 1e-4:
-        near = [(float(np.clip(best[0] + i * step, -LIMIT, LIMIT)), float(np.clip(best[1] + j * step, -LIMIT, LIMIT))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        near = [tuple(float(np.clip(v + i * step, -LIMIT, LIMIT)) for v, i in zip(best, move, strict=True)) for move in product((-1, 0, 1), repeat=len(free))]
         new = min(near, key=cost)
         if cost(new) < cost(best) - 1e-15:
             best = new
         else:
             step /= 2
-    e, c = residuals(y, season, *best)
-    return {"a": best[0], "b": best[1], "c": c, "variance": float(np.square(e).sum() / max(1, len(e) - 3)), "scale": scale}
+    a, b, theta = whole(best)
+    e, c = residuals(w, season, a, b, theta, p, d == 0)
+    return {"a": a, "b": b, "theta": theta, "d": d, "c": c, "last": float(e[-1]), "variance": float(np.square(e).sum() / max(1, len(e) - len(free) - (d == 0))), "scale": scale}
 
 
 def forecast_seasonal(values: np.ndarray, season: int, fit: dict, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Predictions and their standard errors."""
-    y = list(values / fit["scale"])
-    a, b = fit["a"], fit["b"]
+    y = values / fit["scale"]
+    w = list(np.diff(y, n=fit["d"]))
+    a, b, theta = fit["a"], fit["b"], fit["theta"]
     psi = np.zeros(steps)
     for k in range(steps):
-        y.append(fit["c"] + a * y[-1] + b * y[-season] - a * b * y[-season - 1])
-        psi[k] = 1.0 if k == 0 else a * psi[k - 1] + (b * psi[k - season] if k >= season else 0) - (a * b * psi[k - season - 1] if k > season else 0)
+        w.append(fit["c"] + a * w[-1] + b * w[-season] - a * b * w[-season - 1] + (theta * fit["last"] if k == 0 else 0.0))
+        psi[k] = 1.0 if k == 0 else a * psi[k - 1] + (b * psi[k - season] if k >= season else 0) - (a * b * psi[k - season - 1] if k > season else 0) + (theta if k == 1 else 0.0)
+    ahead = np.array(w[-steps:])
+    if fit["d"]:
+        ahead, psi = y[-1] + np.cumsum(ahead), np.cumsum(psi)
     se = np.sqrt(fit["variance"] * np.cumsum(psi**2))
-    return np.array(y[-steps:]) * fit["scale"], se * fit["scale"]
+    return ahead * fit["scale"], se * fit["scale"]
 
 
 def level(values: np.ndarray, damp: float = 0.0, alphas=(0.2, 0.4, 0.6, 0.8)) -> float:

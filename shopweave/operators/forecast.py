@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 from shopweave.functions import fit
 
 MODELS = ("seasonal_12", "seasonal_6", "seasonal_4", "level", "damped", "ridge_10", "ridge_100")
+#: Configurations by name: p, d, q, season, and the least training length of the earliest origin.
+MONTHLY_SARIMA = {f"sarima_{p}{d}{q}_100_12": (p, d, q, 12, 18) for p, d, q in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0), (0, 1, 1))}
+WEEKLY_SARIMA = {f"weekly_sarima_{p}{d}{q}_100_52": (p, d, q, 52, 104) for p, d, q in ((0, 1, 0), (1, 0, 0), (0, 1, 1))}
+SARIMA = MONTHLY_SARIMA | WEEKLY_SARIMA
 
 
 def one_step(values: np.ndarray, model: str) -> float | None:
     """The next value by a model, from these values alone."""
+    if model in SARIMA:
+        p, d, q, season, least = SARIMA[model]
+        found = fit.fit_seasonal(values, season, p, d, q) if len(values) >= least else None
+        return None if found is None else max(0.0, float(fit.forecast_seasonal(values, season, found, 1)[0][0]))
     if model.startswith("seasonal"):
         season = int(model.split("_")[1])
         found = fit.fit_seasonal(values, season)
@@ -69,7 +77,8 @@ def projection(rows: DataFrame, key: str, season: int, steps: int) -> DataFrame:
 def walk_forward(rows: DataFrame, key: str, models: tuple[str, ...] = MODELS, origins: int = 18) -> DataFrame:
     """(key, model, back, actual, predicted): each model's one-step prediction of the last `origins` buckets from the buckets before.
 
-    Series are spread by (key, model, origin), so that fits fill the cluster however few the series are.
+    Series are spread by (key, model, origin), so that fits fill the cluster however few the series are. A SARIMA configuration
+    gives nothing at all for series that are too short for its earliest origin, so that all origins or none are compared.
     """
     grid = rows.select(key).distinct().withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(origins))))
 
@@ -77,7 +86,8 @@ def walk_forward(rows: DataFrame, key: str, models: tuple[str, ...] = MODELS, or
         values = fit.interpolate(ordered(s))
         back = int(k[2])
         out = None
-        if len(values) - back >= 6:
+        least = SARIMA[k[1]][-1] + origins - back if k[1] in SARIMA else 6
+        if len(values) - back >= least:
             out = one_step(values[: len(values) - back], k[1])
         rows = [] if out is None else [(k[0], k[1], back, float(values[len(values) - back]), float(out))]
         return pd.DataFrame(rows, columns=[key, "model", "back", "actual", "predicted"])

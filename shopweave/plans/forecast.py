@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shopweave.functions.columns import month
 from shopweave.operators import forecast as op
 from shopweave.operators import series
+from shopweave.plans.ledger import snap
 from shopweave.plans.series import items, monthly
 
 
@@ -14,6 +15,17 @@ def _segments(s):
     return series.on_calendar(monthly(s), "1 month", "segment")
 
 
+def _weeks(s):
+    return series.weekly_run(snap(s).select("segment", "day", F.col("revenue").cast("double").alias("value")), "segment")
+
+
+def _sarima(s):
+    """Monthly: 12 test and 6 validation origins; weekly: 13 and 13."""
+    months = op.select_model(op.walk_forward(_segments(s), "segment", tuple(op.MONTHLY_SARIMA), 18), "segment")
+    weeks = op.select_model(op.walk_forward(_weeks(s), "segment", tuple(op.WEEKLY_SARIMA), 26), "segment", 13)
+    return months.withColumn("period", F.lit("monthly")).union(weeks.withColumn("period", F.lit("weekly")))
+
+
 def _items(s):
     return items(s).filter("segment = 'regular'").select(F.col("product_id").cast("string").alias("item"), "bucket", "value")
 
@@ -34,7 +46,7 @@ QUERIES = {
     "cycle_flag": (lambda s: op.shape(_segments(s), "segment", 12).select("segment", "period", "has_cycle"), None),
     "seasonal_decompose": (lambda s: op.components(_segments(s), "segment", 12), None),
     "sarima_forecast": (lambda s: op.seasonal_forecast(_items(s), "item", 12, 6), None),
-    "sarima_select": (lambda s: op.select_model(op.walk_forward(_segments(s), "segment", ("seasonal_12", "seasonal_6", "seasonal_4")), "segment"), None),
+    "sarima_select": (_sarima, None),
     "comparators": (lambda s: op.select_model(op.walk_forward(_segments(s), "segment", ("level", "damped", "ridge_10", "ridge_100")), "segment"), None),
     "item_forecast": (lambda s: op.item_forecast(_items(s), s.products.select(F.col("product_id").cast("string").alias("item"), "active"), "item"), None),
     "short_history_projection": (lambda s: op.projection(_segments(s).filter("bucket >= date '2000-01-01'"), "segment", 12, 6), None),
