@@ -30,6 +30,12 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, path: str) -> DataFrame:
+    """(kept: all columns, row) as a written table: a second scan of docs may be dealt to other partitions, and would number other rows."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
+    return saved(docs.select(kept, F.monotonically_increasing_id().alias("row")), path)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

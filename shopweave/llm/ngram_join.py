@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopweave.llm.common import no_null, parts, saved, shared_dir
+from shopweave.llm.common import no_null, numbered, parts, saved, shared_dir
 from shopweave.llm.graph import components
 
 LOWER = bytes(range(256)).lower()
@@ -339,8 +339,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     row numbers the rows of docs (monotonically_increasing_id); first_row is that of the component's least (doc_id, row).
     """
+    return row_components(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), n, num, den)
+
+
+def row_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The same of documents (doc_id, text, row); row is read in one scan only."""
     spark, folder, rule = docs.sparkSession, shared_dir(docs.sparkSession), Rule(num, den)
-    rows = no_null(docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")), "text")
+    rows = no_null(docs.select(F.col("doc_id").cast("long"), "text", "row"), "text")
     found = saved(memberships(rows, n), f"{folder}/members")
     members = found.filter("n is not null").select("doc_id", "row", "class", "n")
     size = members.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
@@ -358,10 +363,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The first document of each component, with the columns of docs; documents without a set all stay."""
-    found = jaccard_components(docs, n, num, den)
+    held = numbered(docs, f"{shared_dir(docs.sparkSession)}/numbered")
+    found = row_components(held.select("kept.doc_id", "kept.text", "row"), n, num, den)
     extra = saved(found.filter("row <> first_row").select("row"), shared_dir(docs.sparkSession))
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"), F.monotonically_increasing_id().alias("row"))
     return held.join(extra.hint("shuffle_hash"), "row", "left_anti").select("kept.*")
 
 

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopweave.llm.common import no_null, saved, shared_dir
+from shopweave.llm.common import no_null, numbered, saved, shared_dir
 
 
 @dataclass(frozen=True)
@@ -104,10 +104,14 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def scan_new(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger lacks and append to it; returns the rows added."""
-    spark = docs.sparkSession
+    return scan_rows(addressed(docs), ledger, rules)
+
+
+def scan_rows(rows: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The same of rows (text, row, blob)."""
+    spark = rows.sparkSession
     if len({r.name for r in rules}) < len(rules):
         raise ValueError("two rules have one name")
-    rows = addressed(docs)
     now = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
     known = ledger_at(spark, ledger).join(F.broadcast(now), ["rule", "version"], "left_semi").groupBy("blob").agg(F.collect_set("rule").alias("known"))
     # One row for each address: the first document with it. The texts of the others are not dealt.
@@ -121,8 +125,11 @@ def scan_new(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
 
 
 def addressed(docs: DataFrame) -> DataFrame:
-    rows = no_null(docs.select("doc_id", "text"), "text")
-    return rows.withColumn("row", F.monotonically_increasing_id()).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    return with_blob(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+
+
+def with_blob(rows: DataFrame) -> DataFrame:
+    return no_null(rows, "text").withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
 def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -146,14 +153,16 @@ def scan_documents(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """docs with every span of a secret in text replaced by mark, and n_chars, if there, set anew; other rows stay as they are."""
-    scan_new(docs, ledger, rules)
     names, spark = docs.columns, docs.sparkSession
+    table = numbered(docs, f"{shared_dir(spark)}/numbered")
+    rows = with_blob(table.select("kept.text", "row"))
+    scan_rows(rows, ledger, rules)
     now = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
     hits = ledger_at(spark, ledger).filter(F.size("spans") > 0).join(F.broadcast(now), ["rule", "version"], "left_semi")
     found = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found"))
-    held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    held = table.select("kept.text", "kept", "row")
     # Few texts hold a secret: addresses meet the findings first, and rows their findings by number.
-    due = saved(addressed(docs).select("row", "blob").join(found, "blob").select("row", "found"), f"{shared_dir(spark)}/due")
+    due = saved(rows.select("row", "blob").join(found, "blob").select("row", "found"), f"{shared_dir(spark)}/due")
     both = held.join(due.hint("shuffle_hash"), "row", "left")
     # From left to right: what lies between the spans, and a mark for each stretch of spans.
     step = f"""aggregate(found, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(

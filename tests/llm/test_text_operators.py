@@ -96,6 +96,27 @@ def brute_components_fast(rows, n, num, den):
     return [(d, len(sets[d]), low[find(d)]) for d, _ in rows]
 
 
+@pytest.mark.parametrize("step", ["one_of_each", "redact"])
+def test_rows_dealt_anew_keep_their_numbers(spark, tmp_path, step):
+    """The files are packed into other partitions between the first scan and the last, as on a cluster that lost an executor."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(i, text(i - i % 3) if i < 30 else text(i) + (" password: hunter22" if i % 4 == 0 else "")) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(24, "doc_id").write.parquet(f"{tmp_path}/docs")
+    docs, conf = spark.read.parquet(f"{tmp_path}/docs"), ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+    out = ngram_join.one_of_each(docs) if step == "one_of_each" else secrets_scan.redact(docs, f"{tmp_path}/ledger")
+    try:
+        spark.conf.set(conf[0], "1g")
+        spark.conf.set(conf[1], "1")
+        got = {r.doc_id: r.text for r in out.collect()}
+    finally:
+        for c in conf:
+            spark.conf.unset(c)
+    if step == "one_of_each":
+        assert got == {i: t for i, t in rows if i >= 30 or i % 3 == 0}
+    else:
+        assert got == {i: t.replace("password: hunter22", "[secret]") for i, t in rows}
+
+
 def test_one_of_each(corpus, nothing):
     kept = ngram_join.one_of_each(corpus)
     assert kept.columns == corpus.columns
