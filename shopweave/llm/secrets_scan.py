@@ -46,6 +46,15 @@ class Rule:
         return [m.span() for m in found if m.end(self.group) - m.start(self.group) >= self.least]
 
 
+#: A PEM key to its end line; without one, its header fields and base64 lines, the last of which may be short. Line ends may be escaped.
+_EOL = rb"(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*)"
+_PEM = (
+    rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:"
+    rb"(?:(?!-----)[\s\S])*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    rb"|(?:" + _EOL + rb"+[A-Za-z-]+: [^\r\n\\]*)*(?:(?:" + _EOL + rb"+|[ \t]+)?[A-Za-z0-9+/]{24,}={0,2})+"
+    rb"(?:" + _EOL + rb"(?:[A-Za-z0-9+/]{4})*[A-Za-z0-9+/]{2}(?:==|[A-Za-z0-9+/]=|[A-Za-z0-9+/]{2})(?=" + _EOL + rb"|\Z))?)?"
+)
+
 #: The base rules, in their order; any rule after them adds spans.
 BASE = (
     Rule("assign", 1, rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True, (b"passw", b"secret", b"token", b"api")),
@@ -55,7 +64,7 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("private_key", 1, rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", hint=(b"private key-----",)),
+    Rule("private_key", 2, _PEM, hint=(b"private key-----",)),
     Rule("web_token", 1, rb"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hint=(b"eyj",)),
     Rule("forge_token", 1, rb"gh[pousr]_[A-Za-z0-9]{36,}", hint=(b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_")),
 )

@@ -222,6 +222,26 @@ def test_redact(spark, nothing, corpus):
     assert secrets_scan.redact(corpus, f"{shared_dir(spark)}/ledger").count() == corpus.count()
 
 
+def test_private_keys_go_whole(spark):
+    import base64
+    import time
+
+    raw = base64.b64encode(bytes(range(256)) * 2 + b"xyz").decode()
+    body = "\n".join(raw[i : i + 64] for i in range(0, len(raw), 64))
+    assert len(body.rsplit("\n", 1)[1]) < 64
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123\n\n"
+    keys = [f"{head}\n{body}\n{end}", f"{head}\n{fields}{body}\n{end}", f"{head}\\n{body}\\n{end}".replace("\n", "\\n"), f"{head} {body} {end}".replace("\n", " ")]
+    open_keys = [f"{head}\n{body}", f"{head}\n{fields}{body}", f"{head}\n{body}\n", f"{head}\r\n" + body.replace("\n", "\r\n"), f"{head}\n{body[:129]}"]
+    texts = [f"é my key:\n{k}\nand some words" for k in keys] + [f"é my key:\n{k.rstrip()}\nand some words" for k in open_keys] + [f"{head} is how a key begins", f"{keys[0]}{keys[0]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secrets_scan.redact(docs, f"{shared_dir(spark)}/ledger").orderBy("doc_id").collect()]
+    assert got == ["é my key:\n[secret]\nand some words"] * 9 + ["[secret] is how a key begins", "[secret][secret]"]
+    rule, many = next(r for r in secrets_scan.RULES if r.name == "private_key"), (f"{head}\n{body}\n" * 3000).encode()
+    began = time.time()
+    assert len(rule.spans(many, many.lower())) == 3000 and time.time() - began < 5
+
+
 URLS = [
     "http://a.net/x", "http://net", "http://NET/", "https://www.example.net/en/1?q#f", "https://example.net/en", "http://xexample.net/de/", "http://b.example.com/de/", "http://example.com/en/",
     "ftp://x.org/fr/", "x.org/fr/", "", None, "http://", "http:///net/", "a://b://c.net/", "http://a.net?x=/", "http://a.org/fr/é", "http://net./x",
