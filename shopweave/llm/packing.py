@@ -41,8 +41,9 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, wit
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, lists = [], []
-            for doc_id, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = enc.encode(text) + end
+            encoded = enc.encode_all(batch.column(2).to_pylist())
+            for doc_id, row, got in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded, strict=True):
+                ids = got + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append((doc_id, row, k, start, length, zlib.crc32(part)))

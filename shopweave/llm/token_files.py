@@ -8,12 +8,15 @@ and decodes all ranks at once.
 Layout, little-endian: magic "SWR1", then uint64 counts of documents, ids and ranks; int64 doc_ids; uint8 flags (1 if
 the doc_id is known); uint32 ids per document; uint32 id of each rank; control bytes; data bytes.
 
-One pass over the texts: documents are dealt by doc_id range, so neither a hot source nor copies make a hot task, and
-each task writes a new file whenever it holds FILE_IDS ids, so that memory is bounded for any table. Names follow from
-the range and the run, and a file appears by renaming, so a task that runs again replaces its own files.
-
-Null and empty texts have the end id alone. Rows with the same doc_id stay apart, in order of their text; rows without
-doc_id come first. An empty table gives no files and no rows. Other columns are ignored.
+One pass over the texts: documents are dealt by ranges of doc_id and a hash of the text, so neither a hot source nor
+copies nor rows without doc_id make a hot task, and each task writes a new file whenever it holds FILE_IDS ids, so that
+memory is bounded for any table. Every attempt at a task writes under names of its own, and only the files listed in the
+attempt that Spark committed are read. Starts come from one window over a row per file, which is one task: 100 TB of
+text are some ten million such rows of 100 bytes.
+
+Null and empty texts have the end id alone; very long texts are one document of one file. Rows with the same doc_id stay
+apart, in an order that their texts give; rows without doc_id come first. An empty table gives no files and no rows.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +47,15 @@ def rank_bytes(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code[:n] = length - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    four = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control, four[np.arange(4, dtype=np.uint8) < length[:, None]]
+    at = np.cumsum(length, dtype=np.int64) - length
+    data = np.empty(at[-1] + length[-1] if n else 0, np.uint8)
+    data[at] = ranks & 0xFF
+    for k in range(1, 4):
+        longer = np.flatnonzero(length > k)
+        if not len(longer):
+            break
+        data[at[longer] + k] = ranks[longer] >> np.uint32(8 * k) & 0xFF
+    return control, data
 
 
 #: For each control byte the lengths of its four ranks.
@@ -108,15 +118,12 @@ def documents_of(file: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def put(folder: str, name: str, content: bytes) -> None:
-    """Write under another name, then rename."""
     from pyarrow.fs import FileSystem
 
     store, path = FileSystem.from_uri(folder.replace("s3a://", "s3://"))
-    draft = f"{path}/_{uuid.uuid4().hex}"
     store.create_dir(path, recursive=True)
-    with store.open_output_stream(draft) as out:
+    with store.open_output_stream(f"{path}/{name}") as out:
         out.write(content)
-    store.move(draft, f"{path}/{name}")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
@@ -128,7 +135,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
         def flush():
             nonlocal run, held
-            name = f"{shard:07d}-{run:05d}.svb"
+            name = f"{shard:07d}-{run:05d}-{uuid.uuid4().hex}.svb"
             put(folder, name, content := file_bytes(doc_ids, texts))
             row = {"name": [name], "shard": [shard], "run": [run], "n_docs": [len(doc_ids)], "n_ids": [held], "n_bytes": [len(content)]}
             run, held = run + 1, 0
@@ -136,19 +143,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=list(row))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = enc.encode(text) + end
-                if doc_ids and held + len(got) // 4 > file_ids:
+            for doc_id, got in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                n = len(got) // 4 + 1
+                if doc_ids and held + n > file_ids:
                     yield flush()
                 doc_ids.append(doc_id)
-                texts.append(got)
-                held += len(got) // 4
+                texts.append(got + end)
+                held += n
         if doc_ids:
             yield flush()
 
     rows = no_null(docs.select(F.col("doc_id").cast("long"), "text"), "text")
-    dealt = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(write, WRITTEN)
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return dealt.select("doc_id", "text").mapInArrow(write, WRITTEN)
 
 
 def read_token_files(files: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:

@@ -1,10 +1,12 @@
 """Byte-level BPE ids of whole texts, from the tokenizers library, with a memory of units already encoded.
 
 A byte-level pre-tokenizer cuts a text into pieces and the BPE model encodes each piece by itself, so a piece has the
-same ids wherever it stands. `Encoder` cuts a text before single spaces and line breaks, which are always cuts
-between pieces unless white space meets white space, and asks the model once for each different piece. Texts where
-that reasoning might not hold (white space in a row or at an end, unusual characters, special-token strings, another
-kind of tokenizer) go to `Tokenizer.encode` as a whole; results are the library's in either case.
+same ids wherever it stands. `Encoder` cuts texts before single spaces and line breaks, which are always cuts
+between pieces unless white space meets white space, and asks the model once for each different piece of some texts:
+for pieces with a space before them many at a time, which is as good as one by one where no token of the vocabulary has
+a space behind another usual character. Texts where that reasoning might not hold (white space in a row or at an end, unusual
+characters, special-token strings, another kind of tokenizer) go to `Tokenizer.encode` as a whole; results are the
+library's in either case.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -20,8 +23,14 @@ PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{L
 #: Characters whose classes are the same in any Unicode version.
 USUAL = re.compile(r"[\n -~¡-ɏ]*")
 BLANKS = ("  ", " \n", "\n ", "\n\n", "\0")
-#: Different units that one worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Different units in one generation of a worker's memory; it holds two.
+REMEMBERED = 300_000
+#: Characters of the texts, and pieces, that are looked at together.
+TOGETHER, RUN = 1_000_000, 400
+
+
+#: The letter for a space.
+SPACE = "Ġ"
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,7 +53,7 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers, in bytes."""
+    """encode and encode_all give ids as little-endian unsigned 32-bit integers, in bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,19 +70,36 @@ class Encoder:
             and type(self.model).__name__ == "BPE"
             and self.model.continuing_subword_prefix is None
         )
+        vocabulary = self.tokenizer.get_vocab() if self.plain else {}
+        # A token over two pieces would have a space behind another character. Those with the no-break space cannot arise from USUAL.
+        no_break = "\xa0".encode().decode("latin-1").translate(self.letters)
+        self.in_runs = all(no_break in token for token in vocabulary if SPACE in token.lstrip(SPACE))
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
         self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        if (got := self.pieces.get(piece)) is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            got = self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return got
-
-    def encode(self, text: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
+    def pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces that begin with a space."""
+        for k in range(0, len(pieces), RUN):
+            run = pieces[k : k + RUN]
+            if not self.in_runs:
+                yield from zip(run, map(self.piece, run), strict=True)
+                continue
+            tokens = self.model.tokenize("".join(run).encode().decode("latin-1").translate(self.letters))
+            ids = np.array([t.id for t in tokens], "<u4")
+            ends, raw = [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)], ids.tobytes()
+            yield from zip(run, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True)
+
+    def units_of(self, text: str) -> list[str]:
+        """The text between cuts; none if it is to be encoded as a whole."""
         if (
             not self.plain
             or not text
@@ -82,22 +108,49 @@ class Encoder:
             or any(b in text for b in BLANKS)
             or any(s in text for s in self.special)
         ):
-            return self.whole(text)
-        units = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        try:
-            return b"".join(map(self.units.__getitem__, units))
-        except KeyError:
-            pass
+            return []
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember all units of texts, but for those with unusual characters."""
         if len(self.units) > REMEMBERED:
-            self.units.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known, out = self.units, []
-        for unit in units:
-            got = known.get(unit)
-            if got is None:
-                if not USUAL.fullmatch(unit):
-                    return self.whole(text)
-                got = known[unit] = b"".join(map(self.piece, PIECE.findall(unit)))
-            out.append(got)
-        return b"".join(out)
+            self.before, self.units = self.units, {}
+        new = set().union(*texts).difference(self.units)
+        for unit in new & self.before.keys():
+            self.units[unit] = self.before[unit]
+        new = new.difference(self.before)
+        words, marked = [], []
+        for unit in new:
+            (words if unit[0] == " " and unit[1:].isalpha() else marked).append(unit)
+        if not USUAL.fullmatch("".join(words)):
+            words = [w for w in words if USUAL.fullmatch(w)]
+        self.units.update(self.pieces(words))
+        found = {u: PIECE.findall(u) for u in marked if USUAL.fullmatch(u)}
+        known = {p: self.units.get(p) or self.before.get(p) for p in set().union(*found.values())}
+        lacking = [p for p, ids in known.items() if not ids]
+        known.update(self.pieces([p for p in lacking if p[0] == " "]))
+        known.update((p, self.piece(p)) for p in lacking if p[0] != " ")
+        self.units.update((u, b"".join(map(known.__getitem__, of))) for u, of in found.items())
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self.together(held)
+                held, size = [], 0
+        yield from self.together(held)
+
+    def together(self, texts: list[str]) -> Iterator[bytes]:
+        cut = list(map(self.units_of, texts))
+        self.learn(cut)
+        for text, units in zip(texts, cut, strict=True):
+            try:
+                yield b"".join(map(self.units.__getitem__, units)) if units else self.whole(text)
+            except KeyError:
+                yield self.whole(text)
+
+    def encode(self, text: str) -> bytes:
+        return next(self.together([text]))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shopweave.llm import packing, token_files
+from shopweave.llm import packing, token_files, tokens
 from shopweave.llm.common import saved, shared_dir
 from shopweave.llm.tokens import Encoder
 
@@ -24,9 +24,21 @@ def ids_of(tokenizer, text):
 def test_encoder_equals_library(tokenizer, tokenizer_path):
     enc, r = Encoder(tokenizer_path), random.Random(1)
     parts = ["the", " of", "\n", "  ", " \n", "\t", "É", "ñandú", "don't", "'s", "123", "²", "!!", " ###", "😀", "\u00a0", "\x1f", "<|endoftext|>", "日本", ".", ",", "Ω", "\r\n", "\0"]
-    for _ in range(3000):
-        text = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids_of(tokenizer, text), repr(text)
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    letters = "abcdefghijklmnopqrstuvwxyzéüñßàÂł"
+    texts += [" ".join("".join(r.choices(letters, k=r.randint(1, 12))) + r.choice(("", "", ",", ".", "'s", "7")) for _ in range(30)) for _ in range(300)]
+    for text, ids in zip(texts, enc.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text), repr(text)
+        assert r.random() < 0.9 or enc.encode(text) == ids
+
+
+def test_memory_of_two_generations(tokenizer, tokenizer_path, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "TOGETHER", 100)
+    enc, r = Encoder(tokenizer_path), random.Random(2)
+    texts = [" ".join(f"w{r.randint(0, 400)}ord, {chr(97 + r.randint(0, 25))}x" for _ in range(9)) for _ in range(200)]
+    for text, ids in zip(texts, enc.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)
 
 
 def test_ranks_round_trip():
@@ -47,16 +59,18 @@ def test_file_round_trip():
 
 def test_token_files(corpus, tokenizer, tokenizer_path):
     folder = shared_dir(corpus.sparkSession)
+    # Files of an attempt that was lost lie in the same folder and are not read.
+    token_files.write_token_files(corpus, f"{folder}/a", tokenizer_path, 7, file_ids=400).collect()
     files = saved(token_files.write_token_files(corpus, f"{folder}/a", tokenizer_path, 2, file_ids=500), f"{folder}/f")
     assert files.count() > 4
     got = sorted(token_files.read_token_files(files, f"{folder}/a").collect(), key=lambda r: r.start)
-    rows = sorted(corpus.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
-    at = 0
-    for g, r in zip(got, rows, strict=True):
-        want = [*ids_of(tokenizer, r.text), 2]
-        assert (g.doc_id, g.start, g.n_tokens, list(g.ids)) == (r.doc_id, at, len(want), want)
-        assert g.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
-        at += len(want)
+    at, before = 0, (False, 0)
+    for g in got:
+        assert g.start == at and g.n_tokens == len(g.ids) and g.ids_crc32 == zlib.crc32(np.array(g.ids, "<u4").tobytes())
+        assert before <= (before := (g.doc_id is not None, g.doc_id or 0))
+        at += g.n_tokens
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((g.doc_id, list(g.ids)) for g in got), key=key) == sorted(((r.doc_id, [*ids_of(tokenizer, r.text), 2]) for r in corpus.collect()), key=key)
 
 
 def test_token_files_of_nothing(nothing, tokenizer_path):
@@ -114,8 +128,8 @@ def test_packing(corpus, tokenizer, tokenizer_path):
         assert all(r.length == 64 for r in own[1:])
         made.append([i for r in own for i in r.ids])
     assert sorted(made) == texts
-    total = sum(map(len, texts))
-    assert len(sequences) <= 1.15 * total / 64 + 8
+    # Two bins may stay part-filled in each of the groups, beside the least number possible.
+    assert len(sequences) <= -(-sum(map(len, texts)) // 64) + 2 * max(1, -(-len(rows) // 20))
 
 
 def test_packing_nothing(nothing, tokenizer_path):
