@@ -45,10 +45,13 @@ def test_ngram_join(corpus, n, num):
     )
 
 
-def test_ngram_join_with_frequent_grams(spark, monkeypatch):
-    """Groups so large that their n-grams close the global order."""
+@pytest.mark.parametrize("limits", [{}, {"HOT": 40, "OFTEN": 2, "RUN": 4000, "BUCKET": 5000}, {"HOT": 10**9, "TOP": 60, "HELD": 2000, "BUCKET": 20_000, "RUN": 3000}, {"MANY": 3}])
+def test_ngram_join_with_frequent_grams(spark, monkeypatch, limits):
+    """Groups so large that their n-grams close the global order, are passed on unheld, or meet their rows by broadcast; one n-gram in a hundredth of the texts."""
     import random
 
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(11)
     words = [f"w{i}" for i in range(400)]
     base = [r.choice(words) for _ in range(60)]
@@ -59,12 +62,22 @@ def test_ngram_join_with_frequent_grams(spark, monkeypatch):
             t[r.randrange(60)] = r.choice(words)
         texts.append(" ".join(t))
     texts += [" ".join(r.choice(words) for _ in range(50)) for _ in range(300)]
+    texts += [f"one gram in some {' '.join(r.choice(words) for _ in range(r.randint(0, 12)))}" for _ in range(40)]
     rows = list(enumerate(texts))
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85, 100)
     want = {d: c for d, _, c in brute_components_fast(rows, 4, 85, 100)}
     assert {x.doc_id: x.component_id for x in got.collect()} == want
 
 
+def test_word_hashes():
+    """One hash for each word, the same wherever it stands, in a known value on any machine."""
+    words = ["a", "ab", "abcdefgh", "abcdefghi", "b\x00", "é", "日本語の", "x" * 1000, "x" * 1001, "a"]
+    h = ngram_join.word_hashes("\t" + " \n".join(words) + "\r").tolist()
+    assert len(h) == 10 and len(set(h)) == 9 and h[0] == h[-1]
+    assert ngram_join.word_hashes("ABCDEFGHI")[0] == h[3] and ngram_join.word_hashes(" \x0b").size == 0
+    assert ngram_join.word_hashes("a").tolist() == [h[0]]
+
+
 def brute_components_fast(rows, n, num, den):
     """The same by an index of all n-grams, for more rows."""
     sets, first, root, at = [], {}, {}, {}
