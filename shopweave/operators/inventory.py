@@ -48,11 +48,10 @@ def stock_health(products: DataFrame, batches: DataFrame, as_of: str) -> DataFra
     sums = batches.filter(live).groupBy("product_id").agg(
         F.sum(F.when(F.col("expiry") >= day(as_of), F.col("remaining"))).alias("q"),
         F.min(F.when(F.col("expiry") >= day(as_of), F.col("expiry"))).alias("next_expiry"),
-        F.count(F.when(F.col("expiry") < day(as_of), 1)).alias("old"),
     )
     full = products.filter("active").join(sums, "product_id", "left").withColumn("stock", money("q"))
     status = (
-        F.when((F.col("stock") == 0) & (F.coalesce("old", F.lit(0)) > 0), "expired").when(F.col("stock") == 0, "no_stock")
+        F.when(F.col("stock") <= 0, "no_stock")
         .when(F.col("next_expiry") <= F.date_add(day(as_of), NEAR), "expiring_soon").otherwise("healthy")
     )
     return full.select("product_id", "stock", "next_expiry", status.alias("status"), (F.col("stock") <= LOW).alias("low"))
@@ -187,10 +186,15 @@ def line_amounts(pieces: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("amount", (F.col("upto") - F.coalesce(F.lag("upto").over(by), F.lit(0))).cast("double")).drop("upto")
 
 
+WRITE_OFFS = ("expired", "spoilage")
+
+
 def adjustment_replay(adjustments: DataFrame, batches: DataFrame) -> DataFrame:
     """Adjustments of each batch in order of (day, id): a positive one removes stock, a correction may add up to the initial stock.
 
-    One that overdraws, overfills or meets a disposed batch is refused.
+    Refused: one that overdraws or overfills; one without a quantity, unless it is a correction; any on a disposed batch, before
+    the batch came in, or on an expired batch but a write-off. A write-off that takes the last stock disposes of the batch;
+    other adjustments leave it depleted, from which a correction brings it back.
     """
 
     def run(a: pd.DataFrame) -> pd.DataFrame:
@@ -198,21 +202,27 @@ def adjustment_replay(adjustments: DataFrame, batches: DataFrame) -> DataFrame:
         left, top, status, out = float(a.remaining[0]), float(a.initial[0]), a.status[0], []
         for r in a.itertuples():
             q = float(r.quantity)
-            fine = status != "disposed" and (0 <= q <= left or (q < 0 and r.kind == "correction" and left - q <= top))
-            left -= q if fine else 0
-            if fine and status != "expired":
-                status = "depleted" if left == 0 else "available"
+            expired = status == "expired" or r.expiry < r.day
+            fine = status != "disposed" and (r.kind in WRITE_OFFS or not expired) and r.received <= r.day
+            fine = fine and (q > 0 or r.kind == "correction") and q <= left and left - q <= top
+            if fine:
+                left -= q
+                if left <= 0:
+                    status = "disposed" if r.kind in WRITE_OFFS else "depleted"
+                elif r.kind == "correction" and status == "depleted":
+                    status = "available"
             out.append((r.batch_id, r.id, r.kind, q, bool(fine), left, status))
         return pd.DataFrame(out, columns=["batch_id", "id", "kind", "quantity", "accepted", "left", "status"])
 
-    joined = adjustments.join(batches.select("batch_id", "initial", "remaining", "status"), "batch_id")
+    joined = adjustments.join(batches.select("batch_id", "initial", "remaining", "status", "expiry", "received"), "batch_id")
     schema = "batch_id long, id long, kind string, quantity double, accepted boolean, left double, status string"
     return joined.groupBy("batch_id").applyInPandas(run, schema)
 
 
-def void_returns(lines: DataFrame, batches: DataFrame) -> DataFrame:
-    """What cancelled lines (line_id, batch_id, quantity) bring back: in order, as far as the batch has room; nothing to expired ones."""
-    room = F.when(F.col("status").isin("expired", "disposed"), F.lit(0).cast("decimal(12,2)")).otherwise(F.col("initial") - F.col("remaining"))
+def void_returns(lines: DataFrame, batches: DataFrame, as_of: str) -> DataFrame:
+    """What lines (line_id, batch_id, quantity) cancelled on as_of bring back: in order, as far as the batch has room; nothing to
+    batches that are disposed of, marked expired or past their date."""
+    room = F.when(F.col("status").isin("expired", "disposed") | (F.col("expiry") < day(as_of)), F.lit(0).cast("decimal(12,2)")).otherwise(F.col("initial") - F.col("remaining"))
     rows = lines.join(batches.select("batch_id", room.alias("room")), "batch_id")
     upto = F.sum("quantity").over(Window.partitionBy("batch_id").orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", upto)

@@ -118,9 +118,26 @@ def data_quality(receipts: DataFrame, sales: DataFrame, as_of: str) -> DataFrame
     return own.join(F.broadcast(kept)).withColumn("excluded_non_dairy", F.expr("receipts - excluded_demo - sales"))  # one row each
 
 
+#: SI and digits of a number below 2^63 - 1.
+PLAIN_INVOICE = "invoice rlike '^SI[0-9]+$' and try_cast(substring(invoice, 3) as decimal(38,0)) < 9223372036854775807"
+
+
+def invoice_text(number):
+    """SI and the number in at least four digits."""
+    text = number.cast("string")
+    return F.concat(F.lit("SI"), F.when(number < 10000, F.lpad(text, 4, "0")).otherwise(text))
+
+
+def invoice_taken(receipts: DataFrame) -> DataFrame:
+    """(year, number) that new receipts cannot have: recorded in any case, with spaces around, in the very digits they would be written in."""
+    rows = receipts.select(F.year("day").alias("year"), F.upper(F.trim("invoice")).alias("invoice")).filter(PLAIN_INVOICE)
+    rows = rows.withColumn("number", F.substring("invoice", 3, 20).cast("long"))
+    return rows.filter(F.col("invoice") == invoice_text(F.col("number"))).select("year", "number").distinct()
+
+
 def invoice_seed(receipts: DataFrame) -> DataFrame:
-    """Per year the plain SI number of the receipt that was dated last, which need not be the largest."""
-    plain = receipts.filter(F.col("invoice").rlike("^SI[0-9]+$"))
+    """Per year the plain SI number, in any case and with spaces around, of the receipt that was dated last, which need not be the largest."""
+    plain = receipts.withColumn("invoice", F.upper(F.trim("invoice"))).filter(PLAIN_INVOICE)
     last = plain.groupBy(F.year("day").alias("year")).agg(F.max_by("invoice", F.struct("created_at", "id")).alias("invoice"))
     return last.select("year", F.substring("invoice", 3, 20).cast("long").alias("seed"))
 
@@ -135,8 +152,7 @@ def invoice_assign(waiting: DataFrame, taken: DataFrame, seeds: DataFrame) -> Da
     free = need.select("year", F.explode(F.expr("sequence(seed + 1, seed + n + coalesce(t, 0))")).alias("number")).join(taken.select("year", "number").distinct(), ["year", "number"], "left_anti")
     rank = lambda order: F.row_number().over(Window.partitionBy("year").orderBy(order))
     left, right = waiting.withColumn("k", rank("id")), free.withColumn("k", rank("number"))
-    text = F.concat(F.lit("SI"), F.when(F.col("number") < 10000, F.lpad(F.col("number").cast("string"), 4, "0")).otherwise(F.col("number").cast("string")))
-    return left.join(right, ["year", "k"]).select("id", "year", text.alias("invoice"))
+    return left.join(right, ["year", "k"]).select("id", "year", invoice_text(F.col("number")).alias("invoice"))
 
 
 def invoice_duplicates(receipts: DataFrame) -> DataFrame:

@@ -132,12 +132,15 @@ def quantile_band(errors: DataFrame, *keys: str, least: int = 8) -> DataFrame:
 
 
 def demand_class(rows: DataFrame, *keys: str) -> DataFrame:
-    """The quadrant of each key's demand by interval and variation: rows on a full calendar (keys, bucket, value)."""
+    """The quadrant of each key's demand by interval and variation: rows on a full calendar (keys, bucket, value).
+
+    An unknown bucket leaves the intervals unknown, so that only complete calendars have a class.
+    """
     positive = F.when(F.col("value") > 0, F.col("value"))
     each = rows.groupBy(*keys).agg(F.count("*").alias("buckets"), F.count("value").alias("observed"), F.count(positive).alias("positive"), F.avg(positive).alias("mean"), F.stddev_pop(positive).alias("sd"))
-    adi, cv2 = F.col("observed") / F.col("positive"), (F.col("sd") / F.col("mean")) ** 2
-    enough = (F.col("observed") >= 12) & (F.col("positive") >= 4) & (F.col("observed") * 10 >= F.col("buckets") * 8)
-    kind = F.when(~enough, "insufficient").when((adi < 1.32) & (cv2 < 0.49), "smooth").when(adi < 1.32, "erratic").when(cv2 < 0.49, "intermittent").otherwise("lumpy")
+    adi, cv2 = F.col("buckets") / F.col("positive"), (F.col("sd") / F.col("mean")) ** 2
+    enough = (F.col("observed") == F.col("buckets")) & (F.col("buckets") >= 12) & (F.col("positive") >= 4)
+    kind = F.when(~enough, "insufficient").when((adi < 1.32) & (cv2 < 0.49), "stable").when(adi < 1.32, "erratic").when(cv2 < 0.49, "intermittent").otherwise("lumpy")
     return each.select(*keys, "observed", "positive", F.when(enough, F.round(adi, 6)).alias("adi"), F.when(enough, F.round(cv2, 6)).alias("cv2"), kind.alias("class"))
 
 

@@ -35,6 +35,11 @@ def _scopes(s):
     return series.on_calendar(rows.groupBy(F.col("category").alias("scope"), month().alias("bucket")).agg(F.sum("quantity").cast("double").alias("value")), "1 month", "scope")
 
 
+def _lately(s):
+    """The segments' series as if sales had begun with 1997."""
+    return _segments(s).filter("bucket >= date '1997-01-01'")
+
+
 def _item_sums(s):
     found = op.seasonal_forecast(_items(s), "item", 12, 3).filter("status = 'available'")
     return found.join(s.products.select(F.col("product_id").cast("string").alias("item"), F.col("category").alias("scope")), "item").select("scope", "step", "predicted")
@@ -49,7 +54,7 @@ QUERIES = {
     "sarima_select": (_sarima, None),
     "comparators": (lambda s: op.select_model(op.walk_forward(_segments(s), "segment", ("level", "damped", "ridge_10", "ridge_100")), "segment"), None),
     "item_forecast": (lambda s: op.item_forecast(_items(s), s.products.select(F.col("product_id").cast("string").alias("item"), "active"), "item"), None),
-    "short_history_projection": (lambda s: op.projection(_segments(s).filter("bucket >= date '2000-01-01'"), "segment", 12, 6), None),
+    "short_history_projection": (lambda s: op.projection(_lately(s), "segment", 12, 6), None),
     "fill_aggregate": (lambda s: op.filled(_item_sums(s), op.seasonal_forecast(_scopes(s), "scope", 12, 3).select("scope", "step", "predicted"), "scope"), None),
     "scope_series": (lambda s: _scopes(s), None),
     "seasonal_outlook": (lambda s: op.whole_path(op.seasonal_forecast(_segments(s), "segment", 12, 12), "segment", 12), None),

@@ -10,14 +10,15 @@ from shopweave.plans.sales import money
 
 AS_OF, START, END = "1999-06-30", "1999-02-01", "1999-04-30"
 DATE = f"DATE '{AS_OF}'"
+#: The day on which receipts are cancelled.
+VOIDED_ON = "1996-06-30"
 SELLABLE = f"status = 'available' AND expiry >= {DATE} AND received <= {DATE} AND NOT reference_only"
 AVAILABLE = f"stocked AS (SELECT p.product_id, p.active, {money('sum(b.remaining)')} AS stock FROM product p LEFT JOIN (SELECT * FROM batch WHERE {SELLABLE}) b USING (product_id) GROUP BY 1, 2)"
 EXPIRED = f"remaining > 0 AND received <= {DATE} AND NOT reference_only AND (status = 'expired' OR (status = 'available' AND expiry < {DATE}))"
 EXPIRING = f"status = 'available' AND remaining > 0 AND NOT reference_only AND expiry BETWEEN {DATE} AND {DATE} + 7"
 HEALTH = f"""live AS (SELECT * FROM batch WHERE remaining > 0 AND received <= {DATE} AND NOT reference_only AND status = 'available'),
-    summed AS (SELECT p.product_id, {money(f"sum(CASE WHEN b.expiry >= {DATE} THEN b.remaining END)")} AS stock, min(CASE WHEN b.expiry >= {DATE} THEN b.expiry END) AS next_expiry,
-        count(CASE WHEN b.expiry < {DATE} THEN 1 END) AS old FROM product p LEFT JOIN live b USING (product_id) WHERE p.active GROUP BY 1),
-    health AS (SELECT product_id, stock, next_expiry, CASE WHEN stock = 0 AND old > 0 THEN 'expired' WHEN stock = 0 THEN 'no_stock'
+    summed AS (SELECT p.product_id, {money(f"sum(CASE WHEN b.expiry >= {DATE} THEN b.remaining END)")} AS stock, min(CASE WHEN b.expiry >= {DATE} THEN b.expiry END) AS next_expiry FROM product p LEFT JOIN live b USING (product_id) WHERE p.active GROUP BY 1),
+    health AS (SELECT product_id, stock, next_expiry, CASE WHEN stock <= 0 THEN 'no_stock'
         WHEN next_expiry <= {DATE} + 7 THEN 'expiring_soon' ELSE 'healthy' END AS status, stock <= 20 AS low FROM summed)"""
 BUYER = "CASE WHEN customer_id IS NOT NULL THEN 'c:' || customer_id WHEN lower(trim(label)) <> 'outlet sales' THEN 'l:' || label ELSE 'outlet' END"
 SALES = f"""gone AS (SELECT l.product_id, l.batch_id, r.moved_day AS day, {BUYER} AS buyer, l.quantity FROM line l JOIN receipt r ON r.id = l.receipt_id
@@ -57,7 +58,7 @@ def _demands(s):
 
 
 def _pieces(s):
-    rows = s.lines.filter("receipt_id % 5 = 0").select(F.expr("receipt_id * 100000 + product_id").alias("line_id"), "line", "l_suppkey", "quantity")
+    rows = s.lines.select(F.expr("receipt_id * 100000 + product_id").alias("line_id"), "line", "l_suppkey", "quantity")
     return rows.withColumn("price", F.expr("cast(line_id % 97 as decimal(10,3)) * 0.125").cast("decimal(10,3)"))
 
 
@@ -130,16 +131,16 @@ QUERIES = {
     "fefo_refusals": (lambda s: op.fefo_fold(_demands(s), s.batches.withColumn("supply", F.col("remaining"))), None),
     "fefo_line_amounts": (
         lambda s: op.line_amounts(_pieces(s), "line", "l_suppkey", "quantity").select("line_id", "line", "amount"),
-        sql(""", pieces AS (SELECT receipt_id * 100000 + product_id AS line_id, line, l_suppkey, quantity FROM line WHERE receipt_id % 5 = 0),
+        sql(""", pieces AS (SELECT receipt_id * 100000 + product_id AS line_id, line, l_suppkey, quantity FROM line),
             upto AS (SELECT *, ((((sum(quantity) OVER (PARTITION BY line_id ORDER BY line, l_suppkey, quantity ROWS UNBOUNDED PRECEDING)
                 )::BIGINT * (line_id % 97) * 125 + 5) // 10) / 100)::DECIMAL(20,2) AS u FROM pieces)
             SELECT line_id, line, (u - coalesce(lag(u) OVER (PARTITION BY line_id ORDER BY line, l_suppkey, quantity), 0))::DOUBLE AS amount FROM upto"""),
     ),
     "adjustment_replay": (lambda s: op.adjustment_replay(s.adjustments, s.batches), None),
     "void_returns": (
-        lambda s: op.void_returns(_cancelled(s), s.batches.withColumn("initial", F.col("remaining") + 30)),
-        sql(""", c AS (SELECT receipt_id * 10 + line AS line_id, batch_id, sum(quantity) AS quantity FROM line WHERE receipt_id % 20 = 3 GROUP BY 1, 2),
-            u AS (SELECT c.*, CASE WHEN status IN ('expired', 'disposed') THEN 0 ELSE 30 END AS room,
+        lambda s: op.void_returns(_cancelled(s), s.batches.withColumn("initial", F.col("remaining") + 30), VOIDED_ON),
+        sql(f""", c AS (SELECT receipt_id * 10 + line AS line_id, batch_id, sum(quantity) AS quantity FROM line WHERE receipt_id IN (SELECT id FROM receipt WHERE voided) GROUP BY 1, 2),
+            u AS (SELECT c.*, CASE WHEN status IN ('expired', 'disposed') OR expiry < DATE '{VOIDED_ON}' THEN 0 ELSE 30 END AS room,
                 sum(c.quantity) OVER (PARTITION BY c.batch_id ORDER BY line_id) AS upto FROM c JOIN batch USING (batch_id))
             SELECT line_id, batch_id, (least(room, upto) - least(room, upto - quantity))::DOUBLE AS returned FROM u"""),
     ),

@@ -44,8 +44,7 @@ def _closure(s: Shop):
 
 def _invoices(s: Shop):
     waiting = s.receipts.filter("id % 17 = 0").select("id", F.year("day").alias("year"))
-    taken = s.receipts.filter("id % 17 <> 0").filter(F.col("invoice").rlike("^SI[0-9]+$")).select(F.year("day").alias("year"), F.substring("invoice", 3, 20).cast("long").alias("number")).distinct()
-    return op.invoice_assign(waiting, taken, op.invoice_seed(s.receipts.filter("id % 17 <> 0")))
+    return op.invoice_assign(waiting, op.invoice_taken(s.receipts.filter("id % 17 <> 0")), op.invoice_seed(s.receipts.filter("id % 17 <> 0")))
 
 
 QUERIES = {
@@ -103,15 +102,16 @@ QUERIES = {
     ),
     "invoice_seed": (
         lambda s: op.invoice_seed(s.receipts),
-        sql("""SELECT year(day)::INTEGER AS year, substr(arg_max(invoice, (created_at, id)), 3)::BIGINT AS seed FROM receipt WHERE regexp_matches(invoice, '^SI[0-9]+$') GROUP BY 1"""),
+        sql("""SELECT year(day)::INTEGER AS year, substr(arg_max(trim(invoice), (created_at, id)), 3)::BIGINT AS seed FROM receipt WHERE regexp_full_match(trim(invoice), '[Ss][Ii][0-9]+') GROUP BY 1"""),
     ),
     "invoice_assign": (
         _invoices,
-        sql(r""", taken AS (SELECT DISTINCT year(day) AS year, TRY_CAST(substr(invoice, 3) AS BIGINT) AS number FROM receipt WHERE id % 17 <> 0 AND regexp_matches(invoice, '^SI[0-9]+$')),
-            seeds AS (SELECT year(day) AS year, TRY_CAST(substr(arg_max(invoice, (created_at, id)), 3) AS BIGINT) AS seed FROM receipt WHERE id % 17 <> 0 AND regexp_matches(invoice, '^SI[0-9]+$') GROUP BY 1),
+        sql(r""", held AS (SELECT *, upper(trim(invoice)) AS si FROM receipt WHERE id % 17 <> 0 AND regexp_full_match(trim(invoice), '[Ss][Ii][0-9]+')),
+            taken AS (SELECT DISTINCT year(day) AS year, si FROM held),
+            seeds AS (SELECT year(day) AS year, substr(arg_max(si, (created_at, id)), 3)::BIGINT AS seed FROM held GROUP BY 1),
             w AS (SELECT id, year(day) AS year, row_number() OVER (PARTITION BY year(day) ORDER BY id) AS k FROM receipt WHERE id % 17 = 0),
-            f AS (SELECT s.year, n.number, row_number() OVER (PARTITION BY s.year ORDER BY n.number) AS k FROM seeds s, range(1, 30000) n(number)
-                WHERE n.number > s.seed AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.year = s.year AND t.number = n.number))
+            f AS (SELECT s.year, n.number, row_number() OVER (PARTITION BY s.year ORDER BY n.number) AS k FROM seeds s, range(1, 5000 + (SELECT count(*) FROM receipt)) n(number)
+                WHERE n.number > s.seed AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.year = s.year AND t.si = 'SI' || CASE WHEN n.number < 10000 THEN lpad(n.number::VARCHAR, 4, '0') ELSE n.number::VARCHAR END))
             SELECT id, year::INTEGER AS year, 'SI' || CASE WHEN number < 10000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END AS invoice FROM w JOIN f USING (year, k)"""),
     ),
     "invoice_duplicates": (

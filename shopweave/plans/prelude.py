@@ -17,7 +17,7 @@ TABLES = {
         CASE WHEN o_orderkey % 97 = 0 THEN 'unclassified' WHEN o_orderkey % 10 = 0 THEN 'regular'
             WHEN c_mktsegment = 'MACHINERY' THEN 'feeding' ELSE 'regular' END AS segment,
         CASE WHEN o_orderkey % 10 = 0 THEN 'outlet sales' WHEN c_mktsegment <> 'MACHINERY' THEN c_name
-            ELSE ['MILK FEEDING-DEPED', 'Milk  Feeding-Rizal', 'DSWDish', 'Féeding DSWD'][o_custkey % 4 + 1] END AS label
+            ELSE ['feeding deped - second batch', 'Rizal  feeding (north)', 'depedx milk', 'Féeding DSWD'][o_custkey % 4 + 1] END AS label
         FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
     "line": """SELECT l_orderkey AS receipt_id, l_linenumber AS line, l_partkey AS product_id, l_suppkey,
         l_partkey * 1000 + l_suppkey % 1000 AS batch_id, l_quantity::DECIMAL(10,2) AS quantity,

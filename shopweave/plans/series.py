@@ -34,7 +34,7 @@ METRICS = """count(*) AS n, CASE WHEN sum(abs(actual)) > 0 THEN round(sum(abs(pr
     CASE WHEN sum(abs(actual)) > 0 THEN round(sum(predicted - actual) * 100 / sum(abs(actual)), 4) END AS bias_percent, round(avg(abs(predicted - actual)), 4) AS mae, round(avg(predicted - actual), 4) AS bias,
     round(sqrt(avg((predicted - actual) * (predicted - actual))), 4) AS rmse, round(max(abs(predicted - actual)), 4) AS max_error, round(avg((predicted - actual) * (predicted - actual)), 4) AS mse,
     round(avg(CASE WHEN actual <> 0 THEN abs((predicted - actual) / actual) END) * 100, 4) AS mape, count(CASE WHEN actual = 0 THEN 1 END) AS zero_actuals"""
-FACTS = f"""{ALLOCATED}, facts AS (SELECT segment, product_id, day, CASE WHEN count(*) = count(cents) THEN sum(cents)::DOUBLE / 100 END AS revenue FROM shared WHERE product_id % 20 = 0 GROUP BY 1, 2, 3),
+FACTS = f"""{ALLOCATED}, facts AS (SELECT segment, product_id, day, CASE WHEN count(*) = count(cents) THEN sum(cents)::DOUBLE / 100 END AS revenue FROM shared GROUP BY 1, 2, 3),
     covered AS (SELECT DISTINCT date_trunc('month', day)::DATE AS bucket FROM receipt WHERE NOT voided)"""
 ITEMS = f"""{FACTS}, sums AS (SELECT segment, product_id, date_trunc('month', day)::DATE AS bucket, CASE WHEN count(*) = count(revenue) THEN round(sum(revenue), 2) END AS value, true AS seen FROM facts GROUP BY 1, 2, 3),
     ends AS (SELECT segment, product_id, min(bucket) AS lo, max(bucket) AS hi FROM sums GROUP BY 1, 2),
@@ -43,7 +43,7 @@ ITEMS = f"""{FACTS}, sums AS (SELECT segment, product_id, date_trunc('month', da
 KINDS = "['regular', 'feeding', 'combined']"
 ISSUES = f"""issues AS (SELECT run_id, target, view, round(CASE view WHEN 'combined' THEN v + w + CASE WHEN run_id % 5 = 0 THEN 1 ELSE 0 END WHEN 'regular' THEN v ELSE w END, 2) AS value, issued
     FROM (SELECT o_orderkey AS run_id, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS target, o_orderdate::DATE + (o_orderkey % 9 * 7)::INTEGER AS issued,
-        (o_orderkey % 1000)::DOUBLE AS v, (o_custkey % 1000)::DOUBLE AS w FROM orders WHERE o_orderkey % 3 = 0), (SELECT unnest({KINDS}) AS view) WHERE NOT (run_id % 4 = 0 AND view = 'feeding'))"""
+        (o_orderkey % 1000)::DOUBLE AS v, (o_custkey % 1000)::DOUBLE AS w FROM orders), (SELECT unnest({KINDS}) AS view) WHERE NOT (run_id % 4 = 0 AND view = 'feeding'))"""
 
 
 def monthly(s: Shop):
@@ -80,17 +80,8 @@ def items(s: Shop):
     return item_series(facts(s), s)
 
 
-def sql_facts(s: Shop):
-    """The twentieth of the products that FACTS keeps, for queries that must equal their SQL; no other query may use it."""
-    return facts(s).filter("product_id % 20 = 0")
-
-
-def sql_items(s: Shop):
-    return item_series(sql_facts(s), s)
-
-
 def issues(s: Shop):
-    base = s.table("orders").filter("o_orderkey % 3 = 0").selectExpr(
+    base = s.table("orders").selectExpr(
         "o_orderkey as run_id", "add_months(trunc(o_orderdate, 'month'), 1) as target", "date_add(to_date(o_orderdate), cast(o_orderkey % 9 * 7 as int)) as issued",
         "cast(o_orderkey % 1000 as double) as v", "cast(o_custkey % 1000 as double) as w", "explode(array('regular', 'feeding', 'combined')) as view",
     ).filter("not (run_id % 4 = 0 and view = 'feeding')")
@@ -184,21 +175,21 @@ QUERIES = {
         sql(f""", {BASE}, p AS (SELECT a.segment, abs(a.actual - a.predicted) AS m, abs(b.actual - b.predicted) AS b FROM long a JOIN long b USING (segment, bucket) WHERE a.method = 'mean_6' AND b.method = 'previous')
             SELECT segment, true AS comparable, round((1 - sum(m) / sum(b)) * 100, 4) AS skill FROM p GROUP BY 1"""),
     ),
-    "bucket_item_series": (lambda s: sql_items(s), sql(f", {ITEMS} SELECT * FROM items")),
+    "bucket_item_series": (lambda s: items(s), sql(f", {ITEMS} SELECT * FROM items")),
     "demand_class": (
-        lambda s: op.demand_class(sql_items(s), "segment", "product_id"),
+        lambda s: op.demand_class(items(s), "segment", "product_id"),
         sql(f""", {ITEMS}, e AS (SELECT segment, product_id, count(*) AS buckets, count(value) AS observed, count(CASE WHEN value > 0 THEN 1 END) AS positive,
                 avg(CASE WHEN value > 0 THEN value END) AS mean, stddev_pop(CASE WHEN value > 0 THEN value END) AS sd FROM items GROUP BY 1, 2),
-            c AS (SELECT *, observed / positive AS adi, (sd / mean) * (sd / mean) AS cv2, observed >= 12 AND positive >= 4 AND observed * 10 >= buckets * 8 AS enough FROM e)
+            c AS (SELECT *, buckets / positive AS adi, (sd / mean) * (sd / mean) AS cv2, observed = buckets AND buckets >= 12 AND positive >= 4 AS enough FROM e)
             SELECT segment, product_id, observed, positive, CASE WHEN enough THEN round(adi, 6) END AS adi, CASE WHEN enough THEN round(cv2, 6) END AS cv2,
-                CASE WHEN NOT enough THEN 'insufficient' WHEN adi < 1.32 AND cv2 < 0.49 THEN 'smooth' WHEN adi < 1.32 THEN 'erratic' WHEN cv2 < 0.49 THEN 'intermittent' ELSE 'lumpy' END AS class FROM c"""),
+                CASE WHEN NOT enough THEN 'insufficient' WHEN adi < 1.32 AND cv2 < 0.49 THEN 'stable' WHEN adi < 1.32 THEN 'erratic' WHEN cv2 < 0.49 THEN 'intermittent' ELSE 'lumpy' END AS class FROM c"""),
     ),
     "covered_cutoff": (
         lambda s: op.covered_cutoff(covered(s)),
         sql(f", c AS (SELECT DISTINCT 1 AS one, date_trunc('month', day)::DATE AS bucket FROM receipt WHERE NOT voided), {runs_sql('c', 'one')} SELECT min(bucket) AS covered_from, max(bucket) AS covered_to FROM run"),
     ),
     "rollup_hierarchy": (
-        lambda s: op.rollup_items(sql_items(s).join(s.products.select("product_id", "category", "unit"), "product_id")).withColumn("value", F.round("value", 2)),
+        lambda s: op.rollup_items(items(s).join(s.products.select("product_id", "category", "unit"), "product_id")).withColumn("value", F.round("value", 2)),
         sql(f""", {ITEMS}, named AS (SELECT i.*, p.category, p.unit FROM items i JOIN product p USING (product_id))
             SELECT segment, unit, category, product_id, bucket, grouping(category, product_id)::INTEGER AS level, round(sum(value), 2) AS value, count(value) AS known, count(*) AS total FROM named
             GROUP BY GROUPING SETS ((segment, unit, category, product_id, bucket), (segment, unit, category, bucket), (segment, unit, bucket))"""),
@@ -208,7 +199,7 @@ QUERIES = {
         sql("""SELECT segment, unit, date_trunc('month', day)::DATE AS bucket, sum(quantity)::DOUBLE AS quantity FROM line JOIN receipt r ON r.id = receipt_id JOIN product USING (product_id) WHERE NOT voided GROUP BY 1, 2, 3"""),
     ),
     "catalog_with_unsold": (
-        lambda s: s.products.select("category").distinct().join(sql_facts(s).join(s.products.select("product_id", "category"), "product_id").groupBy("category").agg(F.sum("revenue").alias("v"), F.countDistinct("product_id").alias("items")), "category", "left").select("category", F.round(F.coalesce("v", F.lit(0.0)), 2).alias("revenue"), F.coalesce("items", F.lit(0)).alias("items")),
+        lambda s: s.products.select("category").distinct().join(facts(s).join(s.products.select("product_id", "category"), "product_id").groupBy("category").agg(F.sum("revenue").alias("v"), F.countDistinct("product_id").alias("items")), "category", "left").select("category", F.round(F.coalesce("v", F.lit(0.0)), 2).alias("revenue"), F.coalesce("items", F.lit(0)).alias("items")),
         sql(f", {FACTS} SELECT c.category, round(coalesce(sum(f.revenue), 0), 2) AS revenue, count(DISTINCT f.product_id) AS items FROM product c LEFT JOIN facts f USING (product_id) GROUP BY 1"),
     ),
     "combine_views": (
@@ -221,8 +212,8 @@ QUERIES = {
             sum(revenue) FILTER (segment = 'feeding')::DOUBLE AS feeding_v, nullif(count(*) FILTER (segment = 'feeding'), 0) AS feeding_n FROM snap GROUP BY 1"""),
     ),
     "feeding_study": (
-        lambda s: op.on_calendar(snap(s).filter("segment = 'feeding' and sale_id % 9 = 0").groupBy("segment", month().alias("bucket")).agg(F.count("*").alias("value")), "1 month", "segment").select("bucket", F.coalesce("value", F.lit(0)).alias("invoices"), F.col("value").isNull().alias("gap")),
-        sql(f""", {SNAPSHOT}, f AS (SELECT date_trunc('month', day)::DATE AS bucket, count(*) AS n FROM snap WHERE segment = 'feeding' AND sale_id % 9 = 0 GROUP BY 1),
+        lambda s: op.on_calendar(snap(s).filter("segment = 'feeding'").groupBy("segment", month().alias("bucket")).agg(F.count("*").alias("value")), "1 month", "segment").select("bucket", F.coalesce("value", F.lit(0)).alias("invoices"), F.col("value").isNull().alias("gap")),
+        sql(f""", {SNAPSHOT}, f AS (SELECT date_trunc('month', day)::DATE AS bucket, count(*) AS n FROM snap WHERE segment = 'feeding' GROUP BY 1),
             cal AS (SELECT unnest(generate_series((SELECT min(bucket) FROM f), (SELECT max(bucket) FROM f), INTERVAL 1 MONTH))::DATE AS bucket)
             SELECT bucket, coalesce(n, 0) AS invoices, n IS NULL AS gap FROM cal LEFT JOIN f USING (bucket)"""),
     ),

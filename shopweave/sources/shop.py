@@ -45,7 +45,7 @@ class Shop:
         segment = """case when id % 97 = 0 then 'unclassified' when customer_id is null then 'regular'
             when c_mktsegment = 'MACHINERY' then 'feeding' else 'regular' end"""
         label = """case when customer_id is null then 'outlet sales' when c_mktsegment <> 'MACHINERY' then customer_name
-            else element_at(array('MILK FEEDING-DEPED', 'Milk  Feeding-Rizal', 'DSWDish', 'Féeding DSWD'), cast(customer_id % 4 as int) + 1) end"""
+            else element_at(array('feeding deped - second batch', 'Rizal  feeding (north)', 'depedx milk', 'Féeding DSWD'), cast(customer_id % 4 as int) + 1) end"""
         return orders.join(customers, "customer_id", "left").withColumn("segment", F.expr(segment)).withColumn("label", F.expr(label)).drop("c_mktsegment")
 
     @cached_property
