@@ -8,9 +8,10 @@ parameters (name, parameter, type, required, most). JSON is canonical: no spaces
 
 All of it is column expressions and joins; nothing is gathered by conversation, so a conversation of any length is no hot
 task. Defined cases: a call without result is `unanswered`, a result without call `orphan`; of calls or results that
-share an identifier the first by turn and place is linked, the others are `repeated`; ids waited for that do not exist
-are a problem, those in a circle get no level; text that is no JSON, null or empty holds no calls. Rows without conv_id
-or ids link with nothing and are left out. Empty tables give no rows. Other columns are ignored.
+share an identifier the first by turn and place (of equal rows any single one) is linked, the others are `repeated`; those
+without conv_id or identifier are `unidentified`; ids waited for that do not exist
+are a problem, those in a circle get no level; text that is no JSON, null or empty holds no calls. Very long texts are parsed like any other, in one row. Empty tables give
+no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,15 +43,19 @@ def calls_of(turns: DataFrame) -> DataFrame:
 
 def results_of(turns: DataFrame) -> DataFrame:
     """(conv_id, id, content, turn) of the results in the messages."""
-    parsed = turns.filter(F.col("role") == "tool").select("conv_id", "turn", F.from_json("text", RESULT).alias("r"))
+    parsed = turns.filter(F.col("role") == "tool").filter(F.expr("left(to_json(try_parse_json(text)), 1) = '{'"))
+    parsed = parsed.select("conv_id", "turn", F.from_json("text", RESULT).alias("r"))
     return parsed.select("conv_id", F.col("r.tool_call_id").alias("id"), F.col("r.content").alias("content"), "turn")
 
 
-def first_of(rows: DataFrame, *order: str) -> DataFrame:
-    """Marks the first row of each (conv_id, id): column first."""
+def first_of(rows: DataFrame, folder: str, *order: str) -> DataFrame:
+    """A written table of rows with column first: whether it is the first of its (conv_id, id), of equal ones any single one."""
     rest = [c for c in rows.columns if c not in ("conv_id", "id")]
-    least = rows.groupBy("conv_id", "id").agg(F.min(F.struct(*order)).alias("_least"))
-    return rows.join(least, ["conv_id", "id"]).select("conv_id", "id", *rest, (F.struct(*order) == F.col("_least")).alias("first"))
+    # Numbers are written before they are compared, so that both sides of the join have the same ones.
+    rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()), f"{folder}-numbered")
+    by = F.struct(*order, "_row")
+    least = rows.groupBy("conv_id", "id").agg(F.min(by).alias("_least"))
+    return saved(rows.join(least, ["conv_id", "id"]).select("conv_id", "id", *rest, (by == F.col("_least")).alias("first")), folder)
 
 
 def levels_of(calls: DataFrame, folder: str) -> DataFrame:
@@ -58,7 +63,9 @@ def levels_of(calls: DataFrame, folder: str) -> DataFrame:
 
     Every call holds pointers to calls it waits for, with the longest way to each, and the longest way known to a call that
     waits for none. A round replaces each pointer by what the call it points to holds, so ways double: rounds grow as the
-    logarithm of the longest chain. Pointers left when ways are longer than there are calls run in circles.
+    logarithm of the longest chain. Pointers left when ways are longer than there are calls run in circles. A round holds
+    a row for each call and each ancestor as far away as the round reaches: as many as calls where calls wait for one other
+    each, at most calls times the widest level of their conversation.
     """
     known = calls.select("conv_id", F.col("id").alias("dep"))
     way = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("dep")).join(known, ["conv_id", "dep"])
@@ -83,11 +90,11 @@ def problems_of(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     good = given.filter("left(ltrim(arguments), 1) = '{'").filter("v is not null").select("conv_id", "id", "name", "v")
     tools = parameters.select(F.col("name").alias("tool")).distinct()
     unknown = calls.join(F.broadcast(tools), F.col("name").eqNullSafe(F.col("tool")), "left_anti").select("conv_id", "id", F.lit("name: unknown").alias("problem"))
-    good.createOrReplaceTempView("_calls_with_arguments")
-    spark = calls.sparkSession
-    pairs = spark.sql("""select conv_id, id, name, e.key as parameter, schema_of_variant(e.value) as kind, to_json(e.value) as shown
-        from _calls_with_arguments, lateral variant_explode(v) as e""")
-    spark.catalog.dropTempView("_calls_with_arguments")
+    pairs = calls.sparkSession.sql(
+        """select conv_id, id, name, e.key as parameter, schema_of_variant(e.value) as kind, to_json(e.value) as shown
+        from {good}, lateral variant_explode(v) as e""",
+        good=good,
+    )
     # The table of parameters is what a program offers as tools: its size is checked.
     listed = parameters.select("name", "parameter", "type", "required", "most")
     if listed.count() <= 100_000:
@@ -110,8 +117,10 @@ def problems_of(calls: DataFrame, parameters: DataFrame) -> DataFrame:
 def link(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
     """(conv_id, call_id, name, turn, level, status, valid, problems, record) of every call and every unlinked result."""
     folder = shared_dir(calls.sparkSession)
-    calls = saved(first_of(calls.dropna(subset=["conv_id", "id"]), "turn", "place"), f"{folder}/calls")
-    results = saved(first_of(results.dropna(subset=["conv_id", "id"]), "turn"), f"{folder}/results")
+    nameless = lambda rows: rows.filter("conv_id is null or id is null").select("conv_id", "id", "turn")
+    lost = nameless(calls).union(nameless(results))
+    calls = first_of(calls.dropna(subset=["conv_id", "id"]), f"{folder}/calls", "turn", "place")
+    results = first_of(results.dropna(subset=["conv_id", "id"]), f"{folder}/results", "turn")
     one = calls.filter("first").drop("first")
     answers = results.filter("first").select("conv_id", "id", "content", F.col("turn").alias("answered"))
     rows = one.join(answers.hint("shuffle_hash"), ["conv_id", "id"], "left")
@@ -129,7 +138,7 @@ def link(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFra
 
     orphans = results.filter("first").join(one.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
     repeated = calls.filter("not first").select("conv_id", "id", "turn").union(results.filter("not first").select("conv_id", "id", "turn"))
-    return linked.union(other(orphans, "orphan")).union(other(repeated, "repeated"))
+    return linked.union(other(orphans, "orphan")).union(other(repeated, "repeated")).union(other(lost, "unidentified"))
 
 
 def link_messages(turns: DataFrame, parameters: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def test_links_levels_and_json(spark):
         ],
     )
     assert {k[1]: got[k].level for k in got if k[0] == 1 and k[2] in ("linked", "unanswered")} == {"a": 0, "b": 1, "c": 2}
-    assert set(got) == {(1, "a", "linked"), (1, "b", "unanswered"), (1, "c", "linked"), (1, "zz", "orphan"), (1, "a", "repeated"), (2, "a", "unanswered")}
+    assert set(got) == {(1, "a", "linked"), (1, "b", "unanswered"), (1, "c", "linked"), (1, "zz", "orphan"), (1, "a", "repeated"), (2, "a", "unanswered"), (None, "a", "unidentified")}
     assert got[1, "a", "linked"].record == '{"arguments":{"limit":3,"query":"é \\"q\\""},"id":"a","name":"find","result":"line\\n2"}'
     assert got[2, "a", "unanswered"].valid
 
@@ -56,6 +56,15 @@ def test_problems(spark):
     assert [said[k][1] for k in ("r1", "r2", "r3", "self")] == [None] * 4
 
 
+def test_repeated_rows(spark):
+    """Equal rows: one call meets one result, the others are repeated."""
+    turns = [(1, 0, "assistant", calls(call("a"))), (1, 1, "tool", result("a"))] * 2 + [(1, 2, "tool", result(None))]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    parameters = spark.createDataFrame(PARAMETERS, "name string, parameter string, type string, required boolean, most double")
+    got = sorted(r.status for r in chat_tools.link_messages(frame, parameters).collect())
+    assert got == ["linked", "repeated", "repeated", "unidentified"]
+
+
 def test_long_chain_and_nothing(spark):
     n = 70
     got = linked(spark, [(1, i, "assistant", calls(call(f"c{i}", after=[f"c{i - 1}", f"c{i // 2}"] if i else []))) for i in range(n)])
