@@ -3,43 +3,51 @@
 A page is read as a flat row of text blocks, cut at block-level elements. A block's features are its words and link
 density, those of the blocks before and after it, and what it stands in (an article, a heading, boilerplate elements,
 an element whose class or id tells of menus, adverts, notices, comments and the like). A decision tree trained on the
-blocks of a few small labelled pages (PAGES below) says which blocks are main text; those are joined in page order.
+blocks of a few small labelled pages (PAGES below) and of pages without telling names or elements (RUNS) says which blocks are
+main text; those are joined in page order. Where nothing else tells, it is the words and links of a block and of its
+neighbours that decide: a short paragraph between long ones stays, one among links goes.
 
 The tree is trained where the query is built; its few nodes travel with the job. Pages are independent of each other, so
-no row is dealt. Scripts, styles, comments, heads and form controls are no text. Null and empty html give an empty text;
-unclosed elements, broken markup and markup cut short are read as far as they go. Rows may repeat or lack page_id.
-An empty table gives no rows. Other columns than page_id, url and html are ignored.
+no row is dealt. Scripts, styles, comments, titles, form controls, drawings and embedded objects are no text; formulas are.
+Null and empty html give an empty text; unclosed elements (a head too), broken markup and markup cut short are read as far as
+they go; very long pages are read whole, in one task. Rows may repeat or lack page_id. An empty table gives no rows. Other
+columns than page_id, url and html, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from functools import cache
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Comments, declarations, elements whose content is no text, tags, text. A "<" that opens nothing is text.
+#: Comments, declarations, tags, text. A "<" that opens nothing is text.
 PIECES = re.compile(
     r"""<!--.*?(?:-->|\Z)
     | <[!?][^>]*+(?:>|\Z)
-    | <(script|style|template|noscript|svg|math|iframe|object|select|textarea|head)\b[^>]*+>.*?(?:</\1\s*>|\Z)
     | <(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]|"[^"]*+"|'[^']*+')*+)(?:>|\Z)
     | <(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)
     | ([^<]++|<)""",
     re.S | re.I | re.X,
 )
+#: Elements whose content is no text: of the first kind it goes to the end tag or the end of the page, of the second it is
+#: skipped only if there is an end tag.
+RAW = frozenset("script style textarea title".split())
+SKIPPED = RAW | frozenset("template noscript svg iframe object select".split())
 #: Elements inside a line of text; every other one parts blocks.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msqrt".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav footer aside form menu button dialog fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: Words in a class, id or role that tell of something else than the article.
+#: Words in a class, id or role that tell of something else than the article. A name tells of it if it has one of these and, beside them, only PLAIN words.
 HINTS = frozenset(
     """ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion
     cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
@@ -48,8 +56,15 @@ HINTS = frozenset(
     menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc search login skip toolbar masthead
     footer copyright legal contentinfo complementary""".split()
 )
+PLAIN = frozenset(
+    """area bar block body bottom box btn button buttons center close col column container content extra fixed footer form group head header
+    heading html icon icons in inline inner item items large left line link links list listing main mini mobile module more news on one out
+    outer page panel post posts primary reader right row section secondary site slot small story sticky sub text the title top two
+    unit up us user wide wrap wrapper""".split()
+)
 #: Beginnings of such words that names are often made of.
 STEMS = ("advert", "banner", "breadcrumb", "comment", "cookie", "newsletter", "paywall", "popup", "promo", "recommend", "related", "sidebar", "sponsor", "subscri")
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: The same for elements that articles may have too.
 PAGE_HINTS = frozenset("header banner topbar".split())
@@ -85,6 +100,7 @@ class Reader:
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    plain: bool = False  # some text of the block stands in no hinted element
     link: int = 0
     at: Open = field(default_factory=lambda: Open(""))
     stack: list[Open] = field(default_factory=list)
@@ -94,9 +110,9 @@ class Reader:
         words = "".join(self.parts).split()
         if words:
             text, here = " ".join(words), self.at
-            self.blocks.append(Block(text, len(words), min(1.0, self.linked / len(text)), here.main, here.heading, here.boiler, here.hinted, here.label))
+            self.blocks.append(Block(text, len(words), min(1.0, self.linked / len(text)), here.main, here.heading, here.boiler, here.hinted or not self.plain, here.label))
         self.parts.clear()
-        self.linked = 0
+        self.linked, self.plain = 0, False
 
     def close(self, name: str) -> None:
         if not self.depth.get(name):
@@ -115,6 +131,8 @@ class Reader:
             self.end_block()
             if name == "p" or (end and name != "br"):
                 self.close(name)
+        if name == "span" and end and self.stack and self.stack[-1].name == "span":
+            self.close("span")
         if end or name in EMPTY or (name in INLINE and name != "span"):
             return
         if name == "p":
@@ -126,7 +144,11 @@ class Reader:
         here, named = self.at, set()
         if "=" in rest:
             for m in NAMED.finditer(rest):
-                named.update(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+                for whole in (m[1] or m[2] or m[3] or "").split():
+                    words = [w.lower() for w in NAME_WORDS.findall(whole) if len(w) > 1]
+                    told = [w for w in words if w in HINTS or w in PAGE_HINTS or w.startswith(STEMS)]
+                    if told and all(w in told or w in PLAIN for w in words):
+                        named.update(told)
         main = here.main or name in MAIN
         boiler = here.boiler or name in BOILER or (name == "header" and not here.main)
         hinted = here.hinted or bool(named & HINTS) or any(n.startswith(STEMS) for n in named) or (not here.main and bool(named & PAGE_HINTS)) or bool(rest and UNSEEN.search(rest))
@@ -140,20 +162,37 @@ class Reader:
         self.parts.append(got)
         if self.link:
             self.linked += len(got)
+        if not self.at.hinted and not got.isspace():
+            self.plain = True
+
+
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
 
 
 def blocks_of(page: str) -> list[Block]:
-    reader = Reader()
-    for m in PIECES.finditer(page):
+    reader, at, unclosed = Reader(), 0, set()
+    while m := PIECES.match(page, at):
+        at = m.end()
         kind = m.lastindex
-        if kind == 8:
-            reader.text(m[8])
-        elif kind == 4:
-            reader.tag(m[2] == "/", m[3].lower(), m[4])
-        elif kind == 7:
-            reader.tag(m[5] == "/", m[6].lower(), m[7])
-        elif kind == 1:
-            reader.end_block()
+        if kind == 7:
+            reader.text(m[7])
+            continue
+        if not kind:
+            continue
+        slash, name, rest = m.group(1, 2, 3) if kind == 3 else m.group(4, 5, 6)
+        name = name.lower()
+        if name not in SKIPPED:
+            reader.tag(slash == "/", name, rest)
+            continue
+        reader.end_block()
+        if slash or name in unclosed or (rest.endswith("/") and name not in RAW):
+            continue
+        if end := ENDS[name].search(page, at):
+            at = end.end()
+        elif name in RAW:
+            break
+        else:
+            unclosed.add(name)
     reader.end_block()
     return reader.blocks
 
@@ -194,6 +233,32 @@ PAGES = (
 )
 
 
+#: Pages without telling names, every other one without an article element either, as runs of blocks: (main text?, least and most number of blocks, of words,
+#: of links in hundredths, share of headings in hundredths). Numbers are drawn at random with a fixed seed.
+RUNS = (
+    (False, (0, 2), (1, 7), (0, 100), 0), (False, (3, 9), (1, 4), (95, 100), 0), (False, (0, 1), (3, 9), (60, 100), 0),
+    (True, (1, 1), (3, 12), (0, 0), 90), (True, (2, 9), (18, 120), (0, 20), 0), (True, (0, 3), (1, 14), (0, 10), 40), (True, (1, 4), (18, 90), (0, 20), 0),
+    (False, (0, 2), (1, 5), (50, 100), 20), (False, (2, 7), (3, 14), (90, 100), 0), (False, (1, 2), (4, 16), (0, 60), 0), (False, (0, 5), (1, 3), (95, 100), 0),
+)
+MAIN_RUNS, N_DRAWN = 6, 160
+
+
+def drawn(n: int = N_DRAWN, seed: int = 5) -> list[list[Block]]:
+    """The blocks of n such pages, labelled."""
+    r, pages = random.Random(seed), []
+    for k in range(n):
+        page, bare = [], (r.random() < 0.4, r.random() < 0.4)  # without anything before, or after, the main text
+        for i, (main, blocks, words, links, heading) in enumerate(RUNS):
+            if not main and bare[i > MAIN_RUNS]:
+                continue
+            inside = main and k % 2 == 1
+            if inside:  # an article may hold anything
+                words, links = (1, r.choice((9, 90))), (0, r.choice((0, 20, 100)))
+            page += [Block("", r.randint(*words), r.randint(*links) / 100, inside, r.randrange(100) < heading, False, False, main) for _ in range(r.randint(*blocks))]
+        pages.append(page)
+    return pages
+
+
 @dataclass(frozen=True)
 class Leaf:
     main: bool
@@ -230,10 +295,10 @@ def grown(rows: list[tuple[tuple, bool]], depth: int, order: tuple[int, ...]) ->
     return Split(f, least, grown(below, depth - 1, order), grown(above, depth - 1, order))
 
 
-def trained(pages: tuple[str, ...] = PAGES, depth: int = 6) -> Leaf | Split:
+@cache
+def trained(pages: tuple[str, ...] = PAGES, depth: int = 8) -> Leaf | Split:
     rows = []
-    for page in pages:
-        blocks = blocks_of(page)
+    for blocks in [*map(blocks_of, pages), *drawn()]:
         rows += zip(features(blocks), (b.label for b in blocks), strict=True)
     order = tuple(FEATURES.index(f) for f in ("hinted", "boiler", "main", "words", "links", "words_before", "words_after", "links_before", "links_after", "heading"))
     return grown(rows, depth, order)

@@ -396,3 +396,45 @@ def test_quality_model(spark, corpus, nothing):
     one = quality_model.fit(docs, labels.filter("quality = 0"))
     assert quality_model.score(docs.select("doc_id", "text"), one).agg(F.max("predicted")).first()[0] == 0
     assert quality_model.score(nothing, model).collect() == []
+
+
+def words(n):
+    return " ".join(["word"] * n)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>Long text <span class="share">x</span> more text.</p></article>', "Long text x more text."),
+        (f'<div><span class="search">q</span><p>{words(30)}</p><p>{words(40)}</p></div>', words(70)),
+        ("<html><head><title>T</title><meta x><body><article><p>No head end here.</p></article>", "No head end here."),
+        ("<article><svg viewBox=x><p>One two three.</p><p>Four</p></article>", "One two three. Four"),
+        ("<article><select><p>One two three.</p></article>", "One two three."),
+        ("<article><object data=x/><p>One two three.</p></article>", "One two three."),
+        ("<article><svg><text>no</text></svg><p>One two three.</p><script>never ends", "One two three."),
+        ('<article class="social-policy"><p>One two three.</p></article>', "One two three."),
+        ('<article><p>One two three.</p><div class="socialShare-buttons">Share this</div></article>', "One two three."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo></math> it is</p></article>", "So x= it is"),
+    ],
+)
+def test_markup_of_all_kinds(page, text):
+    assert html_blocks.main_text(page, html_blocks.trained()) == text
+
+
+def test_neighbours_decide_without_telling_names():
+    """No article element and no names: short blocks among long ones stay, those among links go."""
+    link = lambda n: f"<div><a href=x>{words(n)}</a></div>"
+    body = f"<h1>{words(6)}</h1><p>{words(40)}</p><p>short one</p><p>{words(50)}</p><h2>{words(3)}</h2><p>{words(30)}</p>"
+    page = f"<body>{link(1) * 4}{body}{link(7) * 3}<div>{words(5)}</div>{link(2) * 3}</body>"
+    assert html_blocks.main_text(page, html_blocks.trained()) == " ".join([words(46), "short one", words(83)])
+    used = set()
+
+    def walk(node):
+        if isinstance(node, html_blocks.Split):
+            used.add(html_blocks.FEATURES[node.feature])
+            walk(node.below), walk(node.above)
+
+    walk(html_blocks.trained())
+    assert used & {"words_before", "words_after"} and used & {"links_before", "links_after"}
+    right = [html_blocks.is_main(html_blocks.trained(), x) == b.label for p in html_blocks.drawn(200, seed=99) for x, b in zip(html_blocks.features(p), p, strict=True)]
+    assert sum(right) > 0.98 * len(right)
