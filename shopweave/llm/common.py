@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in spark.checkpoint.dir as the session names it. Only where that is unset (local tests) a folder of
-    this machine is made and set.
+    It lies in spark.checkpoint.dir as the session names it. Only where that is unset and the session runs on this machine alone
+    (as tests do) a folder of this machine is made and set. What is written there stays until the caller clears it: results
+    are read from it when they are asked for.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)

@@ -7,21 +7,30 @@ patterns that end in this block are listed by their first block; those that begi
 Patterns of different lengths form searches of their own, so that one short item does not shorten all jumps; those of
 one word are single look-ups.
 
-Words: ASCII letters and digits and all characters beyond ASCII; A-Z are lower-cased; all else parts words. The table of
-windows goes to every executor in blocks of at most MAX_WINDOWS windows, so its size is bounded: a larger benchmark takes more
-searches, one after the other in the same tasks, whose hits are then merged. Documents need no shuffle.
-
-Null texts have no words. Documents may repeat or lack doc_id: each row is judged by itself. Items without item_id or
-words are left out; items with equal windows all count. Empty tables: no rows, or no hits. Other columns are ignored.
+Words: ASCII letters and digits and all characters beyond ASCII; A-Z are lower-cased; all else parts words. The items pass
+the driver as a stream and go to the executors in blocks of at most MAX_WINDOWS words (or one item), so what a worker holds is
+bounded. A benchmark of one block needs no shuffle of documents. A larger one takes one search after the other over numbered
+documents, each with a written table of the rows it hits, and these tables are then merged and joined by number.
+
+Null texts have no words; very long texts are searched whole, in one task. Documents may repeat or lack doc_id: each row is
+judged by itself. Items without item_id or words are left out; items with equal windows all count. Empty tables: no rows, or
+no hits. Other columns are kept, but those named like a new one (n_words, spans, items), which give way to it.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from itertools import chain
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopweave.llm.common import numbered, saved, shared_dir
+from shopweave.llm.tokens import worker_memory
+
 WINDOW = 13
 MAX_WINDOWS = 500_000
 #: Each ASCII byte that parts words becomes a space, A-Z become a-z; bytes of characters beyond ASCII stay.
@@ -118,15 +127,18 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int, n_words:
     """docs (with text) and three more columns: their words, stretches hit (word positions, end exclusive), items found."""
     names = docs.columns
     at = names.index("text")
-    broadcast = docs.sparkSession.sparkContext.broadcast(items)
+    broadcast, mark = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        windows = Windows(broadcast.value, window)
+        memory = worker_memory()
+        if getattr(memory, "windows_of", None) != mark:
+            memory.windows, memory.windows_of = Windows(broadcast.value, window), mark
+        windows = memory.windows
         for batch in batches:
             counts, hits, of_items = [], [], []
-            for text in batch.column(at).to_pylist():
-                words = words_of(text or "")
+            for text in batch.column(at):
+                words = words_of(text.as_py() or "")
                 hit, of = windows.find(words)
                 counts.append(len(words))
                 hits.append([{"start": a, "end": b} for a, b in hit])
@@ -159,19 +171,32 @@ MERGE = f"""aggregate(array_sort(all_spans), cast(array() as {SPANS}), (a, s) ->
     else concat(a, array(s)) end)"""
 
 
+NEW = ("n_words", "spans", "items")
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs (text and other columns) with n_words, spans and items: each row's hit stretches and the items they come from."""
-    names, k = docs.columns, 0
-    rows = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"in_{c}") for c in names])
-    for block in item_blocks(benchmark, max_windows):
-        rows = search(rows, block, window, f"n_{k}", f"s_{k}", f"i_{k}")
-        k += 1
-    spans, items = F.col("s_0"), F.col("i_0")
-    if k > 1:
-        rows = rows.withColumn("all_spans", F.concat(*[f"s_{j}" for j in range(k)]))
-        spans, items = F.expr(MERGE), F.array_sort(F.array_distinct(F.concat(*[f"i_{j}" for j in range(k)])))
-    own = [F.col(c if c == "text" else f"`in_{c}`").alias(c) for c in names]
-    return rows.select(*own, F.col("n_0").alias("n_words"), spans.alias("spans"), items.alias("items"))
+    blocks = item_blocks(benchmark, max_windows)
+    first, second = next(blocks), next(blocks, None)
+    names = [c for c in docs.columns if c not in NEW]
+    own = lambda of: [F.col(f"{of}.`{c}`") for c in names]
+    if second is None:
+        held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"))
+        return search(held, first, window, *NEW).select(*own("kept"), *NEW)
+    folder = shared_dir(docs.sparkSession)
+    held, found = numbered(docs, f"{folder}/numbered"), []
+    for k, block in enumerate(chain([first, second], blocks)):
+        hits = search(held.select("row", F.col("kept.text").alias("text")), block, window, *NEW)
+        # Every row's words are counted by the first search; the others write the rows they hit.
+        hits = hits.select("row", *NEW) if not k else hits.filter(F.size("items") > 0).select("row", *NEW)
+        found.append(saved(hits, f"{folder}/block-{k}"))
+    every = reduce(DataFrame.union, found).groupBy("row").agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("spans")).alias("all_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    every = every.select("row", "n_words", F.expr(MERGE).alias("spans"), "items")
+    return held.join(every, "row").select(*own("kept"), *NEW)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
