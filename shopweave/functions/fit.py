@@ -138,16 +138,36 @@ def seasonal_strength(values: np.ndarray, season: int) -> float | None:
     return max(0.0, 1 - float(np.var(rest)) / whole) if whole else 0.0
 
 
-def cycle(values: np.ndarray, season: int) -> tuple[float, float] | None:
-    """Period and share of the strongest frequency of the deseasonalised rest."""
+def repetition(values: np.ndarray, season: int) -> float | None:
+    """Correlation of the values, less their trend, with those of a season before."""
     parts = decompose(values, season)
     if parts is None:
         return None
-    power = np.abs(np.fft.rfft(parts[2] - parts[2].mean()))[1:] ** 2
-    if not power.sum():
+    rest = values - parts[0]
+    before, after = rest[:-season], rest[season:]
+    return float(np.corrcoef(before, after)[0, 1]) if min(before.std(), after.std()) > 1e-12 else 0.0
+
+
+def cycle(values: np.ndarray, season: int) -> tuple[float, float] | None:
+    """Period and share of the strongest frequency that no calendar explains, of the values less season and straight line.
+
+    Periods from 4 to a third of the series count, but those within a fifth of the season; three seasons, 24 values at least, are needed.
+    """
+    n, parts = len(values), decompose(values, season)
+    if parts is None or n < max(24, 3 * season):
+        return None
+    t = np.arange(n) - (n - 1) / 2
+    slope = float(t @ values) / float(t @ t)
+    rest = values - parts[1] - values.mean() - slope * t
+    if rest.std() <= 1e-8:
+        return None
+    power = np.abs(np.fft.rfft(rest))[1:] ** 2
+    period = n / np.arange(1, len(power) + 1)
+    due = np.flatnonzero((period >= 4) & (period <= n / 3) & (np.abs(period - season) > 0.2 * season))
+    if not len(due) or not power.sum():
         return None
-    k = int(power.argmax())
-    return len(values) / (k + 1), float(power[k] / power.sum())
+    k = due[power[due].argmax()]
+    return float(period[k]), float(power[k] / power.sum())
 
 
 def trend(values: np.ndarray) -> tuple[float, float, float]:

@@ -133,20 +133,21 @@ def item_forecast(rows: DataFrame, active: DataFrame, key: str, season: int = 12
 
 
 def shape(rows: DataFrame, key: str, season: int) -> DataFrame:
-    """Trend, seasonality and cycle of each series, with flags; null where it is too short."""
+    """Trend, seasonality and cycle of each series, with flags; null where it is too short or has unknown buckets inside."""
 
     def run(k: tuple, s: pd.DataFrame) -> pd.DataFrame:
-        values = fit.interpolate(ordered(s))
-        if len(values) < 3:
+        raw = ordered(s)
+        values = fit.interpolate(raw)
+        if len(values) < 3 or len(values) > np.count_nonzero(~np.isnan(raw)):
             return pd.DataFrame([(k[0], len(values)) + (None,) * 8], columns=columns)
         slope, r2, p = fit.trend(values)
         mean = float(values.mean())
         change = abs(slope) * (len(values) - 1) / mean if mean > 0 else 0.0
         strength, found = fit.seasonal_strength(values, season), fit.cycle(values, season)
-        again = float(np.corrcoef(values[season:], values[:-season])[0, 1]) if len(values) > season + 2 and values[season:].std() and values[:-season].std() else None
+        again = fit.repetition(values, season)
         period, share = found or (None, None)
         seasonal = None if strength is None or again is None else strength >= 0.6 and again >= 0.3
-        cyclic = None if share is None else share >= 0.3 and abs(period - season) > 1
+        cyclic = None if share is None else share >= 0.5
         return pd.DataFrame([(k[0], len(values), slope, r2, p, p <= 0.05 and change >= 0.2, strength, seasonal, period, cyclic)], columns=columns)
 
     columns = [key, "n", "slope", "r2", "p", "has_trend", "strength", "is_seasonal", "period", "has_cycle"]

@@ -222,3 +222,55 @@ def test_walk_forward_sees_only_the_past(spark):
     changed[-3:] *= 7
     a, b = run(values), run(changed)
     assert all(a[k] == b[k] for k in a if k[1] >= 3) and any(a[k] != b[k] for k in a)
+
+
+def test_cycle_and_repetition():
+    """A wave of 18 months beside a season of 12 is a cycle; a wave of 12 is a season; a series under three seasons has no cycle."""
+    t = np.arange(72)
+    wave, season = np.sin(2 * np.pi * t / 18), np.tile([5, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 9.0], 6)
+    period, share = fit.cycle(100 + t + 10 * wave, 12)
+    assert abs(period - 18) < 1e-9 and share > 0.5
+    assert fit.repetition(100 + t + season, 12) > 0.9 and fit.seasonal_strength(100 + t + season, 12) > 0.9
+    found = fit.cycle(100 + 10 * np.sin(2 * np.pi * t / 12), 12)
+    assert found is None or abs(found[0] - 12) > 2.4
+    assert fit.cycle(wave[:35], 12) is None and fit.repetition(wave[:20], 12) is None
+
+
+def test_shape_refuses_gaps(spark):
+    rows = [("a", dt.date(2020 + i // 12, i % 12 + 1, 1), None if i == 20 else float(i)) for i in range(40)] + [("b", dt.date(2020 + i // 12, i % 12 + 1, 1), float(i)) for i in range(40)]
+    got = {r.k: r for r in forecast.shape(spark.createDataFrame(rows, "k string, bucket date, value double"), "k", 12).collect()}
+    assert got["a"].has_trend is None and got["b"].has_trend is True
+
+
+def test_invoices_in_any_case(spark):
+    """A number held as " si0043" seeds the year and is not given out again; SI45 is not the text SI0045."""
+    day = lambda d: (dt.datetime(2024, 1, d), dt.date(2024, 1, d))
+    rows = [(1, " SI0042 ", *day(1)), (2, "Si0041", *day(9)), (3, " si0043", *day(2)), (4, "SI45", *day(3)), (5, "x", *day(10))]
+    receipts = spark.createDataFrame(rows, "id long, invoice string, created_at timestamp, day date")
+    seeds, taken = ledger.invoice_seed(receipts), ledger.invoice_taken(receipts)
+    assert [tuple(r) for r in seeds.collect()] == [(2024, 41)]
+    assert sorted(r.number for r in taken.collect()) == [41, 42, 43]
+    waiting = spark.createDataFrame([(7, 2024), (8, 2024)], "id long, year int")
+    assert sorted((r.id, r.invoice) for r in ledger.invoice_assign(waiting, taken, seeds).collect()) == [(7, "SI0044"), (8, "SI0045")]
+
+
+def test_demand_needs_a_complete_calendar(spark):
+    rows = [(k, i, None if (k, i) == ("gap", 5) else v) for k, v in (("gap", 4.0), ("full", 4.0)) for i in range(14)]
+    rows += [("rare", i, 6.0 if i % 2 else 0.0) for i in range(14)]
+    got = {r.k: (r["class"], r.adi) for r in series.demand_class(spark.createDataFrame(rows, "k string, bucket int, value double"), "k").collect()}
+    assert got == {"gap": ("insufficient", None), "full": ("stable", 1.0), "rare": ("intermittent", 2.0)}
+
+
+def test_adjustments_and_returns_of_old_batches(spark):
+    day = lambda d: dt.date(2024, 1, d)
+    batches = [(1, Decimal(10), Decimal(5), "available", day(10), day(1)), (2, Decimal(10), Decimal(5), "available", day(30), day(2)), (3, Decimal(9), Decimal(0), "depleted", day(30), day(2))]
+    b = spark.createDataFrame(batches, "batch_id long, initial decimal(12,2), remaining decimal(12,2), status string, expiry date, received date")
+    moves = [(1, 1, "correction", 1, 12), (2, 1, "spoilage", 2, 12), (3, 1, "expired", 3, 13), (4, 1, "expired", 1, 14), (5, 2, "damage", 0, 3), (6, 2, "correction", 0, 3), (7, 2, "damage", 5, 4), (8, 2, "correction", -2, 5), (9, 3, "damage", 1, 3), (10, 2, "damage", 1, 1)]
+    a = spark.createDataFrame([(i, k, kind, Decimal(q), day(d)) for i, k, kind, q, d in moves], "id long, batch_id long, kind string, quantity decimal(12,2), day date")
+    got = {r.id: (r.accepted, r.left, r.status) for r in inventory.adjustment_replay(a, b).collect()}
+    assert got == {
+        1: (False, 5.0, "available"), 2: (True, 3.0, "available"), 3: (True, 0.0, "disposed"), 4: (False, 0.0, "disposed"), 10: (False, 5.0, "available"), 5: (False, 5.0, "available"),
+        6: (True, 5.0, "available"), 7: (True, 0.0, "depleted"), 8: (True, 2.0, "available"), 9: (False, 0.0, "depleted"),
+    }
+    lines = spark.createDataFrame([(1, 1, Decimal(2)), (2, 2, Decimal(2))], "line_id long, batch_id long, quantity decimal(12,2)")
+    assert {r.line_id: r.returned for r in inventory.void_returns(lines, b, "2024-01-20").collect()} == {1: 0.0, 2: 2.0}
