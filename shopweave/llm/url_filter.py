@@ -7,14 +7,16 @@ universe that level 1 takes for listed though they are not; level 3 the listed k
 until no key is mistaken. A key's answer is the parity of the first level that lacks it, and is exact for every key of
 the universe, with no join while urls are judged.
 
-All of it is column expressions. A level is a binary literal of at most MAX_BITS bits; only its set 64-bit words go
-through the driver. A list too long for that is joined instead (`use_join`), by key, with the same result. The
+All of it is column expressions. A level is cut by a hash of the key into filters of at most MAX_BITS bits, each a binary
+literal; only the set 64-bit words go through the driver, a filter at a time. MAX_PARTS filters a level (some forty million
+listed keys, 48 MB) are what an expression should carry: beyond that the list is joined (`use_join`), by key, with the same result. The
 url rows are never dealt while the cascade is built: they are filtered where they are, and what a level mistakes is
 made distinct before it is dealt, so that a hot host or url costs one row per task.
 
 Null urls and those without "://" have an empty host and path, fit no rule and are allowed. Equal urls are judged alike. A key that is
 listed both ways is allowed. Of fitting rules the longest key wins, of equally long ones that with the longer host.
-An empty list allows everything; an empty table gives no rows. Other columns are ignored.
+An empty list allows everything; an empty table gives no rows; very long urls are judged whole. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shopweave.llm.common import saved, shared_dir
 
-MAX_BITS = 1 << 23
+MAX_BITS, MAX_PARTS = 1 << 23, 48
 #: Bits for each key in level 1 and in the later ones, whose mistakes are only among what is left.
 BITS_FIRST, BITS_LATER = 10, 4
 
@@ -59,33 +61,49 @@ def asked(shapes: list[tuple[int, int]]) -> Column:
 
 
 class Level:
-    """One Bloom filter as a literal."""
+    """Bloom filters as literals, one for each part of the keys."""
 
-    def __init__(self, number: int, bits: int, hashes: int, content: bytes):
-        self.number, self.bits, self.hashes, self.content = number, bits, hashes, content
+    def __init__(self, number: int, bits: int, hashes: int, parts: int):
+        self.number, self.bits, self.hashes, self.parts = number, bits, hashes, parts
+        self.contents: list[bytes] = []
+
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-self.number)), F.lit(self.parts))
 
     def positions(self, key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(j)), F.lit(self.bits)) for j in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
+        out = self.among(key, self.contents[-1])
+        for i, content in enumerate(self.contents[:-1]):
+            out = F.when(self.part(key) == i, self.among(key, content)).otherwise(out)
+        return out
+
+    def among(self, key: Column, content: bytes) -> Column:
         out = F.lit(True)
         for at in self.positions(key):
-            byte = F.conv(F.hex(F.substring(F.lit(self.content), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            byte = F.conv(F.hex(F.substring(F.lit(content), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             out = out & (byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0)
         return out
 
 
+def parts_of(n: int, number: int) -> int:
+    return max(1, math.ceil(n * (BITS_FIRST if number == 1 else BITS_LATER) / MAX_BITS))
+
+
 def level_of(keys: DataFrame, n: int, number: int) -> Level:
-    """A filter of the n keys; its words that are not nought come to the driver, at most MAX_BITS / 64."""
-    per_key = BITS_FIRST if number == 1 else BITS_LATER
-    bits = 64 * math.ceil(max(1, n * per_key) / 64)
-    level = Level(number, bits, max(1, round(per_key * math.log(2))), b"")
-    at = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("at"))
-    words = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("v"))
-    content = bytearray(bits // 8)
-    for r in words.collect():
-        content[8 * r.w : 8 * r.w + 8] = (r.v % (1 << 64)).to_bytes(8, "little")
-    level.content = bytes(content)
+    """A filter of the n keys; the words of a part that are not nought come to the driver, at most MAX_BITS / 64."""
+    per_key, parts = BITS_FIRST if number == 1 else BITS_LATER, parts_of(n, number)
+    bits = 64 * math.ceil(max(1, n * per_key / parts) / 64)
+    level = Level(number, bits, max(1, round(per_key * math.log(2))), parts)
+    for part in range(parts):
+        own = keys.filter(level.part(F.col("key")) == part) if parts > 1 else keys
+        at = own.select(F.explode(F.array(*level.positions(F.col("key")))).alias("at"))
+        words = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("v"))
+        content = bytearray(bits // 8)
+        for r in words.collect():
+            content[8 * r.w : 8 * r.w + 8] = (r.v % (1 << 64)).to_bytes(8, "little")
+        level.contents.append(bytes(content))
     return level
 
 
@@ -103,10 +121,10 @@ class Cascade:
 
 
 def cascade(listed: DataFrame, urls: DataFrame, folder: str) -> Cascade | None:
-    """Over the universe in column `asked` of urls; None if the list is too long for a level."""
+    """Over the universe in column `asked` of urls; None if the list is too long for the filters of a level."""
     listed = saved(listed.select("key").distinct(), f"{folder}/listed")
     n = listed.count()
-    if n * BITS_FIRST > MAX_BITS:
+    if parts_of(n, 1) > MAX_PARTS:
         return None
     if not n:
         return Cascade([])
@@ -115,7 +133,7 @@ def cascade(listed: DataFrame, urls: DataFrame, folder: str) -> Cascade | None:
     wrong = taken.select(F.col("a.key").alias("key")).distinct().join(listed, "key", "left_anti")
     now, other = saved(wrong, f"{folder}/level-1"), listed
     while n := now.count():
-        if n * BITS_LATER > MAX_BITS:
+        if parts_of(n, 2) > MAX_PARTS:
             return None
         level = level_of(now, n, len(levels) + 1)
         levels.append(level)

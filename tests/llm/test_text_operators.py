@@ -279,8 +279,12 @@ def test_url_rules(spark, use_join):
         assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(URLS[r.page_id % len(URLS)], url_filter.RULES), URLS[r.page_id % len(URLS)]
 
 
-def test_cascade_with_many_keys(spark):
+@pytest.mark.parametrize(("max_bits", "max_parts"), [(url_filter.MAX_BITS, url_filter.MAX_PARTS), (6400, 48), (6400, 2)])
+def test_cascade_with_many_keys(spark, monkeypatch, max_bits, max_parts):
     """Lists long enough for mistakes at several levels."""
+    # As one filter, as several, and as a list too long for filters.
+    monkeypatch.setattr(url_filter, "MAX_BITS", max_bits)
+    monkeypatch.setattr(url_filter, "MAX_PARTS", max_parts)
     listed = [(f"h{i}.com", "/", "block" if i % 3 else "allow") for i in range(0, 3000, 2)]
     pages = [(i, f"http://h{i}.com/x") for i in range(3000)]
     rules = spark.createDataFrame(listed, "host string, path string, verdict string")
