@@ -296,7 +296,7 @@ def grown(rows: list[tuple[tuple, bool]], depth: int, order: tuple[int, ...]) ->
 
 
 @cache
-def trained(pages: tuple[str, ...] = PAGES, depth: int = 8) -> Leaf | Split:
+def trained(pages: tuple[str, ...] = PAGES, depth: int = 10) -> Leaf | Split:
     rows = []
     for blocks in [*map(blocks_of, pages), *drawn()]:
         rows += zip(features(blocks), (b.label for b in blocks), strict=True)
