@@ -229,22 +229,39 @@ def history_page(receipts: DataFrame, page: int, size: int) -> DataFrame:
 
 
 def period_report(receipts: DataFrame, lines: DataFrame, products: DataFrame, start: str, end: str, before_start: str, before_end: str) -> DataFrame:
-    """The report of a day, week or month in long form: (section, label, revenue, quantity), beside the period before."""
-    now = in_period(receipts, start, end)
-    sold = sold_lines(now, lines, products)
-    both = compared(receipts, start, end, before_start, before_end)
-    null = F.lit(None).cast("double")
-    days = daily_breakdown(now, start, end)
-    parts = [
-        both.select(F.lit("total").alias("section"), F.lit("revenue").alias("label"), "revenue", F.col("receipts").cast("double").alias("quantity")),
-        both.select(F.lit("total"), F.lit("previous"), "revenue_before", F.col("receipts_before").cast("double")),
-        payment_mix(now).select(F.lit("payment"), "method", "revenue", F.col("receipts").cast("double")),
-        mix(sold, "category").select(F.lit("category"), "category", "gross", "quantity"),
-        mix(sold, "name").select(F.lit("family"), "name", "gross", "quantity"),
-        weekly_breakdown(now, start, end).select(F.lit("week"), F.col("week_start").cast("string"), "revenue", F.col("receipts").cast("double")),
-        days.select(F.lit("day"), F.col("bucket").cast("string"), "revenue", null),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    """The report of a day, week or month in long form: (section, label, revenue, quantity), beside the period before.
+
+    section total: revenue, previous, growth_percent, average_ticket and gross (lines as recorded); then payment, week, day, category,
+    family (product name) and product (name and variant). The quantity is receipts, or pieces where lines are summed. Receipts and lines
+    are read once each: both are summed to few cells, which count for all sections they belong to.
+    """
+    date = lambda d: F.lit(d).cast("date")
+    entry = lambda section, label: F.struct(F.lit(section).alias("section"), label.cast("string").alias("label"))
+    now, before = F.col("day").between(date(start), date(end)), F.col("day").between(date(before_start), date(before_end))
+    each = receipts.filter(~F.col("voided") & (now | before)).groupBy("day", "method").agg(F.sum("amount").alias("s"), F.count("*").alias("n"))
+    calendar = receipts.sparkSession.sql(f"select explode(sequence(date '{start}', date '{end}')) as day, cast(null as string) as method, cast(null as decimal(38,2)) as s, 0l as n")
+    places = F.array(
+        entry("total", F.lit("revenue")), F.when(now & (F.col("n") > 0), entry("payment", F.col("method"))),
+        F.when(now & (F.col("n") > 0), entry("week", F.greatest(week(), date(start)))), F.when(now, entry("day", F.col("day"))),
+    )
+    cells = each.unionByName(calendar).select("day", "s", "n", F.explode(F.array_compact(places)).alias("at"))
+    sums = cells.groupBy("at.section", "at.label").agg(
+        F.sum(F.when(now, F.col("s"))).alias("s"), F.coalesce(F.sum(F.when(now, F.col("n"))), F.lit(0)).alias("n"), F.sum(F.when(before, F.col("s"))).alias("ps"), F.sum(F.when(before, F.col("n"))).alias("pn"),
+    )
+    revenue, previous, count = money("s"), money("ps"), F.col("n").cast("double")
+    line = lambda label, value, quantity=F.lit(None): F.struct(label.alias("label"), value.alias("revenue"), quantity.cast("double").alias("quantity"))
+    totals = F.array(
+        line(F.lit("revenue"), revenue, count), line(F.lit("previous"), previous, F.coalesce("pn", F.lit(0))), line(F.lit("growth_percent"), growth(revenue, previous)),
+        line(F.lit("average_ticket"), F.when(F.col("n") > 0, F.round(revenue / count, 2)).otherwise(0.0)),
+    )
+    other = F.array(line(F.col("label"), revenue, F.when(F.col("section") != "day", count)))
+    by_receipt = sums.select("section", F.explode(F.when(F.col("section") == "total", totals).otherwise(other)).alias("r")).select("section", "r.label", "r.revenue", "r.quantity")
+
+    sold = sold_lines(in_period(receipts, start, end), lines, products).groupBy("category", "name", "variant").agg(F.sum("amount").alias("s"), F.sum("quantity").alias("q"))
+    none = F.lit(None).cast("string")
+    empty = receipts.sparkSession.range(1).select(none.alias("category"), none.alias("name"), none.alias("variant"), F.lit(None).cast("decimal(38,2)").alias("s"), F.lit(None).cast("decimal(38,2)").alias("q"), F.lit(True).alias("seed"))
+    kinds = F.array(entry("category", F.col("category")), entry("family", F.col("name")), entry("product", product_label()))
+    gross = F.array(entry("total", F.lit("gross")))
+    spread = sold.withColumn("seed", F.lit(False)).unionByName(empty).select("s", "q", F.explode(F.when(F.col("seed"), gross).otherwise(F.concat(gross, kinds))).alias("at"))
+    by_line = spread.groupBy("at.section", "at.label").agg(money(F.sum("s")).alias("revenue"), money(F.sum("q")).alias("quantity"))
+    return by_receipt.union(by_line)

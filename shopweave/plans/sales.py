@@ -57,12 +57,18 @@ def _revenue(period: str, cut: str):
 def _report(start: str, end: str, before_start: str, before_end: str):
     run = lambda s: op.period_report(s.receipts, s.lines, s.products, start, end, before_start, before_end)
     period = f"period AS (SELECT * FROM receipt WHERE NOT voided AND day BETWEEN DATE '{start}' AND DATE '{end}')"
-    return run, sql(f""", {period}, {SOLD}, days AS (SELECT d::DATE AS bucket FROM generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY) g(d))
-        SELECT 'total' AS section, 'revenue' AS label, {money('sum(amount)')} AS revenue, count(*)::DOUBLE AS quantity FROM period
-        UNION ALL SELECT 'total', 'previous', {money('sum(amount)')}, count(*)::DOUBLE FROM receipt WHERE NOT voided AND day BETWEEN DATE '{before_start}' AND DATE '{before_end}'
+    return run, sql(f""", {period}, {SOLD}, days AS (SELECT d::DATE AS bucket FROM generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY) g(d)),
+        before AS (SELECT {money('sum(amount)')} AS previous, count(*)::DOUBLE AS n FROM receipt WHERE NOT voided AND day BETWEEN DATE '{before_start}' AND DATE '{before_end}'),
+        whole AS (SELECT {money('sum(amount)')} AS revenue, count(*)::DOUBLE AS n FROM period)
+        SELECT 'total' AS section, 'revenue' AS label, revenue, n AS quantity FROM whole
+        UNION ALL SELECT 'total', 'previous', previous, n FROM before
+        UNION ALL SELECT 'total', 'growth_percent', {growth('revenue', 'previous')}, NULL FROM whole CROSS JOIN before
+        UNION ALL SELECT 'total', 'average_ticket', CASE WHEN n = 0 THEN 0.0 ELSE round(revenue / n, 2) END, NULL FROM whole
+        UNION ALL SELECT 'total', 'gross', {money('sum(amount)')}, {money('sum(quantity)')} FROM sold
         UNION ALL SELECT 'payment', method, {money('sum(amount)')}, count(*)::DOUBLE FROM period GROUP BY method
         UNION ALL SELECT 'category', category, {money('sum(amount)')}, {money('sum(quantity)')} FROM sold GROUP BY category
         UNION ALL SELECT 'family', name, {money('sum(amount)')}, {money('sum(quantity)')} FROM sold GROUP BY name
+        UNION ALL SELECT 'product', {LABEL}, {money('sum(amount)')}, {money('sum(quantity)')} FROM sold GROUP BY 2
         UNION ALL SELECT 'week', greatest(date_trunc('week', day)::DATE, DATE '{start}')::VARCHAR, {money('sum(amount)')}, count(*)::DOUBLE FROM period GROUP BY 2
         UNION ALL SELECT 'day', bucket::VARCHAR, {money('sum(amount)')}, NULL FROM days LEFT JOIN period ON day = bucket GROUP BY bucket""")
 
