@@ -50,14 +50,12 @@ def month_index(day: str = "day") -> Column:
 
 
 def program_group(label: Column) -> Column:
-    """The feeding program that a label names, without regard to case and accents."""
-    plain = F.lower(F.translate(label, "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc"))
-    plain = F.lower(F.translate(plain, "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ", "aaaaeeeeiiiioooouuuunc"))
-    token = lambda word: plain.rlike(rf"(^|[^a-z0-9]){word}($|[^a-z0-9])")
-    groups = (("dswd", "DSWD"), ("deped", "DepEd"), ("rizal", "Rizal"), ("lgu", "LGU"))
+    """The feeding program that a label's words name, without regard to case and accents; other non-ASCII characters do not count."""
+    plain = F.translate(F.lower(label), "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")
+    words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), "[^a-z0-9]+", " "), F.lit(" "))
     out = F.lit("Unspecified feeding program")
-    for word, name in reversed(groups):
-        out = F.when(token(word), F.lit(name)).otherwise(out)
+    for text, name in ((" rizal ", "Rizal"), ("las pinas", "Las Piñas"), (" deped ", "DepEd"), (" dswd ", "DSWD")):
+        out = F.when(F.contains(words, F.lit(text)), F.lit(name)).otherwise(out)
     return out
 
 

@@ -23,26 +23,57 @@ def source_date(text: Column, sheet_year: Column | int) -> Column:
     return F.coalesce(iso, F.when(fine, made))
 
 
-def canonical_customer(label: Column) -> Column:
-    """A customer's name without marks of cancelled sales, invoice numbers and walk-in notes; upper case."""
-    t = F.upper(clean_label(label))
-    for pattern in (r"\(?\bCANCELLED\b\)?", r"\bSI ?#?\d+\b", r"\bWALK ?-? ?IN\b", r"^\s*[-,:;]+|[-,:;]+\s*$"):
-        t = F.regexp_replace(t, pattern, " ")
-    return F.nullif(clean_label(t), F.lit(""))
+def _reviewed(text: Column, aliases: dict[str, str] | None) -> Column:
+    """The reviewed name for this text, null if there is none; aliases is a short table kept by hand."""
+    if not aliases:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), text)
 
 
-def canonical_product(label: Column) -> Column:
-    """A product's name with one space, codes in upper case."""
-    return F.initcap(clean_label(F.regexp_replace(label, r"[_.]+", " ")))
+def canonical_customer(label: Column, aliases: dict[str, str] | None = None, groups: dict[str, str] | None = None) -> Column:
+    """A customer's name without marks of cancelled sales and invoice numbers; outlet sales and walk-ins are one name each.
+
+    aliases: reviewed names by lower-case label; groups: reviewed names by label without spaces and punctuation. Null if nothing is left.
+    """
+    t = F.regexp_replace(clean_label(label), r"(?i)\(?\s*cancelled\s*\)?", "")
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^[ \-_/]+|[ \-_/]+$", ""), r"(?i)\(SI\d+\)", ""))
+    low = F.lower(t)
+    plain = F.trim(F.regexp_replace(t, r"(?i)/\s*walk-in\b", ""))
+    key = F.lower(plain)
+    named = clean_label(F.coalesce(_reviewed(key, aliases), _reviewed(F.regexp_replace(key, r"\.+$", ""), aliases), plain))
+    named = F.coalesce(_reviewed(F.lower(F.regexp_replace(named, r"[\s._()'’\-]+", "")), groups), named)
+    walk_in = low.startswith("walk-in") | low.startswith("walk in")
+    return F.when(low.startswith("outlet sales"), "Outlet Sales").when(walk_in, "Walk-in").otherwise(F.nullif(named, F.lit("")))
+
+
+def canonical_product(label: Column, names: dict[str, str] | None = None, aliases: dict[str, str] | None = None) -> Column:
+    """A product's reviewed name, else its label, codes of letters and a size in upper case.
+
+    names: reviewed names by match_key; aliases: by lower-case label.
+    """
+    t = clean_label(label)
+    t = F.coalesce(_reviewed(match_key(t), names), t)
+    key = F.lower(t)
+    code = key.rlike(r"^[a-z]{1,5}\d{2,4}$") | key.rlike(r"^pd[lx ]+\d{2,3}$")
+    return F.coalesce(_reviewed(key, aliases), F.when(code, F.upper(t)), t)
+
+
+# Which product names belong to which category; the first that fits counts, at the start, as a whole, or anywhere.
+MILK_STARTS = ("raw milk", "raw300", "fml", "cml", "fm", "cm", "tm", "mm", "pm", "bb", "sb", "cara", "melon", "pandan", "ube", "low fat", "toned milk", "pasteurized milk")
+MILK_NAMES = ("ml", "m300", "m200", "mml", "uns l", "sdl", "sd300", "pyl", "p300", "p200", "pml", "ice", "raw")
+CHEESE_WORDS = ("cheese", "mozza", "yogurt", "yoghurt", "paneer")
+CHEESE_NAMES = ("wc", "mog")
+SNACK_WORDS = ("ice candy", "pastillas", "pdl", "polvoron", "peanut", "chips", "choco", "cone bite", "butcheron", "banana strips", "barquillos", "cornick", "dried fruit")
 
 
 def category_of(name: Column) -> Column:
-    """The first rule that fits a product's name."""
-    rules = ((r"^(red|blue|green)\b", "coloured"), (r"\b(ring|widget)\b", "hardware"), (r"\b(small|large)\b", "sized"))
-    out = F.lit("other")
-    for pattern, kind in reversed(rules):
-        out = F.when(F.lower(name).rlike(pattern), kind).otherwise(out)
-    return out
+    """The category that a product's name tells."""
+    key = F.lower(name)
+    anywhere = lambda words: key.rlike("|".join(words))
+    return (
+        F.when(key.rlike("^(" + "|".join(MILK_STARTS) + ")") | key.isin(*MILK_NAMES), "Milk & Dairy Drinks")
+        .when(anywhere(CHEESE_WORDS) | key.isin(*CHEESE_NAMES), "Cheese & Cultured Dairy").when(anywhere(SNACK_WORDS), "Snacks & Desserts").otherwise("Other Products")
+    )
 
 
 def with_aliases(names: DataFrame, aliases: DataFrame, key: str = "key") -> DataFrame:
@@ -121,7 +152,7 @@ def cross_sheet_duplicates(tickets: DataFrame, keep: str, drop: str) -> DataFram
 def policy_split(lines: DataFrame) -> DataFrame:
     """(receipt_id, kept, excluded, held) of lines (receipt_id, decision, amount, discount): the discount falls by share of the gross, halves up.
 
-    A receipt that mixes kept lines and others, one of them unpriced, is held back.
+    A receipt that mixes kept lines and others, one of them unpriced, is held back: nothing of it is kept.
     """
     zero = F.lit(0).cast("decimal(20,2)")
     keep = F.col("decision") == "dairy"
@@ -131,7 +162,8 @@ def policy_split(lines: DataFrame) -> DataFrame:
     )
     cents = F.expr("if(g = 0, 0, (2 * cast(d * 100 as decimal(18,0)) * cast(k * 100 as decimal(18,0)) + cast(g * 100 as decimal(18,0))) div (2 * cast(g * 100 as decimal(18,0))))")
     share = (cents / 100).cast("decimal(20,2)")
-    return sums.select("receipt_id", (F.col("k") - share).cast("double").alias("kept"), (F.col("g") - F.col("k") - (F.col("d") - share)).cast("double").alias("excluded"), "held")
+    kept, held = F.when(F.col("held"), zero).otherwise(F.col("k") - share), F.col("held")
+    return sums.select("receipt_id", kept.cast("double").alias("kept"), (F.col("g") - F.col("d") - kept).cast("double").alias("excluded"), held)
 
 
 def segment_of(label: Column, flags: Column) -> Column:
@@ -177,18 +209,24 @@ def receipt_discount(receipts: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("id", F.col("sub").cast("double").alias("subtotal"), (F.col("sub") - F.col("amount")).cast("double").alias("discount"))
 
 
+def product_keys() -> dict[str, Column]:
+    """What makes two products one: name, unit and variant without regard to case and spaces at the ends."""
+    return {"key": match_key(F.col("name")), "unit_key": F.lower(F.trim("unit")), "variant_key": F.lower(F.trim(F.coalesce("variant", F.lit(""))))}
+
+
 def product_merge_plan(products: DataFrame) -> DataFrame:
-    """Products with one name key, unit and variant: the least id stays, with the shortest name."""
-    groups = products.groupBy(match_key(F.col("name")).alias("key"), "unit", "variant").agg(
-        F.min("product_id").alias("keeper"), F.count("*").alias("members"), F.min(F.struct(F.length("name"), F.col("name")))["name"].alias("name")
+    """Products with the same product_keys: the least id stays, with the shortest name, of several the one of the least id."""
+    groups = products.withColumns(product_keys()).groupBy("key", "unit_key", "variant_key").agg(
+        F.min("product_id").alias("keeper"), F.count("*").alias("members"), F.min(F.struct(F.length("name"), F.col("product_id"), F.col("name")))["name"].alias("name")
     )
     return groups.filter("members > 1")
 
 
 def merge_map(products: DataFrame, plan: DataFrame) -> DataFrame:
     """(product_id, keeper) of every product that goes."""
-    keyed = products.withColumn("key", match_key(F.col("name"))).select("product_id", "key", "unit", "variant")
-    return keyed.join(plan.select("key", "unit", "variant", "keeper"), ["key", "unit", "variant"]).filter("product_id <> keeper").select("product_id", "keeper")
+    keys = list(product_keys())
+    keyed = products.withColumns(product_keys()).select("product_id", *keys)
+    return keyed.join(plan.select(*keys, "keeper"), keys).filter("product_id <> keeper").select("product_id", "keeper")
 
 
 def merge_apply(table: DataFrame, mapping: DataFrame, key: str = "product_id") -> DataFrame:
@@ -198,10 +236,25 @@ def merge_apply(table: DataFrame, mapping: DataFrame, key: str = "product_id") -
     return table.join(to, key, "left").withColumn(key, F.coalesce("_keeper", key)).select(*names)
 
 
-def customer_merge_plan(customers: DataFrame) -> DataFrame:
-    """Customers with one canonical name: merged, or for review where their contacts differ: customers (customer_id, name, contact)."""
-    groups = customers.groupBy(canonical_customer(F.col("name")).alias("key")).agg(F.min("customer_id").alias("keeper"), F.count("*").alias("members"), F.countDistinct("contact").alias("contacts"))
-    return groups.filter("key is not null and members > 1").select("key", "keeper", "members", F.when(F.col("contacts") > 1, "review").otherwise("merge").alias("decision"))
+def customer_merge_plan(customers: DataFrame, reviewed: tuple[str, ...] = (), aliases: dict[str, str] | None = None, groups: dict[str, str] | None = None) -> DataFrame:
+    """Customers (customer_id, name, phone, email, address) with one canonical name: (key, keeper, members, decision, conflicts).
+
+    They are for review where a contact differs (conflicting_contact), or where all are spelled alike, the name is not a reviewed
+    one and no phone or email that all of them have confirms it (unconfirmed). The keeper has the canonical name already, else the least id.
+    """
+    fields = ("phone", "email", "address")
+    rows = customers.withColumn("canonical", canonical_customer(F.col("name"), aliases, groups)).filter("canonical is not null")
+    value = lambda c: F.nullif(F.lower(clean_label(F.col(c))), F.lit(""))
+    sums = rows.groupBy(F.lower("canonical").alias("key")).agg(
+        F.min(F.struct(F.col("name") != F.col("canonical"), F.col("customer_id")))["customer_id"].alias("keeper"), F.count("*").alias("members"),
+        F.min(F.struct("customer_id", "canonical"))["canonical"].alias("canonical"), F.countDistinct(F.lower(F.trim("name"))).alias("spellings"),
+        *[F.countDistinct(value(c)).alias(f"{c}_values") for c in fields], *[F.count(value(c)).alias(f"{c}_given") for c in fields],
+    )
+    conflicts = F.array_compact(F.array(*[F.when(F.col(f"{c}_values") > 1, F.lit(c)) for c in fields]))
+    sure = F.exists(F.array(*[(F.col(f"{c}_values") == 1) & (F.col(f"{c}_given") == F.col("members")) for c in ("phone", "email")]), lambda x: x)
+    unsure = (F.col("spellings") == 1) & ~sure & (~F.col("canonical").isin(*reviewed) if reviewed else F.lit(True))
+    decision = F.when(F.size(conflicts) > 0, "conflicting_contact").when(unsure, "unconfirmed").otherwise("merge")
+    return sums.filter("members > 1").select("key", "keeper", "members", decision.alias("decision"), F.array_join(conflicts, ",").alias("conflicts"))
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -128,12 +128,22 @@ def ledger_columns(sales: DataFrame, receipts: DataFrame, start: str, end: str)
     return found.join(names, "buyer").select("buyer", "name", F.lower("name").alias("sort_name"))
 
 
-def remarks(adjustments: DataFrame, batches: DataFrame, start: str, end: str) -> DataFrame:
-    """Per product one text of its adjustments by kind, in order."""
-    found = adjustments.filter(F.col("day").between(day(start), day(end))).join(batches.select("batch_id", "product_id"), "batch_id")
-    sums = found.groupBy("product_id", "kind").agg(F.sum("quantity").alias("q"))
-    text = F.concat("kind", F.lit(" "), F.col("q").cast("decimal(20,2)").cast("string"))
-    return sums.groupBy("product_id").agg(F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("remarks"))
+def remarks(adjustments: DataFrame, returns: DataFrame, batches: DataFrame, start: str, end: str, on_hand: bool = False) -> DataFrame:
+    """Per product one text of its remarks, in order: what is expired or disposed of but still on hand (on_hand), each adjustment of the
+    range with its kind, each return of cancelled sales. It grows with a product's adjustments within the range, as the report does."""
+    own = batches.filter(~F.col("reference_only") & (F.col("received") <= day(end)))
+    plain = lambda c: F.regexp_replace(F.col(c).cast("decimal(20,2)").cast("string"), r"\.?0+$", "")
+    entry = lambda rank, when, text: F.struct(F.lit(rank).alias("rank"), when.alias("day"), text.alias("text")).alias("r")
+    inside = F.col("day").between(day(start), day(end))
+    of = own.select("batch_id", F.col("product_id").alias("of"))
+    parts = adjustments.filter(inside).join(of, "batch_id").select("of", entry(1, F.col("day"), F.concat_ws(" ", plain("quantity"), "kind")))
+    back = returns.filter(inside & (F.col("quantity") > 0)).join(of, "batch_id").select("of", entry(2, F.col("day"), F.concat(plain("quantity"), F.lit(" returned from cancelled sale"))))
+    parts = parts.union(back)
+    if on_hand:
+        marked = F.col("status").isin("expired", "disposed")
+        left = own.filter((F.col("remaining") > 0) & (marked | (F.col("expiry") < day(end))))
+        parts = parts.union(left.select("product_id", entry(0, F.col("expiry"), F.concat_ws(" ", plain("remaining"), F.when(marked, F.col("status")).otherwise("expired"), F.lit("on hand")))))
+    return parts.groupBy(F.col("of").alias("product_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"]), "; ").alias("remarks"))
 
 
 def fefo_shares(demands: DataFrame, batches: DataFrame) -> DataFrame:
@@ -231,13 +241,21 @@ def void_returns(lines: DataFrame, batches: DataFrame, as_of: str) -> DataFrame:
 
 
 def alerts(receipts: DataFrame, products: DataFrame, batches: DataFrame, as_of: str) -> DataFrame:
-    """What a user should know now, each with a hash of its content: (key, kind, revision)."""
-    low = low_stock(products, batches, as_of).select(F.lit("low").alias("kind"), F.col("product_id").cast("string").alias("of"), F.to_json(F.struct("stock")).alias("content"))
-    old = expired(batches, as_of).select(F.lit("expired"), F.col("batch_id").cast("string"), F.to_json(F.struct("remaining", "expiry")))
-    soon = expiring(batches, as_of).select(F.lit("expiring"), F.col("batch_id").cast("string"), F.to_json(F.struct("remaining", "expiry", "label")))
-    orders = receipts.filter("not voided").orderBy(F.desc("created_at"), F.desc("id")).limit(2).select(F.lit("order"), F.col("id").cast("string"), F.to_json(F.struct("amount", "status")))
-    every = low.union(old).union(soon).union(orders)
-    return every.select(F.concat_ws(":", "kind", "of").alias("key"), "kind", F.sha2("content", 256).alias("revision"))
+    """What a user should know now, each with a hash of its content: (key, kind, title, revision).
+
+    All low products are one alert, whose hash is made of their number and of summed hashes of each one's stock, so that no list of
+    them is gathered; batches expired or about to expire have one each, and so have the last two orders.
+    """
+    digest = lambda *parts: F.sha2(F.concat_ws("|", *parts), 256)
+    each = F.conv(F.substring(F.md5(F.concat_ws("|", "product_id", F.col("stock").cast("decimal(20,2)"))), 1, 15), 16, 10).cast("decimal(38,0)")
+    low = low_stock(products, batches, as_of).agg(F.count("*").alias("n"), F.sum(each).alias("s")).filter("n > 0")
+    low = low.select(F.lit("low-stock-products").alias("key"), F.lit("warning").alias("kind"), F.concat(F.col("n"), F.lit(" products below minimum stock")).alias("title"), digest("n", "s", F.lit(LOW)).alias("revision"))
+    danger = lambda rows, state, title: rows.select(F.concat(F.lit("expiry-product-"), "batch_id"), F.lit("danger"), F.lit(title), digest("batch_id", "expiry", state))
+    old = danger(expired(batches, as_of), F.lit("expired"), "expired")
+    soon = danger(expiring(batches, as_of), F.col("label"), "expiring")
+    orders = receipts.filter("not voided").orderBy(F.desc("created_at"), F.desc("id")).limit(2)
+    orders = orders.select(F.concat(F.lit("fulfilled-"), "id"), F.lit("success"), F.concat(F.lit("order "), "id"), digest("id", "status", "amount", "day"))
+    return low.union(old).union(soon).union(orders)
 
 
 def acknowledged(live: DataFrame, seen: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopweave.functions.columns import month, month_index, week
+from shopweave.functions.columns import money, month, month_index, program_group, week
 
 
 def on_calendar(rows: DataFrame, step: str = "1 month", *keys: str) -> DataFrame:
@@ -94,7 +94,7 @@ def error_metrics(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n"), share(F.sum(F.abs(error))).alias("wape"), share(F.sum(error)).alias("bias_percent"), F.round(F.avg(F.abs(error)), 4).alias("mae"), F.round(F.avg(error), 4).alias("bias"),
         F.round(F.sqrt(F.avg(error * error)), 4).alias("rmse"), F.round(F.max(F.abs(error)), 4).alias("max_error"), F.round(F.avg(error * error), 4).alias("mse"),
-        F.round(F.avg(F.when(F.col("actual") != 0, F.abs(error / F.col("actual")))) * 100, 4).alias("mape"), F.count(F.when(F.col("actual") == 0, 1)).alias("zero_actuals"),
+        F.round(F.avg(F.when(F.col("actual") != 0, F.abs(error / F.col("actual")))) * 100, 4).alias("mape"), F.count(F.when(F.col("actual") == 0, 1)).alias("zero_actuals"), F.round(F.stddev_pop(error), 2).alias("error_stddev"),
     )
 
 
@@ -191,13 +191,17 @@ def combined(views: DataFrame, *keys: str) -> DataFrame:
 def issued_asof(issues: DataFrame) -> DataFrame:
     """Per target the last complete bundle of three views issued before it began, where combined is the sum of the others to a cent.
 
-    issues (run_id, target, view, value, issued).
+    Where no bundle is complete, the last regular and the last feeding value issued, from whichever runs, and no combined one.
+    issues (run_id, target, view, value, issued); run_id is null for the latter.
     """
     before = issues.filter("issued < target")
     runs = before.groupBy("target", "run_id", "issued").pivot("view", ["regular", "feeding", "combined"]).agg(F.max("value"))
-    whole = runs.filter(F.abs(F.col("regular") + F.col("feeding") - F.col("combined")) <= 0.01)
-    last = whole.groupBy("target").agg(F.max(F.struct("issued", "run_id", "regular", "feeding", "combined")).alias("b"))
-    return last.select("target", "b.run_id", "b.regular", "b.feeding", "b.combined")
+    whole = F.abs(F.col("regular") + F.col("feeding") - F.col("combined")) <= 0.01
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct("issued", "run_id", F.col(c).alias("v")))
+    last = runs.groupBy("target").agg(F.max(F.when(whole, F.struct("issued", "run_id", "regular", "feeding", "combined"))).alias("b"), F.max(at("regular")).alias("r"), F.max(at("feeding")).alias("f"))
+    last = last.filter("b is not null or r is not null or f is not null")
+    pick = lambda bundle, single: F.when(F.col("b").isNotNull(), F.col(bundle)).otherwise(F.col(single))
+    return last.select("target", "b.run_id", pick("b.regular", "r.v").alias("regular"), pick("b.feeding", "f.v").alias("feeding"), "b.combined")
 
 
 def matched_coverage(periods: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -210,36 +214,78 @@ def prospective_scores(issued: DataFrame, actuals: DataFrame, *keys: str) -> Dat
     """Errors of issued forecasts (keys, bucket, value, lower, upper, baseline) against actuals (keys, bucket, actual)."""
     both = issued.join(actuals, [*keys, "bucket"])
     error = F.col("value") - F.col("actual")
-    return both.select(*keys, "bucket", F.round(error, 4).alias("error"), F.round(F.abs(error), 4).alias("abs_error"), F.round(F.abs(F.col("baseline") - F.col("actual")), 4).alias("baseline_error"), F.col("actual").between(F.col("lower"), F.col("upper")).alias("inside"))
+    return both.select(*keys, "bucket", "actual", F.round(error, 4).alias("error"), F.round(F.abs(error), 4).alias("abs_error"), F.round(F.abs(F.col("baseline") - F.col("actual")), 4).alias("baseline_error"), F.col("actual").between(F.col("lower"), F.col("upper")).alias("inside"))
 
 
 def prospective_report(issued: DataFrame, scores: DataFrame, *keys: str) -> DataFrame:
+    """Issued, scored and awaiting forecasts of each key, and their errors in percent of the actuals; those that have a baseline beside it."""
     rows = issued.select(*keys, "bucket").join(scores, [*keys, "bucket"], "left")
+    size, both = F.abs("actual"), F.col("baseline_error").isNotNull()
+    share = lambda error, of: F.when(F.sum(of) > 0, F.round(F.sum(error) * 100 / F.sum(of), 3))
     return rows.groupBy(*keys).agg(
         F.count("*").alias("issued"), F.count("error").alias("scored"), (F.count("*") - F.count("error")).alias("awaiting"), F.round(F.avg("abs_error"), 3).alias("mae"), F.round(F.avg("error"), 3).alias("bias"),
-        F.round(F.avg(F.col("inside").cast("double")) * 100, 3).alias("coverage"),
+        F.round(F.avg(F.col("inside").cast("double")) * 100, 3).alias("coverage"), share(F.col("abs_error"), size).alias("wape"), F.count("baseline_error").alias("paired"),
+        share(F.col("baseline_error"), F.when(both, size)).alias("baseline_wape"), share(F.when(both, F.col("abs_error")), F.when(both, size)).alias("paired_wape"),
     )
 
 
-def quality_gate(scores: DataFrame, runs: DataFrame, *keys: str, months: int = 12, limit: float = 8.0) -> DataFrame:
-    """Why a key's forecasts are not good enough: scores (keys, wape, baseline_wape), runs (keys, months, age)."""
-    both = runs.join(scores, list(keys), "left")
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("months") < months, F.lit("history")), F.when(F.col("wape").isNull(), F.lit("unscored")), F.when(F.col("wape") >= limit, F.lit("error")),
-            F.when(F.col("wape") > F.col("baseline_wape"), F.lit("baseline")), F.when(F.col("age") > 1, F.lit("stale")),
-        )
+def quality_gate(runs: DataFrame, entries: DataFrame, covered: DataFrame, as_of: str, *keys: str, months: int = 12, limit: float = 8.0) -> DataFrame:
+    """Why a key's forecasts are not good enough to be relied on, in the order below; none if they are.
+
+    runs (keys, trained_through, trained, error, baseline_error): history long enough, and errors of the test months in percent, the model's below limit and not above the baseline's.
+    entries (keys, bucket, actual, predicted, baseline): forecasts saved before their month and scored by reviewed actuals; the last
+    unbroken run of them counts, its latest `months`. covered (keys, bucket): reviewed months.
+    """
+    run = latest_run(entries, F.year("bucket") * 12 + F.month("bucket"), *keys)
+    recent = run.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("bucket")))).filter(F.col("back") <= months)
+    percent = lambda c: F.when(F.sum(F.abs("actual")) > 0, F.round(F.sum(F.abs(F.col(c) - F.col("actual"))) * 100 / F.sum(F.abs("actual")), 4))
+    proof = recent.groupBy(*keys).agg(F.count("*").alias("n"), F.max("bucket").alias("last"), percent("predicted").alias("w"), percent("baseline").alias("b"))
+    seen = covered.select(*keys, "bucket").distinct().join(runs.select(*keys, "trained_through"), list(keys))
+    seen = seen.filter(F.col("bucket").between(F.add_months("trained_through", 1 - months), F.col("trained_through"))).groupBy(*keys).agg(F.count("*").alias("seen"))
+    full = runs.join(proof, list(keys), "left").join(seen, list(keys), "left").na.fill(0, ["n", "seen"])
+    enough, ahead = F.col("n") >= months, F.add_months(F.trunc(F.lit(as_of).cast("date"), "month"), -1)
+    tests = (
+        (~F.col("trained"), "history"), (F.col("trained_through") < ahead, "stale_training"), (F.col("seen") < months, "coverage"),
+        (F.col("error").isNull() | (F.col("error") >= limit) | (F.col("error") > F.col("baseline_error")), "retrospective"), (~enough, "few_prospective_months"),
+        (enough & (F.col("last") < ahead), "stale_evidence"), (enough & (F.col("w").isNull() | (F.col("w") >= limit)), "error"),
+        (enough & (F.col("w").isNull() | F.col("b").isNull() | (F.col("w") > F.col("b"))), "baseline"),
     )
-    return both.select(*keys, F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
+    reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in tests]))
+    return full.select(*keys, F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
+
 
+def freshness(rows: DataFrame, as_of: str, unit: str, key: str) -> DataFrame:
+    """Last observed day, week or month (unit) of each key against the last closed one before as_of, and the worst state as `combined`.
 
-def freshness(rows: DataFrame, as_of: str, *keys: str) -> DataFrame:
-    """Last month seen against the last closed month before as_of."""
-    closed = F.add_months(F.trunc(F.lit(as_of).cast("date"), "month"), -1)
-    each = rows.groupBy(*keys).agg(F.max("bucket").alias("last_bucket"))
-    behind = F.months_between(closed, "last_bucket").cast("int")
-    state = F.when(F.col("last_bucket").isNull(), "unavailable").when(behind <= 0, "current").otherwise("stale")
-    return each.select(*keys, "last_bucket", F.greatest(behind, F.lit(0)).alias("missing"), state.alias("state"))
+    rows (key, bucket): bucket is the first day of what was observed; null where a key has nothing.
+    """
+    date = F.lit(as_of).cast("date")
+    closed = {"day": F.date_sub(date, 1), "week": F.date_sub(F.to_date(F.date_trunc("week", date)), 7), "month": F.add_months(F.trunc(date, "month"), -1)}[unit]
+    steps = {"day": F.date_diff(closed, "last"), "week": F.floor(F.date_diff(closed, "last") / 7), "month": F.months_between(closed, "last")}[unit].cast("int")
+    each = rows.groupBy(key).agg(F.max("bucket").alias("last")).withColumn("missing", F.when(F.col("last").isNotNull(), F.greatest(steps, F.lit(0))))
+    state = F.when(F.col("last").isNull(), "unavailable").when(F.col("missing") > 0, "stale").otherwise("current")
+    each = each.select(key, F.col("last").alias("last_bucket"), "missing", state.alias("state"))
+    stale, known = F.coalesce(F.bool_or(F.col("state") == "stale"), F.lit(False)), F.coalesce(F.bool_and(F.col("state") == "current"), F.lit(False))
+    whole = each.agg(F.when(stale, "stale").when(known, "current").otherwise("unavailable").alias("state"))
+    return each.union(whole.select(F.lit("combined"), F.lit(None).cast("date"), F.lit(None).cast("int"), "state"))
+
+
+def feeding_study(sales: DataFrame, as_of: str) -> DataFrame:
+    """What is recorded of feeding programs: sales (day, label, revenue) to (section, label, invoices, revenue, months).
+
+    Sections: all (label: first and last day; months: complete months since the last), month (each of the span, without sales too),
+    program (by program_group). Absence of invoices is no proof of no demand.
+    """
+    cells = sales.groupBy(month().alias("bucket"), program_group(F.col("label")).alias("program")).agg(F.count("*").alias("n"), F.sum("revenue").alias("s"), F.min("day").alias("lo"), F.max("day").alias("hi"))
+    whole = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("n is not null")
+    since = F.months_between(F.add_months(F.trunc(F.lit(as_of).cast("date"), "month"), -1), F.trunc("hi", "month")).cast("int")
+    none, total = F.lit(None).cast("int"), money("s").alias("revenue")
+    rows = whole.select(F.lit("all").alias("section"), F.concat_ws("/", "lo", "hi").alias("label"), F.col("n").alias("invoices"), total, F.greatest(since, F.lit(0)).alias("months"))
+    months = whole.select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"))).alias("bucket"))
+    by_month = months.join(cells.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "bucket", "left")
+    rows = rows.union(by_month.select(F.lit("month"), F.col("bucket").cast("string"), F.coalesce("n", F.lit(0)), total, none))
+    by_program = cells.groupBy("program").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return rows.union(by_program.select(F.lit("program"), "program", "n", total, none))
 
 
 def availability(points: DataFrame, *keys: str) -> DataFrame:

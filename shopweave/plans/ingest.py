@@ -15,16 +15,34 @@ MONEY_TEXT = "case id % 4 when 0 then concat('₱', cast(amount as string)) when
 MONEY_SQL = "CASE id % 4 WHEN 0 THEN '₱' || amount::VARCHAR WHEN 1 THEN ' ' || amount::VARCHAR || ' ' WHEN 2 THEN 'n/a' ELSE id::VARCHAR || '.12' || (id % 10)::VARCHAR END"
 DATE_TEXT = """case id % 5 when 0 then date_format(day, 'yyyy-MM-dd') when 1 then date_format(day, 'M/d/yyyy') when 2 then date_format(day, 'M/d/yy')
     when 3 then if(dayofmonth(day) > 12, date_format(day, 'd/M/yyyy'), date_format(day, 'MM.dd.yyyy')) else concat(month(day), '/31x/', year(day)) end"""
-NAME_TEXT = "concat(if(id % 5 = 0, '  Walk-in ', ''), label, if(id % 3 = 0, '  (CANCELLED) ', ''), if(id % 7 = 0, ' SI #123', ''))"
-NAME_SQL = "CASE WHEN id % 5 = 0 THEN '  Walk-in ' ELSE '' END || label || CASE WHEN id % 3 = 0 THEN '  (CANCELLED) ' ELSE '' END || CASE WHEN id % 7 = 0 THEN ' SI #123' ELSE '' END"
+NAME_TEXT = "concat(if(id % 15 = 0, '  Walk-in ', ''), label, if(id % 3 = 0, '  (CANCELLED) ', ''), if(id % 7 = 0, ' (SI123)', if(id % 11 = 0, '/ walk-in', '')))"
+NAME_SQL = "CASE WHEN id % 15 = 0 THEN '  Walk-in ' ELSE '' END || label || CASE WHEN id % 3 = 0 THEN '  (CANCELLED) ' ELSE '' END || CASE WHEN id % 7 = 0 THEN ' (SI123)' WHEN id % 11 = 0 THEN '/ walk-in' ELSE '' END"
 CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
+#: Names that a clerk has reviewed, by lower-case label; and the same by the label without spaces and punctuation.
+CUSTOMER_ALIASES = {"depedx milk": "School Milk", "féeding dswd": "DSWD Milk"}
+CUSTOMER_GROUPS = {"rizalfeedingnorth": "Rizal Feeding"}
+PRODUCT_NAMES = {"redring": "Ring, red", "bluering": "Ring, blue"}
+PRODUCT_ALIASES = {"mx100": "Mixed 100ml"}
+PRODUCT_TEXT = "case product_id % 4 when 0 then concat(' ', name) when 1 then concat('mx', cast(100 + product_id % 900 as string)) when 2 then concat(initcap(name), '  (big)') else concat('pd', if(product_id % 8 = 3, 'l', 'x'), ' ', cast(product_id % 100 as string)) end"
+PRODUCT_SQL = "CASE product_id % 4 WHEN 0 THEN ' ' || name WHEN 1 THEN 'mx' || (100 + product_id % 900) WHEN 2 THEN array_to_string(list_transform(string_split(name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || '  (big)' ELSE 'pd' || CASE WHEN product_id % 8 = 3 THEN 'l' ELSE 'x' END || ' ' || (product_id % 100) END"
+KIND_TEXT = "concat(element_at(array('', 'Raw Milk ', 'kesong CHEESE ', 'Choco ', 'cone bite '), cast(product_id % 5 + 1 as int)), name)"
+KIND_SQL = "['', 'Raw Milk ', 'kesong CHEESE ', 'Choco ', 'cone bite '][product_id % 5 + 1] || name"
+
+
+def reviewed_sql(text: str, aliases: dict[str, str]) -> str:
+    return f"CASE {text} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in aliases.items()) + " END"
+
+
 def canonical(x: str) -> str:
-    out = f"upper({CLEAN.format(x)})"
-    for p in (r"\(?\bCANCELLED\b\)?", r"\bSI ?#?\d+\b", r"\bWALK ?-? ?IN\b", r"^\s*[-,:;]+|[-,:;]+\s*$"):
-        out = f"regexp_replace({out}, '{p}', ' ', 'g')"
-    return f"nullif({CLEAN.format(out)}, '')"
+    t = rf"regexp_replace({CLEAN.format(x)}, '\(?\s*cancelled\s*\)?', '', 'gi')"
+    t = rf"trim(regexp_replace(regexp_replace({t}, '^[ \-_/]+|[ \-_/]+$', '', 'g'), '\(SI\d+\)', '', 'gi'))"
+    plain = rf"trim(regexp_replace({t}, '/\s*walk-in\b', '', 'gi'))"
+    named = CLEAN.format(f"coalesce({reviewed_sql(f'lower({plain})', CUSTOMER_ALIASES)}, {plain})")
+    bare = rf"lower(regexp_replace({named}, '[\s._()''’\-]+', '', 'g'))"
+    return f"""CASE WHEN starts_with(lower({t}), 'outlet sales') THEN 'Outlet Sales' WHEN starts_with(lower({t}), 'walk-in') OR starts_with(lower({t}), 'walk in') THEN 'Walk-in'
+        ELSE nullif(coalesce({reviewed_sql(bare, CUSTOMER_GROUPS)}, {named}), '') END"""
 
 
 KEY = r"lower(regexp_replace({}, '[\s()]+', '', 'g'))"
@@ -33,7 +51,22 @@ SPLIT = f"""lined AS (SELECT l.receipt_id, coalesce(p.decision, 'review') AS dec
     sums AS (SELECT receipt_id, coalesce(sum(CASE WHEN decision = 'dairy' THEN amount END), 0) AS k, coalesce(sum(amount), 0) AS g, max(d) AS d,
         bool_or(decision = 'dairy') AND bool_or(decision <> 'dairy') AND bool_or(amount IS NULL) AS held FROM lined GROUP BY 1),
     shared AS (SELECT *, (CASE WHEN g = 0 THEN 0 ELSE (2 * (d * 100)::HUGEINT * (k * 100)::HUGEINT + (g * 100)::HUGEINT) // (2 * (g * 100)::HUGEINT) END::DECIMAL(20,0) / 100)::DECIMAL(20,2) AS s FROM sums),
-    split AS (SELECT receipt_id, (k - s)::DOUBLE AS kept, (g - k - (d - s))::DOUBLE AS excluded, held FROM shared)"""
+    split AS (SELECT receipt_id, CASE WHEN held THEN 0 ELSE k - s END::DOUBLE AS kept, CASE WHEN held THEN g - d ELSE g - k - (d - s) END::DOUBLE AS excluded, held FROM shared)"""
+
+#: Products spelled with other cases and spaces; customers of 40 names, some with contacts of their own.
+SPELLED = """, spelled AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN product_id % 3 = 0 THEN ' ' || lower(unit) ELSE unit END AS unit,
+    CASE WHEN product_id % 6 = 0 THEN NULL ELSE variant END AS variant FROM product)"""
+CLIENTS_TEXT = (
+    "customer_id", "concat(if(customer_id % 40 < 30 and customer_id % 3 = 0, ' client ', 'Client '), customer_id % 40) as name", "case when customer_id % 40 between 10 and 14 then concat('0', customer_id % 40, ' ') when customer_id % 40 = 15 then concat('1', customer_id) end as phone",
+    "if(customer_id % 40 between 14 and 18 and customer_id % 2 = 0, concat(' M', customer_id % 3, '@x'), '') as email", "if(customer_id % 40 > 36, 'Street', null) as address",
+)
+CLIENTS_SQL = """customer_id, CASE WHEN customer_id % 40 < 30 AND customer_id % 3 = 0 THEN ' client ' ELSE 'Client ' END || (customer_id % 40) AS name,
+    CASE WHEN customer_id % 40 BETWEEN 10 AND 14 THEN '0' || (customer_id % 40) || ' ' WHEN customer_id % 40 = 15 THEN '1' || customer_id END AS phone,
+    CASE WHEN customer_id % 40 BETWEEN 14 AND 18 AND customer_id % 2 = 0 THEN ' M' || (customer_id % 3) || '@x' ELSE '' END AS email, CASE WHEN customer_id % 40 > 36 THEN 'Street' END AS address"""
+
+
+def _spelled(s: Shop):
+    return s.products.selectExpr("product_id", "if(product_id % 2 = 0, upper(name), name) as name", "if(product_id % 3 = 0, concat(' ', lower(unit)), unit) as unit", "if(product_id % 6 = 0, null, variant) as variant")
 
 
 def _split(s: Shop):
@@ -85,16 +118,20 @@ QUERIES = {
         lambda s: s.receipts.select("id", op.source_date(F.expr(DATE_TEXT), 1998).alias("parsed")),
         sql("SELECT id, CASE id % 5 WHEN 4 THEN NULL WHEN 2 THEN CASE WHEN year(day) < 2000 THEN make_date(year(day) + 100, month(day), dayofmonth(day)) ELSE day END ELSE day END AS parsed FROM receipt"),
     ),
-    "canonical_customer": (lambda s: s.receipts.select("id", op.canonical_customer(F.expr(NAME_TEXT)).alias("customer")), sql(f"SELECT id, {canonical(NAME_SQL)} AS customer FROM receipt")),
+    "canonical_customer": (
+        lambda s: s.receipts.select("id", op.canonical_customer(F.expr(NAME_TEXT), CUSTOMER_ALIASES, CUSTOMER_GROUPS).alias("customer")),
+        sql(f"SELECT id, {canonical(NAME_SQL)} AS customer FROM receipt"),
+    ),
     "canonical_product": (
-        lambda s: op.with_aliases(s.products.select("product_id", op.canonical_product(F.concat_ws("_", "name", "unit")).alias("name")), s.products.sparkSession.createDataFrame([("redringunit", "Ring, red")], "key string, alias string")).select("product_id", "key", "canonical"),
-        sql(f""", n AS (SELECT product_id, array_to_string(list_transform(string_split({CLEAN.format("regexp_replace(name || '_' || unit, '[_.]+', ' ', 'g')")}, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS name FROM product)
-            SELECT product_id, {KEY.format('name')} AS key, CASE WHEN {KEY.format('name')} = 'redringunit' THEN 'Ring, red' ELSE name END AS canonical FROM n"""),
+        lambda s: s.products.select("product_id", op.canonical_product(F.expr(PRODUCT_TEXT), PRODUCT_NAMES, PRODUCT_ALIASES).alias("product")),
+        sql(f""", t AS (SELECT product_id, {CLEAN.format(PRODUCT_SQL)} AS t FROM product), n AS (SELECT product_id, coalesce({reviewed_sql(KEY.format('t'), PRODUCT_NAMES)}, t) AS n FROM t)
+            SELECT product_id, coalesce({reviewed_sql('lower(n)', PRODUCT_ALIASES)}, CASE WHEN regexp_full_match(lower(n), '[a-z]{{1,5}}[0-9]{{2,4}}|pd[lx ]+[0-9]{{2,3}}') THEN upper(n) ELSE n END) AS product FROM n"""),
     ),
     "category_rules": (
-        lambda s: s.products.select("product_id", op.category_of(F.col("name")).alias("kind")),
-        sql(r"""SELECT product_id, CASE WHEN regexp_matches(lower(name), '^(red|blue|green)\b') THEN 'coloured' WHEN regexp_matches(lower(name), '\b(ring|widget)\b') THEN 'hardware'
-            WHEN regexp_matches(lower(name), '\b(small|large)\b') THEN 'sized' ELSE 'other' END AS kind FROM product"""),
+        lambda s: s.products.select("product_id", op.category_of(F.expr(KIND_TEXT)).alias("kind")),
+        sql(f"""SELECT product_id, CASE WHEN {' OR '.join(f"starts_with(n, '{w}')" for w in op.MILK_STARTS)} OR n IN {op.MILK_NAMES} THEN 'Milk & Dairy Drinks'
+            WHEN {' OR '.join(f"contains(n, '{w}')" for w in op.CHEESE_WORDS)} OR n IN {op.CHEESE_NAMES} THEN 'Cheese & Cultured Dairy'
+            WHEN {' OR '.join(f"contains(n, '{w}')" for w in op.SNACK_WORDS)} THEN 'Snacks & Desserts' ELSE 'Other Products' END AS kind FROM (SELECT product_id, lower({KIND_SQL}) AS n FROM product)"""),
     ),
     "ticketize_rows": (lambda s: op.ticketize(sheet_rows(s)), None),
     "source_issues": (
@@ -144,18 +181,24 @@ QUERIES = {
             SELECT id, greatest(coalesce(gross, 0), amount)::DOUBLE AS subtotal, (greatest(coalesce(gross, 0), amount) - amount)::DOUBLE AS discount FROM receipt LEFT JOIN g ON receipt_id = id"""),
     ),
     "product_merge_plan": (
-        lambda s: op.product_merge_plan(s.products),
-        sql(f"SELECT {KEY.format('name')} AS key, unit, variant, min(product_id) AS keeper, count(*) AS members, arg_min(name, (length(name), name)) AS name FROM product GROUP BY 1, 2, 3 HAVING count(*) > 1"),
+        lambda s: op.product_merge_plan(_spelled(s)),
+        sql(f"""{SPELLED} SELECT {KEY.format('name')} AS key, lower(trim(unit)) AS unit_key, lower(trim(coalesce(variant, ''))) AS variant_key, min(product_id) AS keeper, count(*) AS members,
+            arg_min(name, (length(name), product_id)) AS name FROM spelled GROUP BY 1, 2, 3 HAVING count(*) > 1"""),
     ),
     "product_merge_apply": (
-        lambda s: op.merge_apply(s.lines.select("product_id", "amount"), op.merge_map(s.products, op.product_merge_plan(s.products))).groupBy("product_id").agg(F.count("*").alias("rows"), op_money()),
-        sql(f""", k AS (SELECT product_id, min(product_id) OVER (PARTITION BY {KEY.format('name')}, unit, variant) AS keeper FROM product)
+        lambda s: op.merge_apply(s.lines.select("product_id", "amount"), op.merge_map(_spelled(s), op.product_merge_plan(_spelled(s)))).groupBy("product_id").agg(F.count("*").alias("rows"), op_money()),
+        sql(f"""{SPELLED}, k AS (SELECT product_id, min(product_id) OVER (PARTITION BY {KEY.format('name')}, lower(trim(unit)), lower(trim(coalesce(variant, '')))) AS keeper FROM spelled)
             SELECT keeper AS product_id, count(*) AS rows, {money('sum(amount)')} AS revenue FROM line JOIN k USING (product_id) GROUP BY 1"""),
     ),
     "customer_merge_plan": (
-        lambda s: op.customer_merge_plan(s.customers.select("customer_id", F.expr("concat(' client ', customer_id % 40, if(customer_id % 3 = 0, ' (cancelled)', ''))").alias("name"), F.expr("if(customer_id % 80 < 60, null, cast(nation % 2 as string))").alias("contact"))),
-        sql(f""", c AS (SELECT customer_id, ' client ' || (customer_id % 40) || CASE WHEN customer_id % 3 = 0 THEN ' (cancelled)' ELSE '' END AS name, CASE WHEN customer_id % 80 < 60 THEN NULL ELSE nation % 2 END AS contact FROM client)
-            SELECT {canonical('name')} AS key, min(customer_id) AS keeper, count(*) AS members, CASE WHEN count(DISTINCT contact) > 1 THEN 'review' ELSE 'merge' END AS decision FROM c GROUP BY 1 HAVING count(*) > 1"""),
+        lambda s: op.customer_merge_plan(s.customers.selectExpr(*CLIENTS_TEXT), ("Client 7",), CUSTOMER_ALIASES, CUSTOMER_GROUPS),
+        sql(f""", c AS (SELECT {CLIENTS_SQL} FROM client), n AS (SELECT *, {canonical('name')} AS canonical FROM c),
+            g AS (SELECT lower(canonical) AS key, arg_min(customer_id, (name <> canonical, customer_id)) AS keeper, count(*) AS members, arg_min(canonical, customer_id) AS canonical, count(DISTINCT lower(trim(name))) AS spellings,
+                count(DISTINCT phone) AS phones, count(DISTINCT email) AS emails, count(DISTINCT address) AS addresses, count(phone) AS with_phone, count(email) AS with_email
+                FROM (SELECT * REPLACE (nullif(lower(trim(phone)), '') AS phone, nullif(lower(trim(email)), '') AS email, nullif(lower(trim(address)), '') AS address) FROM n) WHERE canonical IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+            SELECT key, keeper, members, CASE WHEN phones > 1 OR emails > 1 OR addresses > 1 THEN 'conflicting_contact'
+                WHEN spellings = 1 AND canonical <> 'Client 7' AND NOT (phones = 1 AND with_phone = members OR emails = 1 AND with_email = members) THEN 'unconfirmed' ELSE 'merge' END AS decision,
+            array_to_string(list_filter([CASE WHEN phones > 1 THEN 'phone' END, CASE WHEN emails > 1 THEN 'email' END, CASE WHEN addresses > 1 THEN 'address' END], lambda x: x IS NOT NULL), ',') AS conflicts FROM g"""),
     ),
     "customer_merge_apply": (
         lambda s: op.merge_apply(s.receipts.filter("customer_id is not null").select(F.col("customer_id"), "amount"), s.customers.filter("customer_id >= 40").select(F.col("customer_id").alias("product_id"), F.expr("customer_id % 40").alias("keeper")), "customer_id").groupBy("customer_id").agg(F.count("*").alias("rows"), op_money()),
@@ -163,7 +206,9 @@ QUERIES = {
     ),
     "program_group": (
         lambda s: s.receipts.filter("segment = 'feeding'").select("id", program_group(F.col("label")).alias("program")),
-        sql("""SELECT id, CASE customer_id % 4 WHEN 0 THEN 'DepEd' WHEN 1 THEN 'Rizal' WHEN 2 THEN 'Unspecified feeding program' ELSE 'DSWD' END AS program FROM receipt WHERE segment = 'feeding'"""),
+        sql(r"""SELECT id, CASE WHEN contains(words, ' dswd ') THEN 'DSWD' WHEN contains(words, ' deped ') THEN 'DepEd' WHEN contains(words, 'las pinas') THEN 'Las Piñas' WHEN contains(words, ' rizal ') THEN 'Rizal'
+            ELSE 'Unspecified feeding program' END AS program FROM (SELECT id, ' ' || regexp_replace(regexp_replace(lower(strip_accents(label)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g') || ' ' AS words
+            FROM receipt WHERE segment = 'feeding')"""),
     ),
 }
 

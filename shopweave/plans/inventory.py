@@ -43,8 +43,8 @@ LEDGER = f"""{MOVES}, now AS (SELECT product_id, sum(remaining) AS now FROM own
         coalesce(allocations, 0) AS allocations, coalesce(adjustments, 0) AS adjustments FROM product p LEFT JOIN now USING (product_id) LEFT JOIN sums USING (product_id) WHERE active)"""
 
 
-def _moves(s):
-    return op.movements(s.receipts, s.lines, s.batches, s.adjustments, s.returns, AS_OF)
+def _moves(s, as_of=AS_OF):
+    return op.movements(s.receipts, s.lines, s.batches, s.adjustments, s.returns, as_of)
 
 
 def _sales(s):
@@ -93,8 +93,8 @@ QUERIES = {
         sql(f", {MOVES} SELECT kind, day, count(*) AS rows, {money('sum(change)')} AS change FROM moves GROUP BY 1, 2"),
     ),
     "inventory_ledger_range": (
-        lambda s: op.ledger(s.products, s.batches, _moves(s), START, END, AS_OF),
-        sql(f""", {LEDGER} SELECT product_id, (ending + outlet + allocations + adjustments - received)::DOUBLE AS beginning, received::DOUBLE AS received,
+        lambda s: op.ledger(s.products, s.batches, _moves(s, END), START, END, END),
+        sql(f""", {LEDGER.replace(f"received <= {DATE}", f"received <= DATE '{END}'")} SELECT product_id, (ending + outlet + allocations + adjustments - received)::DOUBLE AS beginning, received::DOUBLE AS received,
             (ending + outlet + allocations + adjustments)::DOUBLE AS total, outlet::DOUBLE AS outlet, allocations::DOUBLE AS allocations,
             adjustments::DOUBLE AS adjustments, ending::DOUBLE AS ending FROM ended"""),
     ),
@@ -115,10 +115,14 @@ QUERIES = {
             SELECT DISTINCT buyer, name, lower(name) AS sort_name FROM gone JOIN named USING (buyer) WHERE buyer <> 'outlet' AND day BETWEEN DATE '{START}' AND DATE '{END}'"""),
     ),
     "ledger_remarks": (
-        lambda s: op.remarks(s.adjustments, s.batches, START, END),
-        sql(f""", sums AS (SELECT b.product_id, a.kind || ' ' || sum(a.quantity)::DECIMAL(20,2)::VARCHAR AS r FROM adjustment a JOIN batch b USING (batch_id)
-            WHERE a.day BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY b.product_id, a.kind)
-            SELECT product_id, string_agg(r, '; ' ORDER BY r) AS remarks FROM sums GROUP BY 1"""),
+        lambda s: op.remarks(s.adjustments, s.returns, s.batches, "1998-01-01", "1998-06-30").withColumn("mode", F.lit("range")).union(op.remarks(s.adjustments, s.returns, s.batches, "1997-06-30", "1997-06-30", True).withColumn("mode", F.lit("day"))),
+        sql(rf""", spans AS (SELECT * FROM (VALUES ('range', DATE '1998-01-01', DATE '1998-06-30'), ('day', DATE '1997-06-30', DATE '1997-06-30')) v(mode, lo, hi)),
+            own AS (SELECT mode, lo, hi, b.* FROM batch b JOIN spans ON received <= hi WHERE NOT reference_only),
+            texts AS (SELECT o.mode, o.product_id, 1 AS k, a.day, regexp_replace(a.quantity::DECIMAL(20,2)::VARCHAR, '\.?0+$', '') || ' ' || a.kind AS r FROM adjustment a JOIN own o ON o.batch_id = a.batch_id AND a.day BETWEEN lo AND hi
+                UNION ALL SELECT o.mode, o.product_id, 2, a.day, regexp_replace(a.quantity::DECIMAL(20,2)::VARCHAR, '\.?0+$', '') || ' returned from cancelled sale' FROM stock_return a JOIN own o ON o.batch_id = a.batch_id AND a.day BETWEEN lo AND hi WHERE a.quantity > 0
+                UNION ALL SELECT mode, product_id, 0, expiry, regexp_replace(remaining::DECIMAL(20,2)::VARCHAR, '\.?0+$', '') || ' ' || CASE WHEN status IN ('expired', 'disposed') THEN status ELSE 'expired' END || ' on hand'
+                FROM own WHERE mode = 'day' AND remaining > 0 AND (status IN ('expired', 'disposed') OR expiry < hi))
+            SELECT mode, product_id, string_agg(r, '; ' ORDER BY k, day, r) AS remarks FROM texts GROUP BY 1, 2"""),
     ),
     "fefo_allocate": (
         lambda s: op.fefo_shares(_demands(s), s.batches.withColumn("supply", F.col("initial"))),
@@ -144,7 +148,14 @@ QUERIES = {
                 sum(c.quantity) OVER (PARTITION BY c.batch_id ORDER BY line_id) AS upto FROM c JOIN batch USING (batch_id))
             SELECT line_id, batch_id, (least(room, upto) - least(room, upto - quantity))::DOUBLE AS returned FROM u"""),
     ),
-    "live_alerts": (lambda s: op.alerts(s.receipts, s.products, s.batches, AS_OF), None),
+    "live_alerts": (
+        lambda s: op.alerts(s.receipts, s.products, s.batches, AS_OF),
+        sql(f""", {AVAILABLE}, low AS (SELECT count(*) AS n, sum(('0x' || substr(md5(product_id || '|' || stock::DECIMAL(20,2)), 1, 15))::BIGINT) AS s FROM stocked WHERE active AND stock <= 20)
+            SELECT 'low-stock-products' AS key, 'warning' AS kind, n || ' products below minimum stock' AS title, sha256(n || '|' || s || '|20') AS revision FROM low WHERE n > 0
+            UNION ALL SELECT 'expiry-product-' || batch_id, 'danger', 'expired', sha256(batch_id || '|' || expiry || '|expired') FROM batch WHERE {EXPIRED}
+            UNION ALL SELECT 'expiry-product-' || batch_id, 'danger', 'expiring', sha256(batch_id || '|' || expiry || '|' || CASE WHEN expiry <= {DATE} + 3 THEN 'critical' ELSE 'near_expiry' END) FROM batch WHERE {EXPIRING}
+            UNION ALL (SELECT 'fulfilled-' || id, 'success', 'order ' || id, sha256(id || '|' || status || '|' || amount || '|' || day) FROM receipt WHERE NOT voided ORDER BY created_at DESC, id DESC LIMIT 2)"""),
+    ),
     "alert_ack": (
         lambda s: op.acknowledged(
             op.expiring(s.batches, AS_OF).select(F.col("batch_id").cast("string").alias("key"), F.col("label").alias("revision")),

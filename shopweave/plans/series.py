@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.functions.columns import month, month_index
@@ -33,13 +36,15 @@ BASE = f"""{MONTHLY}, {runs_sql('monthly', 'segment')},
 METRICS = """count(*) AS n, CASE WHEN sum(abs(actual)) > 0 THEN round(sum(abs(predicted - actual)) * 100 / sum(abs(actual)), 4) END AS wape,
     CASE WHEN sum(abs(actual)) > 0 THEN round(sum(predicted - actual) * 100 / sum(abs(actual)), 4) END AS bias_percent, round(avg(abs(predicted - actual)), 4) AS mae, round(avg(predicted - actual), 4) AS bias,
     round(sqrt(avg((predicted - actual) * (predicted - actual))), 4) AS rmse, round(max(abs(predicted - actual)), 4) AS max_error, round(avg((predicted - actual) * (predicted - actual)), 4) AS mse,
-    round(avg(CASE WHEN actual <> 0 THEN abs((predicted - actual) / actual) END) * 100, 4) AS mape, count(CASE WHEN actual = 0 THEN 1 END) AS zero_actuals"""
+    round(avg(CASE WHEN actual <> 0 THEN abs((predicted - actual) / actual) END) * 100, 4) AS mape, count(CASE WHEN actual = 0 THEN 1 END) AS zero_actuals, round(stddev_pop(predicted - actual), 2) AS error_stddev"""
 FACTS = f"""{ALLOCATED}, facts AS (SELECT segment, product_id, day, CASE WHEN count(*) = count(cents) THEN sum(cents)::DOUBLE / 100 END AS revenue FROM shared GROUP BY 1, 2, 3),
     covered AS (SELECT DISTINCT date_trunc('month', day)::DATE AS bucket FROM receipt WHERE NOT voided)"""
 ITEMS = f"""{FACTS}, sums AS (SELECT segment, product_id, date_trunc('month', day)::DATE AS bucket, CASE WHEN count(*) = count(revenue) THEN round(sum(revenue), 2) END AS value, true AS seen FROM facts GROUP BY 1, 2, 3),
     ends AS (SELECT segment, product_id, min(bucket) AS lo, max(bucket) AS hi FROM sums GROUP BY 1, 2),
     cal AS (SELECT segment, product_id, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS bucket FROM ends),
     items AS (SELECT segment, product_id, bucket, CASE WHEN seen THEN value WHEN bucket IN (SELECT bucket FROM covered) THEN 0.0 END AS value FROM cal LEFT JOIN sums USING (segment, product_id, bucket))"""
+#: Some days after the last receipt of the driver's tables.
+END_OF_DATA = "1998-08-09"
 KINDS = "['regular', 'feeding', 'combined']"
 ISSUES = f"""issues AS (SELECT run_id, target, view, round(CASE view WHEN 'combined' THEN v + w + CASE WHEN run_id % 5 = 0 THEN 1 ELSE 0 END WHEN 'regular' THEN v ELSE w END, 2) AS value, issued
     FROM (SELECT o_orderkey AS run_id, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS target, o_orderdate::DATE + (o_orderkey % 9 * 7)::INTEGER AS issued,
@@ -95,8 +100,24 @@ def forecasts(s: Shop):
 
 
 FORECASTS = f"{BASE}, issued AS (SELECT segment, bucket, last_year AS value, last_year * 0.9 AS lower, last_year * 1.1 AS upper, previous AS baseline FROM wide WHERE last_year IS NOT NULL)"
-SCORED = f"""{FORECASTS}, scored AS (SELECT segment, bucket, round(i.value - m.value, 4) AS error, round(abs(i.value - m.value), 4) AS abs_error,
+SCORED = f"""{FORECASTS}, scored AS (SELECT segment, bucket, m.value AS actual, round(i.value - m.value, 4) AS error, round(abs(i.value - m.value), 4) AS abs_error,
     round(abs(i.baseline - m.value), 4) AS baseline_error, m.value BETWEEN i.lower AND i.upper AS inside FROM issued i JOIN monthly m USING (segment, bucket) WHERE ({INDEX}) % 5 <> 0)"""
+GATED = """entries AS (SELECT segment, bucket, m.value AS actual, i.value AS predicted, i.baseline FROM issued i JOIN monthly m USING (segment, bucket))"""
+
+
+def gate(s: Shop):
+    """The best baseline of each segment before the gate, its issued forecasts as evidence; odd months of 1995 are not reviewed."""
+    months = run(s)
+    chosen = op.benchmark_select(months, "segment").select("segment", (F.col("status") == "available").alias("trained"), F.col("test_wape").alias("error"))
+    previous = op.error_metrics(predictions(s).filter("method = 'previous'"), "segment").select("segment", F.col("wape").alias("baseline_error"))
+    runs = months.groupBy("segment").agg(F.max("bucket").alias("trained_through")).join(chosen, "segment").join(previous, "segment", "left")
+    entries = forecasts(s).join(monthly(s).withColumnRenamed("value", "actual"), ["segment", "bucket"]).select("segment", "bucket", "actual", F.col("value").alias("predicted"), "baseline")
+    return op.quality_gate(runs, entries, monthly(s).filter("not (year(bucket) = 1995 and month(bucket) % 2 = 1)"), AS_OF, "segment")
+
+
+def observed(s: Shop, unit: str):
+    """Days, weeks or months with sales, by segment."""
+    return snap(s).select("segment", F.to_date(F.date_trunc(unit, "day")).alias("bucket")).distinct()
 
 
 def scored(s: Shop):
@@ -212,17 +233,24 @@ QUERIES = {
             sum(revenue) FILTER (segment = 'feeding')::DOUBLE AS feeding_v, nullif(count(*) FILTER (segment = 'feeding'), 0) AS feeding_n FROM snap GROUP BY 1"""),
     ),
     "feeding_study": (
-        lambda s: op.on_calendar(snap(s).filter("segment = 'feeding'").groupBy("segment", month().alias("bucket")).agg(F.count("*").alias("value")), "1 month", "segment").select("bucket", F.coalesce("value", F.lit(0)).alias("invoices"), F.col("value").isNull().alias("gap")),
-        sql(f""", {SNAPSHOT}, f AS (SELECT date_trunc('month', day)::DATE AS bucket, count(*) AS n FROM snap WHERE segment = 'feeding' GROUP BY 1),
+        lambda s: op.feeding_study(snap(s).filter("segment = 'feeding'").join(s.receipts.filter("segment = 'feeding'").select(F.col("id").alias("sale_id"), "label"), "sale_id"), AS_OF),
+        sql(rf""", {SNAPSHOT}, f AS (SELECT s.day, s.revenue, date_trunc('month', s.day)::DATE AS bucket,
+                ' ' || regexp_replace(regexp_replace(lower(strip_accents(label)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g') || ' ' AS words FROM snap s JOIN receipt r ON r.id = s.sale_id WHERE s.segment = 'feeding'),
+            p AS (SELECT *, CASE WHEN contains(words, ' dswd ') THEN 'DSWD' WHEN contains(words, ' deped ') THEN 'DepEd' WHEN contains(words, 'las pinas') THEN 'Las Piñas' WHEN contains(words, ' rizal ') THEN 'Rizal'
+                ELSE 'Unspecified feeding program' END AS program FROM f),
             cal AS (SELECT unnest(generate_series((SELECT min(bucket) FROM f), (SELECT max(bucket) FROM f), INTERVAL 1 MONTH))::DATE AS bucket)
-            SELECT bucket, coalesce(n, 0) AS invoices, n IS NULL AS gap FROM cal LEFT JOIN f USING (bucket)"""),
+            SELECT 'all' AS section, min(day) || '/' || max(day) AS label, count(*) AS invoices, sum(revenue)::DOUBLE AS revenue, greatest(date_diff('month', max(day), DATE '{AS_OF}') - 1, 0)::INTEGER AS months FROM f HAVING count(*) > 0
+            UNION ALL SELECT 'month', bucket::VARCHAR, count(day), coalesce(sum(revenue), 0)::DOUBLE, NULL FROM cal LEFT JOIN f USING (bucket) GROUP BY bucket
+            UNION ALL SELECT 'program', program, count(*), sum(revenue)::DOUBLE, NULL FROM p GROUP BY program"""),
     ),
     "issued_asof": (
         lambda s: op.issued_asof(issues(s)),
         sql(f""", {ISSUES}, runs AS (SELECT target, run_id, issued, max(value) FILTER (view = 'regular') AS regular, max(value) FILTER (view = 'feeding') AS feeding, max(value) FILTER (view = 'combined') AS combined
                 FROM issues WHERE issued < target GROUP BY 1, 2, 3),
-            whole AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY issued DESC, run_id DESC) AS k FROM runs WHERE abs(regular + feeding - combined) <= 0.01)
-            SELECT target, run_id, regular, feeding, combined FROM whole WHERE k = 1"""),
+            whole AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY issued DESC, run_id DESC) AS k FROM runs WHERE abs(regular + feeding - combined) <= 0.01),
+            single AS (SELECT target, arg_max(regular, (issued, run_id)) FILTER (regular IS NOT NULL) AS regular, arg_max(feeding, (issued, run_id)) FILTER (feeding IS NOT NULL) AS feeding
+                FROM runs WHERE target NOT IN (SELECT target FROM whole) GROUP BY 1)
+            SELECT target, run_id, regular, feeding, combined FROM whole WHERE k = 1 UNION ALL SELECT target, NULL, regular, feeding, NULL FROM single WHERE regular IS NOT NULL OR feeding IS NOT NULL"""),
     ),
     "coverage_asof_match": (
         lambda s: op.matched_coverage(
@@ -235,21 +263,33 @@ QUERIES = {
     "prospective_report": (
         lambda s: op.prospective_report(forecasts(s), scored(s), "segment"),
         sql(f""", {SCORED} SELECT segment, count(*) AS issued, count(error) AS scored, count(*) - count(error) AS awaiting, round(avg(abs_error), 3) AS mae, round(avg(error), 3) AS bias,
-            round(avg(inside::INTEGER) * 100, 3) AS coverage FROM issued LEFT JOIN scored USING (segment, bucket) GROUP BY 1"""),
+            round(avg(inside::INTEGER) * 100, 3) AS coverage, CASE WHEN sum(abs(actual)) > 0 THEN round(sum(abs_error) * 100 / sum(abs(actual)), 3) END AS wape, count(baseline_error) AS paired,
+            round(sum(baseline_error) * 100 / nullif(sum(abs(actual)) FILTER (baseline_error IS NOT NULL), 0), 3) AS baseline_wape,
+            round(sum(abs_error) FILTER (baseline_error IS NOT NULL) * 100 / nullif(sum(abs(actual)) FILTER (baseline_error IS NOT NULL), 0), 3) AS paired_wape FROM issued LEFT JOIN scored USING (segment, bucket) GROUP BY 1"""),
     ),
     "quality_gate": (
-        lambda s: op.quality_gate(
-            op.benchmark_select(run(s), "segment").select("segment", F.col("test_wape").alias("wape"), F.lit(20.0).alias("baseline_wape")), run(s).groupBy("segment").agg(F.count("*").alias("months"), F.months_between(F.trunc(F.lit(AS_OF).cast("date"), "month"), F.max("bucket")).cast("int").alias("age")), "segment"
-        ),
-        sql(f""", chosen AS ({'WITH ' + select_sql()}), sized AS (SELECT segment, count(*) AS months, max(bucket) AS hi FROM (WITH {MONTHLY}, {runs_sql('monthly', 'segment')} SELECT * FROM run) GROUP BY 1),
-            r AS (SELECT s.segment, list_filter([CASE WHEN s.months < 12 THEN 'history' END, CASE WHEN test_wape IS NULL THEN 'unscored' END, CASE WHEN test_wape >= 8 THEN 'error' END,
-                CASE WHEN test_wape > 20 THEN 'baseline' END, CASE WHEN date_diff('month', s.hi, DATE '{AS_OF}') > 1 THEN 'stale' END], lambda x: x IS NOT NULL) AS rs FROM sized s LEFT JOIN chosen c USING (segment))
+        gate,
+        sql(f""", chosen AS ({'WITH ' + select_sql()}), back AS (WITH {FORECASTS}, {GATED},
+                e_marked AS (SELECT *, {INDEX} - row_number() OVER (PARTITION BY segment ORDER BY bucket) AS r FROM entries),
+                e_run AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY bucket DESC) AS back FROM (SELECT *, max(r) OVER (PARTITION BY segment) AS top FROM e_marked) WHERE r = top),
+                proof AS (SELECT segment, count(*) AS n, max(bucket) AS last, round(sum(abs(predicted - actual)) * 100 / nullif(sum(abs(actual)), 0), 4) AS w, round(sum(abs(baseline - actual)) * 100 / nullif(sum(abs(actual)), 0), 4) AS b
+                    FROM e_run WHERE back <= 12 GROUP BY 1),
+                sized AS (SELECT segment, max(bucket) AS hi FROM run GROUP BY 1),
+                seen AS (SELECT s.segment, count(*) AS seen FROM sized s JOIN monthly m ON m.segment = s.segment AND m.bucket BETWEEN hi - INTERVAL 11 MONTH AND hi WHERE NOT (year(bucket) = 1995 AND month(bucket) % 2 = 1) GROUP BY 1),
+                naive AS (SELECT segment, round(sum(abs(predicted - actual)) * 100 / nullif(sum(abs(actual)), 0), 4) AS nw FROM long WHERE method = 'previous' AND actual IS NOT NULL GROUP BY 1)
+                SELECT s.segment, hi, coalesce(seen, 0) AS seen, nw, coalesce(n, 0) AS n, last, w, b FROM sized s LEFT JOIN seen USING (segment) LEFT JOIN naive USING (segment) LEFT JOIN proof USING (segment)),
+            r AS (SELECT segment, list_filter([CASE WHEN c.status <> 'available' THEN 'history' END, CASE WHEN date_diff('month', hi, DATE '{AS_OF}') > 1 THEN 'stale_training' END, CASE WHEN seen < 12 THEN 'coverage' END,
+                CASE WHEN test_wape IS NULL OR test_wape >= 8 OR test_wape > nw THEN 'retrospective' END, CASE WHEN n < 12 THEN 'few_prospective_months' END,
+                CASE WHEN n >= 12 AND date_diff('month', last, DATE '{AS_OF}') > 1 THEN 'stale_evidence' END, CASE WHEN n >= 12 AND (w IS NULL OR w >= 8) THEN 'error' END,
+                CASE WHEN n >= 12 AND (w IS NULL OR b IS NULL OR w > b) THEN 'baseline' END], lambda x: x IS NOT NULL) AS rs FROM back JOIN chosen c USING (segment))
             SELECT segment, array_to_string(rs, ',') AS reasons, len(rs) = 0 AS passed FROM r"""),
     ),
     "freshness": (
-        lambda s: op.freshness(gappy(s).filter("value is not null"), AS_OF, "segment"),
-        sql(f""", {GAPPY}, l AS (SELECT segment, max(bucket) AS last_bucket FROM dense WHERE value IS NOT NULL GROUP BY 1)
-            SELECT segment, last_bucket, greatest(date_diff('month', last_bucket, DATE '{AS_OF}') - 1, 0)::INTEGER AS missing, CASE WHEN date_diff('month', last_bucket, DATE '{AS_OF}') - 1 <= 0 THEN 'current' ELSE 'stale' END AS state FROM l"""),
+        lambda s: functools.reduce(DataFrame.union, [op.freshness(observed(s, u), END_OF_DATA, u, "segment").withColumn("unit", F.lit(u)) for u in ("day", "week", "month")]),
+        sql(f""", {SNAPSHOT}, l AS (SELECT unit, segment, max(date_trunc(unit, day)::DATE) AS last_bucket FROM snap CROSS JOIN (VALUES ('day'), ('week'), ('month')) u(unit) GROUP BY 1, 2),
+            n AS (SELECT *, greatest(date_diff(unit, last_bucket, DATE '{END_OF_DATA}') - 1, 0)::INTEGER AS missing FROM l),
+            f AS (SELECT unit, segment, last_bucket, missing, CASE WHEN missing > 0 THEN 'stale' ELSE 'current' END AS state FROM n)
+            SELECT * FROM f UNION ALL SELECT unit, 'combined', NULL, NULL, CASE WHEN bool_or(state = 'stale') THEN 'stale' ELSE 'current' END FROM f GROUP BY unit"""),
     ),
     "availability": (
         lambda s: op.availability(gappy(s), "segment"),

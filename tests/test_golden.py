@@ -120,9 +120,9 @@ def test_policy_split(spark):
 
 
 def test_program_groups(spark):
-    labels = ["feeding DEPED - second batch", "Rizal  feeding (north)", "depedx milk", "Féeding DSWD 2", None]
+    labels = ["feeding DEPED - second batch", "Rizal  feeding (north)", "depedx milk", "Féeding DSWD 2", None, "Milk, LAS  PIÑAS - Rizal st.", "LGU milk"]
     got = [r.g for r in spark.createDataFrame([(x,) for x in labels], "x string").select(program_group(F.col("x")).alias("g")).collect()]
-    assert got == ["DepEd", "Rizal", "Unspecified feeding program", "DSWD", "Unspecified feeding program"]
+    assert got == ["DepEd", "Rizal", "Unspecified feeding program", "DSWD", "Unspecified feeding program", "Las Piñas", "Unspecified feeding program"]
 
 
 def test_tickets(spark):
@@ -274,3 +274,49 @@ def test_adjustments_and_returns_of_old_batches(spark):
     }
     lines = spark.createDataFrame([(1, 1, Decimal(2)), (2, 2, Decimal(2))], "line_id long, batch_id long, quantity decimal(12,2)")
     assert {r.line_id: r.returned for r in inventory.void_returns(lines, b, "2024-01-20").collect()} == {1: 0.0, 2: 2.0}
+
+
+def test_quality_gate(spark):
+    months = [dt.date(2023 + i // 12, i % 12 + 1, 1) for i in range(14)]
+    entries = [(k, m, 100.0, 100.0 + off, 100.0 + 6) for k, off in (("good", 5), ("bad", 9), ("gap", 5)) for m in months if not (k == "gap" and m == months[8])]
+    runs = [(k, months[-1], True, 5.0, 6.0) for k in ("good", "bad", "gap", "none")]
+    covered = [(k, m) for k in ("good", "bad", "gap") for m in months]
+    got = series.quality_gate(
+        spark.createDataFrame(runs, "k string, trained_through date, trained boolean, error double, baseline_error double"),
+        spark.createDataFrame(entries, "k string, bucket date, actual double, predicted double, baseline double"), spark.createDataFrame(covered, "k string, bucket date"), "2024-03-01", "k",
+    )
+    assert {r.k: r.reasons for r in got.collect()} == {"good": "", "bad": "error,baseline", "gap": "few_prospective_months", "none": "coverage,few_prospective_months"}
+
+
+def test_freshness(spark):
+    rows = spark.createDataFrame([("a", d("2024-02-26")), ("b", d("2024-02-12")), ("c", None)], "k string, bucket date")
+    got = {r.k: (r.missing, r.state) for r in series.freshness(rows, "2024-03-06", "week", "k").collect()}
+    assert got == {"a": (0, "current"), "b": (2, "stale"), "c": (None, "unavailable"), "combined": (None, "stale")}
+    assert series.freshness(rows.filter("k = 'a'"), "2024-03-06", "week", "k").filter("k = 'combined'").first().state == "current"
+    assert series.freshness(rows.filter("false"), "2024-03-06", "week", "k").first().state == "unavailable"
+
+
+def test_issued_asof_falls_back_by_view(spark):
+    rows = [(1, "regular", 5.0), (1, "feeding", 2.0), (1, "combined", 9.0), (2, "regular", 6.0)]
+    df = spark.createDataFrame([(r, d("2024-03-01"), v, x, d("2024-02-01") + dt.timedelta(days=r)) for r, v, x in rows], "run_id long, target date, view string, value double, issued date")
+    assert [tuple(r) for r in series.issued_asof(df).collect()] == [(d("2024-03-01"), None, 6.0, 2.0, None)]
+
+
+def test_names(spark):
+    one = lambda column, texts: [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(column(F.col("x"))).collect()]
+    aliases, groups = {"corner shop": "Corner"}, {"mainst": "Main Street"}
+    got = one(lambda c: ingest.canonical_customer(c, aliases, groups), ["  Corner  SHOP. ", "Main - St.", "outlet sales (north)", "WALK IN no 4", "Lee / walk-in", "(Cancelled)", "Lee (si12) - ", None])
+    assert got == ["Corner", "Main Street", "Outlet Sales", "Walk-in", "Lee", None, "Lee", None]
+    got = one(lambda c: ingest.canonical_product(c, {"bigmilk": "Milk L"}, {"old": "New"}), ["Big (Milk)", " tm200 ", "pdx 13", "OLD", "Cara 200ml", None])
+    assert got == ["Milk L", "TM200", "PDX 13", "New", "Cara 200ml", None]
+    assert one(ingest.category_of, ["Raw milk 2L", "WC", "Ube cheese", "Kesong cheese", "Choco pie", "soap"]) == [
+        "Milk & Dairy Drinks", "Cheese & Cultured Dairy", "Milk & Dairy Drinks", "Cheese & Cultured Dairy", "Snacks & Desserts", "Other Products"
+    ]
+
+
+def test_customer_merge_reasons(spark):
+    rows = [(1, "a", "1", None, None), (2, "A", "2", None, ""), (3, "b", None, None, None), (4, "b ", None, None, None), (5, "c", None, "x@y", None), (6, "c", None, "X@y ", None), (7, "d", None, None, None), (8, "D", None, None, None)]
+    df = spark.createDataFrame(rows, "customer_id long, name string, phone string, email string, address string")
+    got = {r.key: (r.keeper, r.decision, r.conflicts) for r in ingest.customer_merge_plan(df).collect()}
+    assert got == {"a": (1, "conflicting_contact", "phone"), "b": (3, "unconfirmed", ""), "c": (5, "merge", ""), "d": (7, "unconfirmed", "")}
+    assert ingest.customer_merge_plan(df, reviewed=("b",)).filter("key = 'b'").first().decision == "merge"
