@@ -1,12 +1,12 @@
-"""Byte-level BPE ids of whole texts, from the tokenizers library, with a memory of units already encoded.
+"""Byte-level BPE ids of whole texts, from the tokenizers library, each different unit of many texts encoded once.
 
 A byte-level pre-tokenizer cuts a text into pieces and the BPE model encodes each piece by itself, so a piece has the
 same ids wherever it stands. `Encoder` cuts texts before single spaces and line breaks, which are always cuts
-between pieces unless white space meets white space, and asks the model once for each different piece of some texts:
-for pieces with a space before them many at a time, which is as good as one by one where no token of the vocabulary has
-a space behind another usual character. Texts where that reasoning might not hold (white space in a row or at an end, unusual
-characters, special-token strings, another kind of tokenizer) go to `Tokenizer.encode` as a whole; results are the
-library's in either case.
+between pieces unless white space meets white space, numbers the different units with Arrow, asks the model once for each,
+and gathers the texts' ids with numpy. Words behind a space go to the model many at a time, which is as good as one by one
+where no token of the vocabulary has a space behind another usual character. Texts where that reasoning might not hold (white
+space in a row or at an end, unusual characters, special-token strings, another kind of tokenizer) go to
+`Tokenizer.encode` as a whole; results are the library's in either case. Nothing is kept from one lot of texts to the next.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 #: Characters whose classes are the same in any Unicode version.
-USUAL = re.compile(r"[\n -~¡-ɏ]*")
+USUAL = r"^[\n -~¡-ɏ]*$"
 BLANKS = ("  ", " \n", "\n ", "\n\n", "\0")
-#: Different units in one generation of a worker's memory; it holds two.
-REMEMBERED = 300_000
 #: Characters of the texts, and pieces, that are looked at together.
-TOGETHER, RUN = 1_000_000, 400
+TOGETHER, RUN = 16_000_000, 400
 
 
 #: The letter for a space.
@@ -76,8 +76,6 @@ class Encoder:
         self.in_runs = all(no_break in token for token in vocabulary if SPACE in token.lstrip(SPACE))
         self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
-        self.units: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -86,51 +84,75 @@ class Encoder:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return np.array([t.id for t in tokens], "<u4").tobytes()
 
-    def pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The ids of pieces that begin with a space."""
+    def runs(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that begin with a space, one piece behind the other, and how many each has."""
+        ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for k in range(0, len(pieces), RUN):
             run = pieces[k : k + RUN]
-            if not self.in_runs:
-                yield from zip(run, map(self.piece, run), strict=True)
-                continue
-            tokens = self.model.tokenize("".join(run).encode().decode("latin-1").translate(self.letters))
-            ids = np.array([t.id for t in tokens], "<u4")
-            ends, raw = [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)], ids.tobytes()
-            yield from zip(run, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True)
-
-    def units_of(self, text: str) -> list[str]:
-        """The text between cuts; none if it is to be encoded as a whole."""
-        if (
-            not self.plain
-            or not text
-            or text[0] in " \n"
-            or text[-1] in " \n"
-            or any(b in text for b in BLANKS)
-            or any(s in text for s in self.special)
-        ):
-            return []
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Remember all units of texts, but for those with unusual characters."""
-        if len(self.units) > REMEMBERED:
-            self.before, self.units = self.units, {}
-        new = set().union(*texts).difference(self.units)
-        for unit in new & self.before.keys():
-            self.units[unit] = self.before[unit]
-        new = new.difference(self.before)
-        words, marked = [], []
-        for unit in new:
-            (words if unit[0] == " " and unit[1:].isalpha() else marked).append(unit)
-        if not USUAL.fullmatch("".join(words)):
-            words = [w for w in words if USUAL.fullmatch(w)]
-        self.units.update(self.pieces(words))
-        found = {u: PIECE.findall(u) for u in marked if USUAL.fullmatch(u)}
-        known = {p: self.units.get(p) or self.before.get(p) for p in set().union(*found.values())}
-        lacking = [p for p, ids in known.items() if not ids]
-        known.update(self.pieces([p for p in lacking if p[0] == " "]))
-        known.update((p, self.piece(p)) for p in lacking if p[0] != " ")
-        self.units.update((u, b"".join(map(known.__getitem__, of))) for u, of in found.items())
+            if self.in_runs:
+                tokens = self.model.tokenize("".join(run).encode().decode("latin-1").translate(self.letters))
+                ids.append(np.array([t.id for t in tokens], "<u4"))
+                lengths.append(np.diff(np.flatnonzero(self.leads[ids[-1]]), append=len(tokens)))
+            else:
+                each = [np.frombuffer(self.piece(p), "<u4") for p in run]
+                ids.extend(each)
+                lengths.append(np.array(list(map(len, each)), np.int64))
+            if len(lengths[-1]) != len(run):
+                raise ValueError("a token goes over the border of two pieces")
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def cuttable(self, text: str) -> bool:
+        """Whether the text may be encoded in units."""
+        return (
+            self.plain
+            and text != ""
+            and text[0] not in " \n"
+            and text[-1] not in " \n"
+            and not any(b in text for b in BLANKS)
+            and not any(s in text for s in self.special)
+        )
+
+    def marked(self, units: list[str]) -> list[bytes]:
+        """The ids of each of these units, which may be of several pieces."""
+        found = list(map(PIECE.findall, units))
+        different = set().union(*found)
+        spaced = [p for p in different if p[0] == " "]
+        known = {p: self.piece(p) for p in different if p[0] != " "}
+        ids, lengths = self.runs(spaced)
+        raw, ends = ids.tobytes(), (4 * np.cumsum(lengths)).tolist()
+        known.update(zip(spaced, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        return [b"".join(map(known.__getitem__, of)) for of in found]
+
+    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units one behind the other; of each unit where they start, how many they are, and whether its characters are usual."""
+        usual = pc.match_substring_regex(units, USUAL).to_numpy(zero_copy_only=False)
+        word = pc.match_substring_regex(units, f"^ [{LETTERS}]+$").to_numpy(zero_copy_only=False) & usual
+        words, others = np.flatnonzero(word), np.flatnonzero(usual & ~word)
+        ids, of_words = self.runs(units.take(pa.array(words)).to_pylist())
+        rest = self.marked(units.take(pa.array(others)).to_pylist())
+        lengths = np.zeros(len(units), np.int64)
+        lengths[words], lengths[others] = of_words, [len(r) // 4 for r in rest]
+        starts = np.zeros(len(units), np.int64)
+        order = np.concatenate([words, others])
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate([ids, np.frombuffer(b"".join(rest), "<u4")]), starts, lengths, usual
+
+    def in_units(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of cuttable texts."""
+        if not texts:
+            return
+        cut = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\n", "\0\n")
+        lists = pc.split_pattern(cut, "\0")
+        units = lists.flatten().dictionary_encode()
+        at, of_text = units.indices.to_numpy(), lists.offsets.to_numpy()
+        ids, starts, lengths, usual = self.ids_of(units.dictionary)
+        n = lengths[at]
+        ends = np.cumsum(n)
+        all_ids = ids[np.arange(n.sum()) + np.repeat(starts[at] - (ends - n), n)]
+        strange = np.concatenate([[0], np.cumsum(~usual[at])])[of_text]
+        bounds = np.concatenate([[0], ends])[of_text].tolist()
+        for k, text in enumerate(texts):
+            yield self.whole(text) if strange[k + 1] > strange[k] else all_ids[bounds[k] : bounds[k + 1]].tobytes()
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
@@ -144,13 +166,10 @@ class Encoder:
         yield from self.together(held)
 
     def together(self, texts: list[str]) -> Iterator[bytes]:
-        cut = list(map(self.units_of, texts))
-        self.learn(cut)
-        for text, units in zip(texts, cut, strict=True):
-            try:
-                yield b"".join(map(self.units.__getitem__, units)) if units else self.whole(text)
-            except KeyError:
-                yield self.whole(text)
+        fine = list(map(self.cuttable, texts))
+        ready = self.in_units([t for t, f in zip(texts, fine, strict=True) if f])
+        for text, f in zip(texts, fine, strict=True):
+            yield next(ready) if f else self.whole(text)
 
     def encode(self, text: str) -> bytes:
         return next(self.together([text]))

@@ -32,8 +32,8 @@ def test_encoder_equals_library(tokenizer, tokenizer_path):
         assert r.random() < 0.9 or enc.encode(text) == ids
 
 
-def test_memory_of_two_generations(tokenizer, tokenizer_path, monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+def test_texts_in_many_lots(tokenizer, tokenizer_path, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 3)
     monkeypatch.setattr(tokens, "TOGETHER", 100)
     enc, r = Encoder(tokenizer_path), random.Random(2)
     texts = [" ".join(f"w{r.randint(0, 400)}ord, {chr(97 + r.randint(0, 25))}x" for _ in range(9)) for _ in range(200)]
