@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopweave.llm import chat_tools, decontaminate, html_blocks, ngram_join, packing, quality_model, quality_rules, secrets_scan, token_files, url_filter
+from shopweave.llm import chat_tools, decontaminate, html_blocks, merkle, ngram_join, packing, quality_model, quality_rules, secrets_scan, sharding, token_files, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,15 @@ def queries() -> dict:
         "op8_robust_outliers": quality_rules.op8_robust_outliers,
         "op9_sum_of_squares": packing.op9_sum_of_squares,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+        "op11_bitmap_merkle": merkle.op11_bitmap_merkle,
+        "op13_prefix_shards": sharding.op13_prefix_shards,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_tool_links": chat_tools.ORACLE, "op3_bloom_cascade": url_filter.ORACLE}
+    return {
+        "op3_bloom_cascade": url_filter.ORACLE,
+        "op4_tool_links": chat_tools.ORACLE,
+        "op11_bitmap_merkle": merkle.ORACLE,
+        "op13_prefix_shards": sharding.ORACLE,
+    }
