@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopweave.llm import chat_tools, decontaminate, html_blocks, merkle, ngram_join, packing, quality_model, quality_rules, secrets_scan, sharding, token_files, url_filter
+from shopweave.llm import align, chat_tools, decontaminate, html_blocks, merkle, ngram_join, packing, quality_model, quality_rules, secrets_scan, sharding, token_files, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_sum_of_squares": packing.op9_sum_of_squares,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
         "op11_bitmap_merkle": merkle.op11_bitmap_merkle,
+        "op12_halved_alignment": align.op12_halved_alignment,
         "op13_prefix_shards": sharding.op13_prefix_shards,
     }
 
