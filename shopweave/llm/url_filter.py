@@ -151,7 +151,7 @@ def judge(pages: DataFrame, rules: DataFrame, use_join: bool = False) -> DataFra
     for verdict in () if use_join else ("allow", "block"):
         made[verdict] = cascade(keyed.filter(F.col("verdict") == verdict), urls, f"{folder}/{verdict}")
     if use_join or None in made.values():
-        return judge_by_join(urls, keyed)
+        return judge_by_join(urls, keyed, folder)
     fits = {verdict: longest(c) for verdict, c in made.items()}
     urls = urls.select("page_id", "host", "path", fits["allow"].alias("a"), fits["block"].alias("b"))
     best = F.greatest("a", "b")
@@ -164,10 +164,11 @@ def longest(listed: Cascade) -> Column:
     return F.array_max(F.filter("asked", lambda a: listed.holds(a.key)))
 
 
-def judge_by_join(urls: DataFrame, keyed: DataFrame) -> DataFrame:
+def judge_by_join(urls: DataFrame, keyed: DataFrame, folder: str) -> DataFrame:
     """The same for lists that no literal holds: distinct keys meet the list, and the urls their keys."""
     once = keyed.groupBy("key").agg(F.min("verdict").alias("verdict"))  # allow comes before block
-    rows = urls.withColumn("row", F.monotonically_increasing_id())
+    # Written once: numbered rows are read twice.
+    rows = saved(urls.withColumn("row", F.monotonically_increasing_id()), f"{folder}/numbered")
     met = rows.select("row", F.explode("asked").alias("a")).withColumn("key", F.col("a.key")).join(once, "key")
     best = met.groupBy("row").agg(F.max(F.struct("a", "verdict")).alias("m"))
     out = rows.join(best, "row", "left")
