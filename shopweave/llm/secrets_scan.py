@@ -7,8 +7,8 @@ joins the findings of all addresses back to all paths. A second scan of the same
 a new version of one rule rescans with that rule alone, and findings of older versions no longer count.
 
 Copies cost one scan, whatever their number. The join of a hot address back to its paths is one row against many, which
-Spark splits. Spans are (kind, start, end) in code points, end exclusive. Null text counts as empty. Rows that repeat or
-lack doc_id each come back. Empty tables give no rows. Other columns are ignored.
+Spark splits. Spans are (kind, start, end) in code points, end exclusive. Null text counts as empty; very long texts are scanned whole, one
+at a time. Rows that repeat or lack doc_id each come back. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,24 +117,24 @@ def scan_new(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
 
 
 def scan_rows(rows: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """The same of rows (text, row, blob)."""
+    """The same of rows (text, row, blob); rows of one text that share a number are all scanned, which changes no finding."""
     spark = rows.sparkSession
     if len({r.name for r in rules}) < len(rules):
         raise ValueError("two rules have one name")
     now = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
     known = ledger_at(spark, ledger).join(F.broadcast(now), ["rule", "version"], "left_semi").groupBy("blob").agg(F.collect_set("rule").alias("known"))
-    # One row for each address: the first document with it. The texts of the others are not dealt.
+    # One row for each address: that with the least number. rows is read twice, so a number has to come from what the row holds, or be written.
     first = rows.groupBy("blob").agg(F.min("row").alias("row"))
     due = first.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))).filter(F.size("known") < len(rules))
-    due = due.select("row", "known")
-    blobs = rows.join(due.hint("shuffle_hash"), "row")
+    blobs = rows.join(due.select("row", "blob", "known").hint("shuffle_hash"), ["row", "blob"])
     scanned = saved(scan(blobs, rules), f"{shared_dir(spark)}/scanned")
     scanned.write.mode("append").parquet(ledger)
     return scanned
 
 
 def addressed(docs: DataFrame) -> DataFrame:
-    return with_blob(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    """Rows numbered by what they hold: another scan of docs, however its rows are dealt, gives each row the same number."""
+    return with_blob(docs.select("doc_id", "text")).withColumn("row", F.xxhash64("blob", "doc_id"))
 
 
 def with_blob(rows: DataFrame) -> DataFrame:
@@ -173,9 +173,10 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark:
     # Few texts hold a secret: addresses meet the findings first, and rows their findings by number.
     due = saved(rows.select("row", "blob").join(found, "blob").select("row", "found"), f"{shared_dir(spark)}/due")
     both = held.join(due.hint("shuffle_hash"), "row", "left")
+    both = both.withColumn("mark", F.lit(mark))
     # From left to right: what lies between the spans, and a mark for each stretch of spans.
-    step = f"""aggregate(found, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(
-        'at', s.end, 'out', concat(a.out, substring(text, cast(a.at as int) + 1, cast(greatest(s.start - a.at, 0L) as int)), if(s.start < a.at, '', '{mark}')))),
+    step = """aggregate(found, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(
+        'at', s.end, 'out', concat(a.out, substring(text, cast(a.at as int) + 1, cast(greatest(s.start - a.at, 0L) as int)), if(s.start < a.at, '', mark)))),
         a -> concat(a.out, substring(text, cast(a.at as int) + 1)))"""
     both = both.withColumn("new", F.when(F.col("found").isNotNull(), F.expr(step)))
 

@@ -130,6 +130,32 @@ def test_rows_dealt_anew_keep_their_numbers(spark, tmp_path, step):
         assert got == {i: t.replace("password: hunter22", "[secret]") for i, t in rows}
 
 
+def otherwise_each_time(docs):
+    """docs from a source that gives its rows in another order whenever it is read."""
+
+    def run(frames):
+        for frame in frames:
+            yield frame.sample(frac=1)
+
+    return docs.mapInPandas(run, docs.schema)
+
+
+def test_no_text_is_missed_when_rows_are_dealt_anew(spark, tmp_path):
+    rows = [(i, f"w{i} " * 30 + f"password: hunter{i}") for i in range(200)]
+    docs = otherwise_each_time(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = {r.doc_id: len(r.found) for r in secrets_scan.scan_documents(docs, f"{tmp_path}/ledger").collect()}
+    assert found == dict.fromkeys(range(200), 1)
+    pages = spark.createDataFrame([(i, f"http://h{i}.example.com/a") for i in range(200)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.example.com", "/", "block") for i in range(200)], "host string, path string, verdict string")
+    judged = url_filter.judge(otherwise_each_time(pages), listed, True).collect()
+    assert {r.page_id: r.rule for r in judged} == {i: f"h{i}.example.com/" for i in range(200)}
+
+
+def test_marks_may_hold_quotes(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "password: hunter22 x")], "doc_id long, text string")
+    assert secrets_scan.redact(docs, f"{tmp_path}/ledger", mark="<it's \\gone>").first().text == "<it's \\gone> x"
+
+
 def test_one_of_each(corpus, nothing):
     kept = ngram_join.one_of_each(corpus)
     assert kept.columns == corpus.columns
