@@ -33,7 +33,7 @@ from shopweave.llm.common import no_null, saved, shared_dir
 from shopweave.llm.tokens import BLANKS, Encoder, worker_memory
 
 #: Characters of text in a lot.
-LOT = 8_000_000
+LOT = 4_000_000
 #: Tokens looked at on each side of the middle before an interval is looked through as a whole.
 NEAR = 8
 
