@@ -41,8 +41,9 @@ def week(day: str = "day") -> Column:
     return F.to_date(F.date_trunc("week", day))
 
 
-def bucket(day: str, period: str) -> Column:
-    return {"daily": F.col(day), "weekly": week(day), "monthly": month(day), "yearly": F.trunc(day, "year")}[period]
+def bucket(day: str | Column, period: str) -> Column:
+    column = F.col(day) if isinstance(day, str) else day
+    return {"daily": column, "weekly": week(day), "monthly": month(day), "yearly": F.trunc(day, "year")}[period]
 
 
 def month_index(day: str = "day") -> Column:

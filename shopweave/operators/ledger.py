@@ -6,31 +6,37 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopweave.functions.columns import money, month
+from shopweave.functions.columns import clean_label, money, month
 
 DEMO = "^2026:[0-9]{6}$"
 
 
 def snapshot(receipts: DataFrame, decided_lines: DataFrame, as_of: str) -> DataFrame:
-    """Receipts before as_of as (sale_id, day, customer_key, segment, revenue), demo and all-non-dairy ones left out.
+    """Receipts before as_of as (sale_id, day, customer_key, customer_name, segment, revenue), void and demo ones left out.
 
-    A receipt's revenue is shared by what its dairy lines are of all; one with a line to be reviewed, or none, is unclassified.
+    A receipt whose source states a segment keeps it and its whole amount. The lines of others decide: all non-dairy, it is left out; a
+    line to be reviewed, no line or a gross of nought or less, it is unclassified and whole; else its amount is shared by what its
+    dairy lines are of all, and `feedin` in the customer's name makes it feeding. The customer is the linked one, else the source's label.
     """
     zero = F.lit(0).cast("decimal(20,2)")
-    part = lambda d: F.coalesce(F.sum(F.when(F.col("decision") == d, F.col("amount"))), zero)
-    sums = decided_lines.groupBy(F.col("receipt_id").alias("id")).agg(
-        part("dairy").alias("dairy"), F.coalesce(F.sum("amount"), zero).alias("gross"), F.bool_and(F.col("decision") == "non_dairy").alias("none"), F.bool_or(F.col("decision") == "review").alias("review")
-    )
     kept = receipts.filter(~F.col("voided") & (F.col("day") < F.lit(as_of).cast("date")) & ~F.col("reference").rlike(DEMO))
-    rows = kept.join(sums, "id", "left").filter(~F.coalesce("none", F.lit(False)))
-    whole = F.col("review").isNull() | F.col("review") | (F.col("gross") == 0)
-    # Cents times cents over cents, halves up, in whole numbers.
-    cents = F.expr("(2 * cast(amount * 100 as decimal(38,0)) * cast(dairy * 100 as decimal(18,0)) + cast(gross * 100 as decimal(18,0))) div (2 * cast(gross * 100 as decimal(18,0)))")
-    share = F.when(whole, F.col("amount")).otherwise((cents / 100).cast("decimal(20,2)"))
-    return rows.select(
-        F.col("id").alias("sale_id"), "day", F.coalesce(F.concat(F.lit("c:"), F.col("customer_id")), F.lit("walk-in")).alias("customer_key"),
-        F.when(F.col("review").isNull() | F.col("review"), "unclassified").otherwise(F.col("segment")).alias("segment"), share.alias("revenue"),
+    stated = F.coalesce("explicit_segment", F.lit("")) != ""
+    live = kept.filter(~stated).select(F.col("id").alias("receipt_id"))
+    sums = decided_lines.join(live, "receipt_id", "left_semi").groupBy(F.col("receipt_id").alias("id")).agg(
+        F.coalesce(F.sum(F.when(F.col("decision") == "dairy", F.col("amount"))), zero).alias("dairy"), F.sum("amount").alias("gross"),
+        F.bool_and(F.col("decision") == "non_dairy").alias("none"), F.bool_or(F.col("decision") == "review").alias("review"),
     )
+    rows = kept.withColumn("stated", stated).join(sums, "id", "left").filter(F.col("stated") | ~F.coalesce("none", F.lit(False)))
+    unclear = F.col("gross").isNull() | F.col("review") | (F.col("gross") <= 0)
+    # Cents times cents over cents, halves away from nought, in whole numbers.
+    cents = F.expr("sign(dairy) * ((2 * cast(amount * 100 as decimal(38,0)) * cast(abs(dairy) * 100 as decimal(18,0)) + cast(gross * 100 as decimal(18,0))) div (2 * cast(gross * 100 as decimal(18,0))))")
+    share = F.when(F.col("stated") | unclear, F.col("amount")).otherwise((cents / 100).cast("decimal(20,2)"))
+    label = F.regexp_replace(F.coalesce("source_label", F.lit("")), r"^\s+|\s+$", "")
+    name = F.when(label != "", label).otherwise(F.coalesce("customer_name", F.lit("Walk-in")))
+    key = F.when(F.col("customer_id").isNotNull(), F.concat(F.lit("customer:"), F.col("customer_id"))).when(label != "", F.concat(F.lit("label:"), F.lower(clean_label(label)))).otherwise("walk-in")
+    guessed = F.when(unclear, "unclassified").when(F.contains(F.lower(name), F.lit("feedin")), "feeding").otherwise("regular")
+    segment = F.when(F.col("stated"), F.col("explicit_segment")).otherwise(guessed)
+    return rows.select(F.col("id").alias("sale_id"), "day", key.alias("customer_key"), name.alias("customer_name"), segment.alias("segment"), share.alias("revenue"))
 
 
 def at_cutoffs(sales: DataFrame, cutoffs: list[str]) -> DataFrame:
@@ -55,23 +61,53 @@ def allocated(lines: DataFrame, *order: str) -> DataFrame:
     return rows.drop("weights", "product", "base", "rest", "left")
 
 
-def item_facts(allocations: DataFrame) -> DataFrame:
-    """(day, segment, product_id, quantity, revenue); what cannot be allocated is a row of product 0, its lines of unknown revenue."""
+#: The product of revenue that no line can take; no catalog has it.
+UNALLOCATED = -1
+LINE_ORDER = ("line", "product_id", "l_suppkey", "l_extendedprice", "shipped")
+
+
+def dairy_lines(decided_lines: DataFrame, sales: DataFrame, *order: str) -> DataFrame:
+    """Dairy lines of classified sales with their share of the sale's revenue: (receipt_id, day, segment, product_id, quantity, cents).
+
+    A quantity of nought or less is unknown, so is a negative amount; one unknown amount, or a gross of nought, leaves the cents of
+    all the sale's lines unknown.
+    """
+    kept = sales.filter("segment in ('regular', 'feeding')").select(F.col("sale_id").alias("receipt_id"), "day", "segment", F.expr("cast(revenue * 100 as bigint)").alias("net_cents"))
+    rows = decided_lines.filter("decision = 'dairy'").join(kept, "receipt_id")
+    rows = rows.withColumn("quantity", F.when(F.col("entered_quantity") > 0, F.col("entered_quantity")))
+    known = F.expr("bool_and(entered_amount >= 0 and entered_amount is not null)").over(Window.partitionBy("receipt_id"))
+    return allocated(rows.withColumn("weight", F.when(known, F.expr("cast(entered_amount * 100 as bigint)")).otherwise(0)), *(order or LINE_ORDER))
+
+
+def item_facts(lines: DataFrame, sales: DataFrame) -> DataFrame:
+    """(day, segment, product_id, quantity, revenue, lines, unknown_quantity, unknown_revenue) from dairy_lines and the sales.
+
+    Sums are of what is known, null where nothing is; unknown_* count the lines that are not. The revenue of sales that no line
+    can take is product UNALLOCATED, of unknown quantity.
+    """
     by = ("day", "segment", "product_id")
-    facts = allocations.groupBy(*by).agg(F.sum("quantity").alias("quantity"), F.when(F.count("*") == F.count("cents"), F.sum("cents")).alias("cents"))
-    lost = allocations.filter("cents is null").select("receipt_id", "day", "segment", "net_cents").distinct()
-    rest = lost.groupBy("day", "segment").agg(F.sum("net_cents").alias("cents")).select("day", "segment", F.lit(0).cast("long").alias("product_id"), F.lit(None).cast("decimal(20,2)").alias("quantity"), "cents")
-    out = facts.select(*by, F.col("quantity").cast("decimal(20,2)").alias("quantity"), F.col("cents").cast("long").alias("cents")).unionByName(rest.withColumn("cents", F.col("cents").cast("long")))
-    return out.select(*by, F.col("quantity").cast("double").alias("quantity"), (F.col("cents") / 100).cast("double").alias("revenue"))
+    none = lambda c: (F.count("*") - F.count(c)).alias(f"unknown_{'revenue' if c == 'cents' else c}")
+    facts = lines.groupBy(*by).agg(F.sum("quantity").cast("double").alias("quantity"), F.sum("cents").alias("cents"), F.count("*").alias("lines"), none("quantity"), none("cents"))
+    kept = sales.filter("segment in ('regular', 'feeding')").withColumnRenamed("sale_id", "receipt_id")
+    lost = kept.join(lines.filter("cents is not null").select("receipt_id"), "receipt_id", "left_anti").withColumn("product_id", F.lit(UNALLOCATED).cast("long"))
+    n = F.count("*")
+    rest = lost.groupBy(*by).agg(F.lit(None).cast("double").alias("quantity"), F.sum(F.expr("cast(revenue * 100 as bigint)")).alias("cents"), n.alias("lines"), n.alias("unknown_quantity"), F.lit(0).cast("long").alias("unknown_revenue"))
+    out = facts.withColumn("cents", F.col("cents").cast("long")).unionByName(rest)
+    return out.select(*by, "quantity", (F.col("cents").cast("double") / 100).alias("revenue"), "lines", "unknown_quantity", "unknown_revenue")
 
 
 def segment_monthly(sales: DataFrame) -> DataFrame:
     return sales.groupBy(month().alias("month"), "segment").agg(money(F.sum("revenue")).alias("revenue"), F.count("*").alias("receipts"), F.countDistinct("day").alias("days"))
 
 
-def customer_profile(sales: DataFrame, as_of: str) -> DataFrame:
-    """What each customer buys and how regularly; walk-in sales are no customer."""
-    known = sales.filter("customer_key <> 'walk-in'")
+def customer_profile(sales: DataFrame) -> DataFrame:
+    """What each customer of the regular segment buys and how regularly; a lapse is measured from the last sale recorded at all.
+
+    revenue_share is in percent of all regular revenue. Sales without customer or label are no customer: no median is taken of them.
+    """
+    # One row: the last day of all sales and what regular ones sum to.
+    whole = sales.agg(F.max("day").alias("through"), F.sum(F.when(F.col("segment") == "regular", F.col("revenue"))).alias("total"))
+    known = sales.filter("customer_key <> 'walk-in' and segment = 'regular'")
     days = known.select("customer_key", "day").distinct()
     gap = F.datediff("day", F.lag("day").over(Window.partitionBy("customer_key").orderBy("day")))
     gaps = days.select("customer_key", gap.alias("gap")).groupBy("customer_key").agg(
@@ -81,25 +117,26 @@ def customer_profile(sales: DataFrame, as_of: str) -> DataFrame:
         F.count("*").alias("receipts"), F.countDistinct(month()).alias("active_months"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
         money(F.sum("revenue")).alias("revenue"), F.expr("percentile(cast(revenue as double), 0.5)").alias("median_receipt"),
     )
-    full = each.join(gaps, "customer_key")
+    full = each.join(gaps, "customer_key").join(F.broadcast(whole))
     cv = F.when((F.col("n_gaps") >= 3) & (F.col("mean_gap") > 0), F.round(F.col("sd_gap") / F.col("mean_gap"), 6))
-    since = F.datediff(F.lit(as_of).cast("date"), "last_day")
+    since = F.datediff("through", "last_day")
+    share = F.when(F.col("total") != 0, F.round(F.col("revenue") * 100 / F.col("total").cast("double"), 4))
     return full.select(
-        "customer_key", "receipts", "purchase_days", "active_months", "first_day", "last_day", "revenue", "median_receipt", "median_gap", cv.alias("gap_cv"),
+        "customer_key", "receipts", "purchase_days", "active_months", "first_day", "last_day", since.alias("days_since_last"), "revenue", share.alias("revenue_share"), "median_receipt", "median_gap", cv.alias("gap_cv"),
         F.when(F.col("n_gaps") > 0, since > F.greatest(F.lit(30.0), 3 * F.col("median_gap"))).alias("lapsed"),
     )
 
 
 def customer_gaps(sales: DataFrame) -> DataFrame:
-    days = sales.filter("customer_key <> 'walk-in'").select("customer_key", "day").distinct()
+    days = sales.filter("customer_key <> 'walk-in' and segment = 'regular'").select("customer_key", "day").distinct()
     gap = F.datediff("day", F.lag("day").over(Window.partitionBy("customer_key").orderBy("day")))
     return days.select("customer_key", "day", gap.alias("gap")).filter("gap is not null")
 
 
 def calendar_effects(sales: DataFrame) -> DataFrame:
-    """Totals by weekday (Monday is 1) and by band of days of the month, each in full."""
+    """Totals of the regular segment by weekday (Monday is 1) and by band of days of the month, each in full."""
     spark = sales.sparkSession
-    days = sales.groupBy("day").agg(F.sum("revenue").alias("r"), F.count("*").alias("n"))
+    days = sales.filter("segment = 'regular'").groupBy("day").agg(F.sum("revenue").alias("r"), F.count("*").alias("n"))
     band = F.least(F.floor((F.dayofmonth("day") - 1) / 7) + 1, F.lit(5)).cast("int")
     keys = [("weekday", k) for k in range(1, 8)] + [("band", k) for k in range(1, 6)]
     known = spark.createDataFrame(keys, "kind string, k int")
@@ -113,7 +150,7 @@ def data_quality(receipts: DataFrame, sales: DataFrame, as_of: str) -> DataFrame
     own = before.agg(F.count(F.when(F.col("reference").rlike(DEMO), 1)).alias("excluded_demo"), F.count("*").alias("receipts"))
     kept = sales.agg(
         F.count("*").alias("sales"), F.count(F.when(F.col("segment") == "unclassified", 1)).alias("unclassified"), F.count(F.when(F.col("segment") == "feeding", 1)).alias("feeding"),
-        F.count(F.when(F.col("revenue") < 0, 1)).alias("negative"), F.count(F.when(F.col("customer_key") == "walk-in", 1)).alias("unlinked"), F.datediff(F.lit(as_of).cast("date"), F.max("day")).alias("age_days"),
+        F.count(F.when(F.col("revenue") < 0, 1)).alias("negative"), F.count(F.when((F.col("segment") == "regular") & ~F.col("customer_key").startswith("customer:"), 1)).alias("unlinked"), F.datediff(F.lit(as_of).cast("date"), F.max("day")).alias("age_days"),
     )
     return own.join(F.broadcast(kept)).withColumn("excluded_non_dairy", F.expr("receipts - excluded_demo - sales"))  # one row each
 

@@ -155,33 +155,12 @@ def skill(scores: DataFrame, model: str, baseline: str, *keys: str) -> DataFrame
     return each.select(*keys, "comparable", F.when(F.col("comparable") & (F.col("b") > 0), F.round((1 - F.col("m") / F.col("b")) * 100, 4)).alias("skill"))
 
 
-def bucket_items(facts: DataFrame, covered: DataFrame, *keys: str) -> DataFrame:
-    """Item sums by month where unknown is not nought: null if any fact is unknown, 0 only in months with any sale at all.
-
-    facts (keys, day, revenue); covered (bucket): months in which something was sold.
-    """
-    sums = facts.groupBy(*keys, month().alias("bucket")).agg(F.when(F.count("*") == F.count("revenue"), F.sum("revenue")).alias("value"), F.lit(True).alias("seen"))
-    full = on_calendar(sums, "1 month", *keys).join(covered.withColumn("sold", F.lit(True)), "bucket", "left")
-    value = F.when(F.col("seen"), F.col("value")).when(F.col("sold"), 0.0)
-    return full.select(*keys, "bucket", value.alias("value"))
-
-
 def covered_cutoff(covered: DataFrame) -> DataFrame:
     """First and last month of the latest contiguous coverage: covered (bucket)."""
     one = covered.withColumn("all", F.lit(1))
     return latest_run(one, month_index("bucket"), "all").agg(F.min("bucket").alias("covered_from"), F.max("bucket").alias("covered_to"))
 
 
-def rollup_items(rows: DataFrame) -> DataFrame:
-    """Item values up to category and unit, and to the unit over all; units never mix: rows (segment, category, unit, product_id, bucket, value)."""
-    rows.createOrReplaceTempView("_item_values")
-    out = rows.sparkSession.sql("""select segment, unit, category, product_id, bucket, cast(2 * grouping(category) + grouping(product_id) as int) as level,
-        sum(value) as value, count(value) as known, count(*) as total from _item_values
-        group by grouping sets ((segment, unit, category, product_id, bucket), (segment, unit, category, bucket), (segment, unit, bucket))""")
-    rows.sparkSession.catalog.dropTempView("_item_values")
-    return out
-
-
 def combined(views: DataFrame, *keys: str) -> DataFrame:
     """regular + feeding where both exist: views (keys, segment, value)."""
     of = lambda s: views.filter(F.col("segment") == s).select(*keys, F.col("value").alias(s))
@@ -293,12 +272,12 @@ def availability(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("*").alias("expected"), F.count("value").alias("available"), (F.count("*") == F.count("value")).alias("complete"))
 
 
-def expert_adjusted(paths: DataFrame, changes: DataFrame) -> DataFrame:
-    """The latest revision per (product_id, bucket) applied to a path: absolute, delta or percent; whole cents, never below nought."""
-    last = changes.groupBy("product_id", "bucket").agg(F.max(F.struct("version", "kind", "amount")).alias("c"))
+def expert_adjusted(paths: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
+    """The latest revision of each key (product, period, segment) applied to a path: absolute, delta or percent; whole cents, never below nought."""
+    last = changes.groupBy(*keys).agg(F.max(F.struct("version", "kind", "amount")).alias("c"))
     kind, amount, value = F.col("c.kind"), F.col("c.amount"), F.col("value")
     new = F.when(kind == "absolute", amount).when(kind == "delta", value + amount).when(kind == "percent", value * (100 + amount) / 100).otherwise(value)
-    return paths.join(last, ["product_id", "bucket"], "left").select("product_id", "bucket", F.greatest(F.round(new.cast("decimal(24,6)"), 2), F.lit(0)).cast("double").alias("value"))
+    return paths.join(last, list(keys), "left").select(*keys, F.greatest(F.round(new.cast("decimal(24,6)"), 2), F.lit(0)).cast("double").alias("value"))
 
 
 def overlapping(predictions: DataFrame, start: str, end: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shopweave.functions.columns import month
 from shopweave.operators import forecast as op
 from shopweave.operators import series
+from shopweave.plans.hierarchy import items
 from shopweave.plans.ledger import snap
-from shopweave.plans.series import items, monthly
+from shopweave.plans.series import monthly
 
 
 def _segments(s):
@@ -27,12 +27,8 @@ def _sarima(s):
 
 
 def _items(s):
-    return items(s).filter("segment = 'regular'").select(F.col("product_id").cast("string").alias("item"), "bucket", "value")
-
-
-def _scopes(s):
-    rows = s.lines.join(s.receipts.filter("not voided").select(F.col("id").alias("receipt_id"), "day", "segment"), "receipt_id").join(s.products.select("product_id", "category"), "product_id")
-    return series.on_calendar(rows.groupBy(F.col("category").alias("scope"), month().alias("bucket")).agg(F.sum("quantity").cast("double").alias("value")), "1 month", "scope")
+    """Revenue of every item by month, the item being named by segment and product."""
+    return items(s).filter("metric = 'revenue'").select(F.concat_ws(":", "segment", "product_id").alias("item"), "bucket", "value")
 
 
 def _lately(s):
@@ -40,11 +36,6 @@ def _lately(s):
     return _segments(s).filter("bucket >= date '1997-01-01'")
 
 
-def _item_sums(s):
-    found = op.seasonal_forecast(_items(s), "item", 12, 3).filter("status = 'available'")
-    return found.join(s.products.select(F.col("product_id").cast("string").alias("item"), F.col("category").alias("scope")), "item").select("scope", "step", "predicted")
-
-
 QUERIES = {
     "trend_flag": (lambda s: op.shape(_items(s), "item", 12).select("item", "n", "slope", "r2", "p", "has_trend"), None),
     "seasonal_strength": (lambda s: op.shape(_segments(s), "segment", 12).select("segment", "strength", "is_seasonal"), None),
@@ -53,10 +44,7 @@ QUERIES = {
     "sarima_forecast": (lambda s: op.seasonal_forecast(_items(s), "item", 12, 6), None),
     "sarima_select": (_sarima, None),
     "comparators": (lambda s: op.select_model(op.walk_forward(_segments(s), "segment", ("level", "damped", "ridge_10", "ridge_100")), "segment"), None),
-    "item_forecast": (lambda s: op.item_forecast(_items(s), s.products.select(F.col("product_id").cast("string").alias("item"), "active"), "item"), None),
     "short_history_projection": (lambda s: op.projection(_lately(s), "segment", 12, 6), None),
-    "fill_aggregate": (lambda s: op.filled(_item_sums(s), op.seasonal_forecast(_scopes(s), "scope", 12, 3).select("scope", "step", "predicted"), "scope"), None),
-    "scope_series": (lambda s: _scopes(s), None),
     "seasonal_outlook": (lambda s: op.whole_path(op.seasonal_forecast(_segments(s), "segment", 12, 12), "segment", 12), None),
     "gap_matched_eval": (lambda s: op.gap_matched(_segments(s), "segment", 12, 6, 2), None),
 }

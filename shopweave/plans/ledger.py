@@ -13,13 +13,27 @@ from shopweave.sources.shop import Shop
 AS_OF = "1999-06-30"
 DEMO = "regexp_matches(reference, '^2026:[0-9]{6}$')"
 SNAPSHOT = f"""decided AS (SELECT l.receipt_id, l.amount, coalesce(p.decision, 'review') AS decision FROM line l LEFT JOIN product p USING (product_id)),
-    by_receipt AS (SELECT receipt_id AS id, coalesce(sum(CASE WHEN decision = 'dairy' THEN amount END), 0) AS dairy, coalesce(sum(amount), 0) AS gross,
-        bool_and(decision = 'non_dairy') AS none_kept, bool_or(decision = 'review') AS review FROM decided GROUP BY 1),
-    snap AS (SELECT r.id AS sale_id, r.day, coalesce('c:' || r.customer_id, 'walk-in') AS customer_key,
-        CASE WHEN review IS NULL OR review THEN 'unclassified' ELSE segment END AS segment,
-        CASE WHEN review IS NULL OR review OR gross = 0 THEN amount ELSE
+    by_receipt AS (SELECT receipt_id AS id, coalesce(sum(amount) FILTER (decision = 'dairy'), 0) AS dairy, sum(amount) AS gross, bool_and(decision = 'non_dairy') AS none_kept,
+        bool_or(decision = 'review') AS review FROM decided GROUP BY 1),
+    eligible AS (SELECT *, trim(coalesce(source_label, '')) AS own_label FROM receipt WHERE NOT voided AND day < DATE '{AS_OF}' AND NOT {DEMO}),
+    snap AS (SELECT e.id AS sale_id, e.day,
+        CASE WHEN customer_id IS NOT NULL THEN 'customer:' || customer_id WHEN own_label <> '' THEN 'label:' || regexp_replace(lower(own_label), '\\s+', ' ', 'g') ELSE 'walk-in' END AS customer_key,
+        CASE WHEN own_label <> '' THEN own_label WHEN customer_name IS NOT NULL THEN customer_name ELSE 'Walk-in' END AS customer_name,
+        CASE WHEN explicit_segment IS NOT NULL THEN explicit_segment WHEN gross IS NULL OR review OR gross <= 0 THEN 'unclassified'
+            WHEN contains(lower(CASE WHEN own_label <> '' THEN own_label ELSE coalesce(customer_name, 'Walk-in') END), 'feedin') THEN 'feeding' ELSE 'regular' END AS segment,
+        CASE WHEN explicit_segment IS NOT NULL OR gross IS NULL OR review OR gross <= 0 THEN amount ELSE
             (((2 * (amount * 100)::HUGEINT * (dairy * 100)::HUGEINT + (gross * 100)::HUGEINT) // (2 * (gross * 100)::HUGEINT))::DECIMAL(20,0) / 100)::DECIMAL(20,2) END AS revenue
-        FROM receipt r LEFT JOIN by_receipt b USING (id) WHERE NOT voided AND day < DATE '{AS_OF}' AND NOT {DEMO} AND NOT coalesce(none_kept, false))"""
+        FROM eligible e LEFT JOIN by_receipt b USING (id) WHERE explicit_segment IS NOT NULL OR NOT coalesce(none_kept, false))"""
+FACTS = f"""{SNAPSHOT}, kept AS (SELECT sale_id, day, segment, (revenue * 100)::BIGINT AS net_cents FROM snap WHERE segment IN ('regular', 'feeding')),
+    dairy AS (SELECT l.receipt_id, l.line, l.product_id, l.l_suppkey, l.l_extendedprice, l.shipped, k.day, k.segment, k.net_cents, CASE WHEN l.entered_quantity > 0 THEN l.entered_quantity END AS quantity,
+        CASE WHEN l.entered_amount >= 0 THEN (l.entered_amount * 100)::BIGINT END AS worth FROM line l JOIN product p USING (product_id) JOIN kept k ON k.sale_id = l.receipt_id WHERE p.decision = 'dairy'),
+    grossed AS (SELECT *, CASE WHEN count(worth) OVER w = count(*) OVER w THEN sum(worth) OVER w END AS gross FROM dairy WINDOW w AS (PARTITION BY receipt_id)),
+    floored AS (SELECT *, CASE WHEN gross > 0 THEN net_cents::HUGEINT * worth // gross END AS base, CASE WHEN gross > 0 THEN net_cents::HUGEINT * worth % gross END AS rest FROM grossed),
+    dairy_line AS (SELECT *, base + CASE WHEN row_number() OVER (PARTITION BY receipt_id ORDER BY rest DESC NULLS LAST, line, product_id, l_suppkey, l_extendedprice, shipped)
+        <= net_cents - sum(base) OVER (PARTITION BY receipt_id) THEN 1 ELSE 0 END AS cents FROM floored),
+    item_fact AS (SELECT day, segment, product_id, sum(quantity)::DOUBLE AS quantity, sum(cents)::DOUBLE / 100 AS revenue, count(*) AS lines, count(*) - count(quantity) AS unknown_quantity, count(*) - count(cents) AS unknown_revenue
+        FROM dairy_line GROUP BY 1, 2, 3
+        UNION ALL SELECT day, segment, -1, NULL, sum(net_cents)::DOUBLE / 100, count(*), count(*), 0 FROM kept WHERE sale_id NOT IN (SELECT receipt_id FROM dairy_line WHERE cents IS NOT NULL) GROUP BY 1, 2)"""
 ALLOCATED = """weighted AS (SELECT l.receipt_id, l.line, l.product_id, l.l_suppkey, l.l_extendedprice, l.shipped, l.quantity, r.day, r.segment,
         CASE WHEN l.receipt_id % 9 = 0 THEN 0 ELSE (l.amount * 100)::BIGINT END AS weight, (r.amount * 100)::BIGINT AS net_cents FROM line l JOIN receipt r ON r.id = l.receipt_id WHERE NOT r.voided),
     based AS (SELECT *, sum(weight) OVER w AS weights, CASE WHEN sum(weight) OVER w > 0 THEN net_cents::HUGEINT * weight // sum(weight) OVER w END AS base,
@@ -38,6 +52,11 @@ def allocated(s: Shop):
     return op.allocated(lines, "line", "product_id", "l_suppkey", "l_extendedprice", "shipped")
 
 
+def facts(s: Shop):
+    sold = snap(s)
+    return op.item_facts(op.dairy_lines(sales.decided(s.lines, s.products), sold), sold)
+
+
 def _closure(s: Shop):
     return op.year_closure(s.receipts, s.lines, s.products, s.batches, s.customers, 1996, 1997)
 
@@ -50,7 +69,7 @@ def _invoices(s: Shop):
 QUERIES = {
     "sales_snapshot": (
         lambda s: snap(s).withColumn("revenue", F.col("revenue").cast("double")),
-        sql(f", {SNAPSHOT} SELECT sale_id, day, customer_key, segment, revenue::DOUBLE AS revenue FROM snap"),
+        sql(f", {SNAPSHOT} SELECT sale_id, day, customer_key, customer_name, segment, revenue::DOUBLE AS revenue FROM snap"),
     ),
     "multi_cutoff_snapshots": (
         lambda s: op.at_cutoffs(snap(s), ["1995-06-01", "1996-01-01", "1997-06-15", "1999-01-01"]),
@@ -61,43 +80,40 @@ QUERIES = {
         lambda s: allocated(s).select("receipt_id", "line", "product_id", F.col("cents").cast("long").alias("cents")),
         sql(f", {ALLOCATED} SELECT receipt_id, line, product_id, cents::BIGINT AS cents FROM shared"),
     ),
-    "item_facts": (
-        lambda s: op.item_facts(allocated(s)),
-        sql(f""", {ALLOCATED} SELECT day, segment, product_id, sum(quantity)::DOUBLE AS quantity, CASE WHEN count(*) = count(cents) THEN sum(cents)::DOUBLE / 100 END AS revenue
-            FROM shared GROUP BY 1, 2, 3
-            UNION ALL SELECT day, segment, 0, NULL, sum(net_cents)::DOUBLE / 100 FROM (SELECT DISTINCT receipt_id, day, segment, net_cents FROM shared WHERE cents IS NULL) GROUP BY 1, 2"""),
-    ),
+    "item_facts": (facts, sql(f", {FACTS} SELECT * FROM item_fact")),
     "segment_monthly": (
         lambda s: op.segment_monthly(snap(s)),
         sql(f", {SNAPSHOT} SELECT date_trunc('month', day)::DATE AS month, segment, {money('sum(revenue)')} AS revenue, count(*) AS receipts, count(DISTINCT day) AS days FROM snap GROUP BY 1, 2"),
     ),
     "customer_profile": (
-        lambda s: op.customer_profile(snap(s), AS_OF),
-        sql(f""", {SNAPSHOT}, days AS (SELECT DISTINCT customer_key, day FROM snap WHERE customer_key <> 'walk-in'),
+        lambda s: op.customer_profile(snap(s)),
+        sql(f""", {SNAPSHOT}, own AS (SELECT * FROM snap WHERE customer_key <> 'walk-in' AND segment = 'regular'), days AS (SELECT DISTINCT customer_key, day FROM own),
+            whole AS (SELECT max(day) AS through, sum(revenue) FILTER (segment = 'regular')::DOUBLE AS total FROM snap),
             g AS (SELECT customer_key, day - lag(day) OVER (PARTITION BY customer_key ORDER BY day) AS gap FROM days),
             gs AS (SELECT customer_key, count(*) AS purchase_days, quantile_cont(gap::DOUBLE, 0.5) AS median_gap, count(gap) AS n_gaps, avg(gap) AS mean_gap, stddev_pop(gap) AS sd_gap FROM g GROUP BY 1),
             e AS (SELECT customer_key, count(*) AS receipts, count(DISTINCT date_trunc('month', day)) AS active_months, min(day) AS first_day, max(day) AS last_day,
-                {money('sum(revenue)')} AS revenue, quantile_cont(revenue::DOUBLE, 0.5) AS median_receipt FROM snap WHERE customer_key <> 'walk-in' GROUP BY 1)
-            SELECT customer_key, receipts, purchase_days, active_months, first_day, last_day, revenue, median_receipt, median_gap,
+                {money('sum(revenue)')} AS revenue, quantile_cont(revenue::DOUBLE, 0.5) AS median_receipt FROM own GROUP BY 1)
+            SELECT customer_key, receipts, purchase_days, active_months, first_day, last_day, (through - last_day)::INTEGER AS days_since_last, revenue, round(revenue * 100 / total, 4) AS revenue_share, median_receipt, median_gap,
                 CASE WHEN n_gaps >= 3 AND mean_gap > 0 THEN round(sd_gap / mean_gap, 6) END AS gap_cv,
-                CASE WHEN n_gaps > 0 THEN (DATE '{AS_OF}' - last_day) > greatest(30.0, 3 * median_gap) END AS lapsed FROM e JOIN gs USING (customer_key)"""),
+                CASE WHEN n_gaps > 0 THEN (through - last_day) > greatest(30.0, 3 * median_gap) END AS lapsed FROM e JOIN gs USING (customer_key), whole"""),
     ),
     "customer_gaps": (
         lambda s: op.customer_gaps(snap(s)),
-        sql(f""", {SNAPSHOT}, days AS (SELECT DISTINCT customer_key, day FROM snap WHERE customer_key <> 'walk-in'),
+        sql(f""", {SNAPSHOT}, days AS (SELECT DISTINCT customer_key, day FROM snap WHERE customer_key <> 'walk-in' AND segment = 'regular'),
             g AS (SELECT customer_key, day, (day - lag(day) OVER (PARTITION BY customer_key ORDER BY day))::INTEGER AS gap FROM days) SELECT * FROM g WHERE gap IS NOT NULL"""),
     ),
     "calendar_effects": (
         lambda s: op.calendar_effects(snap(s)),
         sql(f""", {SNAPSHOT}, keys AS (SELECT 'weekday' AS kind, k::INTEGER AS k FROM range(1, 8) t(k) UNION ALL SELECT 'band', k::INTEGER FROM range(1, 6) t(k)),
-            cut AS (SELECT 'weekday' AS kind, isodow(day)::INTEGER AS k, revenue FROM snap UNION ALL SELECT 'band', least((dayofmonth(day) - 1) // 7 + 1, 5)::INTEGER, revenue FROM snap)
+            cut AS (SELECT 'weekday' AS kind, isodow(day)::INTEGER AS k, revenue FROM snap WHERE segment = 'regular'
+                UNION ALL SELECT 'band', least((dayofmonth(day) - 1) // 7 + 1, 5)::INTEGER, revenue FROM snap WHERE segment = 'regular')
             SELECT kind, k, {money('sum(revenue)')} AS revenue, count(revenue) AS receipts FROM keys LEFT JOIN cut USING (kind, k) GROUP BY 1, 2"""),
     ),
     "data_quality": (
         lambda s: op.data_quality(s.receipts, snap(s), AS_OF),
         sql(f""", {SNAPSHOT}, b AS (SELECT count(CASE WHEN {DEMO} THEN 1 END) AS excluded_demo, count(*) AS receipts FROM receipt WHERE NOT voided AND day < DATE '{AS_OF}'),
             k AS (SELECT count(*) AS sales, count(CASE WHEN segment = 'unclassified' THEN 1 END) AS unclassified, count(CASE WHEN segment = 'feeding' THEN 1 END) AS feeding,
-                count(CASE WHEN revenue < 0 THEN 1 END) AS negative, count(CASE WHEN customer_key = 'walk-in' THEN 1 END) AS unlinked, (DATE '{AS_OF}' - max(day))::INTEGER AS age_days FROM snap)
+                count(CASE WHEN revenue < 0 THEN 1 END) AS negative, count(CASE WHEN segment = 'regular' AND NOT starts_with(customer_key, 'customer:') THEN 1 END) AS unlinked, (DATE '{AS_OF}' - max(day))::INTEGER AS age_days FROM snap)
             SELECT *, receipts - excluded_demo - sales AS excluded_non_dairy FROM b, k"""),
     ),
     "invoice_seed": (
@@ -125,7 +141,7 @@ QUERIES = {
             FROM submission JOIN f USING (user_id, request_id)"""),
     ),
     "table_fingerprint": (lambda s: op.fingerprint(s.receipts, without=("created_at",)), None),
-    "series_signature": (lambda s: op.signatures(op.item_facts(allocated(s)), "segment", "product_id"), None),
+    "series_signature": (lambda s: op.signatures(facts(s), "segment", "product_id"), None),
     "namespace_remove": (
         lambda s: op.without_demo(s.lines, s.receipts, "receipt_id").groupBy("product_id").agg(F.count("*").alias("rows"), op.money(F.sum("amount")).alias("revenue")),
         sql(f"SELECT product_id, count(*) AS rows, {money('sum(amount)')} AS revenue FROM line WHERE receipt_id NOT IN (SELECT id FROM receipt WHERE {DEMO}) GROUP BY 1"),

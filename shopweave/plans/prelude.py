@@ -17,14 +17,18 @@ TABLES = {
         CASE WHEN o_orderkey % 97 = 0 THEN 'unclassified' WHEN o_orderkey % 10 = 0 THEN 'regular'
             WHEN c_mktsegment = 'MACHINERY' THEN 'feeding' ELSE 'regular' END AS segment,
         CASE WHEN o_orderkey % 10 = 0 THEN 'outlet sales' WHEN c_mktsegment <> 'MACHINERY' THEN c_name
-            ELSE ['feeding deped - second batch', 'Rizal  feeding (north)', 'depedx milk', 'Féeding DSWD'][o_custkey % 4 + 1] END AS label
+            ELSE ['feeding deped - second batch', 'Rizal  feeding (north)', 'depedx milk', 'Féeding DSWD'][o_custkey % 4 + 1] END AS label,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE segment END AS explicit_segment,
+        CASE WHEN o_orderkey % 8 = 4 THEN ' ' || label || ' ' WHEN o_orderkey % 10 = 0 AND o_orderkey % 3 = 0 THEN 'Stall  ' || (o_orderkey % 7) ELSE '' END AS source_label
         FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
     "line": """SELECT l_orderkey AS receipt_id, l_linenumber AS line, l_partkey AS product_id, l_suppkey,
         l_partkey * 1000 + l_suppkey % 1000 AS batch_id, l_quantity::DECIMAL(10,2) AS quantity,
         (floor((2 * round(l_extendedprice * 100) + l_quantity) / (2 * l_quantity))::BIGINT::DECIMAL(20,0) / 100)::DECIMAL(10,2) AS price,
         CASE WHEN l_returnflag = 'N' THEN NULL ELSE (round(l_extendedprice * 100)::BIGINT::DECIMAL(20,0) / 100)::DECIMAL(20,2) END AS subtotal,
         CASE WHEN l_linestatus = 'O' THEN NULL ELSE 'part ' || (l_partkey % 50) END AS snap_name, l_shipdate::DATE AS shipped, l_extendedprice,
-        coalesce(subtotal, (l_quantity::DECIMAL(10,0) * price)::DECIMAL(20,2))::DECIMAL(20,2) AS amount FROM lineitem""",
+        coalesce(subtotal, (l_quantity::DECIMAL(10,0) * price)::DECIMAL(20,2))::DECIMAL(20,2) AS amount,
+        CASE WHEN l_linenumber <> 1 THEN amount WHEN l_orderkey % 45 = 9 THEN NULL WHEN l_orderkey % 45 = 18 THEN -amount ELSE amount END AS entered_amount,
+        CASE WHEN l_linenumber = 1 AND l_orderkey % 45 = 27 THEN 0::DECIMAL(10,2) ELSE l_quantity::DECIMAL(10,2) END AS entered_quantity FROM lineitem""",
     "product": """SELECT p_partkey AS product_id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS variant, p_type AS category,
         CASE WHEN p_size % 2 = 0 THEN 'L' ELSE 'unit' END AS unit, p_partkey % 25 <> 0 AS active, p_size AS size,
         CASE p_partkey % 10 WHEN 1 THEN 'non_dairy' WHEN 2 THEN NULL ELSE 'dairy' END AS decision FROM part""",

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from shopweave.sources.shop import Shop
 
-MODULES = ("sales", "inventory", "ledger", "ingest", "series", "forecast", "stream")
+MODULES = ("sales", "inventory", "ledger", "ingest", "series", "hierarchy", "forecast", "stream")
 
 
 def _all() -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shopweave.functions.columns import month, month_index
 from shopweave.operators import series as op
-from shopweave.plans.ledger import ALLOCATED, AS_OF, SNAPSHOT, allocated, snap
+from shopweave.plans.ledger import AS_OF, SNAPSHOT, snap
 from shopweave.plans.prelude import sql
 from shopweave.sources.shop import Shop
 
@@ -37,12 +37,6 @@ METRICS = """count(*) AS n, CASE WHEN sum(abs(actual)) > 0 THEN round(sum(abs(pr
     CASE WHEN sum(abs(actual)) > 0 THEN round(sum(predicted - actual) * 100 / sum(abs(actual)), 4) END AS bias_percent, round(avg(abs(predicted - actual)), 4) AS mae, round(avg(predicted - actual), 4) AS bias,
     round(sqrt(avg((predicted - actual) * (predicted - actual))), 4) AS rmse, round(max(abs(predicted - actual)), 4) AS max_error, round(avg((predicted - actual) * (predicted - actual)), 4) AS mse,
     round(avg(CASE WHEN actual <> 0 THEN abs((predicted - actual) / actual) END) * 100, 4) AS mape, count(CASE WHEN actual = 0 THEN 1 END) AS zero_actuals, round(stddev_pop(predicted - actual), 2) AS error_stddev"""
-FACTS = f"""{ALLOCATED}, facts AS (SELECT segment, product_id, day, CASE WHEN count(*) = count(cents) THEN sum(cents)::DOUBLE / 100 END AS revenue FROM shared GROUP BY 1, 2, 3),
-    covered AS (SELECT DISTINCT date_trunc('month', day)::DATE AS bucket FROM receipt WHERE NOT voided)"""
-ITEMS = f"""{FACTS}, sums AS (SELECT segment, product_id, date_trunc('month', day)::DATE AS bucket, CASE WHEN count(*) = count(revenue) THEN round(sum(revenue), 2) END AS value, true AS seen FROM facts GROUP BY 1, 2, 3),
-    ends AS (SELECT segment, product_id, min(bucket) AS lo, max(bucket) AS hi FROM sums GROUP BY 1, 2),
-    cal AS (SELECT segment, product_id, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS bucket FROM ends),
-    items AS (SELECT segment, product_id, bucket, CASE WHEN seen THEN value WHEN bucket IN (SELECT bucket FROM covered) THEN 0.0 END AS value FROM cal LEFT JOIN sums USING (segment, product_id, bucket))"""
 #: Some days after the last receipt of the driver's tables.
 END_OF_DATA = "1998-08-09"
 KINDS = "['regular', 'feeding', 'combined']"
@@ -68,23 +62,10 @@ def predictions(s: Shop):
     return op.long_predictions(op.baselines(run(s), "segment"), op.MONTHLY_BASELINES, "segment")
 
 
-def facts(s: Shop):
-    rows = allocated(s).groupBy("segment", "product_id", "day").agg(F.when(F.count("*") == F.count("cents"), F.sum("cents")).alias("c"))
-    return rows.select("segment", "product_id", "day", (F.col("c").cast("double") / 100).alias("revenue"))
-
-
 def covered(s: Shop):
     return s.receipts.filter("not voided").select(month().alias("bucket")).distinct()
 
 
-def item_series(facts, s: Shop):
-    return op.bucket_items(facts, covered(s), "segment", "product_id").withColumn("value", F.round("value", 2))
-
-
-def items(s: Shop):
-    return item_series(facts(s), s)
-
-
 def issues(s: Shop):
     base = s.table("orders").selectExpr(
         "o_orderkey as run_id", "add_months(trunc(o_orderdate, 'month'), 1) as target", "date_add(to_date(o_orderdate), cast(o_orderkey % 9 * 7 as int)) as issued",
@@ -196,33 +177,10 @@ QUERIES = {
         sql(f""", {BASE}, p AS (SELECT a.segment, abs(a.actual - a.predicted) AS m, abs(b.actual - b.predicted) AS b FROM long a JOIN long b USING (segment, bucket) WHERE a.method = 'mean_6' AND b.method = 'previous')
             SELECT segment, true AS comparable, round((1 - sum(m) / sum(b)) * 100, 4) AS skill FROM p GROUP BY 1"""),
     ),
-    "bucket_item_series": (lambda s: items(s), sql(f", {ITEMS} SELECT * FROM items")),
-    "demand_class": (
-        lambda s: op.demand_class(items(s), "segment", "product_id"),
-        sql(f""", {ITEMS}, e AS (SELECT segment, product_id, count(*) AS buckets, count(value) AS observed, count(CASE WHEN value > 0 THEN 1 END) AS positive,
-                avg(CASE WHEN value > 0 THEN value END) AS mean, stddev_pop(CASE WHEN value > 0 THEN value END) AS sd FROM items GROUP BY 1, 2),
-            c AS (SELECT *, buckets / positive AS adi, (sd / mean) * (sd / mean) AS cv2, observed = buckets AND buckets >= 12 AND positive >= 4 AS enough FROM e)
-            SELECT segment, product_id, observed, positive, CASE WHEN enough THEN round(adi, 6) END AS adi, CASE WHEN enough THEN round(cv2, 6) END AS cv2,
-                CASE WHEN NOT enough THEN 'insufficient' WHEN adi < 1.32 AND cv2 < 0.49 THEN 'stable' WHEN adi < 1.32 THEN 'erratic' WHEN cv2 < 0.49 THEN 'intermittent' ELSE 'lumpy' END AS class FROM c"""),
-    ),
     "covered_cutoff": (
         lambda s: op.covered_cutoff(covered(s)),
         sql(f", c AS (SELECT DISTINCT 1 AS one, date_trunc('month', day)::DATE AS bucket FROM receipt WHERE NOT voided), {runs_sql('c', 'one')} SELECT min(bucket) AS covered_from, max(bucket) AS covered_to FROM run"),
     ),
-    "rollup_hierarchy": (
-        lambda s: op.rollup_items(items(s).join(s.products.select("product_id", "category", "unit"), "product_id")).withColumn("value", F.round("value", 2)),
-        sql(f""", {ITEMS}, named AS (SELECT i.*, p.category, p.unit FROM items i JOIN product p USING (product_id))
-            SELECT segment, unit, category, product_id, bucket, grouping(category, product_id)::INTEGER AS level, round(sum(value), 2) AS value, count(value) AS known, count(*) AS total FROM named
-            GROUP BY GROUPING SETS ((segment, unit, category, product_id, bucket), (segment, unit, category, bucket), (segment, unit, bucket))"""),
-    ),
-    "segment_unit_series": (
-        lambda s: s.lines.join(s.receipts.filter("not voided").select(F.col("id").alias("receipt_id"), "day", "segment"), "receipt_id").join(s.products.select("product_id", "unit"), "product_id").groupBy("segment", "unit", month().alias("bucket")).agg(F.sum("quantity").cast("double").alias("quantity")),
-        sql("""SELECT segment, unit, date_trunc('month', day)::DATE AS bucket, sum(quantity)::DOUBLE AS quantity FROM line JOIN receipt r ON r.id = receipt_id JOIN product USING (product_id) WHERE NOT voided GROUP BY 1, 2, 3"""),
-    ),
-    "catalog_with_unsold": (
-        lambda s: s.products.select("category").distinct().join(facts(s).join(s.products.select("product_id", "category"), "product_id").groupBy("category").agg(F.sum("revenue").alias("v"), F.countDistinct("product_id").alias("items")), "category", "left").select("category", F.round(F.coalesce("v", F.lit(0.0)), 2).alias("revenue"), F.coalesce("items", F.lit(0)).alias("items")),
-        sql(f", {FACTS} SELECT c.category, round(coalesce(sum(f.revenue), 0), 2) AS revenue, count(DISTINCT f.product_id) AS items FROM product c LEFT JOIN facts f USING (product_id) GROUP BY 1"),
-    ),
     "combine_views": (
         lambda s: op.combined(monthly(s), "bucket").withColumn("value", F.round("value", 2)),
         sql(f", {MONTHLY} SELECT bucket, round(a.value + b.value, 2) AS value FROM monthly a JOIN monthly b USING (bucket) WHERE a.segment = 'regular' AND b.segment = 'feeding'"),
@@ -233,7 +191,7 @@ QUERIES = {
             sum(revenue) FILTER (segment = 'feeding')::DOUBLE AS feeding_v, nullif(count(*) FILTER (segment = 'feeding'), 0) AS feeding_n FROM snap GROUP BY 1"""),
     ),
     "feeding_study": (
-        lambda s: op.feeding_study(snap(s).filter("segment = 'feeding'").join(s.receipts.filter("segment = 'feeding'").select(F.col("id").alias("sale_id"), "label"), "sale_id"), AS_OF),
+        lambda s: op.feeding_study(snap(s).filter("segment = 'feeding'").join(s.receipts.select(F.col("id").alias("sale_id"), "label"), "sale_id"), AS_OF),
         sql(rf""", {SNAPSHOT}, f AS (SELECT s.day, s.revenue, date_trunc('month', s.day)::DATE AS bucket,
                 ' ' || regexp_replace(regexp_replace(lower(strip_accents(label)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g') || ' ' AS words FROM snap s JOIN receipt r ON r.id = s.sale_id WHERE s.segment = 'feeding'),
             p AS (SELECT *, CASE WHEN contains(words, ' dswd ') THEN 'DSWD' WHEN contains(words, ' deped ') THEN 'DepEd' WHEN contains(words, 'las pinas') THEN 'Las Piñas' WHEN contains(words, ' rizal ') THEN 'Rizal'
@@ -295,11 +253,6 @@ QUERIES = {
         lambda s: op.availability(gappy(s), "segment"),
         sql(f", {GAPPY} SELECT segment, count(*) AS expected, count(value) AS available, count(*) = count(value) AS complete FROM dense GROUP BY 1"),
     ),
-    "expert_adjust": (
-        lambda s: op.expert_adjusted(items(s).filter("segment = 'regular' and value is not null").select("product_id", "bucket", "value"), s.lines.selectExpr(
-            "product_id", "trunc(shipped, 'month') as bucket", "receipt_id * 10 + line as version", "element_at(array('absolute', 'delta', 'percent'), cast(receipt_id % 3 + 1 as int)) as kind", "cast(quantity as double) - 25 as amount").dropDuplicates(["product_id", "bucket", "version"])),
-        None,
-    ),
     "forecast_overlap": (
         lambda s: op.overlapping(forecasts(s).select("segment", F.col("bucket").alias("period_start"), F.last_day("bucket").alias("period_end"), "value"), "1997-02-10", "1997-05-02"),
         sql(f", {FORECASTS} SELECT segment, bucket AS period_start, last_day(bucket) AS period_end, value FROM issued WHERE bucket <= DATE '1997-05-02' AND last_day(bucket) >= DATE '1997-02-10'"),

@@ -23,7 +23,10 @@ class Shop:
 
     @cached_property
     def receipts(self) -> DataFrame:
-        """A row per receipt. customer_id is null for walk-in sales; moved_day is when the goods moved, day when the sale counts."""
+        """A row per receipt. customer_id is null for walk-in sales; moved_day is when the goods moved, day when the sale counts.
+
+        explicit_segment and source_label are what a source recorded of segment and customer; live receipts have no segment of their own.
+        """
         customers = self.table("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"), "c_mktsegment")
         orders = self.table("orders").selectExpr(
             "o_orderkey as id",
@@ -46,11 +49,16 @@ class Shop:
             when c_mktsegment = 'MACHINERY' then 'feeding' else 'regular' end"""
         label = """case when customer_id is null then 'outlet sales' when c_mktsegment <> 'MACHINERY' then customer_name
             else element_at(array('feeding deped - second batch', 'Rizal  feeding (north)', 'depedx milk', 'Féeding DSWD'), cast(customer_id % 4 as int) + 1) end"""
-        return orders.join(customers, "customer_id", "left").withColumn("segment", F.expr(segment)).withColumn("label", F.expr(label)).drop("c_mktsegment")
+        named = orders.join(customers, "customer_id", "left").withColumn("segment", F.expr(segment)).withColumn("label", F.expr(label)).drop("c_mktsegment")
+        source = "case when id % 8 = 4 then concat(' ', label, ' ') when customer_id is null and id % 3 = 0 then concat('Stall  ', id % 7) else '' end"
+        return named.withColumn("explicit_segment", F.expr("if(id % 4 = 0, null, segment)")).withColumn("source_label", F.expr(source))
 
     @cached_property
     def lines(self) -> DataFrame:
-        """A row per receipt line. subtotal may be null; snap_* are the product's data at the time of sale, or null."""
+        """A row per receipt line. subtotal may be null; snap_* are the product's data at the time of sale, or null.
+
+        entered_quantity and entered_amount are what was written down: some lines have no amount, a negative one, or no quantity.
+        """
         price = "floor((2 * round(l_extendedprice * 100) + l_quantity) / (2 * l_quantity))"
         return self.table("lineitem").selectExpr(
             "l_orderkey as receipt_id",
@@ -64,7 +72,10 @@ class Shop:
             "if(l_linestatus = 'O', null, concat('part ', l_partkey % 50)) as snap_name",
             "to_date(l_shipdate) as shipped",
             "l_extendedprice",
-        ).withColumn("amount", F.expr("cast(coalesce(subtotal, quantity * price) as decimal(20,2))"))
+        ).withColumn("amount", F.expr("cast(coalesce(subtotal, quantity * price) as decimal(20,2))")).withColumns({
+            "entered_amount": F.expr("case when line <> 1 then amount when receipt_id % 45 = 9 then null when receipt_id % 45 = 18 then -amount else amount end"),
+            "entered_quantity": F.expr("if(line = 1 and receipt_id % 45 = 27, cast(0 as decimal(10,2)), quantity)"),
+        })
 
     @cached_property
     def products(self) -> DataFrame:

@@ -77,12 +77,6 @@ def test_largest_remainder(spark):
         assert sum(allocate(spark, 12345, weights)) == 12345
 
 
-def test_unpriced_receipt(spark):
-    rows = [(1, dt.date(2024, 1, 1), "regular", 5, Decimal("1.00"), None, 9000)]
-    facts = ledger.item_facts(spark.createDataFrame(rows, "receipt_id long, day date, segment string, product_id long, quantity decimal(10,2), cents long, net_cents long")).collect()
-    assert {(r.product_id, r.quantity, r.revenue) for r in facts} == {(5, 1.0, None), (0, None, 90.0)}
-
-
 @pytest.mark.parametrize(
     ("given", "filled"),
     [([4, None, 10], [4, 7, 10]), ([4, None, None, 10], [4, 6, 8, 10]), ([None, 4, None, 0, None, 10, None], [None, 4, 2, 0, 5, 10, None])],

@@ -5,39 +5,48 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from shopweave.operators.sales import decided
 from shopweave.plans import registry
+from shopweave.plans.hierarchy import items
 from shopweave.plans.ingest import sheet_rows
 from shopweave.plans.inventory import _cancelled
-from shopweave.plans.series import items
+from shopweave.plans.ledger import snap
 from shopweave.sources.shop import Shop
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
 
 
-def sold(s, segment=None):
-    """Products on any receipt that is not voided, of a segment."""
-    receipts = s.receipts.filter("not voided")
-    receipts = receipts if segment is None else receipts.filter(F.col("segment") == segment)
-    return {r.product_id for r in s.lines.join(receipts.select(F.col("id").alias("receipt_id")), "receipt_id", "left_semi").select("product_id").distinct().collect()}
+def sold(s):
+    """Dairy products with a known amount on any classified sale."""
+    kept = snap(s).filter("segment in ('regular', 'feeding')").select(F.col("sale_id").alias("receipt_id"), "segment")
+    lines = decided(s.lines, s.products).filter("decision = 'dairy'").join(kept, "receipt_id")
+    return {(r.segment, r.product_id) for r in lines.select("segment", "product_id").distinct().collect()}
 
 
-def test_item_series_hold_every_product_sold(spark):
-    s = Shop(spark, DIR)
-    assert {r.product_id for r in items(s).select("product_id").distinct().collect()} == sold(s)
+@pytest.fixture(scope="module")
+def plain(spark):
+    return items(Shop(spark, DIR)).persist()
 
 
-@pytest.mark.parametrize("name", ["trend_flag", "sarima_forecast", "item_forecast"])
-def test_item_models_hold_every_product_sold(spark, name):
-    found = registry.queries()[name](spark, DIR).select("item").distinct().collect()
-    assert {int(r.item) for r in found} == sold(Shop(spark, DIR), "regular")
+def test_item_series_hold_every_product_sold(spark, plain):
+    quantities = plain.filter("metric = 'quantity'").select("segment", "product_id").distinct().collect()
+    assert {(r.segment, r.product_id) for r in quantities} == sold(Shop(spark, DIR))
 
 
-def test_adjustments_reach_every_product(spark):
-    s = Shop(spark, DIR)
-    plain = {(r.product_id, r.bucket): r.value for r in items(s).filter("segment = 'regular' and value is not null").collect()}
-    changed = {(r.product_id, r.bucket) for r in registry.queries()["expert_adjust"](spark, DIR).collect() if r.value != plain[r.product_id, r.bucket]}
-    assert any(p % 40 for p, _ in changed) and len({p % 40 for p, _ in changed}) == 40
+def test_item_models_hold_every_series(spark, plain):
+    names = {(r.segment, r.product_id, r.metric) for r in plain.select("segment", "product_id", "metric").distinct().collect()}
+    found = registry.queries()["item_forecast"](spark, DIR).select("segment", "product_id", "metric").distinct().collect()
+    assert {tuple(r) for r in found} == names and {n[0] for n in names} == {"regular", "feeding"}
+    for name in ("trend_flag", "sarima_forecast"):
+        found = {r.item for r in registry.queries()[name](spark, DIR).select("item").distinct().collect()}
+        assert found == {f"{s}:{p}" for s, p, m in names if m == "revenue"}
+
+
+def test_adjustments_reach_both_segments(spark, plain):
+    before = {(r.segment, r.product_id, r.bucket): r.value for r in plain.filter("metric = 'revenue' and value is not null").collect()}
+    changed = {(r.segment, r.product_id) for r in registry.queries()["expert_adjust"](spark, DIR).collect() if r.value != before[r.segment, r.product_id, r.bucket]}
+    assert {s for s, _ in changed} == {"regular", "feeding"} and len(changed) > 100
 
 
 def test_sheets_hold_every_line(spark):
