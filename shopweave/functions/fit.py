@@ -11,6 +11,8 @@ from itertools import product
 
 import numpy as np
 
+from shopweave.functions import stl
+
 LIMIT = 0.98
 
 
@@ -88,72 +90,31 @@ def forecast_seasonal(values: np.ndarray, season: int, fit: dict, steps: int) ->
     return ahead * fit["scale"], se * fit["scale"]
 
 
-def level(values: np.ndarray, damp: float = 0.0, alphas=(0.2, 0.4, 0.6, 0.8)) -> float:
-    """One-step prediction of exponential smoothing, with a damped trend if damp is over nought; alpha by in-sample error."""
-    best = (np.inf, float(values[-1]))
-    for alpha in alphas:
-        lev, trend, cost = float(values[0]), 0.0, 0.0
-        for y in values[1:]:
-            guess = lev + damp * trend
-            cost += (y - guess) ** 2
-            new = guess + alpha * (y - guess)
-            trend = damp * trend + alpha * 0.3 * (y - guess) if damp else 0.0
-            lev = new
-        best = min(best, (cost, lev + damp * trend))
-    return best[1]
-
-
-def ridge(values: np.ndarray, penalty: float, season: int = 12) -> float | None:
-    """One-step prediction of a ridge regression on six features: lags 1, 2, 3, the season's lag, the mean of three, the index."""
-    if len(values) < season + 6:
-        return None
-    scale = float(np.mean(np.abs(values))) or 1.0
-    y = values / scale
-    row = lambda t: np.array([y[t - 1], y[t - 2], y[t - 3], y[t - season], y[t - 3 : t].mean(), t / len(y)])
-    x = np.array([row(t) for t in range(season, len(y))])
-    centre, target = x.mean(0), y[season:]
-    w = np.linalg.solve((x - centre).T @ (x - centre) + penalty / 100 * np.eye(6), (x - centre).T @ (target - target.mean()))
-    return float((target.mean() + (row(len(y)) - centre) @ w) * scale)
+def decompose(values: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Trend, season and rest by robust loess; two whole seasons are needed."""
+    return stl.decompose(values, season) if len(values) >= 2 * season else None
 
 
-def decompose(values: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Trend by a centred moving mean, season by medians of what is left, rest; two whole cycles are needed."""
-    if len(values) < 2 * season:
-        return None
-    kernel = np.ones(season) / season if season % 2 else np.r_[0.5, np.ones(season - 1), 0.5] / season
-    half = len(kernel) // 2
-    trend = np.convolve(np.pad(values, half, mode="edge"), kernel, "valid")
-    rest = values - trend
-    by_phase = np.array([np.median(rest[k::season]) for k in range(season)])
-    seasonal = np.resize(by_phase - by_phase.mean(), len(values))
-    return trend, seasonal, values - trend - seasonal
-
-
-def seasonal_strength(values: np.ndarray, season: int) -> float | None:
-    parts = decompose(values, season)
-    if parts is None:
-        return None
+def seasonal_strength(parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    """How much of what the trend leaves is season, from nought to one."""
     _, seasonal, rest = parts
     whole = float(np.var(seasonal + rest))
-    return max(0.0, 1 - float(np.var(rest)) / whole) if whole else 0.0
+    return min(1.0, max(0.0, 1 - float(np.var(rest)) / whole)) if whole > 1e-12 else 0.0
 
 
-def repetition(values: np.ndarray, season: int) -> float | None:
+def repetition(values: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray], season: int) -> float:
     """Correlation of the values, less their trend, with those of a season before."""
-    parts = decompose(values, season)
-    if parts is None:
-        return None
     rest = values - parts[0]
     before, after = rest[:-season], rest[season:]
     return float(np.corrcoef(before, after)[0, 1]) if min(before.std(), after.std()) > 1e-12 else 0.0
 
 
-def cycle(values: np.ndarray, season: int) -> tuple[float, float] | None:
+def cycle(values: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None, season: int) -> tuple[float, float] | None:
     """Period and share of the strongest frequency that no calendar explains, of the values less season and straight line.
 
     Periods from 4 to a third of the series count, but those within a fifth of the season; three seasons, 24 values at least, are needed.
     """
-    n, parts = len(values), decompose(values, season)
+    n = len(values)
     if parts is None or n < max(24, 3 * season):
         return None
     t = np.arange(n) - (n - 1) / 2

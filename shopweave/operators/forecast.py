@@ -1,8 +1,10 @@
-"""Forecasts of many series in parallel: one group of a grouped map is one series, or one series, model and origin."""
+"""Forecasts of many series in parallel: an Arrow batch of series, or a group of one series and one model."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopweave.functions import batchfit, fit
+from shopweave.functions import batchfit, fit, smooth
 from shopweave.operators.hierarchy import arrays, ineligible
 
 MODELS = ("seasonal_12", "seasonal_6", "seasonal_4", "level", "damped", "ridge_10", "ridge_100")
@@ -20,21 +22,19 @@ WEEKLY_SARIMA = {f"weekly_sarima_{p}{d}{q}_100_52": (p, d, q, 52, 104) for p, d,
 SARIMA = MONTHLY_SARIMA | WEEKLY_SARIMA
 
 
-def one_step(values: np.ndarray, model: str) -> float | None:
-    """The next value by a model, from these values alone."""
+def one_step(values: np.ndarray, model: str, months: list[date]) -> float | None:
+    """The next value by a model, from these values alone; months are those of the values and the next one."""
     if model in SARIMA:
         p, d, q, season, least = SARIMA[model]
         found = fit.fit_seasonal(values, season, p, d, q) if len(values) >= least else None
         return None if found is None else max(0.0, float(fit.forecast_seasonal(values, season, found, 1)[0][0]))
     if model.startswith("seasonal"):
-        season = int(model.split("_")[1])
-        found = fit.fit_seasonal(values, season)
-        return None if found is None else max(0.0, float(fit.forecast_seasonal(values, season, found, 1)[0][0]))
-    if model == "level":
-        return fit.level(values)
-    if model == "damped":
-        return fit.level(values, 0.9)
-    return fit.ridge(values, float(model.split("_")[1]))
+        got = batchfit.forecasts([values], int(model.split("_")[1]), 1)[0]
+        return None if got is None else float(got[0][0])
+    if len(values) < 12 or (values < 0).any():
+        return None
+    value = smooth.level(values) if model == "level" else smooth.damped(values) if model == "damped" else smooth.ridge(values, months, float(model.split("_")[1]))
+    return max(0.0, value)
 
 
 def ordered(s: pd.DataFrame) -> np.ndarray:
@@ -81,22 +81,24 @@ def projection(rows: DataFrame, key: str, season: int, steps: int) -> DataFrame:
 def walk_forward(rows: DataFrame, key: str, models: tuple[str, ...] = MODELS, origins: int = 18) -> DataFrame:
     """(key, model, back, actual, predicted): each model's one-step prediction of the last `origins` buckets from the buckets before.
 
-    Series are spread by (key, model, origin), so that fits fill the cluster however few the series are. A SARIMA configuration
-    gives nothing at all for series that are too short for its earliest origin, so that all origins or none are compared.
+    A group is a series and a model, its origins are slices of it. A SARIMA configuration gives nothing at all for series that are
+    too short for its earliest origin, so that all origins or none are compared.
     """
-    grid = rows.select(key).distinct().withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(origins))))
+    each = rows.withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
     def run(k: tuple, s: pd.DataFrame) -> pd.DataFrame:
-        values = fit.interpolate(ordered(s))
-        back = int(k[2])
-        out = None
-        least = SARIMA[k[1]][-1] + origins - back if k[1] in SARIMA else 6
-        if len(values) - back >= least:
-            out = one_step(values[: len(values) - back], k[1])
-        rows = [] if out is None else [(k[0], k[1], back, float(values[len(values) - back]), float(out))]
-        return pd.DataFrame(rows, columns=[key, "model", "back", "actual", "predicted"])
+        s = s.sort_values("bucket")
+        known = s[s["value"].notna().cummax() & s["value"].notna()[::-1].cummax()[::-1]]
+        values, months, out = fit.interpolate(known["value"].to_numpy(float)), list(known["bucket"]), []
+        for back in range(1, origins + 1):
+            n = len(values) - back
+            least = SARIMA[k[1]][-1] + origins - back if k[1] in SARIMA else 6
+            guess = one_step(values[:n], k[1], months[: n + 1]) if n >= least else None
+            if guess is not None:
+                out.append((k[0], k[1], back, float(values[n]), float(guess)))
+        return pd.DataFrame(out, columns=[key, "model", "back", "actual", "predicted"])
 
-    return rows.join(grid, key).groupBy(key, "model", "back").applyInPandas(run, f"{key} string, model string, back int, actual double, predicted double")
+    return each.groupBy(key, "model").applyInPandas(run, f"{key} string, model string, back int, actual double, predicted double")
 
 
 def select_model(predictions: DataFrame, key: str, test: int = 12) -> DataFrame:
@@ -109,6 +111,34 @@ def select_model(predictions: DataFrame, key: str, test: int = 12) -> DataFrame:
     return best.select(key, F.col("b.model").alias("model"), F.col("b.wape").alias("validation_wape")).join(tested, [key, "model"], "left")
 
 
+def trends(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, slope, r2, p, has_trend) of each series, an Arrow batch of them at a time; null where it is too short or has unknown buckets."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                y = np.array(values, float)
+                inner, _ = batchfit.inner(y)
+                if len(inner) < 3 or len(inner) > np.count_nonzero(~np.isnan(y)):
+                    out.append((name, len(inner), None, None, None, None))
+                    continue
+                out.append((name, len(inner), *trend_of(inner)))
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "n", "slope", "r2", "p", "has_trend"])
+
+    return arrays(rows, key).select(key, "values").mapInArrow(run, f"{key} string, n int, slope double, r2 double, p double, has_trend boolean")
+
+
+def trend_of(values: np.ndarray) -> tuple[float, float, float, bool]:
+    """Slope, r squared, p, and whether p is .05 at most and the line changes by a fifth of the mean at least."""
+    slope, r2, p = fit.trend(values)
+    mean = float(values.mean())
+    change = abs(slope) * (len(values) - 1) / mean if mean > 0 else 0.0
+    return slope, r2, p, bool(p <= 0.05 and change >= 0.2)
+
+
 def shape(rows: DataFrame, key: str, season: int) -> DataFrame:
     """Trend, seasonality and cycle of each series, with flags; null where it is too short or has unknown buckets inside."""
 
@@ -117,15 +147,12 @@ def shape(rows: DataFrame, key: str, season: int) -> DataFrame:
         values = fit.interpolate(raw)
         if len(values) < 3 or len(values) > np.count_nonzero(~np.isnan(raw)):
             return pd.DataFrame([(k[0], len(values)) + (None,) * 8], columns=columns)
-        slope, r2, p = fit.trend(values)
-        mean = float(values.mean())
-        change = abs(slope) * (len(values) - 1) / mean if mean > 0 else 0.0
-        strength, found = fit.seasonal_strength(values, season), fit.cycle(values, season)
-        again = fit.repetition(values, season)
-        period, share = found or (None, None)
-        seasonal = None if strength is None or again is None else strength >= 0.6 and again >= 0.3
+        parts = fit.decompose(values, season) if values.std() > 1e-12 else None
+        strength, again = (None, None) if parts is None else (fit.seasonal_strength(parts), fit.repetition(values, parts, season))
+        period, share = fit.cycle(values, parts, season) or (None, None)
+        seasonal = None if strength is None else strength >= 0.6 and again >= 0.3
         cyclic = None if share is None else share >= 0.5
-        return pd.DataFrame([(k[0], len(values), slope, r2, p, p <= 0.05 and change >= 0.2, strength, seasonal, period, cyclic)], columns=columns)
+        return pd.DataFrame([(k[0], len(values), *trend_of(values), strength, seasonal, period, cyclic)], columns=columns)
 
     columns = [key, "n", "slope", "r2", "p", "has_trend", "strength", "is_seasonal", "period", "has_cycle"]
     return rows.groupBy(key).applyInPandas(run, f"{key} string, n int, slope double, r2 double, p double, has_trend boolean, strength double, is_seasonal boolean, period double, has_cycle boolean")
@@ -145,23 +172,52 @@ def components(rows: DataFrame, key: str, season: int) -> DataFrame:
     return rows.select(key, "bucket", "value").groupBy(key).applyInPandas(run, f"{key} string, bucket date, trend double, seasonal double, rest double")
 
 
-def gap_matched(rows: DataFrame, key: str, season: int, horizon: int, gap: int) -> DataFrame:
-    """Errors of forecasts over two blocks that do not overlap, at distances past a gap only: (key, block, distance, actual, predicted)."""
+def path_of(method: str, training: np.ndarray, season: int, steps: int) -> np.ndarray | None:
+    """A path of several steps by a method, or None where it cannot train."""
+    if method == "sarima":
+        got = None if ineligible(training, season) else batchfit.forecasts([training], season, steps)[0]
+        return None if got is None else got[0]
+    values, over = batchfit.inner(training)
+    if len(values) < max(12, season):
+        return None
+    if method == "level":
+        return np.full(steps, max(0.0, smooth.level(values)))
+    at = len(values) + over + np.arange(steps)
+    return np.maximum(values[at - season * ((at - len(values)) // season + 1)], 0.0)
+
+
+def gap_matched(rows: DataFrame, key: str, season: int, horizon: int, gap: int, methods: tuple[str, ...] = ("sarima", "level", "last_season")) -> DataFrame:
+    """(key, method, status, reason, validation_mae, test_mae, tested, selected): methods compared over two blocks that do not overlap.
+
+    A block is as long as gap and horizon; only distances past the gap are scored, and 80 % of those, two at least, have to be known in
+    each block. The least validation error selects, in order of methods where equal, before the later block is looked at: nothing in it
+    changes the choice.
+    """
+    columns = [key, "method", "status", "reason", "validation_mae", "test_mae", "tested", "selected"]
+
+    def error(raw: np.ndarray, cut: int, method: str) -> tuple[float, int] | None:
+        path, actual = path_of(method, raw[:cut], season, horizon + gap), raw[cut + gap : cut + gap + horizon]
+        known = ~np.isnan(actual)
+        return None if path is None else (round(float(np.abs(path[gap:] - actual)[known].mean()), 4), int(known.sum()))
 
     def run(k: tuple, s: pd.DataFrame) -> pd.DataFrame:
-        raw, out = ordered(s), []
-        span = horizon + gap
-        for block in (1, 2):
-            cut = len(raw) - block * span
-            train = fit.interpolate(raw[: max(cut, 0)])
-            ahead = raw[cut : cut + span] if cut > 0 else raw[:0]
-            found = fit.fit_seasonal(train, season) if len(train) >= 2 * season and (~np.isnan(ahead)).mean() >= 0.8 else None
-            if found:
-                y = fit.forecast_seasonal(train, season, found, span)[0].clip(0)
-                out += [(k[0], block, d + 1, float(ahead[d]), float(y[d])) for d in range(gap, span) if not np.isnan(ahead[d])]
-        return pd.DataFrame(out, columns=[key, "block", "distance", "actual", "predicted"])
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} string, block int, distance int, actual double, predicted double")
+        raw, span = ordered(s), horizon + gap
+        first, second = len(raw) - 2 * span, len(raw) - span
+        short = "too short for two blocks" if first < 1 else None
+        if not short and min((~np.isnan(raw[c + gap : c + span])).sum() for c in (first, second)) < max(2, math.ceil(0.8 * horizon)):
+            short = "too few known buckets in a block"
+        if short:
+            return pd.DataFrame([(k[0], m, "insufficient_history", short, None, None, None, False) for m in methods], columns=columns)
+        validated = {m: e for m in methods if (e := error(raw, first, m))}
+        chosen = min(validated, key=lambda m: (validated[m][0], methods.index(m))) if validated else None
+        out = []
+        for m in methods:
+            tested = error(raw, second, m) if m in validated else None
+            status = "ineligible" if m not in validated else "evaluated" if tested else "test_fit_failed"
+            out.append((k[0], m, status, None if m in validated else "cannot train before the first block", validated.get(m, (None,))[0], tested and tested[0], tested and tested[1], m == chosen))
+        return pd.DataFrame(out, columns=columns).astype({"validation_mae": float, "test_mae": float, "tested": "Int64"})
+
+    return rows.groupBy(key).applyInPandas(run, f"{key} string, method string, status string, reason string, validation_mae double, test_mae double, tested int, selected boolean")
 
 
 def whole_path(steps: DataFrame, key: str, n: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,11 +59,19 @@ def stock_health(products: DataFrame, batches: DataFrame, as_of: str) -> DataFra
     return full.select("product_id", "stock", "next_expiry", status.alias("status"), (F.col("stock") <= LOW).alias("low"))
 
 
-def status_counts(health: DataFrame) -> DataFrame:
-    """Products per status, nought for a status that none has."""
-    known = health.sparkSession.createDataFrame([(s,) for s in ("no_stock", "expired", "expiring_soon", "healthy")], "status string")
-    sums = health.groupBy("status").agg(F.count("*").alias("n"), F.count(F.when(F.col("low"), 1)).alias("l"))
-    return known.join(sums, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("products"), F.coalesce("l", F.lit(0)).alias("low"))
+def status_counts(health: DataFrame, products: DataFrame, batches: DataFrame, as_of: str, near: int = NEAR) -> DataFrame:
+    """(kind, status, n): active products per stock status, nought for one that none has, how many of them are low, and how many there
+    are; batches of expired stock and of stock that is received and expires soon."""
+    known = [("products", s) for s in ("no_stock", "expired", "expiring_soon", "healthy")] + [("products", "low"), ("products", "all"), ("batches", "expired"), ("batches", "expiring_soon")]
+    counts = [
+        health.groupBy("status").agg(F.count("*").alias("n")).select(F.lit("products").alias("kind"), "status", "n"),
+        health.filter("low").agg(F.count("*").alias("n")).select(F.lit("products"), F.lit("low"), "n"),
+        products.filter("active").agg(F.count("*").alias("n")).select(F.lit("products"), F.lit("all"), "n"),
+        expired(batches, as_of).agg(F.count("*").alias("n")).select(F.lit("batches"), F.lit("expired"), "n"),
+        expiring(batches, as_of, near).filter(F.col("received") <= day(as_of)).agg(F.count("*").alias("n")).select(F.lit("batches"), F.lit("expiring_soon"), "n"),
+    ]
+    sums = functools.reduce(DataFrame.union, counts)
+    return health.sparkSession.createDataFrame(known, "kind string, status string").join(sums, ["kind", "status"], "left").select("kind", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def adjustment_history(adjustments: DataFrame, kinds: tuple[str, ...], start: str, end: str) -> DataFrame:

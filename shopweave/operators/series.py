@@ -196,13 +196,17 @@ def prospective_scores(issued: DataFrame, actuals: DataFrame, *keys: str) -> Dat
     return both.select(*keys, "bucket", "actual", F.round(error, 4).alias("error"), F.round(F.abs(error), 4).alias("abs_error"), F.round(F.abs(F.col("baseline") - F.col("actual")), 4).alias("baseline_error"), F.col("actual").between(F.col("lower"), F.col("upper")).alias("inside"))
 
 
-def prospective_report(issued: DataFrame, scores: DataFrame, *keys: str) -> DataFrame:
-    """Issued, scored and awaiting forecasts of each key, and their errors in percent of the actuals; those that have a baseline beside it."""
-    rows = issued.select(*keys, "bucket").join(scores, [*keys, "bucket"], "left")
+def prospective_report(issued: DataFrame, scores: DataFrame, as_of: str, *keys: str) -> DataFrame:
+    """Issued and scored forecasts of each key, and their errors in percent of the actuals; those that have a baseline beside it.
+
+    A month that is not over by as_of awaits its outcome, and no score of it counts; one that is over and has no score awaits review.
+    """
+    rows = issued.select(*keys, "bucket").join(scores, [*keys, "bucket"], "left").withColumn("open", F.add_months("bucket", 1) > F.lit(as_of).cast("date"))
+    rows = rows.withColumns({c: F.when(~F.col("open"), F.col(c)) for c in scores.columns if c not in (*keys, "bucket")})
     size, both = F.abs("actual"), F.col("baseline_error").isNotNull()
     share = lambda error, of: F.when(F.sum(of) > 0, F.round(F.sum(error) * 100 / F.sum(of), 3))
     return rows.groupBy(*keys).agg(
-        F.count("*").alias("issued"), F.count("error").alias("scored"), (F.count("*") - F.count("error")).alias("awaiting"), F.round(F.avg("abs_error"), 3).alias("mae"), F.round(F.avg("error"), 3).alias("bias"),
+        F.count("*").alias("issued"), F.count("error").alias("scored"), F.count_if("open").alias("awaiting_outcome"), F.count_if(~F.col("open") & F.col("error").isNull()).alias("awaiting_review"), F.round(F.avg("abs_error"), 3).alias("mae"), F.round(F.avg("error"), 3).alias("bias"),
         F.round(F.avg(F.col("inside").cast("double")) * 100, 3).alias("coverage"), share(F.col("abs_error"), size).alias("wape"), F.count("baseline_error").alias("paired"),
         share(F.col("baseline_error"), F.when(both, size)).alias("baseline_wape"), share(F.when(both, F.col("abs_error")), F.when(both, size)).alias("paired_wape"),
     )

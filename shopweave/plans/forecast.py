@@ -32,12 +32,18 @@ def _items(s):
 
 
 def _lately(s):
-    """The segments' series as if sales had begun with 1997."""
-    return _segments(s).filter("bucket >= date '1997-01-01'")
+    """The segments' series as if sales had begun with 1998."""
+    return _segments(s).filter("bucket >= date '1998-01-01'")
+
+
+def _outlook(s):
+    """Twelve months and 52 weeks ahead."""
+    months = op.whole_path(op.seasonal_forecast(_segments(s), "segment", 12, 12), "segment", 12).withColumn("period", F.lit("monthly"))
+    return months.unionByName(op.whole_path(op.seasonal_forecast(_weeks(s), "segment", 52, 52), "segment", 52).withColumn("period", F.lit("weekly")))
 
 
 QUERIES = {
-    "trend_flag": (lambda s: op.shape(_items(s), "item", 12).select("item", "n", "slope", "r2", "p", "has_trend"), None),
+    "trend_flag": (lambda s: op.trends(_items(s), "item"), None),
     "seasonal_strength": (lambda s: op.shape(_segments(s), "segment", 12).select("segment", "strength", "is_seasonal"), None),
     "cycle_flag": (lambda s: op.shape(_segments(s), "segment", 12).select("segment", "period", "has_cycle"), None),
     "seasonal_decompose": (lambda s: op.components(_segments(s), "segment", 12), None),
@@ -45,6 +51,6 @@ QUERIES = {
     "sarima_select": (_sarima, None),
     "comparators": (lambda s: op.select_model(op.walk_forward(_segments(s), "segment", ("level", "damped", "ridge_10", "ridge_100")), "segment"), None),
     "short_history_projection": (lambda s: op.projection(_lately(s), "segment", 12, 6), None),
-    "seasonal_outlook": (lambda s: op.whole_path(op.seasonal_forecast(_segments(s), "segment", 12, 12), "segment", 12), None),
+    "seasonal_outlook": (_outlook, None),
     "gap_matched_eval": (lambda s: op.gap_matched(_segments(s), "segment", 12, 6, 2), None),
 }

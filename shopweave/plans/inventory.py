@@ -84,9 +84,10 @@ QUERIES = {
     "low_stock": (lambda s: op.low_stock(s.products, s.batches, AS_OF), sql(f", {AVAILABLE} SELECT product_id, stock FROM stocked WHERE active AND stock <= 20")),
     "stock_health": (lambda s: op.stock_health(s.products, s.batches, AS_OF), sql(f", {HEALTH} SELECT * FROM health")),
     "stock_status_counts": (
-        lambda s: op.status_counts(op.stock_health(s.products, s.batches, AS_OF)),
-        sql(f""", {HEALTH} SELECT k.status, count(h.product_id) AS products, count(CASE WHEN h.low THEN 1 END) AS low
-            FROM (VALUES ('no_stock'), ('expired'), ('expiring_soon'), ('healthy')) k(status) LEFT JOIN health h USING (status) GROUP BY 1"""),
+        lambda s: op.status_counts(op.stock_health(s.products, s.batches, AS_OF), s.products, s.batches, AS_OF),
+        sql(f""", {HEALTH} SELECT 'products' AS kind, k.status, count(h.product_id) AS n FROM (VALUES ('no_stock'), ('expired'), ('expiring_soon'), ('healthy')) k(status) LEFT JOIN health h USING (status) GROUP BY 2
+            UNION ALL SELECT 'products', 'low', count(*) FROM health WHERE low UNION ALL SELECT 'products', 'all', count(*) FROM product WHERE active
+            UNION ALL SELECT 'batches', 'expired', count(*) FROM batch WHERE {EXPIRED} UNION ALL SELECT 'batches', 'expiring_soon', count(*) FROM batch WHERE {EXPIRING} AND received <= {DATE}"""),
     ),
     "movement_union": (
         lambda s: _moves(s).groupBy("kind", "day").agg(F.count("*").alias("rows"), op.money(F.sum("change")).alias("change")),

@@ -37,6 +37,8 @@ METRICS = """count(*) AS n, CASE WHEN sum(abs(actual)) > 0 THEN round(sum(abs(pr
     CASE WHEN sum(abs(actual)) > 0 THEN round(sum(predicted - actual) * 100 / sum(abs(actual)), 4) END AS bias_percent, round(avg(abs(predicted - actual)), 4) AS mae, round(avg(predicted - actual), 4) AS bias,
     round(sqrt(avg((predicted - actual) * (predicted - actual))), 4) AS rmse, round(max(abs(predicted - actual)), 4) AS max_error, round(avg((predicted - actual) * (predicted - actual)), 4) AS mse,
     round(avg(CASE WHEN actual <> 0 THEN abs((predicted - actual) / actual) END) * 100, 4) AS mape, count(CASE WHEN actual = 0 THEN 1 END) AS zero_actuals, round(stddev_pop(predicted - actual), 2) AS error_stddev"""
+#: Forecasts of later months await their outcome.
+REPORTED = "1998-03-15"
 #: Some days after the last receipt of the driver's tables.
 END_OF_DATA = "1998-08-09"
 KINDS = "['regular', 'feeding', 'combined']"
@@ -219,11 +221,12 @@ QUERIES = {
     ),
     "prospective_scores": (lambda s: scored(s), sql(f", {SCORED} SELECT * FROM scored")),
     "prospective_report": (
-        lambda s: op.prospective_report(forecasts(s), scored(s), "segment"),
-        sql(f""", {SCORED} SELECT segment, count(*) AS issued, count(error) AS scored, count(*) - count(error) AS awaiting, round(avg(abs_error), 3) AS mae, round(avg(error), 3) AS bias,
+        lambda s: op.prospective_report(forecasts(s), scored(s), REPORTED, "segment"),
+        sql(f""", {SCORED}, r AS (SELECT i.segment, i.bucket + INTERVAL 1 MONTH > DATE '{REPORTED}' AS open, s.* EXCLUDE (segment, bucket) FROM issued i LEFT JOIN scored s ON s.segment = i.segment AND s.bucket = i.bucket AND i.bucket + INTERVAL 1 MONTH <= DATE '{REPORTED}')
+            SELECT segment, count(*) AS issued, count(error) AS scored, count(*) FILTER (open) AS awaiting_outcome, count(*) FILTER (NOT open AND error IS NULL) AS awaiting_review, round(avg(abs_error), 3) AS mae, round(avg(error), 3) AS bias,
             round(avg(inside::INTEGER) * 100, 3) AS coverage, CASE WHEN sum(abs(actual)) > 0 THEN round(sum(abs_error) * 100 / sum(abs(actual)), 3) END AS wape, count(baseline_error) AS paired,
             round(sum(baseline_error) * 100 / nullif(sum(abs(actual)) FILTER (baseline_error IS NOT NULL), 0), 3) AS baseline_wape,
-            round(sum(abs_error) FILTER (baseline_error IS NOT NULL) * 100 / nullif(sum(abs(actual)) FILTER (baseline_error IS NOT NULL), 0), 3) AS paired_wape FROM issued LEFT JOIN scored USING (segment, bucket) GROUP BY 1"""),
+            round(sum(abs_error) FILTER (baseline_error IS NOT NULL) * 100 / nullif(sum(abs(actual)) FILTER (baseline_error IS NOT NULL), 0), 3) AS paired_wape FROM r GROUP BY 1"""),
     ),
     "quality_gate": (
         gate,

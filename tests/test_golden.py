@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shopweave.functions import fit
+from shopweave.functions import fit, smooth, stl
 from shopweave.functions.columns import growth, month_index, program_group
 from shopweave.operators import forecast, ingest, inventory, ledger, sales, series
 
@@ -211,7 +211,7 @@ def test_walk_forward_sees_only_the_past(spark):
     months = [dt.date(2020 + i // 12, i % 12 + 1, 1) for i in range(40)]
     values = np.random.default_rng(5).uniform(50, 150, 40)
     df = lambda v: spark.createDataFrame([("k", m, float(x)) for m, x in zip(months, v, strict=True)], "k string, bucket date, value double")
-    run = lambda v: {(r.model, r.back): r.predicted for r in forecast.walk_forward(df(v), "k", ("level", "seasonal_4", "ridge_10"), 6).collect()}
+    run = lambda v: {(r.model, r.back): r.predicted for r in forecast.walk_forward(df(v), "k", ("level", "seasonal_4", "ridge_10", "damped"), 6).collect()}
     changed = values.copy()
     changed[-3:] *= 7
     a, b = run(values), run(changed)
@@ -221,13 +221,88 @@ def test_walk_forward_sees_only_the_past(spark):
 def test_cycle_and_repetition():
     """A wave of 18 months beside a season of 12 is a cycle; a wave of 12 is a season; a series under three seasons has no cycle."""
     t = np.arange(72)
+    cycle = lambda y: fit.cycle(y, fit.decompose(y, 12), 12)
     wave, season = np.sin(2 * np.pi * t / 18), np.tile([5, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 9.0], 6)
-    period, share = fit.cycle(100 + t + 10 * wave, 12)
+    period, share = cycle(100 + t + 10 * wave)
     assert abs(period - 18) < 1e-9 and share > 0.5
-    assert fit.repetition(100 + t + season, 12) > 0.9 and fit.seasonal_strength(100 + t + season, 12) > 0.9
-    found = fit.cycle(100 + 10 * np.sin(2 * np.pi * t / 12), 12)
+    y = 100 + t + season
+    parts = fit.decompose(y, 12)
+    assert fit.repetition(y, parts, 12) > 0.9 and fit.seasonal_strength(parts) > 0.9
+    found = cycle(100 + 10 * np.sin(2 * np.pi * t / 12))
     assert found is None or abs(found[0] - 12) > 2.4
-    assert fit.cycle(wave[:35], 12) is None and fit.repetition(wave[:20], 12) is None
+    assert cycle(wave[:35]) is None and fit.decompose(wave[:20], 12) is None
+
+
+def test_loess_season_is_robust():
+    """A straight trend and a fixed season come back whole, whatever one outlier does; the outlier stays in the rest."""
+    t = np.arange(72)
+    season, line = 10 * np.sin(2 * np.pi * t / 12), 100 + 0.5 * t
+    for k in (0, 30, 71):
+        y = line + season
+        y[k] += 200
+        trend, seasonal, rest = stl.decompose(y, 12)
+        assert np.abs(seasonal - season).max() < 1e-3 and np.abs(trend - line).max() < 1e-3 and abs(rest[k] - 200) < 1e-3
+    assert fit.seasonal_strength(stl.decompose(line + season, 12)) > 0.999
+    noise = np.random.default_rng(4).normal(0, 5, 72)
+    trend, seasonal, rest = stl.decompose(line + season + noise, 12)
+    assert np.allclose(trend + seasonal + rest, line + season + noise) and 0.7 < fit.seasonal_strength((trend, seasonal, rest)) < 0.99
+    # One window of all points is an ordinary line; a constant has no season.
+    y = np.array([1.0, 3.0, 2.0, 5.0])
+    assert abs(stl.loess(np.arange(9.0), 5) - np.arange(9)).max() < 1e-9 and abs(stl.loess(np.arange(9.0), 5, None, 1, 1)[[0, -1]] - [-1, 9]).max() < 1e-9
+    assert stl.odd(12.5) == 13 and stl.odd(14) == 15 and np.ptp(stl.decompose(np.full(30, 4.0), 12)[1]) < 1e-9 and len(y) == 4
+
+
+def smoothed(y, alpha, beta, phi, level, trend):
+    cost = 0.0
+    for v in y:
+        guess = level + phi * trend
+        cost += (v - guess) ** 2
+        new = guess + alpha * (v - guess)
+        trend = beta * (new - level) + (1 - beta) * phi * trend
+        level = new
+    return cost, level + phi * trend
+
+
+def test_smoothing_finds_the_best_first_state():
+    rng = np.random.default_rng(1)
+    y = 50 + np.cumsum(rng.normal(0.5, 3, 50))
+    for alpha, beta, phi in ((0.3, 0.0, 0.0), (0.3, 0.1, 0.9), (0.8, 0.4, 0.98)):
+        cost, value = (x[0] for x in smooth.run(y, *(np.array([v]) for v in (alpha, beta, phi))))
+        near = [smoothed(y, alpha, beta, phi, y[0] + a, b if beta else 0.0)[0] for a in np.linspace(-9, 9, 61) for b in np.linspace(-4, 4, 61)]
+        assert cost <= min(near) + 1e-6 and cost > 0.9 * min(near)
+    best = min(smoothed(y, a, 0.0, 0.0, level, 0.0) for a in np.linspace(0.01, 0.99, 99) for level in np.linspace(30, 70, 81))
+    assert abs(smooth.level(y) - best[1]) < 0.5
+    assert abs(smooth.damped(np.arange(10.0, 50.0)) - 50) < 0.1 and abs(smooth.damped(np.full(20, 5.0)) - 5) < 1e-6 and abs(smooth.level(np.full(20, 5.0)) - 5) < 1e-9
+
+
+def test_ridge_is_the_closed_form():
+    months = [dt.date(2022 + i // 12, i % 12 + 1, 1) for i in range(31)]
+    y = np.random.default_rng(6).uniform(50, 150, 30)
+    for penalty in (10.0, 100.0):
+        x = np.array([smooth.features(y[:i], months[i]) for i in range(3, 31)])
+        z = (x - x[:-1].mean(0)) / x[:-1].std(0)
+        target = y[3:]
+        # The penalised error has no slope at the weights.
+        w = np.linalg.lstsq(np.vstack([z[:-1], np.sqrt(penalty) * np.eye(6)]), np.concatenate([target - target.mean(), np.zeros(6)]), rcond=None)[0]
+        assert abs(smooth.ridge(y, months, penalty) - (target.mean() + z[-1] @ w)) < 1e-8
+    assert smooth.features(np.array([1.0, 2.0, 6.0]), dt.date(2024, 2, 1))[:3] == [6.0, 3.0, 4.0] and smooth.features(y, dt.date(2024, 2, 1))[5] == 29
+
+
+def test_later_block_never_chooses(spark):
+    months = [dt.date(2018 + i // 12, i % 12 + 1, 1) for i in range(60)]
+    values = np.random.default_rng(7).uniform(50, 150, 60)
+    table = lambda v: spark.createDataFrame([("k", m, None if x is None else float(x)) for m, x in zip(months, v, strict=True)], "k string, bucket date, value double")
+    run = lambda v: {r.method: r for r in forecast.gap_matched(table(v), "k", 12, 6, 2).collect()}
+    a, changed = run(values), run([*values[:52], *(9 * values[52:])])
+    assert {m: (r.validation_mae, r.selected) for m, r in a.items()} == {m: (r.validation_mae, r.selected) for m, r in changed.items()}
+    assert all(a[m].test_mae != changed[m].test_mae for m in a) and sum(r.selected for r in a.values()) == 1
+    first = values[:44]
+    assert a["last_season"].validation_mae == round(float(np.abs(values[46:52] - first[34:40]).mean()), 4)
+    # Unknown buckets in the gap do not count; two of six behind it are too many.
+    gap = [None if i in (52, 53) else v for i, v in enumerate(values)]
+    assert run(gap)["last_season"].status == "evaluated" and run(gap)["last_season"].tested == 6
+    assert {r.status for r in run([None if i in (55, 57) else v for i, v in enumerate(values)]).values()} == {"insufficient_history"}
+    assert {r.reason for r in forecast.gap_matched(table(values).limit(16), "k", 12, 6, 2).collect()} == {"too short for two blocks"}
 
 
 def test_shape_refuses_gaps(spark):
