@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopweave.functions.columns import clean_label, money, month
+from shopweave.sources.scratch import written
 
 DEMO = "^2026:[0-9]{6}$"
 
@@ -247,36 +251,61 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def export_years(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write each table (receipts by year) and return the manifest with fingerprints."""
+    """Write each table (receipts by year) and return the manifest: rows and fingerprint, observed while the rows were written."""
+    spark, seen = next(iter(tables.values())).sparkSession, []
     for name, table in tables.items():
+        row = F.xxhash64(*sorted(table.columns))
+        note = Observation(f"export {name}")
+        watched = table.observe(note, F.count("*").alias("rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("sum"))
         if name == "receipt":
-            table.withColumn("year", F.year("day")).write.mode("overwrite").partitionBy("year").parquet(f"{folder}/{name}")
+            watched.withColumn("year", F.year("day")).write.mode("overwrite").partitionBy("year").parquet(f"{folder}/{name}")
         else:
-            table.write.mode("overwrite").parquet(f"{folder}/{name}")
-    out = None
+            watched.write.mode("overwrite").parquet(f"{folder}/{name}")
+        found = note.get
+        seen.append((name, found["rows"], found["xor"], found["sum"]))
+    return spark.createDataFrame(seen, "table_name string, rows long, xor long, sum string")  # one row for each table
+
+
+def verified_export(manifest: DataFrame, tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """The manifest with whether the files read back have its fingerprints."""
+    spark, parts = manifest.sparkSession, []
     for name, table in tables.items():
-        row = fingerprint(table).withColumn("table_name", F.lit(name))
-        out = row if out is None else out.union(row)
-    return out
+        back = spark.read.schema(table.schema).parquet(f"{folder}/{name}").select(*table.columns)  # without the folders' year
+        parts.append(fingerprint(back).select(F.lit(name).alias("table_name"), F.col("rows").alias("r"), F.col("xor").alias("x"), F.col("sum").alias("s")))
+    same = (F.col("rows") == F.col("r")) & (F.col("xor") == F.col("x")) & F.col("sum").eqNullSafe(F.col("s"))
+    return manifest.join(functools.reduce(DataFrame.union, parts), "table_name").select("table_name", "rows", same.alias("verified"))
 
 
-def append_once(new: DataFrame, folder: str, *keys: str) -> int:
-    """Append to a table only rows whose key it lacks; what is stored never changes. Returns how many were added.
+def append_once(new: DataFrame, folder: str, *keys: str, buckets: int = 64) -> int:
+    """Add to a table only rows whose key it lacks; what is stored never changes. Returns how many were added.
 
-    The keys stored are read before the write, which goes to new files, so the comparison is fixed while the table grows.
+    The table lies in folders by a hash of the key. A folder that gets new keys is written anew, whole, from its stored and its new rows,
+    and replaced when the write is done; a key lives in one folder, so it can be in the table once only, whoever writes. Of two writers
+    to one folder at a time the later one's folder stays: run it again for what is not there. Of rows that share a key the least counts.
     """
-    once = new.dropDuplicates(list(keys))
+    spark, columns = new.sparkSession, new.columns
+    rest = [c for c in columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*columns) if rest else new.distinct()
+    once = once.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    schema = T.StructType([*new.schema.fields, T.StructField("key_bucket", T.IntegerType())])
     try:
-        stored = new.sparkSession.read.parquet(folder)
+        stored = spark.read.schema(schema).parquet(folder)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        stored = None
-    if stored is not None:
-        once = once.join(stored.select(*keys), list(keys), "left_anti")
-    before = stored.count() if stored is not None else 0
-    once.write.mode("append").parquet(folder)
-    return new.sparkSession.read.parquet(folder).count() - before
+        stored = spark.createDataFrame([], schema)
+    # Written before the table changes: the write below must not look at the table twice.
+    held = stored.select(*[F.col(k).alias(f"stored_{k}") for k in keys])
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"stored_{k}")) for k in keys])
+    fresh = written(once.join(held, same, "left_anti"))
+    touched = [r.key_bucket for r in fresh.select("key_bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return 0
+    note = Observation("append once")
+    counted = fresh.observe(note, F.count("*").alias("added"))
+    whole = stored.filter(F.col("key_bucket").isin(touched)).select(*schema.names).unionByName(counted.select(*schema.names))
+    whole.repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(folder)
+    return note.get["added"]
 
 
 def report_document(report: DataFrame, kind: str, made: str) -> DataFrame:

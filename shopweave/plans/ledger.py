@@ -8,6 +8,7 @@ from shopweave.operators import ledger as op
 from shopweave.operators import sales
 from shopweave.plans.prelude import sql
 from shopweave.plans.sales import money
+from shopweave.sources.scratch import shared_dir
 from shopweave.sources.shop import Shop
 
 AS_OF = "1999-06-30"
@@ -66,6 +67,29 @@ def _invoices(s: Shop):
     return op.invoice_assign(waiting, op.invoice_taken(s.receipts.filter("id % 17 <> 0")), op.invoice_seed(s.receipts.filter("id % 17 <> 0")))
 
 
+def _export(s: Shop):
+    """Two whole years and all they refer to, written, and the manifest held against the files."""
+    tables, folder = _closure(s), shared_dir(s.spark)
+    return op.verified_export(op.export_years(tables, folder), tables, folder)
+
+
+def _appended(s: Shop):
+    """Every fifth submission is stored first, then all are offered; what the table holds in the end."""
+    folder, rows = shared_dir(s.spark), s.submissions.select("user_id", "request_id", "event_id")
+    op.append_once(rows.filter("event_id % 5 = 0"), folder, "user_id", "request_id")
+    op.append_once(rows, folder, "user_id", "request_id")
+    return s.spark.read.parquet(folder).select("user_id", "request_id", "event_id")
+
+
+def _report_file(s: Shop):
+    """The yearly report as a JSON document, written and read back."""
+    folder, report = shared_dir(s.spark), sales.revenue_by(s.receipts.filter("not voided"), "yearly").withColumn("bucket", F.col("bucket").cast("string"))
+    document = op.report_document(report, "yearly", "1999-06-30")
+    document.write.json(folder)
+    back = s.spark.read.schema(document.schema).json(folder)
+    return back.select("type", "generated_at", F.size("data").cast("long").alias("n"), F.expr("aggregate(data, 0D, (a, r) -> a + r.total)").alias("total"))
+
+
 QUERIES = {
     "sales_snapshot": (
         lambda s: snap(s).withColumn("revenue", F.col("revenue").cast("double")),
@@ -155,16 +179,19 @@ QUERIES = {
             UNION ALL SELECT 'customer', count(*) FROM client WHERE customer_id IN (SELECT customer_id FROM kept)"""),
     ),
     "sink_year_export": (
-        lambda s: _closure(s)["receipt"].groupBy(F.year("day").alias("year")).agg(F.count("*").alias("rows"), op.money(F.sum("amount")).alias("amount")),
-        sql(f"SELECT year(day)::INTEGER AS year, count(*) AS rows, {money('sum(amount)')} AS amount FROM receipt WHERE year(day) BETWEEN 1996 AND 1997 AND NOT {DEMO} GROUP BY 1"),
+        _export,
+        sql(f""", kept AS (SELECT * FROM receipt WHERE year(day) BETWEEN 1996 AND 1997 AND NOT {DEMO}), own AS (SELECT * FROM line WHERE receipt_id IN (SELECT id FROM kept)), counted AS (
+            SELECT 'receipt' AS table_name, count(*) AS rows FROM kept UNION ALL SELECT 'line', count(*) FROM own
+            UNION ALL SELECT 'product', count(*) FROM product WHERE product_id IN (SELECT product_id FROM own)
+            UNION ALL SELECT 'batch', count(*) FROM batch WHERE batch_id IN (SELECT batch_id FROM own)
+            UNION ALL SELECT 'customer', count(*) FROM client WHERE customer_id IN (SELECT customer_id FROM kept)) SELECT table_name, rows, true AS verified FROM counted"""),
     ),
     "sink_append_once": (
-        lambda s: s.submissions.groupBy("user_id", "request_id").agg(F.min("event_id").alias("event_id")).join(s.submissions.filter("event_id % 5 = 0").select("user_id", "request_id").distinct(), ["user_id", "request_id"], "left_anti"),
-        sql("""SELECT user_id, request_id, min(event_id) AS event_id FROM submission a WHERE NOT EXISTS
-            (SELECT 1 FROM submission b WHERE b.event_id % 5 = 0 AND b.user_id = a.user_id AND b.request_id = a.request_id) GROUP BY 1, 2"""),
+        _appended,
+        sql("""SELECT user_id, request_id, coalesce(min(event_id) FILTER (event_id % 5 = 0), min(event_id)) AS event_id FROM submission GROUP BY 1, 2"""),
     ),
     "sink_report_json": (
-        lambda s: op.report_document(sales.revenue_by(s.receipts.filter("not voided"), "yearly").withColumn("bucket", F.col("bucket").cast("string")), "yearly", "1999-06-30").select("type", "generated_at", F.size("data").cast("long").alias("n"), F.expr("aggregate(data, 0D, (a, r) -> a + r.total)").alias("total")),
+        _report_file,
         sql("""SELECT 'yearly' AS type, '1999-06-30' AS generated_at, count(*) AS n, sum(t ORDER BY y) AS total
             FROM (SELECT year(day) AS y, sum(amount)::DOUBLE AS t FROM receipt WHERE NOT voided GROUP BY 1)"""),
     ),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 
 def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,9 +15,16 @@ def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def drained(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def drained(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str) -> list:
+    """Process what has arrived, then stop; returns the progress of each batch."""
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query.recentProgress
+
+
+def dropped(progress: list) -> int:
+    """Rows that came too late for the state."""
+    return sum(state["numRowsDroppedByWatermark"] for p in progress for state in p["stateOperators"])
 
 
 def accept_once(events: DataFrame, delay: str) -> DataFrame:
@@ -24,8 +32,56 @@ def accept_once(events: DataFrame, delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "request_id"])
 
 
+VERDICTS = "event_id long, user_id long, request_id long, verdict string"
+#: What keeps timers and values of a key.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class FirstContent(StatefulProcessor):
+    """Keeps the first content of each key for a time: a later row is a replay of it, or a conflict; after that time the next row is new.
+
+    The time is event time. A timer at its end drops the state, and no row that comes before the watermark reaches it any more.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "content string, until long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for r in sorted(rows, key=lambda r: (r.ts_ms, r.event_id)):
+            held = self.first.get() if self.first.exists() else None
+            if held is None or r.ts_ms >= held[1]:
+                if held is not None:
+                    self.handle.deleteTimer(held[1])
+                held, verdict = (r.content, r.ts_ms + self.keep_ms), "new"
+                self.first.update(held)
+                self.handle.registerTimer(held[1])
+            else:
+                verdict = "replay" if held[0] == r.content else "conflict"
+            yield Row(event_id=r.event_id, user_id=key[0], request_id=key[1], verdict=verdict)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.first.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def label_submissions(events: DataFrame, delay: str, keep_ms: int) -> DataFrame:
+    """new, replay or conflict for each submission (event_id, user_id, request_id, ts, content); the session's state store has to be STATE_STORE."""
+    rows = events.withWatermark("ts", delay).withColumn("ts_ms", F.unix_millis("ts"))
+    return rows.groupBy("user_id", "request_id").transformWithState(FirstContent(keep_ms), VERDICTS, "Append", "EventTime")
+
+
 def bursts(events: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Changes of one kind with less than `gap` between them as one notification: (kind, start, end, changes)."""
+    """Changes of one kind with less than `gap` between them as one notification: (kind, start, end, changes).
+
+    In append mode a burst is given once, when the watermark has passed its end, and leaves the state; later rows are dropped.
+    """
     sessions = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("s"), "event_type").agg(F.count("*").alias("changes"))
     return sessions.select(F.col("event_type").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), "changes")
 
@@ -39,15 +95,6 @@ def append_to(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def replace_at(folder: str) -> Callable[[DataFrame, int], None]:
-    """For complete results: each batch is the whole answer, the last one counts."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/whole")
-
-    return write
-
-
 def restate_buckets(history: Callable[[], DataFrame], folder: str) -> Callable[[DataFrame, int], None]:
     """Recomputes the days that a batch touches from the stored receipts: late, changed and voided ones restate their day."""
 
