@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,43 +162,52 @@ def remarks(adjustments: DataFrame, returns: DataFrame, batches: DataFrame, star
 def fefo_shares(demands: DataFrame, batches: DataFrame) -> DataFrame:
     """Demands (demand_id, product_id, wanted; in order of demand_id) over batches, first expiring first.
 
-    Demand and supply of a product are laid end to end; a demand takes from a batch where their stretches overlap. It is
+    Demand and supply of a product are laid end to end on one line. Their ends, in one order, cut it into stretches, each of which belongs
+    to the demand and to the batch that end next: as many rows as there are demands and batches, and no join of the two. It is
     exact where a product's supply is enough for its demand; see fefo_fold for demands that may be refused.
     """
     by = Window.partitionBy("product_id")
-    run = lambda order, value: F.sum(value).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    d = demands.withColumn("d_end", run(("demand_id",), "wanted")).withColumn("d_start", F.col("d_end") - F.col("wanted"))
-    b = batches.select("product_id", "batch_id", "expiry", "supply").filter("supply > 0")
-    b = b.withColumn("b_end", run(("expiry", "batch_id"), "supply")).withColumn("b_start", F.col("b_end") - F.col("supply"))
-    met = d.join(b, "product_id").filter("d_start < b_end and b_start < d_end")
-    share = F.least("d_end", "b_end") - F.greatest("d_start", "b_start")
-    return met.select("demand_id", "product_id", "batch_id", share.cast("double").alias("quantity"))
+    run = lambda order, value: F.sum(value).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(28,2)")
+    none = F.lit(None).cast("long")
+    d = demands.filter("wanted > 0").select("product_id", run(("demand_id",), "wanted").alias("end"), F.col("demand_id").cast("long").alias("demand_id"), none.alias("batch_id"))
+    b = batches.filter("supply > 0").select("product_id", run(("expiry", "batch_id"), "supply").alias("end"), none.alias("demand_id"), F.col("batch_id").cast("long").alias("batch_id"))
+    ends = d.union(b).groupBy("product_id", "end").agg(F.max("demand_id").alias("demand_id"), F.max("batch_id").alias("batch_id"))
+    # From the far end backwards, what ends next is what was seen last.
+    down = by.orderBy(F.desc("end"))
+    seen = lambda c: F.last(c, True).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias(c)
+    start = F.coalesce(F.lead("end").over(down), F.lit(0))
+    rows = ends.select(seen("demand_id"), "product_id", seen("batch_id"), (F.col("end") - start).cast("double").alias("quantity"))
+    return rows.filter("demand_id is not null and batch_id is not null")
 
 
 def fefo_fold(demands: DataFrame, batches: DataFrame) -> DataFrame:
-    """The same where a demand is refused as a whole if its product's stock is too short for it: an ordered fold per product."""
-
-    def run(key: tuple, d: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        stock = [[r.batch_id, float(r.supply)] for r in b.sort_values(["expiry", "batch_id"]).itertuples()]
-        left, at, rows = sum(s for _, s in stock), 0, []
-        for r in d.sort_values("demand_id").itertuples():
-            want = float(r.wanted)
-            if want > left + 1e-9:
-                rows.append((r.demand_id, key[0], None, 0.0, False))
-                continue
-            left -= want
-            while want > 1e-9:
-                take = min(want, stock[at][1])
-                if take > 0:
-                    rows.append((r.demand_id, key[0], stock[at][0], take, True))
-                want -= take
-                stock[at][1] -= take
-                at += stock[at][1] <= 1e-9
-        return pd.DataFrame(rows, columns=["demand_id", "product_id", "batch_id", "quantity", "accepted"]).astype({"batch_id": "Int64"})
-
-    left = demands.select("demand_id", "product_id", "wanted").groupBy("product_id")
-    right = batches.select("product_id", "batch_id", "expiry", "supply").groupBy("product_id")
-    return left.cogroup(right).applyInPandas(run, "demand_id long, product_id long, batch_id long, quantity double, accepted boolean")
+    """The same where a demand is refused as a whole if its product's stock is too short for it: an ordered fold per product, in whole hundredths."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+
+    def run(d: pa.Table, b: pa.Table) -> pa.Table:
+        d, b = d.sort_by("demand_id"), b.filter(pc.greater(b["supply"], 0)).sort_by([("expiry", "ascending"), ("batch_id", "ascending")])
+        ids, wanted, batch, supply = (t[c].to_numpy().astype(np.int64) for t, c in ((d, "demand_id"), (d, "wanted"), (b, "batch_id"), (b, "supply")))
+        left, taken = int(supply.sum()), np.zeros(len(d), bool)
+        for i, want in enumerate(wanted.tolist()):
+            taken[i] = want <= left
+            left -= want if taken[i] else 0
+        # What was taken lies end to end over the batches: each stretch between two ends belongs to one of each.
+        ends, supply = np.cumsum(wanted[taken]), np.cumsum(supply)
+        cuts = np.unique(np.concatenate([ends, supply[supply < (ends[-1] if len(ends) else 0)]]))
+        length = np.diff(cuts, prepend=0)
+        cuts, length = cuts[length > 0], length[length > 0]
+        at, lost = np.searchsorted(ends, cuts), int((~taken).sum())
+        product = d["product_id"][0].as_py() if len(d) else None
+        made = (
+            np.concatenate([ids[taken][at], ids[~taken]]).tolist(), [product] * (len(cuts) + lost), batch[np.searchsorted(supply, cuts)].tolist() + [None] * lost,
+            (length / 100).tolist() + [0.0] * lost, [True] * len(cuts) + [False] * lost,
+        )
+        return pa.Table.from_arrays([pa.array(m, k) for m, k in zip(made, kinds, strict=True)], names=["demand_id", "product_id", "batch_id", "quantity", "accepted"])
+
+    left = demands.select("demand_id", "product_id", cents("wanted")).groupBy("product_id")
+    right = batches.select(F.col("product_id").alias("of_product"), "batch_id", "expiry", cents("supply")).groupBy("of_product")
+    return left.cogroup(right).applyInArrow(run, "demand_id long, product_id long, batch_id long, quantity double, accepted boolean")
 
 
 def line_amounts(pieces: DataFrame, *order: str) -> DataFrame:

@@ -191,6 +191,29 @@ def test_refused_demands_take_nothing(spark):
     assert got == [(1, 11, 5.0, True), (1, 10, 1.0, True), (2, None, 0.0, False), (3, 10, 3.0, True)]
 
 
+def test_folds_never_overdraw(spark):
+    rng = np.random.default_rng(9)
+    wanted, supply = rng.integers(1, 900, 60) / 100, rng.integers(0, 3000, 12) / 100
+    demands = spark.createDataFrame([(i, i % 2, float(w)) for i, w in enumerate(wanted)], "demand_id long, product_id long, wanted double")
+    batches = spark.createDataFrame([(i, i % 2, d("2024-01-01") + dt.timedelta(int(rng.integers(0, 5))), float(s)) for i, s in enumerate(supply)], "batch_id long, product_id long, expiry date, supply double")
+    rows, order = inventory.fefo_fold(demands, batches).collect(), {r.batch_id: (r.expiry, r.batch_id) for r in batches.collect()}
+    for product in (0, 1):
+        left = {i: round(float(s) * 100) for i, s in enumerate(supply) if i % 2 == product}
+        for i in range(product, 60, 2):
+            own = sorted((r for r in rows if r.demand_id == i and r.accepted), key=lambda r: order[r.batch_id])
+            want = round(float(wanted[i]) * 100)
+            assert bool(own) == (want <= sum(left.values()))
+            for r in own:
+                first = min((order[b], b) for b, n in left.items() if n > 0)[1]
+                assert r.batch_id == first and round(r.quantity * 100) <= left[first]
+                left[first] -= round(r.quantity * 100)
+            assert not own or sum(round(r.quantity * 100) for r in own) == want
+    enough = spark.createDataFrame([(i, i % 2, d("2024-01-01") + dt.timedelta(i), Decimal(200)) for i in range(4)], "batch_id long, product_id long, expiry date, supply decimal(12,2)")
+    exact = demands.withColumn("wanted", F.col("wanted").cast("decimal(12,2)"))
+    a = {(r.demand_id, r.batch_id): round(r.quantity, 2) for r in inventory.fefo_shares(exact, enough).collect()}
+    assert a == {(r.demand_id, r.batch_id): round(r.quantity, 2) for r in inventory.fefo_fold(exact, enough).collect()}
+
+
 def test_append_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     assert ledger.append_once(rows, f"{tmp_path}/t", "id") == 2
