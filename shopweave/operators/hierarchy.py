@@ -159,9 +159,10 @@ def scope_series(sold: DataFrame, products: DataFrame, dates: Dates, period: Per
 
 
 def arrays(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, training_start, values): a series in one row."""
+    """(keys, training_start, values): a series in one row, dealt over all shuffle partitions however small they are: fits cost more than bytes tell."""
     sorted_ = F.array_sort(F.collect_list(F.struct("bucket", "value")))
-    return rows.groupBy(*keys).agg(F.min("bucket").alias("training_start"), F.transform(sorted_, lambda x: x["value"]).alias("values"))
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.groupBy(*keys).agg(F.min("bucket").alias("training_start"), F.transform(sorted_, lambda x: x["value"]).alias("values"))
 
 
 # Forecasts
@@ -301,17 +302,19 @@ def last_year(series: DataFrame, dates: Dates, active: DataFrame | None, *keys:
 
     Available with 24 known months, provisional with more than 12 months of which six have sales, else insufficient_history.
     """
-    sizes = series.groupBy(*keys).agg(F.count("value").alias("known"), F.count(F.when(F.col("value") > 0, 1)).alias("positive"), F.count("*").alias("n"))
+    # Series end with the cutoff, so their last twelve buckets (or fewer) are the months of last year.
+    recent = F.collect_list(F.when(F.col("bucket") >= F.add_months(F.lit(dates.cutoff), -12), F.struct("bucket", "value")))
+    sizes = series.groupBy(*keys).agg(F.count("value").alias("known"), F.count(F.when(F.col("value") > 0, 1)).alias("positive"), F.count("*").alias("n"), F.array_sort(recent).alias("recent"))
     sizes = sizes.withColumn("active", F.lit(True)) if active is None else sizes.join(active, "product_id", "left").withColumn("active", F.coalesce("active", F.lit(True)))
     enough, some = F.col("known") >= 24, (F.col("positive") >= 6) & (F.col("n") > 12)
     status = F.when(~F.col("active"), "inactive_item").when(F.col("positive") < 6, "insufficient_history").when(enough, "available").when(some, "provisional").otherwise("insufficient_history")
     grid = sizes.withColumn("status", status).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    grid = grid.withColumn("bucket", F.add_months(F.lit(dates.cutoff), F.col("step") - 1))
-    before = series.select(*keys, F.add_months("bucket", 12).alias("bucket"), "value")
-    rows = grid.join(before, [*keys, "bucket"], "left")
+    place = F.col("step") - 13 + F.size("recent")
+    value = F.when(place >= 0, F.get("recent", F.greatest(place, F.lit(0)))["value"])
     supported = F.col("status").isin("available", "provisional")
     one = lambda c: F.when(c, 1).otherwise(0)
-    return rows.select(*keys, "status", one(supported).alias("supported"), one(F.col("status") == "provisional").alias("provisional"), F.lit(1).alias("total"), "step", "bucket", F.when(supported, F.col("value")).alias("value"))
+    bucket = F.add_months(F.lit(dates.cutoff), F.col("step") - 1).alias("bucket")
+    return grid.select(*keys, "status", one(supported).alias("supported"), one(F.col("status") == "provisional").alias("provisional"), F.lit(1).alias("total"), "step", bucket, F.when(supported, value).alias("value"))
 
 
 # Sums up the catalog

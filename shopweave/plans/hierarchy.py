@@ -90,7 +90,7 @@ class Demand:
     @property
     def nodes(self):
         """Sums of item forecasts that SQL can make too."""
-        rows = op.last_year(written(self.items), self.dates, self.products.select("product_id", "active"), *op.ITEM)
+        rows = op.last_year(self.items, self.dates, self.products.select("product_id", "active"), *op.ITEM)
         named = rows.join(self.products.select("product_id", "category", "unit"), "product_id", "left")
         return op.rolled_up(named.withColumns({"category": F.coalesce("category", F.lit("unallocated")), "unit": F.coalesce("unit", F.lit(""))}))
 
@@ -102,7 +102,7 @@ def items(s: Shop):
 
 def _filled(s: Shop):
     d = Demand(s)
-    return op.filled(written(d.nodes), op.last_year(written(d.units), d.dates, None, *op.UNIT), written)
+    return op.filled(written(d.nodes), op.last_year(d.units, d.dates, None, *op.UNIT), written)
 
 
 def _scope(s: Shop):
