@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopweave.operators.sales import decided
 from shopweave.plans import registry
-from shopweave.plans.hierarchy import items
+from shopweave.plans.hierarchy import Demand, items
 from shopweave.plans.ingest import sheet_rows
 from shopweave.plans.inventory import _cancelled
 from shopweave.plans.ledger import snap
@@ -18,9 +18,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tab
 
 
 def sold(s):
-    """Dairy products with a known amount on any classified sale."""
-    kept = snap(s).filter("segment in ('regular', 'feeding')").select(F.col("sale_id").alias("receipt_id"), "segment")
-    lines = decided(s.lines, s.products).filter("decision = 'dairy'").join(kept, "receipt_id")
+    """Dairy products of which a quantity was sold on any classified sale before the cutoff, by segment."""
+    kept = snap(s).filter("segment in ('regular', 'feeding')").filter(F.col("day") < F.lit(Demand(s).dates.cutoff)).select(F.col("sale_id").alias("receipt_id"), "segment")
+    lines = decided(s.lines, s.products).filter("decision = 'dairy' and entered_quantity > 0").join(kept, "receipt_id")
     return {(r.segment, r.product_id) for r in lines.select("segment", "product_id").distinct().collect()}
 
 
