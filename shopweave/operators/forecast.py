@@ -22,8 +22,8 @@ WEEKLY_SARIMA = {f"weekly_sarima_{p}{d}{q}_100_52": (p, d, q, 52, 104) for p, d,
 SARIMA = MONTHLY_SARIMA | WEEKLY_SARIMA
 
 
-def one_step(values: np.ndarray, model: str, months: list[date]) -> float | None:
-    """The next value by a model, from these values alone; months are those of the values and the next one."""
+def one_step(values: np.ndarray, model: str, months: list[date] | None = None) -> float | None:
+    """The next value by a model, from these values alone; months are those of the values and the next one, which the ridge models need."""
     if model in SARIMA:
         p, d, q, season, least = SARIMA[model]
         found = fit.fit_seasonal(values, season, p, d, q) if len(values) >= least else None
