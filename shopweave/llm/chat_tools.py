@@ -85,9 +85,9 @@ def levels_of(calls: DataFrame, folder: str) -> DataFrame:
 
 def problems_of(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     """(conv_id, id, problems): what is wrong with the arguments, sorted; only calls with problems."""
-    given = calls.withColumn("v", F.expr("try_parse_json(arguments)"))
-    bad = given.filter("v is null or left(ltrim(arguments), 1) <> '{'").select("conv_id", "id", F.lit("arguments: no object").alias("problem"))
-    good = given.filter("left(ltrim(arguments), 1) = '{'").filter("v is not null").select("conv_id", "id", "name", "v")
+    given = calls.withColumn("v", F.expr("try_parse_json(arguments)")).withColumn("object", F.expr("coalesce(startswith(schema_of_variant(v), 'OBJECT'), false)"))
+    bad = given.filter("not object").select("conv_id", "id", F.lit("arguments: no object").alias("problem"))
+    good = given.filter("object").select("conv_id", "id", "name", "v")
     tools = parameters.select(F.col("name").alias("tool")).distinct()
     unknown = calls.join(F.broadcast(tools), F.col("name").eqNullSafe(F.col("tool")), "left_anti").select("conv_id", "id", F.lit("name: unknown").alias("problem"))
     pairs = calls.sparkSession.sql(
@@ -101,6 +101,8 @@ def problems_of(calls: DataFrame, parameters: DataFrame) -> DataFrame:
         listed = F.broadcast(listed)
     matched = pairs.join(listed, ["name", "parameter"], "left")
     fits = " or ".join(f"(type = '{t}' and ({' or '.join(f"startswith(kind, '{k}')" for k in kinds)}))" for t, kinds in TYPES.items())
+    # A number is whole by its value: canonical JSON writes 1.0 as 1.
+    fits += " or (type = 'integer' and startswith(kind, 'DECIMAL') and try_cast(shown as decimal(38,9)) = floor(try_cast(shown as decimal(38,9))))"
     wrong = matched.select("conv_id", "id", F.expr(f"""case when type is null then concat(parameter, ': unknown')
         when not ({fits}) then concat(parameter, ': not ', type)
         when most is not null and try_cast(shown as double) > most then concat(parameter, ': too large') end""").alias("problem"))

@@ -46,6 +46,7 @@ def test_problems(spark):
                 call("ok", "sum", {"values": [1]}), call("type", arguments={"query": 5}), call("missing", arguments={"limit": 1}), call("large", arguments={"query": "q", "limit": 11}),
                 call("unknown", "nope"), call("extra", arguments={"query": "q", "z": 1}), call("lost", after=["gone"]), call("null", arguments={"query": None}), call("text", arguments="query"),
                 call("r1", after=["r2"]), call("r2", after=["r1"]), call("r3", after=["r2"]), call("self", after=["self"]),
+                call("spaced", arguments='\n\t{"query":"q"}'), call("whole", arguments={"query": "q", "limit": 1.0}), call("half", arguments={"query": "q", "limit": 1.5}), call("list", arguments="[1]"),
             )),
         ],
     )
@@ -54,6 +55,7 @@ def test_problems(spark):
     assert said["unknown"][0] == "name: unknown; query: unknown" and said["extra"][0] == "z: unknown" and said["lost"] == ("after: gone", 0)
     assert "query: missing" in said["null"][0] and said["text"][0] == "arguments: no object"
     assert [said[k][1] for k in ("r1", "r2", "r3", "self")] == [None] * 4
+    assert said["spaced"][0] == said["whole"][0] == "" and said["half"][0] == "limit: not integer" and said["list"][0] == "arguments: no object"
 
 
 def test_repeated_rows(spark):
