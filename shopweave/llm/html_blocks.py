@@ -52,7 +52,7 @@ HINTS = frozenset(
     """ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion
     cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
     sidebar rail widget related recommended recommendations share sharing social follow
-    comment comments commentlist discussion disqus reply replies respondent
+    comment comments commentlist discussion disqus reply replies respondent responses
     menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc search login skip toolbar masthead
     footer copyright legal contentinfo complementary""".split()
 )
@@ -68,6 +68,8 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: The same for elements that articles may have too.
 PAGE_HINTS = frozenset("header banner topbar".split())
+#: What may be marked up as an article without being the page's own; no other name on an article or main element tells of anything else.
+OTHERS = frozenset("comment comments reply replies related recommended recommendations sponsor sponsored promo promoted promotion advert advertisement ad ads".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "heading", "boiler", "hinted")
 
 
@@ -149,6 +151,8 @@ class Reader:
                     told = [w for w in words if w in HINTS or w in PAGE_HINTS or w.startswith(STEMS)]
                     if told and all(w in told or w in PLAIN for w in words):
                         named.update(told)
+        if name in MAIN:
+            named &= OTHERS
         main = here.main or name in MAIN
         boiler = here.boiler or name in BOILER or (name == "header" and not here.main)
         hinted = here.hinted or bool(named & HINTS) or any(n.startswith(STEMS) for n in named) or (not here.main and bool(named & PAGE_HINTS)) or bool(rest and UNSEEN.search(rest))

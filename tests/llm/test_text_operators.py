@@ -443,6 +443,11 @@ def words(n):
         ("<article><object data=x/><p>One two three.</p></article>", "One two three."),
         ("<article><svg><text>no</text></svg><p>One two three.</p><script>never ends", "One two three."),
         ('<article class="social-policy"><p>One two three.</p></article>', "One two three."),
+        ('<article class="legal"><p>One two three.</p></article>', "One two three."),
+        ('<article class="post notice"><p>One two three.</p></article>', "One two three."),
+        ('<main id="follow"><p>One two three.</p></main>', "One two three."),
+        ('<article><p>One two three.</p></article><section id="responses"><p>Well said, every word.</p></section>', "One two three."),
+        ('<article><p>One two three.</p><article class="comment"><p>Well said, every word.</p></article></article>', "One two three."),
         ('<article><p>One two three.</p><div class="socialShare-buttons">Share this</div></article>', "One two three."),
         ("<article><p>So <math><mi>x</mi><mo>=</mo></math> it is</p></article>", "So x= it is"),
     ],
