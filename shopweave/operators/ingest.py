@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import datetime as dt
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,50 +86,134 @@ def with_aliases(names: DataFrame, aliases: DataFrame, key: str = "key") -> Data
 
 
 SHEET = "workbook string, sheet string, row int, c0 string, c1 string, c2 string, c3 string, c4 string, c5 string, c6 string, c7 string, formula string"
-TICKETS = "workbook string, sheet string, ticket_row int, date_text string, customer string, invoice string, lines int, amount double, discount double, closed boolean"
+TICKETS = "workbook string, sheet string, ticket_row int, day date, customer string, invoice string, separate boolean, lines int, amount double, discount double, closed boolean"
+#: Rows of a sheet that are looked at together before what holds at their ends is carried on.
+BLOCK = 100_000
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """What the cells of SHEET rows say: day, labels, whole cents, and what the formula of the total adds up. Rows of a month's total go."""
+    label = lambda c: F.coalesce(clean_label(F.col(c)), F.lit(""))
+    formula = F.coalesce(F.col("formula"), F.lit(""))
+    ref = lambda pattern, k: F.regexp_extract(formula, pattern, k).try_cast("int")
+    sums, cell = r"(?i)^=SUM\(\$?G\$?(\d+):\$?G\$?(\d+)\)$", r"(?i)^=\$?G\$?(\d+)$"
+    quantity, price, amount = parse_money(F.col("c4")), parse_money(F.col("c5")), parse_money(F.col("c6"))
+    cents = lambda x: F.round(x * 100).cast("long")
+    number = F.when(F.col("c7").rlike(r"^\s*-?\d+(\.\d+)?\s*$"), parse_money(F.col("c7")))
+    return rows.filter(F.upper(label("c0")) != "TOTAL").select(
+        "workbook", "sheet", "row", source_date(F.col("c0"), 0).alias("day"), label("c1").alias("customer"), label("c2").alias("invoice"), (label("c3") != "").alias("sold"),
+        label("c3").rlike(r"(?i)^discoun\s*t$").alias("discount"), F.coalesce(quantity > 0, F.lit(False)).alias("counts"), price.isNotNull().alias("priced"),
+        cents(amount).alias("cents"), cents(F.coalesce(amount, F.round(quantity * price, 2))).alias("worth"), cents(number).alias("reported"),
+        F.when(ref(sums, 2) == F.col("row"), ref(sums, 1)).alias("sums_from"), F.coalesce(ref(cell, 1) == F.col("row"), F.lit(False)).alias("own_total"),
+    )
 
 
-def ticketize(rows: DataFrame) -> DataFrame:
-    """Receipts of sheet rows (SHEET: date, customer, invoice, product, quantity, price, amount, note; formula): one sheet is one ordered fold.
+def _segments(cells: DataFrame) -> DataFrame:
+    """cells with holds, the day that holds at a row, and segment, the last row at or before it that begins a receipt whatever came before.
 
-    A date holds until the next one. A new receipt begins with a customer, a new invoice, a new date, or after a total (a SUM or a
-    plain reference to one cell of the amounts) has closed the last. A line whose product says discount is taken off.
+    Such rows have a customer, or an invoice other than the last one named. Each block of a sheet tells its last day, invoice and
+    such row; these are carried over the blocks of the sheet and meet the rows again, so no task sees more than a block.
     """
+    sheet = ["workbook", "sheet"]
+    row = Window.partitionBy(*sheet, "block").orderBy("row")
+    above, so_far = row.rowsBetween(Window.unboundedPreceding, -1), row.rowsBetween(Window.unboundedPreceding, 0)
+    customer, invoice = F.col("customer") != "", F.col("invoice") != ""
+    cells = cells.withColumn("block", F.expr(f"row div {BLOCK}")).withColumn("named", F.when(customer | invoice, F.col("invoice")))
+    cells = cells.withColumn("before", F.last("named", True).over(above)).withColumn("held", F.last("day", True).over(so_far))
+    latest = lambda test, *what: F.max(F.when(test, F.struct("row", *what)))
+    ends = cells.groupBy(*sheet, "block").agg(
+        latest(F.col("day").isNotNull(), "day")["day"].alias("day_out"), latest(F.col("named").isNotNull(), "named")["named"].alias("named_out"),
+        latest(customer | invoice & (F.col("before") != F.col("invoice")))["row"].alias("sure"), latest(~customer & invoice & F.col("before").isNull(), "invoice").alias("open"),
+    )
+    blocks = Window.partitionBy(*sheet).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("named_in", F.last("named_out", True).over(blocks)).withColumn("day_in", F.last("day_out", True).over(blocks))
+    ends = ends.withColumn("cut", F.greatest("sure", F.when(~F.col("open.invoice").eqNullSafe(F.col("named_in")), F.col("open.row"))))
+    ends = ends.select(*sheet, "block", "day_in", "named_in", F.last("cut", True).over(blocks).alias("cut_in"))
+    cut = customer | invoice & ~F.coalesce("before", "named_in").eqNullSafe(F.col("invoice"))
+    found = cells.join(ends, [*sheet, "block"]).withColumn("cut", F.when(cut, F.col("row")))
+    return found.withColumn("segment", F.coalesce(F.last("cut", True).over(so_far), "cut_in", F.lit(0))).withColumn("holds", F.coalesce("held", "day_in"))
+
+
+@dataclass
+class Ticket:
+    """A receipt as its rows are read."""
+
+    workbook: str
+    sheet: str
+    row: int
+    day: dt.date | None
+    customer: str
+    invoice: str
+    separate: bool
+    lines: int = 0
+    unpriced: int = 0
+    cents: int = 0
+    discount: int = 0
+    reported: int | None = None
+    first: int | None = None
+    closed: bool = False
+
+    def add(self, row: int, discount: bool, counts: bool, priced: bool, cents: int | None, worth: int | None) -> None:
+        if discount:
+            self.discount += cents or 0
+        elif counts:
+            # One amount beside several lines without price is that of them all: they stay unpriced.
+            known = worth if priced or not self.lines or self.unpriced < self.lines else None
+            self.lines, self.first = self.lines + 1, self.first or row
+            self.unpriced, self.cents = self.unpriced + (known is None), self.cents + (known or 0)
+
+    def out(self) -> tuple:
+        whole = self.reported if self.reported is not None and self.unpriced else self.cents + self.discount
+        return self.workbook, self.sheet, self.row, self.day, self.customer, self.invoice, self.separate, self.lines, whole / 100, self.discount / 100, self.closed
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Receipts of rows in order of sheet, segment and row. One receipt is held at a time, however long its segment is."""
+    key, now = None, None
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.date32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
+    names = [c.split()[0] for c in TICKETS.split(", ")]
+
+    def made(done: list[Ticket]) -> pa.RecordBatch:
+        cols = list(zip(*(t.out() for t in done), strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    for batch in batches:
+        done = []
+        for workbook, sheet, segment, row, holds, day, customer, invoice, sold, discount, counts, priced, cents, worth, reported, sums_from, own_total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (key := (workbook, sheet, segment)) and now is not None:
+                done.append(now)
+                now = None
+            separate = now is not None and now.closed and own_total and sold and not customer and not invoice
+            other = now is None or invoice and (invoice != now.invoice or holds != now.day) or day is not None and day != now.day
+            if other or separate or customer:
+                if now is not None:
+                    done.append(now)
+                now = Ticket(workbook, sheet, row, holds, customer, invoice, separate)
+            if sold:
+                now.add(row, discount, counts, priced, cents, worth)
+            now.reported = now.reported if reported is None else reported
+            if now.lines and not discount:
+                now.closed = sums_from == now.first
+        yield made(done)
+    if now is not None:
+        yield made([now])
+
 
-    def number(x) -> float:
-        try:
-            return float(str(x).replace(",", ""))
-        except ValueError:
-            return 0.0
-
-    def run(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
-        out, now, date = [], None, None
-        for r in s.sort_values("row").itertuples():
-            has = lambda x: isinstance(x, str) and x.strip() != ""
-            new_date = has(r.c0)
-            if new_date:
-                date = r.c0.strip()
-            total = has(r.formula)
-            if has(r.c3) or has(r.c6) and not total:
-                invoice = r.c2.strip() if has(r.c2) else None
-                if now is None or now[9] or new_date or has(r.c1) or (invoice and invoice != now[5]):
-                    if now is not None:
-                        out.append(now)
-                    now = [key[0], key[1], int(r.row), date, r.c1.strip() if has(r.c1) else None, invoice, 0, 0.0, 0.0, False]
-                value = number(r.c6)
-                if has(r.c3) and "discount" in r.c3.lower():
-                    now[8] += abs(value)
-                    now[7] -= abs(value)
-                else:
-                    now[6] += 1
-                    now[7] += value
-            if total and now is not None:
-                now[9] = True
-        if now is not None:
-            out.append(now)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TICKETS.split(", ")])
-
-    return rows.groupBy("workbook", "sheet").applyInPandas(run, TICKETS)
+def ticketize(rows: DataFrame) -> DataFrame:
+    """Receipts (TICKETS) of sheet rows (SHEET: date, customer, invoice, product, quantity, price, amount, total; the total's formula).
+
+    A date holds until the next one. A receipt begins with a customer, with another invoice or the same one on another date, with another
+    date, or, where a SUM from its first line has closed the last receipt, with a line that neither names and that is totalled alone.
+    Lines without a quantity above 0 count for nothing; a line without amount is worth quantity times price; discounts are added as
+    written. A receipt with lines of unknown amount is worth what its total says, if that is a number. Rows without customer, invoice and product tell at most a date.
+
+    Rows are dealt by segments (see _segments) and folded as a stream in order of rows: a sheet is read by many tasks, and none holds
+    more than a batch. Cells null or blank are empty; a sheet without rows gives no receipts.
+    """
+    found = _segments(_cells(rows)).filter("customer <> '' or invoice <> '' or sold")
+    found = found.select("workbook", "sheet", "segment", "row", "holds", "day", "customer", "invoice", "sold", "discount", "counts", "priced", "cents", "worth", "reported", "sums_from", "own_total")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "workbook", "sheet", "segment").sortWithinPartitions("workbook", "sheet", "segment", "row").mapInArrow(_fold, TICKETS)
 
 
 def issues(rows: DataFrame) -> DataFrame:

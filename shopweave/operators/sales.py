@@ -203,12 +203,9 @@ def top_customers(accounts: DataFrame, top: int) -> DataFrame:
 def report_cube(sold: DataFrame) -> DataFrame:
     """The same sums by payment method, by category, by both, by month, and over all, from one scan."""
     sold = sold.withColumn("month", month())
-    sold.createOrReplaceTempView("_sold_lines")
-    out = sold.sparkSession.sql("""select method, category, month, cast(grouping_id(method, category, month) as bigint) as level,
+    return sold.sparkSession.sql("""select method, category, month, cast(grouping_id(method, category, month) as bigint) as level,
         cast(sum(amount) as double) as gross, cast(sum(quantity) as double) as quantity, count(*) as rows
-        from _sold_lines group by grouping sets ((method), (category), (method, category), (month), ())""")
-    sold.sparkSession.catalog.dropTempView("_sold_lines")
-    return out
+        from {sold} group by grouping sets ((method), (category), (method, category), (month), ())""", sold=sold)
 
 
 def demo_split(receipts: DataFrame) -> DataFrame:

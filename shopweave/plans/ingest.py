@@ -74,25 +74,63 @@ def _split(s: Shop):
     return op.policy_split(lines.select("receipt_id", "decision", F.expr("if(line = 7, null, amount)").alias("amount"), F.expr("cast(receipt_id % 40 as decimal(20,2))").alias("discount")))
 
 
+#: Receipts whose rows say nothing but what was sold; rows of the first line with a customer's name.
+BARE, NAMED = "id % 6 = 1", "id % 6 <> 1 and id % 7 <> 3"
+#: Receipts of so many ids are numbered together.
+IDS = 20_000
+
+
 def sheet_rows(s: Shop):
     """All receipts as rows of monthly sheets, as a clerk would type them."""
     from pyspark.sql import Window
 
     lines = s.lines.join(s.receipts.select(F.col("id").alias("receipt_id"), "id", "day", "label", "invoice", "amount").withColumnRenamed("amount", "net"), "receipt_id")
-    order = ["receipt_id", "line", "product_id", "l_suppkey", "l_extendedprice", "shipped"]
-    first = F.row_number().over(Window.partitionBy("receipt_id").orderBy(*order))
-    last = F.row_number().over(Window.partitionBy("receipt_id").orderBy(*[F.desc(c) for c in order]))
-    rows = lines.withColumns({"first": first == 1, "last": last == 1, "workbook": F.year("day").cast("string"), "sheet": F.date_format("day", "MM")})
-    row = F.row_number().over(Window.partitionBy("workbook", "sheet").orderBy(*order)) + 3
-    head = lambda text: F.when(F.col("first"), F.expr(text)).otherwise("")
+    order = ["line", "product_id", "l_suppkey", "l_extendedprice", "shipped"]
+    place = Window.partitionBy("receipt_id")
+    rows = lines.withColumns({"pos": F.row_number().over(place.orderBy(*order)), "size": F.count("*").over(place), "workbook": F.year("day").cast("string"), "sheet": F.date_format("day", "MM"), "part": F.expr(f"receipt_id div {IDS}")})
+    # Rows of a part of a sheet follow those of the parts before it.
+    parts = lines.groupBy(F.year("day").cast("string").alias("workbook"), F.date_format("day", "MM").alias("sheet"), F.expr(f"receipt_id div {IDS}").alias("part")).agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("workbook", "sheet").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(parts.select("workbook", "sheet", "part", earlier.alias("earlier")), ["workbook", "sheet", "part"])
+    row = F.row_number().over(Window.partitionBy("workbook", "sheet", "part").orderBy("receipt_id", *order)) + F.col("earlier") + 3
+    rows = rows.withColumn("row", row.cast("int")).withColumn("first_row", F.expr("row - pos + 1"))
+    head = lambda test, text: F.when((F.col("pos") == 1) & F.expr(test), F.expr(text)).otherwise("")
     return rows.select(
-        "workbook", "sheet", row.cast("int").alias("row"), head(DATE_TEXT).alias("c0"), head(NAME_TEXT).alias("c1"), head("invoice").alias("c2"),
-        F.concat(F.lit("part "), "product_id").alias("c3"), F.col("quantity").cast("string").alias("c4"), F.col("price").cast("string").alias("c5"),
-        F.when(F.col("line") == 6, "").otherwise(F.col("l_extendedprice").cast("decimal(20,2)").cast("string")).alias("c6"), F.lit("").alias("c7"),
-        F.when(F.col("last"), F.lit("=SUM(G4:G5)")).otherwise("").alias("formula"),
+        "workbook", "sheet", "row", head(f"not ({BARE})", DATE_TEXT).alias("c0"), head(NAMED, NAME_TEXT).alias("c1"),
+        F.when(F.expr(f"not ({BARE}) and (pos = 1 or pos = 2 and id % 5 = 0)"), F.col("invoice")).otherwise("").alias("c2"),
+        F.concat(F.lit("part "), "product_id").alias("c3"), F.col("quantity").cast("string").alias("c4"), F.expr("if(line = 6 and id % 2 = 0, '', cast(price as string))").alias("c5"),
+        F.when(F.col("line") == 6, "").otherwise(F.col("l_extendedprice").cast("decimal(20,2)").cast("string")).alias("c6"), F.expr("if(pos = size and id % 3 = 0, cast(net as string), '')").alias("c7"),
+        F.expr(f"case when {BARE} then if(pos = 1, concat('=G', row), '') when pos = size then concat('=SUM(G', first_row, ':$G$', row, ')') else '' end").alias("formula"),
     )
 
 
+SHEET_DAY = """CASE id % 5 WHEN 4 THEN NULL WHEN 2 THEN CASE WHEN year(day) < 2000 THEN make_date(year(day) + 100, month(day), dayofmonth(day)) ELSE day END ELSE day END"""
+SHEETS = f"""sheet AS (SELECT l.line, l.quantity, l.price, l.l_extendedprice::DECIMAL(20,2) AS written, r.id, r.label, r.invoice, r.amount AS net, r.day,
+        year(r.day)::VARCHAR AS workbook, strftime(r.day, '%m') AS sheet, row_number() OVER (PARTITION BY workbook, sheet ORDER BY l.receipt_id, l.line, l.product_id, l.l_suppkey, l.l_extendedprice, l.shipped)::INTEGER + 3 AS row,
+        row_number() OVER (PARTITION BY l.receipt_id ORDER BY l.line, l.product_id, l.l_suppkey, l.l_extendedprice, l.shipped) AS pos, count(*) OVER (PARTITION BY l.receipt_id) AS size
+        FROM line l JOIN receipt r ON r.id = l.receipt_id),
+    cells AS (SELECT workbook, sheet, row, CASE WHEN pos = 1 AND NOT ({BARE}) THEN {SHEET_DAY} END AS day, CASE WHEN pos = 1 AND {NAMED} THEN {CLEAN.format(NAME_SQL)} ELSE '' END AS customer,
+        CASE WHEN NOT ({BARE}) AND (pos = 1 OR pos = 2 AND id % 5 = 0) THEN {CLEAN.format('invoice')} ELSE '' END AS invoice, NOT (line = 6 AND id % 2 = 0) AS priced,
+        CASE WHEN line <> 6 THEN written WHEN id % 2 = 1 THEN round(quantity * price, 2) END AS worth, CASE WHEN pos = size AND id % 3 = 0 THEN net END AS reported,
+        CASE WHEN NOT ({BARE}) AND pos = size THEN row - pos + 1 END AS sums_from, {BARE} AND pos = 1 AS own_total, CASE WHEN line <> 6 THEN written END AS amount FROM sheet)"""
+#: The state of a sheet after each of its rows, one row after the other.
+FOLD = "WITH RECURSIVE" + sql(f""", {SHEETS}, held AS MATERIALIZED (SELECT *, last_value(day IGNORE NULLS) OVER (PARTITION BY workbook, sheet ORDER BY row) AS holds FROM cells),
+    fold AS (SELECT workbook, sheet, 3 AS row, NULL::INTEGER AS ticket_row, NULL::DATE AS day, '' AS customer, '' AS invoice, FALSE AS separate, 0 AS lines, 0 AS unpriced, 0::DECIMAL(20,2) AS total,
+            NULL::DECIMAL(20,2) AS reported, NULL::BIGINT AS first, FALSE AS closed FROM (SELECT DISTINCT workbook, sheet FROM cells)
+        UNION ALL SELECT workbook, sheet, row, t_row, t_day, t_customer, t_invoice, t_separate, n + 1, u + CASE WHEN known IS NULL THEN 1 ELSE 0 END, (x + coalesce(known, 0))::DECIMAL(20,2),
+            coalesce(reported, told)::DECIMAL(20,2), coalesce(f, row), coalesce(sums_from = coalesce(f, row), FALSE)
+        FROM (SELECT *, CASE WHEN begins THEN row ELSE ticket_row END AS t_row, CASE WHEN begins THEN holds ELSE ticket_day END AS t_day, CASE WHEN begins THEN customer ELSE ticket_customer END AS t_customer,
+                CASE WHEN begins THEN invoice ELSE ticket_invoice END AS t_invoice, CASE WHEN begins THEN alone ELSE separate END AS t_separate, CASE WHEN begins THEN 0 ELSE lines END AS n,
+                CASE WHEN begins THEN 0 ELSE unpriced END AS u, CASE WHEN begins THEN 0 ELSE total END AS x, CASE WHEN NOT begins THEN before END AS told, CASE WHEN NOT begins THEN first END AS f,
+                CASE WHEN priced OR begins OR lines = 0 OR unpriced < lines THEN worth END AS known
+            FROM (SELECT *, alone OR ticket_row IS NULL OR customer <> '' OR invoice <> '' AND (invoice <> ticket_invoice OR holds IS DISTINCT FROM ticket_day) OR day IS NOT NULL AND day IS DISTINCT FROM ticket_day AS begins
+                FROM (SELECT c.*, ticket_row, f.day AS ticket_day, f.customer AS ticket_customer, f.invoice AS ticket_invoice, separate, lines, unpriced, total, f.reported AS before, first,
+                        ticket_row IS NOT NULL AND closed AND own_total AND c.customer = '' AND c.invoice = '' AS alone
+                    FROM fold f JOIN held c ON c.workbook = f.workbook AND c.sheet = f.sheet AND c.row = f.row + 1)))),
+    ended AS (SELECT * FROM fold WHERE ticket_row IS NOT NULL QUALIFY row_number() OVER (PARTITION BY workbook, sheet, ticket_row ORDER BY row DESC) = 1)
+    SELECT workbook, sheet, ticket_row, day, customer, invoice, separate, lines, CASE WHEN unpriced > 0 AND reported IS NOT NULL THEN reported ELSE total END::DOUBLE AS amount, 0::DOUBLE AS discount, closed FROM ended""")[4:]
+
+
 ISSUES = """flags AS (SELECT id, CASE WHEN id % 5 = 4 THEN NULL ELSE day END AS day, CASE WHEN id % 6 = 0 THEN NULL ELSE invoice END AS invoice, customer_name AS customer,
     CASE WHEN id % 8 = 0 THEN NULL WHEN id % 9 = 0 THEN -amount ELSE amount END AS amount FROM receipt)"""
 
@@ -105,8 +143,8 @@ def _flagged(s: Shop):
 
 QUERIES = {
     "src_sheet_rows": (
-        lambda s: op.typed_sheet_rows(sheet_rows(s), 1998).groupBy("day").agg(F.count("*").alias("rows"), F.count("amount").alias("priced")).filter("day is not null"),
-        None,
+        lambda s: op.typed_sheet_rows(sheet_rows(s), 1998).groupBy("day").agg(F.count("*").alias("rows"), F.count("amount").alias("priced")),
+        sql(f", {SHEETS} SELECT day, count(*) AS rows, count(amount) AS priced FROM cells GROUP BY 1"),
     ),
     "clean_label": (lambda s: s.receipts.select("id", clean_label(F.expr(NAME_TEXT)).alias("label")), sql(f"SELECT id, {CLEAN.format(NAME_SQL)} AS label FROM receipt")),
     "parse_money": (
@@ -133,7 +171,7 @@ QUERIES = {
             WHEN {' OR '.join(f"contains(n, '{w}')" for w in op.CHEESE_WORDS)} OR n IN {op.CHEESE_NAMES} THEN 'Cheese & Cultured Dairy'
             WHEN {' OR '.join(f"contains(n, '{w}')" for w in op.SNACK_WORDS)} THEN 'Snacks & Desserts' ELSE 'Other Products' END AS kind FROM (SELECT product_id, lower({KIND_SQL}) AS n FROM product)"""),
     ),
-    "ticketize_rows": (lambda s: op.ticketize(sheet_rows(s)), None),
+    "ticketize_rows": (lambda s: op.ticketize(sheet_rows(s)), FOLD),
     "source_issues": (
         lambda s: op.issues(_flagged(s)).groupBy("issue").agg(F.count("*").alias("rows")),
         sql(f""", {ISSUES} SELECT issue, count(*) AS rows FROM (SELECT 'invalid_date' AS issue FROM flags WHERE day IS NULL UNION ALL SELECT 'missing_invoice' FROM flags WHERE invoice IS NULL

@@ -1,10 +1,12 @@
 """Literal cases with known answers."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shopweave.functions import fit, smooth, stl
@@ -128,6 +130,41 @@ def test_tickets(spark):
     assert [(r.ticket_row, r.amount, r.lines) for r in got] == [(4, 250.0, 2), (6, 80.0, 1), (7, 300.0, 2)]
 
 
+def test_tickets_of_odd_rows(spark):
+    cells = [
+        ("", "", "", "early", "1", "1", "5", "", ""), ("1/2/24", "", "", "", "", "", "", "", ""), ("", "B", "", "p", "0", "9", "9", "", ""), ("", "", "S1", "p", "2", "1.5", "", "", ""),
+        ("", "", "S1", "q", "1", "", "", "", ""), ("", "", "", "Discoun t", "", "", "-0.50", "7", ""), ("", "", "", "r", "1", "1", "2", "", "=sum($G$8:G11)"), ("", "", "", "s", "1", "1", "3", "", "=G12"),
+        ("1/2/24", "", "", "t", "1", "1", "4", "", "=SUM(G12:G13)"), ("", "", "S1", "u", "1", "1", "6", "", "=G14"), ("1/3/24", "", "", "", "", "", "", "", ""), ("", "", "S1", "v", "1", "1", "8", "", ""),
+        (" total", "", "", "all", "", "", "99", "", ""), ("", "C", None, "w", "1", None, None, None, None), ("", None, "", "x", "1", "", "70", "70", ""),
+    ]
+    got = ingest.ticketize(spark.createDataFrame([("w", "s", i + 5, *c) for i, c in enumerate(cells)], ingest.SHEET)).orderBy("ticket_row").collect()
+    day = [None, d("2024-01-02"), d("2024-01-02"), d("2024-01-02"), d("2024-01-02"), d("2024-01-03"), d("2024-01-03")]
+    assert [(r.ticket_row, r.lines, r.amount, r.discount, r.separate, r.closed) for r in got] == [
+        (5, 1, 5.0, 0.0, False, False), (7, 0, 0.0, 0.0, False, False), (8, 3, 7.0, -0.5, False, True), (12, 2, 7.0, 0.0, True, True), (14, 1, 6.0, 0.0, False, False), (16, 1, 8.0, 0.0, False, False), (18, 2, 70.0, 0.0, False, False),
+    ]
+    assert [r.day for r in got] == day
+    assert ingest.ticketize(spark.createDataFrame([], ingest.SHEET)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_tickets_do_not_depend_on_blocks(spark, monkeypatch, block):
+    r = random.Random(block)
+    rows = []
+    for sheet in ("a", "b"):
+        for i in range(4, 150):
+            total = r.choice(["", "", f"=G{i}", f"=SUM(G{max(4, i - r.randint(0, 2))}:G{i})"])
+            rows.append(("w", sheet, i, r.choice(["", "", "", "1/2/24", "1/3/24", "x"]), r.choice(["", "", "", "", "A"]), r.choice(["", "", "S1", "S2"]), r.choice(["p", "p", "q", "discount", ""]), r.choice(["1", "1", "2", "0"]), r.choice(["", "3"]), r.choice(["", "10", "-1"]), r.choice(["", "12"]), total))
+    sheets = spark.createDataFrame(rows, ingest.SHEET).repartition(3)
+    # Whole sheets, each as one segment, against segments found by blocks.
+    cells = ingest._cells(sheets).withColumn("holds", F.last("day", True).over(Window.partitionBy("sheet").orderBy("row"))).withColumn("segment", F.lit(0)).filter("customer <> '' or invoice <> '' or sold")
+    names = "workbook sheet segment row holds day customer invoice sold discount counts priced cents worth reported sums_from own_total".split()
+    whole = cells.select(*names).repartition(1).sortWithinPartitions("sheet", "row").mapInArrow(ingest._fold, ingest.TICKETS)
+    monkeypatch.setattr(ingest, "BLOCK", block)
+    key = lambda t: tuple(map(str, t))
+    got = sorted(map(key, ingest.ticketize(sheets).collect()))
+    assert len(got) > 100 and got == sorted(map(key, whole.collect()))
+
+
 def test_contiguous_run_and_unknown_months(spark):
     start = 2023 * 12
     months = [dt.date((start + i) // 12, (start + i) % 12 + 1, 1) for i in range(42)]
