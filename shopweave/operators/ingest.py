@@ -11,20 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopweave.functions.columns import clean_label, match_key, parse_money
+from shopweave.sources.scratch import written
 
 
 def source_date(text: Column, sheet_year: Column | int) -> Column:
     """A date written m/d/y or y-m-d; two-digit years, 223 for 2023; a swap of month and day is put right."""
     t = F.trim(text)
-    iso = F.to_date(F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), t), "y-M-d")
-    part = lambda k: F.regexp_extract(t, r"^(\d{1,2})[/.](\d{1,2})[/.](\d{2,4})$", k).try_cast("int")
-    m, d, y = part(1), part(2), part(3)
-    year = F.when(y < 100, y + 2000).when((y >= 200) & (y < 300), y + 1800).otherwise(y)
-    swap = (m > 12) & (d <= 12)
-    month, day = F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)
-    made = F.to_date(F.concat_ws("-", year, month, day), "y-M-d")
-    fine = month.between(1, 12) & (day >= 1) & (day <= F.dayofmonth(F.last_day(F.to_date(F.concat_ws("-", year, F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1)), "y-M-d"))))
-    return F.coalesce(iso, F.when(fine, made))
+    dated = F.when(t.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{2,4}$"), F.regexp_replace(t, r"(?<=[/.])(?:0{0,2}|0?2)(\d\d)$", "20$1"))
+    read = lambda order: F.try_to_timestamp(F.regexp_replace(dated, r"^(\d+)[/.](\d+)[/.](\d+)$", order), F.lit("y-M-d"))
+    iso = F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), t), F.lit("y-M-d"))
+    return F.coalesce(iso, read("$3-$1-$2"), read("$3-$2-$1")).cast("date")
 
 
 def _reviewed(text: Column, aliases: dict[str, str] | None) -> Column:
@@ -210,7 +206,7 @@ def ticketize(rows: DataFrame) -> DataFrame:
     Rows are dealt by segments (see _segments) and folded as a stream in order of rows: a sheet is read by many tasks, and none holds
     more than a batch. Cells null or blank are empty; a sheet without rows gives no receipts.
     """
-    found = _segments(_cells(rows)).filter("customer <> '' or invoice <> '' or sold")
+    found = _segments(written(_cells(rows))).filter("customer <> '' or invoice <> '' or sold")
     found = found.select("workbook", "sheet", "segment", "row", "holds", "day", "customer", "invoice", "sold", "discount", "counts", "priced", "cents", "worth", "reported", "sums_from", "own_total")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return found.repartition(parts, "workbook", "sheet", "segment").sortWithinPartitions("workbook", "sheet", "segment", "row").mapInArrow(_fold, TICKETS)

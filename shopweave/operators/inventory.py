@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -226,29 +225,39 @@ def adjustment_replay(adjustments: DataFrame, batches: DataFrame) -> DataFrame:
 
     Refused: one that overdraws or overfills; one without a quantity, unless it is a correction; any on a disposed batch, before
     the batch came in, or on an expired batch but a write-off. A write-off that takes the last stock disposes of the batch;
-    other adjustments leave it depleted, from which a correction brings it back.
+    other adjustments leave it depleted, from which a correction brings it back. Rows are dealt by batch and read in order as a
+    stream, in whole hundredths; one batch's state is held at a time.
     """
 
-    def run(a: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values(["day", "id", "kind", "quantity"]).reset_index(drop=True)
-        left, top, status, out = float(a.remaining[0]), float(a.initial[0]), a.status[0], []
-        for r in a.itertuples():
-            q = float(r.quantity)
-            expired = status == "expired" or r.expiry < r.day
-            fine = status != "disposed" and (r.kind in WRITE_OFFS or not expired) and r.received <= r.day
-            fine = fine and (q > 0 or r.kind == "correction") and q <= left and left - q <= top
-            if fine:
-                left -= q
-                if left <= 0:
-                    status = "disposed" if r.kind in WRITE_OFFS else "depleted"
-                elif r.kind == "correction" and status == "depleted":
-                    status = "available"
-            out.append((r.batch_id, r.id, r.kind, q, bool(fine), left, status))
-        return pd.DataFrame(out, columns=["batch_id", "id", "kind", "quantity", "accepted", "left", "status"])
+    names = ["batch_id", "id", "kind", "quantity", "accepted", "left", "status"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.string()]
+
+    def run(batches):
+        of = None
+        for batch in batches:
+            out = []
+            for batch_id, key, kind, q, day, top, remaining, first, expiry, received in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != batch_id:
+                    of, left, status = batch_id, remaining, first
+                expired = status == "expired" or expiry < day
+                fine = status != "disposed" and (kind in WRITE_OFFS or not expired) and received <= day
+                fine = fine and (q > 0 or kind == "correction") and q <= left and left - q <= top
+                if fine:
+                    left -= q
+                    if left <= 0:
+                        status = "disposed" if kind in WRITE_OFFS else "depleted"
+                    elif kind == "correction" and status == "depleted":
+                        status = "available"
+                out.append((batch_id, key, kind, q / 100, fine, left / 100, status))
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
     joined = adjustments.join(batches.select("batch_id", "initial", "remaining", "status", "expiry", "received"), "batch_id")
-    schema = "batch_id long, id long, kind string, quantity double, accepted boolean, left double, status string"
-    return joined.groupBy("batch_id").applyInPandas(run, schema)
+    rows = joined.select("batch_id", "id", "kind", cents("quantity"), "day", cents("initial"), cents("remaining"), "status", "expiry", "received")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "batch_id").sortWithinPartitions("batch_id", "day", "id", "kind", "quantity")
+    return rows.mapInArrow(run, "batch_id long, id long, kind string, quantity double, accepted boolean, left double, status string")
 
 
 def void_returns(lines: DataFrame, batches: DataFrame, as_of: str) -> DataFrame:

@@ -67,6 +67,30 @@ def _cancelled(s):
     return lines.select(F.expr("receipt_id * 10 + line").alias("line_id"), "batch_id", "quantity").groupBy("line_id", "batch_id").agg(F.sum("quantity").alias("quantity"))
 
 
+#: Each batch's state after each of its adjustments; each product's stock after each of its demands: one after the other.
+REPLAY = "WITH RECURSIVE" + sql("""
+    , dealt AS MATERIALIZED (SELECT a.batch_id, a.id, a.kind, a.quantity AS q, a.day, b.initial, b.expiry, b.received, row_number() OVER (PARTITION BY a.batch_id ORDER BY a.day, a.id, a.kind, a.quantity) AS k
+        FROM adjustment a JOIN batch b ON b.batch_id = a.batch_id),
+    state AS (SELECT batch_id, 0::BIGINT AS k, NULL::BIGINT AS id, '' AS kind, 0::DECIMAL(12,2) AS q, FALSE AS fine, remaining AS rest, status FROM batch WHERE batch_id IN (SELECT batch_id FROM dealt)
+        UNION ALL SELECT batch_id, k, id, kind, q, fine, CASE WHEN fine THEN rest - q ELSE rest END::DECIMAL(12,2),
+            CASE WHEN NOT fine THEN status WHEN rest - q <= 0 THEN CASE WHEN kind IN ('expired', 'spoilage') THEN 'disposed' ELSE 'depleted' END WHEN kind = 'correction' AND status = 'depleted' THEN 'available' ELSE status END
+        FROM (SELECT d.*, rest, status, status <> 'disposed' AND (d.kind IN ('expired', 'spoilage') OR status <> 'expired' AND d.expiry >= d.day) AND d.received <= d.day
+                AND (d.q > 0 OR d.kind = 'correction') AND d.q <= rest AND rest - d.q <= d.initial AS fine FROM state s JOIN dealt d ON d.batch_id = s.batch_id AND d.k = s.k + 1))
+    SELECT batch_id, id, kind, q::DOUBLE AS quantity, fine AS accepted, rest::DOUBLE AS "left", status FROM state WHERE k > 0""")[4:]
+REFUSALS = "WITH RECURSIVE" + sql("""
+    , d AS (SELECT product_id * 100000 + year(shipped) * 12 + month(shipped) AS demand_id, product_id, sum(quantity) AS wanted FROM line GROUP BY 1, 2),
+    asked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY demand_id) AS k FROM d),
+    supply AS MATERIALIZED (SELECT product_id, batch_id, remaining AS n, sum(remaining) OVER (PARTITION BY product_id ORDER BY expiry, batch_id) AS b_end FROM batch WHERE remaining > 0),
+    state AS (SELECT product_id, 0::BIGINT AS k, NULL::BIGINT AS demand_id, 0::DECIMAL(28,2) AS wanted, FALSE AS fine, coalesce((SELECT sum(n) FROM supply u WHERE u.product_id = p.product_id), 0)::DECIMAL(28,2) AS rest
+            FROM (SELECT DISTINCT product_id FROM asked) p
+        UNION ALL SELECT a.product_id, a.k, a.demand_id, a.wanted::DECIMAL(28,2), a.wanted <= rest, CASE WHEN a.wanted <= rest THEN rest - a.wanted ELSE rest END::DECIMAL(28,2)
+        FROM state s JOIN asked a ON a.product_id = s.product_id AND a.k = s.k + 1),
+    taken AS (SELECT *, sum(wanted) OVER (PARTITION BY product_id ORDER BY demand_id) AS d_end FROM state WHERE fine)
+    SELECT demand_id, t.product_id, batch_id, (least(d_end, b_end) - greatest(d_end - wanted, b_end - n))::DOUBLE AS quantity, TRUE AS accepted FROM taken t JOIN supply u ON u.product_id = t.product_id
+        WHERE d_end - wanted < b_end AND b_end - n < d_end
+    UNION ALL SELECT demand_id, product_id, NULL, 0, FALSE FROM state WHERE k > 0 AND NOT fine""")[4:]
+
+
 QUERIES = {
     "expired_stock": (
         lambda s: op.expired(s.batches, AS_OF).select("batch_id", "product_id", "expiry", F.col("remaining").cast("double").alias("remaining")),
@@ -133,7 +157,7 @@ QUERIES = {
             SELECT demand_id, product_id, batch_id, (least(d_end, b_end) - greatest(d_end - wanted, b_end - initial))::DOUBLE AS quantity
             FROM de JOIN be USING (product_id) WHERE d_end - wanted < b_end AND b_end - initial < d_end"""),
     ),
-    "fefo_refusals": (lambda s: op.fefo_fold(_demands(s), s.batches.withColumn("supply", F.col("remaining"))), None),
+    "fefo_refusals": (lambda s: op.fefo_fold(_demands(s), s.batches.withColumn("supply", F.col("remaining"))), REFUSALS),
     "fefo_line_amounts": (
         lambda s: op.line_amounts(_pieces(s), "line", "l_suppkey", "quantity").select("line_id", "line", "amount"),
         sql(""", pieces AS (SELECT receipt_id * 100000 + product_id AS line_id, line, l_suppkey, quantity FROM line),
@@ -141,7 +165,7 @@ QUERIES = {
                 )::BIGINT * (line_id % 97) * 125 + 5) // 10) / 100)::DECIMAL(20,2) AS u FROM pieces)
             SELECT line_id, line, (u - coalesce(lag(u) OVER (PARTITION BY line_id ORDER BY line, l_suppkey, quantity), 0))::DOUBLE AS amount FROM upto"""),
     ),
-    "adjustment_replay": (lambda s: op.adjustment_replay(s.adjustments, s.batches), None),
+    "adjustment_replay": (lambda s: op.adjustment_replay(s.adjustments, s.batches), REPLAY),
     "void_returns": (
         lambda s: op.void_returns(_cancelled(s), s.batches.withColumn("initial", F.col("remaining") + 30), VOIDED_ON),
         sql(f""", c AS (SELECT receipt_id * 10 + line AS line_id, batch_id, sum(quantity) AS quantity FROM line WHERE receipt_id IN (SELECT id FROM receipt WHERE voided) GROUP BY 1, 2),
