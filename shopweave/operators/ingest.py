@@ -93,14 +93,16 @@ def _cells(rows: DataFrame) -> DataFrame:
     formula = F.coalesce(F.col("formula"), F.lit(""))
     ref = lambda pattern, k: F.regexp_extract(formula, pattern, k).try_cast("int")
     sums, cell = r"(?i)^=SUM\(\$?G\$?(\d+):\$?G\$?(\d+)\)$", r"(?i)^=\$?G\$?(\d+)$"
-    quantity, price, amount = parse_money(F.col("c4")), parse_money(F.col("c5")), parse_money(F.col("c6"))
     cents = lambda x: F.round(x * 100).cast("long")
-    number = F.when(F.col("c7").rlike(r"^\s*-?\d+(\.\d+)?\s*$"), parse_money(F.col("c7")))
-    return rows.filter(F.upper(label("c0")) != "TOTAL").select(
-        "workbook", "sheet", "row", source_date(F.col("c0"), 0).alias("day"), label("c1").alias("customer"), label("c2").alias("invoice"), (label("c3") != "").alias("sold"),
-        label("c3").rlike(r"(?i)^discoun\s*t$").alias("discount"), F.coalesce(quantity > 0, F.lit(False)).alias("counts"), price.isNotNull().alias("priced"),
-        cents(amount).alias("cents"), cents(F.coalesce(amount, F.round(quantity * price, 2))).alias("worth"), cents(number).alias("reported"),
-        F.when(ref(sums, 2) == F.col("row"), ref(sums, 1)).alias("sums_from"), F.coalesce(ref(cell, 1) == F.col("row"), F.lit(False)).alias("own_total"),
+    read = rows.select(
+        "workbook", "sheet", "row", "c0", label("c1").alias("customer"), label("c2").alias("invoice"), label("c3").alias("product"), parse_money(F.col("c4")).alias("quantity"), parse_money(F.col("c5")).alias("price"),
+        parse_money(F.col("c6")).alias("amount"), F.when(F.col("c7").rlike(r"^\s*-?\d+(\.\d+)?\s*$"), parse_money(F.col("c7"))).alias("number"), ref(sums, 1).alias("top"), ref(sums, 2).alias("bottom"), ref(cell, 1).alias("alone"),
+    )
+    return read.filter(F.upper(label("c0")) != "TOTAL").select(
+        "workbook", "sheet", "row", source_date(F.col("c0"), 0).alias("day"), "customer", "invoice", (F.col("product") != "").alias("sold"), F.col("product").rlike(r"(?i)^discoun\s*t$").alias("discount"),
+        F.coalesce(F.col("quantity") > 0, F.lit(False)).alias("counts"), F.col("price").isNotNull().alias("priced"), cents(F.col("amount")).alias("cents"),
+        cents(F.coalesce("amount", F.round(F.col("quantity") * F.col("price"), 2))).alias("worth"), cents(F.col("number")).alias("reported"),
+        F.when(F.col("bottom") == F.col("row"), F.col("top")).alias("sums_from"), F.coalesce(F.col("alone") == F.col("row"), F.lit(False)).alias("own_total"),
     )
 
 
