@@ -183,17 +183,32 @@ def invoice_seed(receipts: DataFrame) -> DataFrame:
     return last.select("year", F.substring("invoice", 3, 20).cast("long").alias("seed"))
 
 
+#: Ids or numbers that are ranked in one window, or made in one row.
+BLOCK = 100_000
+
+
+def ranked(rows: DataFrame, key: str) -> DataFrame:
+    """rows with k, their rank within the year by key (whole numbers, each once a year): counts of blocks of keys are added up, so a window holds no more than a block."""
+    block = F.expr(f"{key} div {BLOCK}")
+    counts = rows.groupBy("year", block.alias("block")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("year").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("year", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("year", "block").orderBy(key))
+    return rows.withColumn("block", block).join(counts, ["year", "block"]).withColumn("k", F.col("before") + rank).drop("block", "before")
+
+
 def invoice_assign(waiting: DataFrame, taken: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, year, invoice) for waiting receipts (id, year): the numbers after the year's seed that are not taken, in order of id.
 
-    A year needs no more candidates than it has waiting and taken numbers. Numbers and receipts meet by rank within the year.
+    A year needs no more candidates than it has waiting and taken numbers. They are made by blocks, and numbers and receipts meet by
+    rank within the year.
     """
     need = waiting.groupBy("year").agg(F.count("*").alias("n")).join(taken.groupBy("year").agg(F.count("*").alias("t")), "year", "left").join(seeds, "year", "left")
-    need = need.withColumn("seed", F.coalesce("seed", F.lit(0)))
-    free = need.select("year", F.explode(F.expr("sequence(seed + 1, seed + n + coalesce(t, 0))")).alias("number")).join(taken.select("year", "number").distinct(), ["year", "number"], "left_anti")
-    rank = lambda order: F.row_number().over(Window.partitionBy("year").orderBy(order))
-    left, right = waiting.withColumn("k", rank("id")), free.withColumn("k", rank("number"))
-    return left.join(right, ["year", "k"]).select("id", "year", invoice_text(F.col("number")).alias("invoice"))
+    need = need.select("year", (F.coalesce("seed", F.lit(0)) + 1).cast("long").alias("first"), (F.coalesce("seed", F.lit(0)) + F.col("n") + F.coalesce("t", F.lit(0))).cast("long").alias("last"))
+    blocks = need.withColumn("b", F.explode(F.expr(f"sequence(first div {BLOCK}, last div {BLOCK})"))).repartition("year", "b")
+    numbers = blocks.select("year", F.explode(F.expr(f"sequence(greatest(first, b * {BLOCK}), least(last, b * {BLOCK} + {BLOCK} - 1))")).alias("number"))
+    free = numbers.join(taken.select("year", "number").distinct(), ["year", "number"], "left_anti")
+    return ranked(waiting, "id").join(ranked(free, "number"), ["year", "k"]).select("id", "year", invoice_text(F.col("number")).alias("invoice"))
 
 
 def invoice_duplicates(receipts: DataFrame) -> DataFrame:

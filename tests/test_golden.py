@@ -165,6 +165,20 @@ def test_tickets_do_not_depend_on_blocks(spark, monkeypatch, block):
     assert len(got) > 100 and got == sorted(map(key, whole.collect()))
 
 
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_invoices_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ledger, "BLOCK", block)
+    r = random.Random(4)
+    waiting = [(i, r.choice([2023, 2024])) for i in r.sample(range(500), 60)]
+    taken = [(2023, n) for n in r.sample(range(1, 60), 25)] + [(2024, 12), (2024, 12), (2025, 1)]
+    got = ledger.invoice_assign(spark.createDataFrame(waiting, "id long, year int").repartition(3), spark.createDataFrame(taken, "year int, number long"), spark.createDataFrame([(2024, 9)], "year int, seed long"))
+    want = {}
+    for year, seed in ((2023, 0), (2024, 9)):
+        free = (n for n in range(seed + 1, 10_000) if (year, n) not in taken)
+        want |= dict(zip(sorted(i for i, y in waiting if y == year), free))  # noqa: B905
+    assert {x.id: int(x.invoice[2:]) for x in got.collect()} == want
+
+
 def test_contiguous_run_and_unknown_months(spark):
     start = 2023 * 12
     months = [dt.date((start + i) // 12, (start + i) % 12 + 1, 1) for i in range(42)]
