@@ -55,3 +55,11 @@ def test_adjustments_are_as_many_as_in_sql(spark, shared):
     folder, con = shared
     got = {r.batch_id: r["count"] for r in registry.queries()["adjustment_replay"](spark, folder).groupBy("batch_id").count().collect()}
     assert got == dict(con.sql(f"select batch_id, count(*) from ({registry.oracle_sql()['adjustment_replay']}) group by 1").fetchall())
+
+
+def test_an_alert_noted_twice_is_one_alert(spark, shared):
+    live = spark.createDataFrame([("7", "critical"), ("8", "critical")], "key string, revision string")
+    seen = spark.createDataFrame([(1, "7", "critical", False), (1, "7", "critical", True)], "user_id int, key string, revision string, dismissed boolean")
+    rows = sorted((r.key, r.unread, r.dismissed) for r in inventory.acknowledged(live, seen).collect())
+    assert rows == [("7", False, True), ("8", True, None)]
+    same(spark, shared, "alert_ack")
