@@ -63,3 +63,7 @@ def test_an_alert_noted_twice_is_one_alert(spark, shared):
     rows = sorted((r.key, r.unread, r.dismissed) for r in inventory.acknowledged(live, seen).collect())
     assert rows == [("7", False, True), ("8", True, None)]
     same(spark, shared, "alert_ack")
+
+
+def test_demands_over_batches_of_one_number(spark, shared):
+    same(spark, shared, "fefo_allocate")
