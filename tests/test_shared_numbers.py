@@ -67,3 +67,7 @@ def test_an_alert_noted_twice_is_one_alert(spark, shared):
 
 def test_demands_over_batches_of_one_number(spark, shared):
     same(spark, shared, "fefo_allocate")
+
+
+def test_refused_demands_over_batches_of_one_number(spark, shared):
+    same(spark, shared, "fefo_refusals")
