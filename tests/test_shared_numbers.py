@@ -71,3 +71,7 @@ def test_demands_over_batches_of_one_number(spark, shared):
 
 def test_refused_demands_over_batches_of_one_number(spark, shared):
     same(spark, shared, "fefo_refusals")
+
+
+def test_lines_back_to_batches_of_one_number(spark, shared):
+    same(spark, shared, "void_returns")
