@@ -136,12 +136,22 @@ def demand_class(rows: DataFrame, *keys: str) -> DataFrame:
 
     An unknown bucket leaves the intervals unknown, so that only complete calendars have a class.
     """
-    positive = F.when(F.col("value") > 0, F.col("value"))
-    each = rows.groupBy(*keys).agg(F.count("*").alias("buckets"), F.count("value").alias("observed"), F.count(positive).alias("positive"), F.avg(positive).alias("mean"), F.stddev_pop(positive).alias("sd"))
-    adi, cv2 = F.col("buckets") / F.col("positive"), (F.col("sd") / F.col("mean")) ** 2
+    positive = F.when(F.col("value") > 0, F.struct("bucket", "value"))
+    each = rows.groupBy(*keys).agg(F.count("*").alias("buckets"), F.count("value").alias("observed"), F.count(positive).alias("positive"), F.array_sort(F.collect_list(positive)).alias("p"))
+    # Folded in order of buckets, so that no digit depends on how rows are dealt.
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sum", "mean", "m2")])
+
+    def step(a: Column, x: Column) -> Column:
+        n, v = a["n"] + 1, x["value"].cast("double")
+        mean = a["mean"] + (v - a["mean"]) / n
+        return F.struct(n.alias("n"), (a["sum"] + v).alias("sum"), mean.alias("mean"), (a["m2"] + (v - a["mean"]) * (v - mean)).alias("m2"))
+
+    spread = lambda a: F.when(a["n"] > 0, F.sqrt(a["m2"] / a["n"]) / (a["sum"] / a["n"]))
+    each = each.withColumn("cv", F.aggregate("p", zero, step, spread))
+    adi, cv2 = F.col("buckets") / F.col("positive"), F.col("cv") * F.col("cv")
     enough = (F.col("observed") == F.col("buckets")) & (F.col("buckets") >= 12) & (F.col("positive") >= 4)
     kind = F.when(~enough, "insufficient").when((adi < 1.32) & (cv2 < 0.49), "stable").when(adi < 1.32, "erratic").when(cv2 < 0.49, "intermittent").otherwise("lumpy")
-    return each.select(*keys, "observed", "positive", F.when(enough, F.round(adi, 6)).alias("adi"), F.when(enough, F.round(cv2, 6)).alias("cv2"), kind.alias("class"))
+    return each.select(*keys, "observed", "positive", F.when(enough, F.round(adi, 6)).alias("adi"), F.when(enough, F.round(cv2 * 1e6) / 1e6).alias("cv2"), kind.alias("class"))
 
 
 def skill(scores: DataFrame, model: str, baseline: str, *keys: str) -> DataFrame:
