@@ -101,10 +101,16 @@ def dense(values: DataFrame, dates: Dates, covered: DataFrame, period: Period, *
     noughts: a bucket without a row is nought if it is covered; otherwise it is unknown. Series of which nothing is known are left out.
     """
     before = values.filter(F.col("bucket") < F.lit(dates.cutoff))
-    spans = before.groupBy(*keys).agg(F.min("bucket").alias("first"), F.count("value").alias("known")).filter("known > 0")
-    lo = F.col("first") if period.name == "daily" else F.greatest("first", F.lit(dates.run_start))
-    full = spans.select(*keys, F.explode(F.sequence(lo, period.after(F.lit(dates.cutoff), -1), F.expr(f"interval {period.step}"))).alias("bucket"))
-    rows = full.join(before, [*keys, "bucket"], "left")
+    if "product_id" in keys:
+        # Dealt by product alone, so that no later sum of a product's series, of whatever keys, is a shuffle of all their buckets.
+        before = before.repartition("product_id")
+    # Each row brings the empty buckets up to the next one: a window over the few rows there are, and no join with the calendar.
+    by = Window.partitionBy(*keys)
+    following = F.lead("bucket", 1).over(by.orderBy("bucket"))
+    rows = before.withColumns({"_next": F.coalesce(following, F.lit(dates.cutoff)), "_known": F.count("value").over(by)}).filter("_known > 0")
+    rows = rows.select(*keys, "value", "unknown", F.posexplode(F.sequence("bucket", period.after("_next", -1), F.expr(f"interval {period.step}"))).alias("_k", "bucket"))
+    rows = rows if period.name == "daily" else rows.filter(F.col("bucket") >= F.lit(dates.run_start))
+    rows = rows.select(*keys, "bucket", *[F.when(F.col("_k") == 0, F.col(c)).alias(c) for c in ("value", "unknown")])
     value = F.when(F.col("unknown") > 0, None).otherwise(F.round("value", 2))
     if not noughts:
         return rows.select(*keys, "bucket", value.alias("value"))
@@ -161,8 +167,8 @@ def scope_series(sold: DataFrame, products: DataFrame, dates: Dates, period: Per
 def arrays(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, training_start, values): a series in one row, dealt over all shuffle partitions however small they are: fits cost more than bytes tell."""
     sorted_ = F.array_sort(F.collect_list(F.struct("bucket", "value")))
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    return dealt.groupBy(*keys).agg(F.min("bucket").alias("training_start"), F.transform(sorted_, lambda x: x["value"]).alias("values"))
+    series = rows.groupBy(*keys).agg(F.min("bucket").alias("training_start"), F.transform(sorted_, lambda x: x["value"]).alias("values"))
+    return series.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 # Forecasts

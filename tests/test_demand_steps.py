@@ -18,3 +18,15 @@ def test_variation_does_not_depend_on_the_order_of_rows(spark):
     kinds = [df.repartition(n).orderBy(F.rand(n)) for n in (1, 3, 7)]
     found = [{(r.cv2, r["class"]) for r in series.demand_class(d, "k").collect()} for d in kinds]
     assert found[0] == found[1] == found[2] and len(found[0]) == 1
+
+
+def test_dense_series_need_no_join_with_the_calendar(spark):
+    rows = [("regular", 1, dt.date(2024, 1, 1), 1.0, 0), ("regular", 1, dt.date(2024, 4, 1), 3.0, 0), ("regular", 2, dt.date(2024, 5, 1), 2.0, 1), ("regular", 2, dt.date(2024, 6, 1), 5.0, 0), ("regular", 3, dt.date(2024, 6, 1), None, 1), ("regular", 4, dt.date(2024, 7, 1), 1.0, 0)]
+    values = spark.createDataFrame(rows, "segment string, product_id long, bucket date, value double, unknown int")
+    out = hierarchy.dense(values, DATES, values.filter("month(bucket) <> 3"), hierarchy.PERIODS["monthly"], "segment", "product_id")
+    got = sorted((r.product_id, r.bucket.month, r.value) for r in out.collect())
+    # January lies before the run; no sale at all is known of March and February; product 3 is never known, product 4 is sold after the cutoff.
+    assert [g[:2] for g in got] == [(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 5), (2, 6)]
+    assert [g[2] for g in got] == [None, None, 3.0, 0.0, 0.0, None, 5.0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the covered buckets, a few rows that are broadcast
