@@ -341,16 +341,20 @@ def rolled_up(parts: DataFrame) -> DataFrame:
     do not add up. supported, provisional and total count series, and with them stands what the sum is worth: insufficient_history,
     partial (some series have no estimate), provisional or available. An item of one segment keeps its own status.
     """
-    rows = up(parts).withColumn("cents", F.round("value", 2).cast("decimal(24,2)"))
-    sums = parts.sparkSession.sql(
-        """select view, metric, unit, category, product_id, step, bucket, cast(2 * grouping(category) + grouping(product_id) as int) as lvl, cast(sum(cents) as double) as value,
-            sum(supported) as supported, sum(provisional) as provisional, sum(total) as total, min(status) as own from {rows}
-            group by grouping sets ((view, metric, unit, step, bucket), (view, metric, unit, category, step, bucket), (view, metric, unit, category, product_id, step, bucket))""",
-        rows=rows,
-    )
+    counts = [F.sum(c).alias(c) for c in ("cents", "supported", "provisional", "total")]
+    parts = parts.withColumn("cents", F.round("value", 2).cast("decimal(24,2)"))
+    items = up(parts).groupBy("view", "metric", "unit", "category", "product_id", "step", "bucket").agg(*counts, F.min("status").alias("own"))
+    # Each segment's categories are few rows, from which the combined view and the sums above are made.
+    few = parts.withColumn("unit", F.when(F.col("metric") == "quantity", F.col("unit")).otherwise("")).groupBy("segment", "metric", "unit", "category", "step", "bucket").agg(*counts)
+    categories = up(few).groupBy("view", "metric", "unit", "category", "step", "bucket").agg(*counts)
+    whole = categories.groupBy("view", "metric", "unit", "step", "bucket").agg(*counts)
+    shape = ["view", "metric", "unit", "category", "product_id", "step", "bucket", "cents", "supported", "provisional", "total", "own", "level"]
+    sums = items.withColumn("level", F.lit("item")).select(*shape)
+    for rows, level in ((categories, "category"), (whole, "overall")):
+        lacking = {c: F.lit(None).cast(parts.schema[k].dataType) for c, k in (("category", "category"), ("product_id", "product_id"), ("own", "status")) if c not in rows.columns}
+        sums = sums.union(rows.withColumns(lacking | {"level": F.lit(level)}).select(*shape))
     none = F.lit(None).cast("double")
-    level = F.when(F.col("lvl") == 3, "overall").when(F.col("lvl") == 1, "category").otherwise("item")
-    named = sums.withColumn("level", level).withColumns({"lower": none, "upper": none})
+    named = sums.withColumns({"value": F.col("cents").cast("double"), "lower": none, "upper": none})
     single = (F.col("level") == "item") & (F.col("total") == 1)
     return judged(named).withColumn("status", F.when(single, F.col("own")).otherwise(F.col("status"))).select(*NODE, "step", "bucket", "value", "lower", "upper", "supported", "provisional", "total", "status", "accuracy_status")
 

@@ -30,3 +30,16 @@ def test_dense_series_need_no_join_with_the_calendar(spark):
     assert [g[2] for g in got] == [None, None, 3.0, 0.0, 0.0, None, 5.0]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # with the covered buckets, a few rows that are broadcast
+
+
+def test_sums_up_the_catalog_do_not_expand_items(spark):
+    rows = [(s, p, "quantity", c, "L", "available", 1, 0, 1, 1, DAY, v) for s, p, c, v in (("regular", 1, "a", 1.5), ("feeding", 1, "a", 2.0), ("regular", 2, "b", None))]
+    parts = spark.createDataFrame(rows, "segment string, product_id long, metric string, category string, unit string, status string, supported int, provisional int, total int, step int, bucket date, value double")
+    out = hierarchy.rolled_up(parts)
+    got = {(r.view, r.level, r.category, r.product_id): (r.value, r.total) for r in out.collect()}
+    assert got == {
+        ("regular", "item", "a", 1): (1.5, 1), ("feeding", "item", "a", 1): (2.0, 1), ("combined", "item", "a", 1): (3.5, 2), ("regular", "item", "b", 2): (None, 1), ("combined", "item", "b", 2): (None, 1),
+        ("regular", "category", "a", None): (1.5, 1), ("feeding", "category", "a", None): (2.0, 1), ("combined", "category", "a", None): (3.5, 2), ("regular", "category", "b", None): (None, 1), ("combined", "category", "b", None): (None, 1),
+        ("regular", "overall", None, None): (1.5, 2), ("feeding", "overall", None, None): (2.0, 1), ("combined", "overall", None, None): (3.5, 3),
+    }
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
