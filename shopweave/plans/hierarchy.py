@@ -102,7 +102,8 @@ def items(s: Shop):
 
 def _filled(s: Shop):
     d = Demand(s)
-    return op.filled(written(d.nodes), op.last_year(d.units, d.dates, None, *op.UNIT), written)
+    # Items' own nodes are not filled; without them their sums are not made.
+    return op.filled(written(d.nodes.filter("level <> 'item'")), op.last_year(d.units, d.dates, None, *op.UNIT), written)
 
 
 def _scope(s: Shop):

@@ -43,3 +43,10 @@ def test_sums_up_the_catalog_do_not_expand_items(spark):
         ("regular", "overall", None, None): (1.5, 2), ("feeding", "overall", None, None): (2.0, 1), ("combined", "overall", None, None): (3.5, 3),
     }
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_above_the_items_do_not_make_the_items(spark):
+    parts = spark.createDataFrame([("regular", 1, "quantity", "a", "L", "available", 1, 0, 1, 1, DAY, 1.5)], "segment string, product_id long, metric string, category string, unit string, status string, supported int, provisional int, total int, step int, bucket date, value double")
+    out = hierarchy.rolled_up(parts).filter("level <> 'item'")
+    assert out.count() == 4
+    assert "min(status" not in out._jdf.queryExecution().optimizedPlan().toString()
