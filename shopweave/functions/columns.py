@@ -20,7 +20,8 @@ def growth(now: Column, before: Column) -> Column:
 
 def clean_label(text: Column) -> Column:
     """White space in a row becomes one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    odd = text.rlike(r"  |[\t-\r]")
+    return F.trim(F.when(odd, F.regexp_replace(text, r"\s+", " ")).otherwise(text))
 
 
 def product_label(name: str = "name", variant: str = "variant") -> Column:
@@ -63,4 +64,5 @@ def program_group(label: Column) -> Column:
 def parse_money(text: Column) -> Column:
     """Text or number as decimal(20,2), halves away from nought; blank, bad and non-finite values are null."""
     kept = F.regexp_replace(F.trim(text), r"[,₱\s]", "")
-    return F.when(kept.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.round(kept.try_cast("decimal(30,8)"), 2).cast("decimal(20,2)"))
+    # Most are written as they are kept.
+    return F.when(text.rlike(r"^-?[0-9]{1,15}(\.[0-9]{1,2})?\z"), text.try_cast("decimal(20,2)")).when(kept.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.round(kept.try_cast("decimal(30,8)"), 2).cast("decimal(20,2)"))

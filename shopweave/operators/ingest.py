@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,62 +85,75 @@ def with_aliases(names: DataFrame, aliases: DataFrame, key: str = "key") -> Data
 SHEET = "workbook string, sheet string, row int, c0 string, c1 string, c2 string, c3 string, c4 string, c5 string, c6 string, c7 string, formula string"
 TICKETS = "workbook string, sheet string, ticket_row int, day date, customer string, invoice string, separate boolean, lines int, amount double, discount double, closed boolean"
 #: Rows of a sheet that are looked at together before what holds at their ends is carried on.
-BLOCK = 100_000
+BLOCK = 20_000
+#: Blocks, of all sheets, that are few enough to be sent to every executor.
+FEW_BLOCKS = 2_000_000
 
 
 def _cells(rows: DataFrame) -> DataFrame:
     """What the cells of SHEET rows say: day, labels, whole cents, and what the formula of the total adds up. Rows of a month's total go."""
-    label = lambda c: F.coalesce(clean_label(F.col(c)), F.lit(""))
-    formula = F.coalesce(F.col("formula"), F.lit(""))
-    ref = lambda pattern, k: F.regexp_extract(formula, pattern, k).try_cast("int")
+    label = lambda c: F.coalesce(clean_label(F.nullif(c, F.lit(""))), F.lit(""))
+    # A cast that fails is an error made and caught: a row without formula or number is not asked.
+    formula = F.nullif("formula", F.lit(""))
+    ref = lambda pattern, k: F.nullif(F.regexp_extract(formula, pattern, k), F.lit("")).try_cast("int")
     sums, cell = r"(?i)^=SUM\(\$?G\$?(\d+):\$?G\$?(\d+)\)$", r"(?i)^=\$?G\$?(\d+)$"
     cents = lambda x: F.round(x * 100).cast("long")
+    text = lambda c: F.nullif(c, F.lit(""))
+    # As one array the numbers are one small piece of code; written out four times, the method is too long for the JVM to compile.
+    numbers = F.transform(F.array(text("c4"), text("c5"), text("c6"), F.when(text("c7").rlike(r"^\s*-?\d+(\.\d+)?\s*$"), F.col("c7"))), parse_money)
     read = rows.select(
-        "workbook", "sheet", "row", "c0", label("c1").alias("customer"), label("c2").alias("invoice"), label("c3").alias("product"), parse_money(F.col("c4")).alias("quantity"), parse_money(F.col("c5")).alias("price"),
-        parse_money(F.col("c6")).alias("amount"), F.when(F.col("c7").rlike(r"^\s*-?\d+(\.\d+)?\s*$"), parse_money(F.col("c7"))).alias("number"), ref(sums, 1).alias("top"), ref(sums, 2).alias("bottom"), ref(cell, 1).alias("alone"),
+        "workbook", "sheet", "row", text("c0").alias("c0"), label("c1").alias("customer"), label("c2").alias("invoice"), label("c3").alias("product"), numbers.alias("numbers"),
+        ref(sums, 1).alias("top"), ref(sums, 2).alias("bottom"), ref(cell, 1).alias("alone"),
     )
+    quantity, price, amount, number = (F.col("numbers")[k] for k in range(4))
     return read.filter(F.upper(label("c0")) != "TOTAL").select(
         "workbook", "sheet", "row", source_date(F.col("c0"), 0).alias("day"), "customer", "invoice", (F.col("product") != "").alias("sold"), F.col("product").rlike(r"(?i)^discoun\s*t$").alias("discount"),
-        F.coalesce(F.col("quantity") > 0, F.lit(False)).alias("counts"), F.col("price").isNotNull().alias("priced"), cents(F.col("amount")).alias("cents"),
-        cents(F.coalesce("amount", F.round(F.col("quantity") * F.col("price"), 2))).alias("worth"), cents(F.col("number")).alias("reported"),
+        F.coalesce(quantity > 0, F.lit(False)).alias("counts"), price.isNotNull().alias("priced"), cents(amount).alias("cents"),
+        cents(F.coalesce(amount, F.round(quantity * price, 2))).alias("worth"), cents(number).alias("reported"),
         F.when(F.col("bottom") == F.col("row"), F.col("top")).alias("sums_from"), F.coalesce(F.col("alone") == F.col("row"), F.lit(False)).alias("own_total"),
     )
 
 
-def _segments(cells: DataFrame) -> DataFrame:
-    """cells with holds, the day that holds at a row, and segment, the last row at or before it that begins a receipt whatever came before.
+def _chunks(cells: DataFrame) -> DataFrame:
+    """cells with segment, the chunk of the sheet that a row is in, and holds, the day that holds at a chunk's first row.
 
-    Such rows have a customer, or an invoice other than the last one named. Each block of a sheet tells its last day, invoice and
-    such row; these are carried over the blocks of the sheet and meet the rows again, so no task sees more than a block.
+    A chunk begins with the first row of a block that begins a receipt whatever came before, and ends before the next such row of a later
+    block. Such rows have a customer, or an invoice other than the last one named. Each block of a sheet tells its last day and invoice
+    and that row from the rows that name something; these are carried over the blocks of the sheet and meet the rows again.
     """
     sheet = ["workbook", "sheet"]
     row = Window.partitionBy(*sheet, "block").orderBy("row")
     above, so_far = row.rowsBetween(Window.unboundedPreceding, -1), row.rowsBetween(Window.unboundedPreceding, 0)
     customer, invoice = F.col("customer") != "", F.col("invoice") != ""
-    cells = cells.withColumn("block", F.expr(f"row div {BLOCK}")).withColumn("named", F.when(customer | invoice, F.col("invoice")))
-    cells = cells.withColumn("before", F.last("named", True).over(above)).withColumn("held", F.last("day", True).over(so_far))
-    latest = lambda test, *what: F.max(F.when(test, F.struct("row", *what)))
-    ends = cells.groupBy(*sheet, "block").agg(
-        latest(F.col("day").isNotNull(), "day")["day"].alias("day_out"), latest(F.col("named").isNotNull(), "named")["named"].alias("named_out"),
-        latest(customer | invoice & (F.col("before") != F.col("invoice")))["row"].alias("sure"), latest(~customer & invoice & F.col("before").isNull(), "invoice").alias("open"),
+    cells = cells.withColumn("block", F.expr(f"row div {BLOCK}"))
+    telling = cells.filter(customer | invoice | F.col("day").isNotNull()).withColumn("named", F.when(customer | invoice, F.col("invoice")))
+    telling = telling.withColumn("before", F.last("named", True).over(above)).withColumn("held", F.last("day", True).over(so_far))
+    latest = lambda test, what: F.max(F.when(test, F.struct("row", what)))[what]
+    ends = telling.groupBy(*sheet, "block").agg(
+        latest(F.col("day").isNotNull(), "day").alias("day_out"), latest(F.col("named").isNotNull(), "named").alias("named_out"),
+        F.min(F.when(customer | invoice & (F.col("before") != F.col("invoice")), F.struct("row", "held"))).alias("sure"),
+        F.min(F.when(~customer & invoice & F.col("before").isNull(), F.struct("row", "invoice", "held"))).alias("open"),
     )
-    blocks = Window.partitionBy(*sheet).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("named_in", F.last("named_out", True).over(blocks)).withColumn("day_in", F.last("day_out", True).over(blocks))
-    ends = ends.withColumn("cut", F.greatest("sure", F.when(~F.col("open.invoice").eqNullSafe(F.col("named_in")), F.col("open.row"))))
-    ends = ends.select(*sheet, "block", "day_in", "named_in", F.last("cut", True).over(blocks).alias("cut_in"))
-    cut = customer | invoice & ~F.coalesce("before", "named_in").eqNullSafe(F.col("invoice"))
-    found = cells.join(ends, [*sheet, "block"]).withColumn("cut", F.when(cut, F.col("row")))
-    return found.withColumn("segment", F.coalesce(F.last("cut", True).over(so_far), "cut_in", F.lit(0))).withColumn("holds", F.coalesce("held", "day_in"))
+    ends = cells.select(*sheet, "block").distinct().join(ends, [*sheet, "block"], "left")
+    earlier = Window.partitionBy(*sheet).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("named_in", F.last("named_out", True).over(earlier)).withColumn("day_in", F.last("day_out", True).over(earlier))
+    other = F.col("open").isNotNull() & ~F.col("open.invoice").eqNullSafe(F.col("named_in"))
+    ends = ends.withColumn("begin", F.when(other, F.struct("open.row", "open.held")).otherwise(F.col("sure")))
+    home = F.last(F.when(F.col("begin").isNotNull(), F.col("block")), True).over(earlier)
+    ends = written(ends.select(*sheet, "block", F.col("begin.row").alias("begin"), F.coalesce("begin.held", "day_in").alias("begin_day"), F.coalesce(home, F.lit(-1)).alias("home")))
+    ends = F.broadcast(ends) if ends.count() <= FEW_BLOCKS else ends
+    found = cells.join(ends, [*sheet, "block"])
+    return found.withColumn("segment", F.expr("if(row >= begin, block, home)")).withColumn("holds", F.expr("if(row = begin, begin_day, null)"))
 
 
 @dataclass
 class Ticket:
-    """A receipt as its rows are read."""
+    """A receipt that the next rows may go on with: worth and discount in cents, what its total says, its first line's row."""
 
     workbook: str
     sheet: str
     row: int
-    day: dt.date | None
+    day: int | None
     customer: str
     invoice: str
     separate: bool
@@ -151,50 +165,148 @@ class Ticket:
     first: int | None = None
     closed: bool = False
 
-    def add(self, row: int, discount: bool, counts: bool, priced: bool, cents: int | None, worth: int | None) -> None:
-        if discount:
-            self.discount += cents or 0
-        elif counts:
-            # One amount beside several lines without price is that of them all: they stay unpriced.
-            known = worth if priced or not self.lines or self.unpriced < self.lines else None
-            self.lines, self.first = self.lines + 1, self.first or row
-            self.unpriced, self.cents = self.unpriced + (known is None), self.cents + (known or 0)
 
-    def out(self) -> tuple:
-        whole = self.reported if self.reported is not None and self.unpriced else self.cents + self.discount
-        return self.workbook, self.sheet, self.row, self.day, self.customer, self.invoice, self.separate, self.lines, whole / 100, self.discount / 100, self.closed
+KEY = ("workbook", "sheet", "segment")
+
+
+def _fresh(batch: pa.RecordBatch, last: tuple | None) -> np.ndarray:
+    """Which rows have another key than the row before; last is the key of the row before the batch."""
+    fresh = np.zeros(batch.num_rows, bool)
+    for name in KEY:
+        codes = batch.column(name).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        fresh[1:] |= codes[1:] != codes[:-1]
+    fresh[0] = last != _key(batch, 0)
+    return fresh
+
+
+def _key(batch: pa.RecordBatch, row: int) -> tuple:
+    return tuple(batch.column(name)[row].as_py() for name in KEY)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order with the day that holds in each, from holds of a segment's first row on; rows that tell at most a date go."""
+    last, day = None, pa.scalar(None, pa.date32())
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        told = pc.coalesce(batch.column("holds"), batch.column("day"))
+        at = np.where(told.is_valid().to_numpy(zero_copy_only=False) | _fresh(batch, last), np.arange(batch.num_rows), -1)
+        # Place 0 is what held before the batch.
+        held = pa.concat_arrays([pa.array([day.as_py()], pa.date32()), told]).take(pa.array(np.maximum.accumulate(at) + 1))
+        last, day = _key(batch, batch.num_rows - 1), held[-1]
+        says = pc.or_(batch.column("sold"), pc.or_(pc.not_equal(batch.column("customer"), ""), pc.not_equal(batch.column("invoice"), "")))
+        yield batch.set_column(batch.schema.get_field_index("holds"), "holds", held).filter(says)
+
+
+def _next(test: np.ndarray) -> np.ndarray:
+    """For each place, and the one after the last, the first place from it on where test holds; len(test) if there is none."""
+    at = np.where(np.append(test, True), np.arange(len(test) + 1), len(test))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _latest(test: np.ndarray) -> np.ndarray:
+    """For each place the last place up to it where test holds; -1 if there is none."""
+    return np.maximum.accumulate(np.where(test, np.arange(len(test)), -1))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Receipts of rows in order of sheet, segment and row. One receipt is held at a time, however long its segment is."""
-    key, now = None, None
+    """Receipts of rows in order of sheet, segment and row. Rows that name or total something are asked one by one whether they begin
+    a receipt; what receipts come to is summed by batch. One receipt is held from batch to batch, as a few numbers, however long it is."""
+    last, now = None, None
     kinds = [pa.string(), pa.string(), pa.int32(), pa.date32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
     names = [c.split()[0] for c in TICKETS.split(", ")]
 
-    def made(done: list[Ticket]) -> pa.RecordBatch:
-        cols = list(zip(*(t.out() for t in done), strict=True)) or [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+    def made(cols: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    def one(t: Ticket) -> pa.RecordBatch:
+        whole = t.reported if t.reported is not None and t.unpriced else t.cents + t.discount
+        day = pa.array([t.day], pa.int32()).cast(pa.date32())
+        return made([[t.workbook], [t.sheet], [t.row], day, [t.customer], [t.invoice], [t.separate], [t.lines], [whole / 100], [t.discount / 100], [t.closed]])
 
     for batch in batches:
-        done = []
-        for workbook, sheet, segment, row, holds, day, customer, invoice, sold, discount, counts, priced, cents, worth, reported, sums_from, own_total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != (key := (workbook, sheet, segment)) and now is not None:
-                done.append(now)
-                now = None
-            separate = now is not None and now.closed and own_total and sold and not customer and not invoice
-            other = now is None or invoice and (invoice != now.invoice or holds != now.day) or day is not None and day != now.day
-            if other or separate or customer:
-                if now is not None:
-                    done.append(now)
-                now = Ticket(workbook, sheet, row, holds, customer, invoice, separate)
-            if sold:
-                now.add(row, discount, counts, priced, cents, worth)
-            now.reported = now.reported if reported is None else reported
-            if now.lines and not discount:
-                now.closed = sums_from == now.first
-        yield made(done)
+        n = batch.num_rows
+        if not n:
+            continue
+        fresh = _fresh(batch, last)
+        last = _key(batch, n - 1)
+        flag = lambda name: batch.column(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        given = lambda name: batch.column(name).is_valid().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        number = lambda name: batch.column(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        named, invoiced = (pc.not_equal(batch.column(c), "").to_numpy(zero_copy_only=False) for c in ("customer", "invoice"))
+        days, holds = (batch.column(c).cast(pa.int32()) for c in ("day", "holds"))
+        sold, discount, row = flag("sold"), flag("discount"), number("row")
+        counting = sold & ~discount & flag("counts")
+        sums, summed, worth, reported = number("sums_from"), given("sums_from"), number("worth"), number("reported")
+        line, plain = _next(counting), _latest(~discount)
+        alone = flag("own_total") & sold & ~named & ~invoiced
+
+        def closed(start: int, end: int) -> bool:
+            """Whether a SUM has closed the receipt of rows start up to end; a receipt held over has start -1."""
+            over = start < 0 and now.lines  # noqa: B023
+            at = line[max(start, 0)]  # noqa: B023
+            if not over and at >= end or plain[end - 1] < 0:  # noqa: B023
+                return bool(over and now.closed)  # noqa: B023
+            j = plain[end - 1]  # noqa: B023
+            return bool(summed[j] and sums[j] == (now.first if over else row[at]))  # noqa: B023
+
+        starts, separate = [], []
+        ask = np.flatnonzero(fresh | named | invoiced | given("day") | alone)
+        texts = batch.column("invoice").take(pa.array(ask)).to_pylist()
+        asked = zip(ask.tolist(), fresh[ask].tolist(), named[ask].tolist(), texts, days.take(pa.array(ask)).to_pylist(), holds.take(pa.array(ask)).to_pylist(), alone[ask].tolist(), strict=True)
+        start, invoice, day = (-1, now.invoice, now.day) if now is not None else (0, None, None)
+        for i, first, by_name, text, dated, held, total in asked:
+            apart = not first and total and (i > 0 or now is not None) and (closed(start, i) if i else now.closed)
+            if first or apart or by_name or text and (text != invoice or held != day) or dated is not None and dated != day:
+                starts.append(i)
+                separate.append(apart)
+                start, invoice, day = i, text, held
+        goes_on = not starts or starts[0] > 0
+        if not goes_on and now is not None:
+            yield one(now)
+            now = None
+        begin = np.array([0] * goes_on + starts)
+        end = np.append(begin[1:], n)
+        first = line[begin]
+        has_line = first < end
+        leads = np.zeros(n, bool)
+        leads[first[has_line]] = True
+        if goes_on and now.lines:
+            leads[: end[0]] = False
+        # One amount beside several lines without price is that of them all: they stay unpriced.
+        valued = counting & given("worth")
+        priced_from = _next(valued & (flag("priced") | leads))[begin]
+        if goes_on and now.unpriced < now.lines:
+            priced_from[0] = 0
+        known = valued & (np.arange(n) >= np.repeat(priced_from, end - begin))
+        total_of = lambda x: np.add.reduceat(x.astype(np.int64), begin)  # noqa: B023, E731
+        lines, cents, off = total_of(counting), total_of(np.where(known, worth, 0)), total_of(np.where(sold & discount, number("cents"), 0))
+        unpriced = lines - total_of(known)
+        told = _latest(given("reported"))[end - 1]
+        says = told >= begin
+        done = np.where(has_line, first, 0)
+        ended = has_line & summed[plain[end - 1]] & (sums[plain[end - 1]] == row[done])
+        if goes_on:
+            now.closed = closed(-1, int(end[0]))
+            now.first = now.first if now.lines or not has_line[0] else int(row[first[0]])
+            now.lines, now.unpriced, now.cents, now.discount = now.lines + int(lines[0]), now.unpriced + int(unpriced[0]), now.cents + int(cents[0]), now.discount + int(off[0])
+            now.reported = int(reported[told[0]]) if says[0] else now.reported
+            if not starts:
+                continue
+            yield one(now)
+        k = len(begin) - 1
+        get = lambda name: batch.column(name)[int(begin[k])].as_py()  # noqa: B023, E731
+        now = Ticket(
+            get("workbook"), get("sheet"), get("row"), holds[int(begin[k])].as_py(), get("customer"), get("invoice"), separate[-1], int(lines[k]), int(unpriced[k]), int(cents[k]), int(off[k]),
+            int(reported[told[k]]) if says[k] else None, int(row[first[k]]) if has_line[k] else None, bool(ended[k]),
+        )
+        out = slice(int(goes_on), k)
+        if out.start < out.stop:
+            take = lambda name: batch.column(name).take(pa.array(begin[out]))  # noqa: B023, E731
+            whole = np.where(says & (unpriced > 0), reported[np.maximum(told, 0)], cents + off)
+            yield made([take("workbook"), take("sheet"), take("row"), take("holds"), take("customer"), take("invoice"), separate[:-1], lines[out], whole[out] / 100, off[out] / 100, ended[out]])
     if now is not None:
-        yield made([now])
+        yield one(now)
 
 
 def ticketize(rows: DataFrame) -> DataFrame:
@@ -205,13 +317,13 @@ def ticketize(rows: DataFrame) -> DataFrame:
     Lines without a quantity above 0 count for nothing; a line without amount is worth quantity times price; discounts are added as
     written. A receipt with lines of unknown amount is worth what its total says, if that is a number. Rows without customer, invoice and product tell at most a date.
 
-    Rows are dealt by segments (see _segments) and folded as a stream in order of rows: a sheet is read by many tasks, and none holds
-    more than a batch. Cells null or blank are empty; a sheet without rows gives no receipts.
+    Rows are dealt by chunks of sheets (see _chunks) and folded as a stream in order of rows: a sheet is read by many tasks, and none
+    holds more than a batch. Cells null or blank are empty; a sheet without rows gives no receipts.
     """
-    found = _segments(written(_cells(rows))).filter("customer <> '' or invoice <> '' or sold")
-    found = found.select("workbook", "sheet", "segment", "row", "holds", "day", "customer", "invoice", "sold", "discount", "counts", "priced", "cents", "worth", "reported", "sums_from", "own_total")
+    found = _chunks(written(_cells(rows)))
+    found = found.select(*KEY, "row", "holds", "day", "customer", "invoice", "sold", "discount", "counts", "priced", "cents", "worth", "reported", "sums_from", "own_total")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, "workbook", "sheet", "segment").sortWithinPartitions("workbook", "sheet", "segment", "row").mapInArrow(_fold, TICKETS)
+    return found.repartition(parts, *KEY).sortWithinPartitions(*KEY, "row").mapInArrow(lambda batches: _fold(_held(batches)), TICKETS)
 
 
 def issues(rows: DataFrame) -> DataFrame:
