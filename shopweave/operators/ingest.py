@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,20 +31,32 @@ def _reviewed(text: Column, aliases: dict[str, str] | None) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), text)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, however often then names it: written out, long expressions within each other multiply."""
+    return F.transform(F.array(value), then)[0]
+
+
 def canonical_customer(label: Column, aliases: dict[str, str] | None = None, groups: dict[str, str] | None = None) -> Column:
     """A customer's name without marks of cancelled sales and invoice numbers; outlet sales and walk-ins are one name each.
 
     aliases: reviewed names by lower-case label; groups: reviewed names by label without spaces and punctuation. Null if nothing is left.
     """
-    t = F.regexp_replace(clean_label(label), r"(?i)\(?\s*cancelled\s*\)?", "")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^[ \-_/]+|[ \-_/]+$", ""), r"(?i)\(SI\d+\)", ""))
-    low = F.lower(t)
-    plain = F.trim(F.regexp_replace(t, r"(?i)/\s*walk-in\b", ""))
-    key = F.lower(plain)
-    named = clean_label(F.coalesce(_reviewed(key, aliases), _reviewed(F.regexp_replace(key, r"\.+$", ""), aliases), plain))
-    named = F.coalesce(_reviewed(F.lower(F.regexp_replace(named, r"[\s._()'’\-]+", "")), groups), named)
-    walk_in = low.startswith("walk-in") | low.startswith("walk in")
-    return F.when(low.startswith("outlet sales"), "Outlet Sales").when(walk_in, "Walk-in").otherwise(F.nullif(named, F.lit("")))
+    bare = F.regexp_replace(clean_label(label), r"(?i)\(?\s*cancelled\s*\)?", "")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"^[ \-_/]+|[ \-_/]+$", ""), r"(?i)\(SI\d+\)", ""))
+
+    def known(plain: Column) -> Column:
+        key = F.lower(plain)
+        return clean_label(F.coalesce(_reviewed(key, aliases), _reviewed(F.regexp_replace(key, r"\.+$", ""), aliases), plain))
+
+    def grouped(named: Column) -> Column:
+        return F.coalesce(_reviewed(F.lower(F.regexp_replace(named, r"[\s._()'’\-]+", "")), groups), named)
+
+    def whole(t: Column) -> Column:
+        walk_in = F.lower(t).startswith("walk-in") | F.lower(t).startswith("walk in")
+        name = _once(_once(F.trim(F.regexp_replace(t, r"(?i)/\s*walk-in\b", "")), known), grouped)
+        return F.when(F.lower(t).startswith("outlet sales"), "Outlet Sales").when(walk_in, "Walk-in").otherwise(F.nullif(name, F.lit("")))
+
+    return _once(bare, whole)
 
 
 def canonical_product(label: Column, names: dict[str, str] | None = None, aliases: dict[str, str] | None = None) -> Column:
@@ -442,11 +454,15 @@ def customer_merge_plan(customers: DataFrame, reviewed: tuple[str, ...] = (), al
     """
     fields = ("phone", "email", "address")
     rows = customers.withColumn("canonical", canonical_customer(F.col("name"), aliases, groups)).filter("canonical is not null")
-    value = lambda c: F.nullif(F.lower(clean_label(F.col(c))), F.lit(""))
-    sums = rows.groupBy(F.lower("canonical").alias("key")).agg(
-        F.min(F.struct(F.col("name") != F.col("canonical"), F.col("customer_id")))["customer_id"].alias("keeper"), F.count("*").alias("members"),
-        F.min(F.struct("customer_id", "canonical"))["canonical"].alias("canonical"), F.countDistinct(F.lower(F.trim("name"))).alias("spellings"),
-        *[F.countDistinct(value(c)).alias(f"{c}_values") for c in fields], *[F.count(value(c)).alias(f"{c}_given") for c in fields],
+    value = lambda c: F.nullif(F.lower(clean_label(F.col(c))), F.lit("")).alias(c)
+    # Customers that are written alike become one row, so what a name's rows are compared by is told of few of them.
+    alike = rows.groupBy("canonical", "name", *[value(c) for c in fields]).agg(F.min("customer_id").alias("customer_id"), F.count("*").alias("n"))
+    # Whether there are several values is all that counts: least and greatest tell it.
+    several = lambda c: F.when(F.min(c) == F.max(c), 1).when(F.min(c).isNotNull(), 2).otherwise(0)
+    sums = alike.withColumns({"key": F.lower("canonical"), "spelling": F.lower(F.trim("name"))}).groupBy("key").agg(
+        F.min(F.struct(F.col("name") != F.col("canonical"), F.col("customer_id")))["customer_id"].alias("keeper"), F.sum("n").alias("members"),
+        F.min(F.struct("customer_id", "canonical"))["canonical"].alias("canonical"), several("spelling").alias("spellings"),
+        *[several(c).alias(f"{c}_values") for c in fields], *[F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("n"))), F.lit(0)).alias(f"{c}_given") for c in fields],
     )
     conflicts = F.array_compact(F.array(*[F.when(F.col(f"{c}_values") > 1, F.lit(c)) for c in fields]))
     sure = F.exists(F.array(*[(F.col(f"{c}_values") == 1) & (F.col(f"{c}_given") == F.col("members")) for c in ("phone", "email")]), lambda x: x)

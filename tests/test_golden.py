@@ -463,3 +463,10 @@ def test_customer_merge_reasons(spark):
     got = {r.key: (r.keeper, r.decision, r.conflicts) for r in ingest.customer_merge_plan(df).collect()}
     assert got == {"a": (1, "conflicting_contact", "phone"), "b": (3, "unconfirmed", ""), "c": (5, "merge", ""), "d": (7, "unconfirmed", "")}
     assert ingest.customer_merge_plan(df, reviewed=("b",)).filter("key = 'b'").first().decision == "merge"
+
+
+def test_customer_names_are_read_once(spark):
+    """Long expressions that name each other do not multiply, customers are not copied for each contact that is counted."""
+    df = spark.createDataFrame([], "customer_id long, name string, phone string, email string, address string")
+    plan = ingest.customer_merge_plan(df, ("b",), {"x": "y"}, {"z": "w"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("cancelled") <= 4
