@@ -87,3 +87,12 @@ def test_export_is_verified(spark, tmp_path):
     lines.limit(89).write.mode("overwrite").parquet(f"{tmp_path}/x/line")
     assert {(r.table_name, r.verified) for r in ledger.verified_export(manifest, tables, f"{tmp_path}/x").collect()} == {("receipt", True), ("line", False)}
     assert {r.year for r in spark.read.parquet(f"{tmp_path}/x/receipt").collect()} == {1996, 1997}
+
+
+def test_keys_of_one_lot_end_by_themselves(spark, tmp_path, state_store, monkeypatch):
+    monkeypatch.setattr(jobs, "LOTS", 1)
+    batches = [[(1, 1, 1, minutes(0), "a"), (2, 2, 1, minutes(20), "b")], [(3, 1, 1, minutes(45), "c"), (4, 2, 1, minutes(46), "b")], [(5, 1, 1, minutes(50), "a"), (6, 2, 1, minutes(60), "x")]]
+    out, progress = fed(spark, tmp_path, batches, "event_id long, user_id long, request_id long, ts timestamp, content string", lambda s: jobs.label_submissions(s, "10 minutes", 30 * 60_000))
+    assert [{r.event_id: r.verdict for r in got} for got in out] == [{1: "new", 2: "new"}, {3: "new", 4: "replay"}, {5: "conflict", 6: "new"}]
+    # Two keys are one row of state.
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
