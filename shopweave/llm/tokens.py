@@ -1,17 +1,17 @@
-"""Byte-level BPE ids of whole texts, from the tokenizers library, each different unit of many texts encoded once.
+"""Byte-level BPE ids of whole texts, from the tokenizers library, each different piece of many texts encoded once.
 
 A byte-level pre-tokenizer cuts a text into pieces and the BPE model encodes each piece by itself, so a piece has the
 same ids wherever it stands. `Encoder` cuts texts before single spaces and line breaks, which are always cuts
-between pieces unless white space meets white space, numbers the different units with Arrow, asks the model once for each,
-and gathers the texts' ids with numpy. Words behind a space go to the model many at a time, which is as good as one by one
-where no token of the vocabulary has a space behind another usual character. Texts where that reasoning might not hold (white
+between pieces unless white space meets white space, numbers the different units and their pieces with Arrow, asks the model
+once for each different piece, and lets Arrow gather the ids of units and texts. Pieces go to the model many at a time, those
+without a space marked by a line break, which is as good as one by one where no token of the vocabulary has a space or a line
+break beside another usual character, but for one space in front. Texts where that reasoning might not hold (white
 space in a row or at an end, unusual characters, special-token strings, another kind of tokenizer) go to
 `Tokenizer.encode` as a whole; results are the library's in either case. Nothing is kept from one lot of texts to the next.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -21,16 +21,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
+#: A piece of a unit, where white space stands alone in front.
+PIECE = rf"('(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+)"
 #: Characters whose classes are the same in any Unicode version.
 USUAL = r"^[\n -~¡-ɏ]*$"
 BLANKS = ("  ", " \n", "\n ", "\n\n", "\0")
 #: Characters of the texts, and pieces, that are looked at together.
-TOGETHER, RUN = 16_000_000, 400
+TOGETHER, RUN = 16_000_000, 100
 
 
-#: The letter for a space.
-SPACE = "Ġ"
+#: The letters for a space and a line break.
+SPACE, LINE = "Ġ", "Ċ"
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,6 +53,18 @@ def encoder(path: str) -> Encoder:
     return memory.encoder
 
 
+def content(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings without nulls, and where each begins, with the end."""
+    _, offsets, raw = array.buffers()
+    at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if offsets else np.zeros(1, np.int64)
+    return np.frombuffer(raw, np.uint8)[: at[-1]] if raw else np.zeros(0, np.uint8), at
+
+
+def strings(kind: pa.DataType, at: np.ndarray, raw: np.ndarray | bytes) -> pa.Array:
+    """Large strings or binaries of these bytes."""
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(raw)])
+
+
 class Encoder:
     """encode and encode_all give ids as little-endian unsigned 32-bit integers, in bytes."""
 
@@ -71,11 +84,16 @@ class Encoder:
             and self.model.continuing_subword_prefix is None
         )
         vocabulary = self.tokenizer.get_vocab() if self.plain else {}
-        # A token over two pieces would have a space behind another character. Those with the no-break space cannot arise from USUAL.
+        # Bytes as letters in UTF-16. A token over two pieces would have a mark beside another character, but for a space in front.
+        # Those with the no-break space or control characters cannot arise from USUAL.
+        self.utf16 = np.array([ord(self.letters[b]) for b in range(256)], "<u2")
         no_break = "\xa0".encode().decode("latin-1").translate(self.letters)
-        self.in_runs = all(no_break in token for token in vocabulary if SPACE in token.lstrip(SPACE))
+        control = {self.letters[b] for b in range(32) if b != 10}
+        over = (t for t in vocabulary if (SPACE in t[1:] or (LINE in t and t != LINE)) and t.strip(SPACE + LINE))
+        self.in_runs = LINE in vocabulary and all(no_break in t or control & set(t) for t in over)
+        self.line = vocabulary.get(LINE)
         self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.leads[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
+        self.leads[[i for token, i in vocabulary.items() if token[:1] in (SPACE, LINE)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -84,22 +102,31 @@ class Encoder:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return np.array([t.id for t in tokens], "<u4").tobytes()
 
-    def runs(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces that begin with a space, one piece behind the other, and how many each has."""
-        ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    def runs(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that begin with a space or a line break, without the latter, one behind the other, and how many each has."""
+        raw, at = content(pieces)
+        letters = self.utf16[raw].tobytes().decode("utf-16-le")
+        found: list[int] = []
         for k in range(0, len(pieces), RUN):
-            run = pieces[k : k + RUN]
-            if self.in_runs:
-                tokens = self.model.tokenize("".join(run).encode().decode("latin-1").translate(self.letters))
-                ids.append(np.array([t.id for t in tokens], "<u4"))
-                lengths.append(np.diff(np.flatnonzero(self.leads[ids[-1]]), append=len(tokens)))
-            else:
-                each = [np.frombuffer(self.piece(p), "<u4") for p in run]
-                ids.extend(each)
-                lengths.append(np.array(list(map(len, each)), np.int64))
-            if len(lengths[-1]) != len(run):
-                raise ValueError("a token goes over the border of two pieces")
-        return np.concatenate(ids), np.concatenate(lengths)
+            found += [t.id for t in self.model.tokenize(letters[at[k] : at[min(k + RUN, len(pieces))]])]
+        ids = np.array(found, "<u4")
+        leads = np.flatnonzero(self.leads[ids])
+        if len(leads) != len(pieces):
+            raise ValueError("a token goes over the border of two pieces")
+        return ids[ids != self.line], np.diff(leads, append=len(ids)) - (ids[leads] == self.line)
+
+    def pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each of these pieces, in bytes."""
+        alone = pc.match_substring_regex(pieces, r"^ ?$|\n").to_numpy(zero_copy_only=False) | (not self.in_runs)
+        many = pieces.filter(pa.array(~alone))
+        spaced = pc.starts_with(many, " ")
+        line, nothing = (pa.scalar(c, pa.large_string()) for c in ("\n", ""))
+        ids, lengths = self.runs(pc.if_else(spaced, many, pc.binary_join_element_wise(line, many, nothing)))
+        rest = list(map(self.piece, pieces.filter(pa.array(alone)).to_pylist()))
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])] = np.arange(len(pieces))
+        lengths = np.concatenate([4 * lengths, np.array(list(map(len, rest)), np.int64)])
+        return strings(pa.large_binary(), np.append(0, np.cumsum(lengths)), ids.tobytes() + b"".join(rest)).take(pa.array(place))
 
     def cuttable(self, text: str) -> bool:
         """Whether the text may be encoded in units."""
@@ -112,47 +139,47 @@ class Encoder:
             and not any(s in text for s in self.special)
         )
 
-    def marked(self, units: list[str]) -> list[bytes]:
-        """The ids of each of these units, which may be of several pieces."""
-        found = list(map(PIECE.findall, units))
-        different = set().union(*found)
-        spaced = [p for p in different if p[0] == " "]
-        known = {p: self.piece(p) for p in different if p[0] != " "}
-        ids, lengths = self.runs(spaced)
-        raw, ends = ids.tobytes(), (4 * np.cumsum(lengths)).tolist()
-        known.update(zip(spaced, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        return [b"".join(map(known.__getitem__, of)) for of in found]
+    def coded(self, units: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids in bytes, in another order than the units; the place of each unit there, and whether its characters are usual.
 
-    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of units one behind the other; of each unit where they start, how many they are, and whether its characters are usual."""
+        Units with others have no ids.
+        """
         usual = pc.match_substring_regex(units, USUAL).to_numpy(zero_copy_only=False)
         word = pc.match_substring_regex(units, f"^ [{LETTERS}]+$").to_numpy(zero_copy_only=False) & usual
-        words, others = np.flatnonzero(word), np.flatnonzero(usual & ~word)
-        ids, of_words = self.runs(units.take(pa.array(words)).to_pylist())
-        rest = self.marked(units.take(pa.array(others)).to_pylist())
-        lengths = np.zeros(len(units), np.int64)
-        lengths[words], lengths[others] = of_words, [len(r) // 4 for r in rest]
-        starts = np.zeros(len(units), np.int64)
-        order = np.concatenate([words, others])
-        starts[order] = np.cumsum(lengths[order]) - lengths[order]
-        return np.concatenate([ids, np.frombuffer(b"".join(rest), "<u4")]), starts, lengths, usual
+        order = [np.flatnonzero(word), np.flatnonzero(usual & ~word), np.flatnonzero(~usual)]
+        words, marked = (units.take(pa.array(k)) for k in order[:2])
+        # Behind each piece a NUL, so that the last piece of each is empty.
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, PIECE, r"\1" + "\0"), "\0")
+        found = pa.concat_arrays([words, cut.flatten()]).dictionary_encode()
+        raw, ends = content(self.pieces(found.dictionary).take(found.indices))
+        bounds = np.concatenate([np.arange(len(words)), len(words) + cut.offsets.to_numpy()])
+        place = np.empty(len(units), np.int64)
+        place[np.concatenate(order)] = np.arange(len(units))
+        return strings(pa.large_binary(), np.concatenate([ends[bounds], np.full(len(order[2]), ends[-1])]), raw), place, usual
+
+    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units one behind the other; of each unit where they start, how many they are, and whether its characters are usual."""
+        coded, place, usual = self.coded(units)
+        raw, at = content(coded)
+        return raw.view("<u4"), at[place] // 4, np.diff(at)[place] // 4, usual
 
     def in_units(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of cuttable texts."""
         if not texts:
             return
-        cut = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\n", "\0\n")
-        lists = pc.split_pattern(cut, "\0")
-        units = lists.flatten().dictionary_encode()
-        at, of_text = units.indices.to_numpy(), lists.offsets.to_numpy()
-        ids, starts, lengths, usual = self.ids_of(units.dictionary)
-        n = lengths[at]
-        ends = np.cumsum(n)
-        all_ids = ids[np.arange(n.sum()) + np.repeat(starts[at] - (ends - n), n)]
-        strange = np.concatenate([[0], np.cumsum(~usual[at])])[of_text]
-        bounds = np.concatenate([[0], ends])[of_text].tolist()
+        raw, bounds = content(pa.array(texts, pa.large_string()))
+        cut = (raw == ord(" ")) | (raw == ord("\n"))
+        cut[bounds[:-1]] = True
+        cuts = np.append(np.flatnonzero(cut), len(raw))
+        of_text = np.searchsorted(cuts, bounds)
+        units = strings(pa.large_string(), cuts, raw).dictionary_encode()
+        coded, place, usual = self.coded(units.dictionary)
+        at = units.indices.to_numpy()
+        ids, ends = content(coded.take(pa.array(place[at])))
+        bounds = ends[of_text].tolist()
+        strange = np.add.reduceat(~usual[at], of_text[:-1], dtype=np.int64).tolist()
         for k, text in enumerate(texts):
-            yield self.whole(text) if strange[k + 1] > strange[k] else all_ids[bounds[k] : bounds[k + 1]].tobytes()
+            yield self.whole(text) if strange[k] else ids[bounds[k] : bounds[k + 1]].tobytes()
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""

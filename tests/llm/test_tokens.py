@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,58 @@ def test_texts_in_many_lots(tokenizer, tokenizer_path, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)
 
 
+class Asked:
+    """A model that notes what it is asked."""
+
+    def __init__(self, model):
+        self.model, self.texts = model, []
+
+    def tokenize(self, text):
+        self.texts.append(text)
+        return self.model.tokenize(text)
+
+
+def test_each_piece_is_asked_once(tokenizer, tokenizer_path):
+    enc = Encoder(tokenizer_path)
+    enc.model = asked = Asked(enc.model)
+    texts = [" ".join(f"{a} word, 7 wörd. word!\n{b}{a}'s" for b in "xyz") for a in ("new", "old", "odd")]
+    for text, ids in zip(texts, enc.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)
+    letters = "".join(asked.texts)
+    assert [letters.count(x) for x in ("Ġword", "ĠwÃ¶rd", "'s", "Ġ7", "xnew")] == [1] * 5
+    # All but the line break itself, and the nothing behind the last piece, in one call.
+    assert sum(x not in ("", "Ċ") for x in asked.texts) == 1
+
+
+def test_pieces_one_by_one(tokenizer_path):
+    """Where tokens may go over the border of two pieces, pieces are asked one by one."""
+    one, many, r = Encoder(tokenizer_path), Encoder(tokenizer_path), random.Random(4)
+    assert many.in_runs
+    one.in_runs = False
+    texts = ["".join(r.choice(["a", "Été", " b", " 7", "\nc", ".", "'s", " '", "\n"]) for _ in range(r.randint(1, 12))) for _ in range(500)]
+    assert list(one.encode_all(texts)) == list(many.encode_all(texts))
+    units = pa.array([" ", "\n", "", " a,b", "日", "\nx"], pa.large_string())
+    for enc in (one, many):
+        ids, starts, lengths, usual = enc.ids_of(units)
+        got = [ids[s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)]
+        assert usual.tolist() == [True] * 4 + [False, True]
+        assert got == [b"" if u == "日" else enc.whole(u) for u in units.to_pylist()]
+
+
+@pytest.mark.parametrize("merge", [("Ċ", "a"), ("b", "Ċ"), ("b", "Ġ"), ("Ġ", "a")])
+def test_tokens_over_borders(tmp_path, merge):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: i for i, c in enumerate([*tokens.byte_letters().values(), "".join(merge)])}
+    made = Tokenizer(models.BPE(vocabulary, [merge]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(path := str(tmp_path / "tokenizer.json"))
+    enc = Encoder(path)
+    assert enc.in_runs == (merge == ("Ġ", "a"))
+    for text in ("b a\na b\nb", "ab, ab\nab"):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids_of(made, text)
+
+
 def test_ranks_round_trip():
     r = np.random.default_rng(2)
     for n in (0, 1, 3, 4, 5, 1000):
