@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from shopweave.llm.common import no_null, saved, shared_dir
 from shopweave.llm.tokens import BLANKS, Encoder, worker_memory
 
-#: Characters of text in a lot.
-LOT = 4_000_000
+#: Characters of text in a lot: a worker's memory follows it. Texts of a batch that are made Python's at a time.
+LOT, ROWS = 1_000_000, 200
 #: Tokens looked at on each side of the middle before an interval is looked through as a whole.
 NEAR = 8
 
@@ -287,7 +287,7 @@ class Lot:
 
 LOTS = (
     "lot long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digests array<string>, "
-    "places binary, offsets binary, numbers binary, bounds binary, pairs array<long>, held array<int>"
+    "places binary, offsets binary, numbers binary, linked binary, pairs array<long>, held array<int>"
 )
 DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 GROUPS = "doc_id long, groups array<struct<start:bigint,end:bigint,a:array<int>,b:array<int>>>"
@@ -296,7 +296,7 @@ GROUPS = "doc_id long, groups array<struct<start:bigint,end:bigint,a:array<int>,
 def in_lots(batches, size: int):
     """(doc_ids, texts) of size characters together, or one longer text."""
     doc_ids, texts, held = [], [], 0
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if texts and held + len(text) > size:
                 yield doc_ids, texts
@@ -308,24 +308,38 @@ def in_lots(batches, size: int):
         yield doc_ids, texts
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from nought on, each in as few bytes as the largest needs."""
+    return numbers.astype(np.min_scalar_type(numbers.max(initial=0)).newbyteorder("<")).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}") if n else np.zeros(0, np.int64)
+
+
+def lot_row(kinds: Both, no: int, doc_ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    """A lot's row of LOTS; what it was made of is freed with the call."""
+    lot = kinds.lot(texts)
+    different, held, number, bounds = lot.pairs()
+    counts = [lot.of_texts(np.diff(b)) for b in (lot.bounds_a, lot.bounds_b)] + [lot.of_texts(lot.n_groups)]
+    raw = [packed(lot.where), lot.offsets.astype("<i8").tobytes(), packed(number), np.diff(bounds).astype("<i4").tobytes()]
+    longs = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([no], pa.int64()), pa.array([doc_ids], longs), *[pa.array([c], longs) for c in counts], pa.array([lot.digests()], pa.list_(pa.string()))]
+        + [pa.array([r], pa.binary()) for r in raw]
+        + [pa.array([different], longs), pa.array([held.astype(np.int32)], pa.list_(pa.int32()))],
+        names=[c.split()[0] for c in LOTS.split(", ")],
+    )
+
+
 def lots(docs: DataFrame, path_a: str, path_b: str, size: int = LOT) -> DataFrame:
     """A row for each lot of documents (doc_id, text), to be run once (save it)."""
 
     def run(batches):
         kinds, no = both(path_a, path_b), TaskContext.get().partitionId() << 31
-        for doc_ids, texts in in_lots(batches, size):
-            lot = kinds.lot(texts)
-            different, held, number, bounds = lot.pairs()
-            counts = [lot.of_texts(np.diff(b)) for b in (lot.bounds_a, lot.bounds_b)] + [lot.of_texts(lot.n_groups)]
-            raw = [x.astype(kind).tobytes() for x, kind in ((lot.where, "<i4"), (lot.offsets, "<i8"), (number, "<i4"), (bounds, "<i8"))]
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([no], pa.int64()), pa.array([doc_ids], longs), *[pa.array([c], longs) for c in counts], pa.array([lot.digests()], pa.list_(pa.string()))]
-                + [pa.array([r], pa.binary()) for r in raw]
-                + [pa.array([different], longs), pa.array([held.astype(np.int32)], pa.list_(pa.int32()))],
-                names=[c.split()[0] for c in LOTS.split(", ")],
-            )
-            no += 1
+        for k, (doc_ids, texts) in enumerate(in_lots(batches, size)):
+            yield lot_row(kinds, no + k, doc_ids, texts)
+            pa.default_memory_pool().release_unused()
 
     rows = no_null(docs.select(F.col("doc_id").cast("long"), "text"), "text")
     return rows.mapInArrow(run, LOTS)
@@ -347,7 +361,9 @@ def document_counts(of_lots: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(lot: pa.Table, pairs: pa.Table) -> pa.Table:
         row = {c: lot.column(c)[0] for c in lot.column_names}
-        where, offsets, number, bounds = (np.frombuffer(row[c].as_py(), kind) for c, kind in (("places", "<i4"), ("offsets", "<i8"), ("numbers", "<i4"), ("bounds", "<i8")))
+        offsets, linked = (np.frombuffer(row[c].as_py(), kind) for c, kind in (("offsets", "<i8"), ("linked", "<i4")))
+        bounds = np.append(0, np.cumsum(linked))
+        where, number = unpacked(row["places"].as_py(), offsets[-1]), unpacked(row["numbers"].as_py(), bounds[-1])
         order = np.argsort(pairs.column("pair").to_numpy())
         # Links of a unit, then units of a document.
         each = [pairs.column("count").to_numpy()[order], pairs.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64), np.ones(len(order), np.int64)]

@@ -154,3 +154,37 @@ def test_nothing_and_repeats(spark, nothing, corpus, libraries):
     got = align.document_counts(of_lots, align.pair_counts(of_lots, 32000)).collect()
     key = lambda x: tuple(map(str, x))
     assert sorted(map(key, got)) == sorted(key((r.doc_id, *w)) for r, w in zip(rows, want, strict=True))
+
+
+def test_a_worker_holds_one_small_lot():
+    """However many texts a batch brings, what a worker makes of them at a time stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(40_000)]
+    texts = [" ".join(r.choices(words, k=500)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    kinds, n, taken = align.Both(A, B), 0, []
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for doc_ids, own in align.in_lots([batch], align.LOT):
+        lot = kinds.lot(own)
+        lot.pairs(), lot.digests()
+        taken += doc_ids
+        n += 1
+        del lot
+    most = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert taken == list(range(len(texts))) and n > 1
+    assert most < 80e6
+
+
+def test_numbers_are_as_wide_as_they_must_be():
+    for largest in (0, 255, 256, 65_535, 65_536, 2**33):
+        numbers = np.array([0, largest, 1], np.int64)
+        raw = align.packed(numbers)
+        assert align.unpacked(raw, 3).tolist() == numbers.tolist()
+        assert len(raw) == 3 * np.min_scalar_type(largest).itemsize
+    assert align.packed(numbers[:0]) == b"" and len(align.unpacked(b"", 0)) == 0
