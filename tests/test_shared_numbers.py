@@ -57,6 +57,18 @@ def test_adjustments_are_as_many_as_in_sql(spark, shared):
     assert got == dict(con.sql(f"select batch_id, count(*) from ({registry.oracle_sql()['adjustment_replay']}) group by 1").fetchall())
 
 
+def test_adjustments_equal_sql_where_batches_of_a_number_have_an_order(spark, shared):
+    """With the ties of the SQL's ORDER BY broken as the docstring says (first received first), all rows are the same."""
+    folder, con = shared
+    sql = registry.oracle_sql()["adjustment_replay"]
+    told = sql.replace("a.kind, a.quantity) AS k", "a.kind, a.quantity, b.received, b.expiry, b.initial) AS k")
+    assert told != sql
+    got, want = registry.queries()["adjustment_replay"](spark, folder), con.sql(told)
+    columns = sorted(want.columns)
+    rows = sorted(repr([r[c] for c in columns]) for r in got.collect())
+    assert rows and rows == sorted(repr(list(r)) for r in want.select(*columns).fetchall())
+
+
 def test_an_alert_noted_twice_is_one_alert(spark, shared):
     live = spark.createDataFrame([("7", "critical"), ("8", "critical")], "key string, revision string")
     seen = spark.createDataFrame([(1, "7", "critical", False), (1, "7", "critical", True)], "user_id int, key string, revision string, dismissed boolean")
