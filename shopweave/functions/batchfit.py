@@ -105,24 +105,52 @@ def inner(values: np.ndarray) -> tuple[np.ndarray, int]:
     return np.interp(at, known, values[known]), len(values) - 1 - int(known[-1])
 
 
-def forecasts(series: list[np.ndarray], season: int, steps: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
-    """Predictions of each series (nan: unknown) behind its last bucket, known or not, and their standard errors; None where it cannot be fitted.
+def same(*numbers: np.ndarray):
+    """The rows of each different combination of these numbers, which are none of them negative."""
+    if not len(numbers[0]):
+        return
+    key = np.ravel_multi_index(numbers, [int(n.max()) + 1 for n in numbers])
+    order = np.argsort(key, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+
+
+def ahead_of(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, season: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each series flat[start : start + length] (nan: unknown) predictions behind its last bucket, known or not, their standard errors
+    (k, steps), and whether it could be fitted (k).
 
     Values are divided by their mean, or by one where that is more; predictions are never below nought.
     """
-    cut = [inner(s) for s in series]
-    groups: dict[tuple[int, int], list[int]] = {}
-    for i, (values, over) in enumerate(cut):
-        groups.setdefault((len(values), over), []).append(i)
-    out: list = [None] * len(series)
-    for (n, over), members in groups.items():
+    k = len(starts)
+    mean, se, fine = np.full((k, steps), np.nan), np.full((k, steps), np.nan), np.zeros(k, bool)
+    known = ~np.isnan(flat)
+    places, before = np.flatnonzero(known), np.append(0, np.cumsum(known))
+    seen = np.flatnonzero(before[starts + lengths] > before[starts])
+    first, last = places[before[starts[seen]]], places[before[(starts + lengths)[seen]] - 1]
+    size, over = last - first + 1, (starts + lengths)[seen] - 1 - last
+    gaps = before[last + 1] - before[first] < size
+    unit = np.empty(len(seen))
+    for own in same(lengths[seen]):
+        y = np.abs(flat[starts[seen[own]][:, None] + np.arange(lengths[seen[own[0]]])])
+        unit[own] = np.maximum(np.where(np.isnan(y), 0, y).sum(1) / (~np.isnan(y)).sum(1), 1.0)
+    for own in same(size, over):
+        n, behind = int(size[own[0]]), int(over[own[0]])
         if n < 3:
             continue
-        y = np.stack([cut[i][0] for i in members])
-        scale = np.array([max(float(np.nanmean(np.abs(series[i]))), 1.0) for i in members])[:, None]
+        y = flat[first[own][:, None] + np.arange(n)]
+        for i in np.flatnonzero(gaps[own]).tolist():
+            y[i] = inner(y[i])[0]
+        scale = unit[own][:, None]
         found = fit(y / scale, season)
-        mean, se = ahead(y / scale, found, season, over + steps)
-        for i, m, s, unit, fine in zip(members, mean[:, over:], se[:, over:], scale[:, 0], found.usable, strict=True):
-            if fine and np.isfinite(m).all() and np.isfinite(s).all():
-                out[i] = (np.maximum(m * unit, 0.0), s * unit)
-    return out
+        m, s = ahead(y / scale, found, season, behind + steps)
+        m, s = m[:, behind:], s[:, behind:]
+        rows = seen[own]
+        fine[rows] = found.usable & np.isfinite(m).all(1) & np.isfinite(s).all(1)
+        mean[rows], se[rows] = np.maximum(m * scale, 0.0), s * scale
+    return mean, se, fine
+
+
+def forecasts(series: list[np.ndarray], season: int, steps: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """As ahead_of, for each series (predictions, standard errors), or None where it cannot be fitted."""
+    bounds = np.append(0, np.cumsum([len(s) for s in series])).astype(np.int64)
+    mean, se, fine = ahead_of(np.concatenate([np.zeros(0), *series]), bounds[:-1], np.diff(bounds), season, steps)
+    return [(m, s) if f else None for m, s, f in zip(mean, se, fine, strict=True)]

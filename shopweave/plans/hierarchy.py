@@ -113,7 +113,7 @@ def _scope(s: Shop):
 
 def _item_forecast(s: Shop):
     d = Demand(s)
-    found = op.item_forecasts(d.items, d.products, d.dates, MONTHLY)
+    found = op.estimated(op.item_arrays(d.sold, d.dates, MONTHLY), d.products, d.dates, MONTHLY)
     rows = op.steps(found, d.dates, MONTHLY, *op.ITEM, "known_periods", "nonzero_periods", "interpolated_periods", "mae", "wape", "bias")
     # What is kept of a long projection: the first horizon, and from three buckets before the present one.
     early = F.col("bucket") < MONTHLY.after(F.lit(d.dates.cutoff), MONTHLY.horizon)

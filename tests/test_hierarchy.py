@@ -252,3 +252,54 @@ def test_errors_of_sums(shop_of_weeks):
     found = hierarchy.item_forecasts(hierarchy.item_series(sold, dates, WEEKLY), products, dates, WEEKLY)
     got = {(r.view, r.level, r.metric, r.unit): (r.tested, r.mae) for r in hierarchy.tested(found, dates, products, WEEKLY).collect()}
     assert got["combined", "overall", "quantity", "L"] == (8, 0.0) and got["regular", "category", "revenue", ""] == (8, 0.0)
+
+
+def test_fits_are_made_together():
+    """No series is gone through by itself: the calls of Python code for each are few."""
+    import sys
+
+    r = np.random.default_rng(1)
+    series = [np.round(r.gamma(2, 20, 53), 2) for _ in range(1000)]
+
+    def calls(run):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event == "call"
+
+        sys.setprofile(count)
+        run()
+        sys.setprofile(None)
+        return n
+
+    assert calls(lambda: batchfit.forecasts(series, 12, 12)) < 2 * len(series)
+    bounds = np.append(0, np.cumsum([53] * 1000))
+    assert calls(lambda: hierarchy.fit_columns(np.concatenate(series), bounds, np.ones(1000, bool), np.full(1000, 12), MONTHLY)) < 10 * len(series)
+
+
+def test_series_in_one_row(spark):
+    """Without a row for each bucket they are the same: gaps, unknown buckets, and cells before the unbroken run."""
+    r = np.random.default_rng(2)
+    days = [dt.date(2020, 1, 6) + dt.timedelta(7 * k) for k in range(120) if k != 15]
+    rows = [(d, s, p, None if r.random() < 0.1 else float(r.integers(1, 9)), None if r.random() < 0.1 else 5.5) for d in days for s in ("regular", "feeding") for p in range(12) if r.random() < 0.03 * (p + 1)]
+    rows += [(d, "regular", 99, 1.0, 1.0) for d in days]
+    schema = "day date, segment string, product_id long, quantity double, revenue double"
+    facts = spark.createDataFrame(rows, schema).selectExpr("*", "int(quantity is null) as unknown_quantity", "int(revenue is null) as unknown_revenue")
+    for name in ("weekly", "monthly", "daily"):
+        period = hierarchy.PERIODS[name]
+        sold = hierarchy.cells(facts, period, "segment", "product_id")
+        dates = hierarchy.calendar(sold, period, "2022-06-30")
+        want = hierarchy.arrays(hierarchy.item_series(sold, dates, period), *hierarchy.ITEM)
+        got = hierarchy.item_arrays(sold, dates, period).select(*want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert got.count() > 40
+
+
+def test_sums_of_items_are_hashed(spark):
+    """A text among the sums would have all rows of all steps put in order."""
+    schema = "segment string, product_id long, metric string, category string, unit string, status string, supported int, provisional int, total int, step int, bucket date, value double"
+    rows = [("regular", p, "quantity", "Milk", "unit", s, int(s == "available"), 0, 1, 1, dt.date(2024, 1, 1), 1.0) for p, s in enumerate(hierarchy.STATUSES)]
+    nodes = hierarchy.rolled_up(spark.createDataFrame(rows, schema))
+    assert "SortAggregate" not in nodes._jdf.queryExecution().executedPlan().toString()
+    assert {r.product_id: r.status for r in nodes.filter("level = 'item' and view = 'regular'").collect()} == dict(enumerate(hierarchy.STATUSES))
